@@ -118,15 +118,15 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components by alternating large and small stars: edges(a, b) of longs -> (node, component), the smallest
-    node reachable. Nodes without an edge are not returned. Each round is a partial minimum and a join on the node; a hub's
-    edges are split by skew-join handling, its minimum is combined before the shuffle."""
+    node reachable. Nodes without an edge are not returned. Each round is a partial minimum and a join on the node; the minima
+    are written and read back, so that the join shuffles both sides itself and can split the edges of a hub."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e, before = checkpointed(e), None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = write_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         e = both.hint("merge").join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        low = write_table(e.groupBy("u").agg(F.min("v").alias("m")), "least")
         near = e.hint("merge").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpointed(near.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

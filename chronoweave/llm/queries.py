@@ -1,9 +1,14 @@
 """Queries of the numbered operators: name -> function(spark, sf_dir), and the SQL for those that SQL can express."""
 
-from . import simhash
+from . import bitplanes, bpe, decontaminate, quality, simhash, substrings
 
 QUERIES = {
+    "op1_quality_classifier": quality.query,
+    "op2_bpe_encoding": bpe.query,
+    "op3_benchmark_decontamination": decontaminate.query,
+    "op6_substring_dedup": substrings.query,
     "op8_simhash_near_dedup": simhash.query,
+    "op10_token_planes": bitplanes.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
