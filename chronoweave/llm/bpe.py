@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import buffers, spans
 
-LEAF, SPREAD, FIRST_WINDOW, LONG_WORD, KNOWN = 8192, 65536, 64, 128, 300_000
+LEAF, SPREAD, FIRST_WINDOW, LONG_WORD, KNOWN = 65536, 65536, 64, 128, 800_000
+#: Byte values to the letters by which byte-level vocabularies write them: printable ones stand for themselves, the rest follow
+#: from code point 256 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {b: chr(b) if b in PRINTED else chr(256 + k) for k, b in enumerate(sorted(range(256), key=lambda b: (b in PRINTED, b)))}
+#: Pairs of white space, and white space that is rare: texts without them are cut by plain replacement.
+PAIRS, RARE = ("  ", " \n", "\n ", "\n\n"), "\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+TAIL = ".,!?%*#$&|;:-\"()"
 _loaded: dict[str, Words] = {}
 
 
@@ -55,72 +63,94 @@ class Words:
             self.style = "whole"
         self.joins_tokens = spec.get("decoder") is None
         self.names = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
-        self.ids: dict[str, bytes] = {}
+        self.ids: dict[str, bytes] = {"": b""}
         self.texts: dict[str, str] = {}
+        self.model = self.tok.model
+        self.model._resize_cache(0)  # words are kept here; a second table only costs time
         self.cut = re.compile(r" ?[^ \n]+|[ \n]").findall
         self.run = re.compile(r"\s\s(?:\s|\Z)").search
 
     def split(self, text: str) -> list[str]:
         if self.style == "dropped":
             return [w for w in text.replace("\n", " ").split(" ") if w]
-        if self.style == "leading" and not self.run(text):
-            return self.cut(text)
+        if self.style == "leading":
+            if not (any(x in text for x in PAIRS) or any(x in text for x in RARE)):
+                return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+            if not self.run(text):
+                return self.cut(text)
         return [text] if text else []
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of the words, as a table that holds all of them; new words are kept while there is room."""
         new = words.difference(self.ids)
-        if len(self.ids) + len(new) > KNOWN:
-            self.ids.clear()
-            self.texts.clear()
-            new = words
-        new = list(new)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        if not new:
+            return self.ids
+        table = self.ids
+        if len(table) > KNOWN:
+            table = ChainMap({}, self.ids)
+        rest = []
+        for w in new:
+            if len(w) > LEAF:  # long unsplit text
+                table[w] = Tree(self).encode(w).bytes()
+                continue
+            head, tail = self.plain(w)
+            if head is None:
+                rest.append(w)
+            elif tail:
+                table[w] = self.word(head, table) + self.word(tail, table)
+            else:
+                self.word(head, table)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
-                if self.joins_tokens:
-                    self.texts[w] = " ".join([self.names[i] for i in e.ids])
+                table[w] = np.array(e.ids, "<u4").tobytes()
+        return table
+
+    def plain(self, w: str) -> tuple[str | None, str]:
+        """A word of Latin letters and the marks after it, each a stretch that the tokenizer never joins with the other; else None."""
+        body = w[1:] if w[0] == " " else w
+        core = body.rstrip(TAIL)
+        if self.style == "whole" or not core.isalpha() or max(core) >= "\u0180" or (self.style == "dropped" and w[0] == " "):
+            return None, ""
+        return w[: len(w) - len(body) + len(core)], body[len(core) :]
+
+    def word(self, w: str, table: dict[str, bytes]) -> bytes:
+        """Ids of one stretch, straight from the model."""
+        if w not in table:
+            own = w.lower() if self.style == "dropped" else w
+            found = self.model.tokenize(own.encode().decode("latin-1").translate(LETTERS))
+            table[w] = np.array([t.id for t in found], "<u4").tobytes()
+        return table[w]
+
+    def spell(self, w: str, ids: bytes) -> str:
+        """The decoded text of one word."""
+        if w not in self.texts:
+            text = " ".join([self.names[i] for i in np.frombuffer(ids, "<u4").tolist()])
+            if len(self.texts) > KNOWN:
+                return text
+            self.texts[w] = text
+        return self.texts[w]
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Ids (little-endian unsigned 32-bit) and decoded text of each text."""
-        cuts = [self.split(t) if len(t) <= LEAF else None for t in texts]
-        self.learn({w for c in cuts if c for w in c})
-        known, texts_of = self.ids, self.texts
+        cuts = [self.split(t) for t in texts]
+        known = self.learn(set().union(*cuts))
         ids, out = [], []
-        for text, c in zip(texts, cuts, strict=True):
-            if c is None:
-                tree = Tree(self).encode(text)
-                ids.append(tree.bytes())
-                out.append(self.decode(ids[-1]))
-                known = self.ids
-                continue
-            try:
-                ids.append(b"".join([known[w] for w in c]))
-                out.append(" ".join([s for w in c if (s := texts_of[w])]) if self.joins_tokens else self.decode(ids[-1]))
-            except KeyError:  # the table was renewed by a long text in between
-                self.learn(set(c))
-                ids.append(b"".join([known[w] for w in c]))
-                out.append(self.decode(ids[-1]))
+        for c in cuts:
+            own = [known[w] for w in c]
+            ids.append(b"".join(own))
+            out.append(" ".join([self.spell(w, i) for w, i in zip(c, own, strict=True) if i]) if self.joins_tokens else self.decode(ids[-1]))
         return ids, out
 
     def ids_only(self, texts: list[str]) -> list[bytes]:
         """As encode(), without decoding."""
-        cuts = [self.split(t) if len(t) <= LEAF else None for t in texts]
-        self.learn({w for c in cuts if c for w in c})
-        out = []
-        for text, c in zip(texts, cuts, strict=True):
-            if c is None:
-                out.append(Tree(self).encode(text).bytes())
-                continue
-            try:
-                out.append(b"".join([self.ids[w] for w in c]))
-            except KeyError:
-                self.learn(set(c))
-                out.append(b"".join([self.ids[w] for w in c]))
-        return out
+        cuts = [self.split(t) for t in texts]
+        known = self.learn(set().union(*cuts))
+        return [b"".join(map(known.__getitem__, c)) for c in cuts]
 
     def decode(self, ids: bytes) -> str:
-        return self.tok.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+        numbers = np.frombuffer(ids, "<u4").tolist()
+        return " ".join([self.names[i] for i in numbers]) if self.joins_tokens else self.tok.decode(numbers, skip_special_tokens=False)
 
     def units(self, text: str, at: int = 0) -> list[tuple[int, int, bytes]]:
         """(start, end, ids) of the units of a text that starts at ``at``; one call of the library for each long word."""
@@ -130,11 +160,12 @@ class Words:
             for w in self.split(text):
                 words.append((pos, w))
                 pos += len(w)
-        self.learn({w for _, w in words if len(w) <= LONG_WORD})
+        known = self.learn({w for _, w in words if len(w) <= LONG_WORD})
         out = []
         for start, w in words:
             if len(w) <= LONG_WORD:
-                out.append((at + start, at + start + len(w), self.ids[w]))
+                if w:
+                    out.append((at + start, at + start + len(w), known[w]))
                 continue
             e = self.tok.encode(w, add_special_tokens=False)
             for i, (a, b) in zip(e.ids, e.offsets, strict=True):

@@ -1,13 +1,17 @@
 """Queries of the numbered operators: name -> function(spark, sf_dir), and the SQL for those that SQL can express."""
 
-from . import bitplanes, bpe, decontaminate, quality, simhash, substrings
+from . import bitplanes, bpe, decontaminate, licences, pages, quality, sharding, simhash, substrings, vectors
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
     "op2_bpe_encoding": bpe.query,
     "op3_benchmark_decontamination": decontaminate.query,
+    "op4_html_extraction": pages.query,
+    "op5_license_scans": licences.query,
     "op6_substring_dedup": substrings.query,
+    "op7_kd_sharding": sharding.query,
     "op8_simhash_near_dedup": simhash.query,
+    "op9_kmeans_tree_search": vectors.query,
     "op10_token_planes": bitplanes.query,
 }
 
