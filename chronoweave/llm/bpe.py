@@ -90,7 +90,7 @@ class Words:
             table = ChainMap({}, self.ids)
         rest = []
         for w in new:
-            if len(w) > LEAF:  # long unsplit text
+            if len(w) > max(LEAF, LONG_WORD):  # long unsplit text
                 table[w] = Tree(self).encode(w).bytes()
                 continue
             head, tail = self.plain(w)
