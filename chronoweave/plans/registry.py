@@ -1,4 +1,1319 @@
-"""Queries of the timeline operators over the driver's tables, each with its SQL."""
+"""Queries of the timeline operators over the driver's tables, each with its SQL where SQL can say it.
 
-QUERIES: dict = {}
+Queries named for an operator apply it to its whole table. SQL is written for DuckDB.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import numbers as num
+from ..functions import text as tx
+from ..functions.lexicon import ACTIONS, HIGHLIGHT_WORDS
+from ..operators import joins, select, sequences, signals, tables, windows
+from . import bindings as b
+from . import pipelines
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+GRID = 21_600.0
+M = "media_id"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def r6(df: DataFrame, *cols: str) -> DataFrame:
+    """Columns rounded to six places, so that the order of additions does not show."""
+    for c in cols:
+        df = df.withColumn(c, F.round(c, 6))
+    return df
+
+
+# ---- signals and windows -----------------------------------------------------------------------------------------------
+
+WIN = f"""{b.EV}, gr AS (SELECT media_id, CAST(unnest(range(120)) AS INTEGER) AS win FROM (SELECT DISTINCT media_id FROM ev)),
+chat AS (SELECT gr.media_id, gr.win, CAST(count(ev.event_id) AS DOUBLE) AS chat FROM gr LEFT JOIN ev ON ev.media_id = gr.media_id AND CAST(floor(ev.t_s / 21600) AS INTEGER) = gr.win GROUP BY ALL)"""
+MOT = f"""{WIN}, mot AS (SELECT gr.media_id, gr.win, coalesce(avg(ev.cents), 0.0::DOUBLE) AS motion FROM gr LEFT JOIN ev ON ev.media_id = gr.media_id AND CAST(floor(ev.t_s / 21600) AS INTEGER) = gr.win GROUP BY ALL)"""
+
+
+def _chat(s: SparkSession, d: str) -> DataFrame:
+    e = b.live(s, d)
+    return signals.chat_curve(e, signals.grid(b.users(s, d), GRID), GRID)
+
+
+def _motion(s: SparkSession, d: str) -> DataFrame:
+    return signals.motion_curve(b.live(s, d), signals.grid(b.users(s, d), GRID), GRID, col="cents")
+
+
+@query("d1_chat_curve", f"WITH {WIN} SELECT * FROM chat")
+def d1(s, d):
+    return _chat(s, d)
+
+
+@query("d2_motion_curve", f"WITH {MOT} SELECT media_id, win, round(motion, 6) AS motion FROM mot")
+def d2(s, d):
+    return r6(_motion(s, d), "motion")
+
+
+@query("d3_rms_curve", f"""WITH {b.EV}, x AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY t_ms, event_id) - 1 AS i, cents % 30000 AS x FROM ev)
+SELECT media_id, CAST(i // 5 AS INTEGER) AS win, round(sqrt(sum((x / 32768.0::DOUBLE) * (x / 32768.0::DOUBLE)) / 5), 6) AS audio FROM x GROUP BY ALL HAVING count(*) = 5""")
+def d3(s, d):
+    w = W.partitionBy(M).orderBy("t_ms", "event_id")
+    x = b.live(s, d).withColumn("i", F.row_number().over(w) - 1).withColumn("chunk_no", F.floor(F.col("i") / 8).cast("int"))
+    chunks = x.groupBy(M, "chunk_no").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("cents") % 30000).cast("smallint").alias("x"))))["x"].alias("pcm")).withColumn("sample_rate", F.lit(5))
+    return r6(signals.rms_curve(chunks, 1.0), "audio")
+
+
+KW = " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}" for w in HIGHLIGHT_WORDS)
+
+
+@query("d4_speech_windows", f"""WITH {b.CU}, x AS (SELECT media_id, CAST(unnest(range(CAST(floor(start_s / 2) AS BIGINT), CAST(greatest(ceil(e / 2), floor(start_s / 2) + 1) AS BIGINT))) AS INTEGER) AS win, start_s, e, text
+ FROM (SELECT *, CASE WHEN end_s > start_s THEN end_s ELSE start_s + 0.5::DOUBLE END AS e FROM cu))
+SELECT media_id, win, round(sum(least(least(e, (win + 1) * 2.0::DOUBLE) - greatest(start_s, win * 2.0::DOUBLE), 2.0::DOUBLE)), 6) AS speech, CAST(sum(least(3, {KW})) AS DOUBLE) AS kw FROM x GROUP BY ALL HAVING speech > 0""")
+def d4(s, d):
+    c = b.cues(s, d).withColumn("hits", F.least(F.lit(3), signals.keyword_hits("text")))
+    x = joins.spread_to_windows(c, 2.0).groupBy(M, "win").agg(F.sum("covered").alias("speech"), F.sum("hits").cast("double").alias("kw"))
+    return r6(x, "speech").where("speech > 0")
+
+
+@query("d4_speech_curve")
+def d4b(s, d):
+    return r6(signals.speech_curve(b.cues(s, d), signals.grid(b.media(s, d), 2.0), 2.0), "speech", "kw")
+
+
+@query("d5_char_density", f"""WITH {b.CU}, x AS (SELECT media_id, length(text) / greatest(1.0::DOUBLE, (end_s - start_s) / 0.5::DOUBLE) AS v, CAST(unnest(range(CAST(floor(start_s / 0.5::DOUBLE) AS BIGINT), CAST(greatest(floor(start_s / 0.5::DOUBLE), ceil(end_s / 0.5::DOUBLE) - 1) AS BIGINT) + 1)) AS INTEGER) AS win FROM cu)
+SELECT media_id, win, round(sum(v), 6) AS density FROM x GROUP BY ALL HAVING sum(v) > 0""")
+def d5(s, d):
+    return r6(signals.char_density(b.cues(s, d), b.media(s, d)), "density").where("density > 0")
+
+
+@query("d6_line_durations", f"WITH {b.VI} SELECT media_id, text AS line, round(sum(end_s - start_s), 3) AS dur FROM vi GROUP BY ALL")
+def d6(s, d):
+    v = b.visits(s, d).withColumnRenamed("text", "line")
+    return signals.line_durations(v, [M, "line"]).withColumn("dur", F.round("dur", 3))
+
+
+@query("d7_cut_plan_summary", f"""WITH {b.VI} SELECT media_id, count_if(text <> 'error') AS kept, count_if(text = 'error') AS removed, round(coalesce(sum(end_s - start_s) FILTER (text = 'error'), 0), 3) AS removed_sec,
+round(coalesce(sum(end_s - start_s) FILTER (text <> 'error'), 0) / sum(end_s - start_s) * 100, 6) AS coverage, count(*) AS n FROM vi GROUP BY ALL""")
+def d7(s, d):
+    x = signals.cut_plan_summary(b.visits(s, d).withColumn("keep", F.col("text") != "error"))
+    return r6(x.select(M, "kept", "removed", F.round("removed_sec", 3).alias("removed_sec"), "coverage", F.size("segments").cast("long").alias("n")), "coverage")
+
+
+@query("d8_sync_report", f"""WITH {b.CU}, me AS (SELECT media_id, max(end_s) * 1.3::DOUBLE AS dur FROM cu GROUP BY ALL), c AS (SELECT *, max(end_s) OVER (PARTITION BY media_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM cu),
+a AS (SELECT media_id, dur, count(*) AS n, min(start_s) AS head_gap, max(end_s) AS last, greatest(0, coalesce(max(start_s - prev), 0)) AS largest_gap, sum(end_s - start_s) AS spoken FROM c JOIN me USING (media_id) GROUP BY ALL)
+SELECT media_id, n, round(head_gap, 6) AS head_gap, round(greatest(0, dur - last), 6) AS tail_gap, round(largest_gap, 6) AS largest_gap, last >= 0.9::DOUBLE * dur AS to_end, round(spoken / dur, 6) AS coverage,
+CASE WHEN dur - last > greatest(60, 0.15::DOUBLE * dur) THEN 'bad' WHEN head_gap > greatest(60, 0.15::DOUBLE * dur) THEN 'warn' ELSE 'ok' END AS level FROM a""")
+def d8(s, d):
+    dur = b.media(s, d).withColumn("dur", F.col("dur") * 1.3)
+    x = signals.sync_report(b.cues(s, d), dur)
+    return r6(x.select(M, "n", "head_gap", "tail_gap", "largest_gap", "to_end", "coverage", "level"), "head_gap", "tail_gap", "largest_gap", "coverage")
+
+
+@query("d9_verdict_tally", f"""WITH {b.EV}, v AS (SELECT media_id AS run_id, CASE text WHEN 'purchase' THEN 'match' WHEN 'view' THEN 'related' WHEN 'error' THEN 'wrong' END AS verdict FROM ev)
+SELECT run_id, count_if(verdict = 'match') AS match, count_if(verdict = 'related') AS related, count_if(verdict = 'wrong') AS wrong, count_if(verdict IS NULL) AS other, count(*) AS total, count_if(verdict = 'match') / count(*) AS rate FROM v GROUP BY ALL""")
+def d9(s, d):
+    return tables.verdict_tally(_report(s, d), ["run_id"])
+
+
+def _report(s, d):
+    v = F.when(F.col("text") == "purchase", "match").when(F.col("text") == "view", "related").when(F.col("text") == "error", "wrong")
+    return b.live(s, d).select(F.col(M).alias("run_id"), F.col("event_id").alias("line_no"), v.alias("verdict"))
+
+
+@query("d10_step_summary", f"""WITH {b.LO} SELECT run_id, count(*) AS total, count_if(ok) AS success, count_if(NOT ok) AS failed, count_if(source = 'skip') AS skipped, count(DISTINCT idx) FILTER (NOT ok AND source = 'fresh') AS first_failures,
+count(DISTINCT idx) FILTER (source = 'retry') AS retried, array_to_string(list_sort(list(DISTINCT engine)), ',') AS engines FROM lo GROUP BY ALL""")
+def d10(s, d):
+    return tables.step_summary(b.step_log(s, d)).withColumn("engines", F.array_join("engines", ",")).drop("failures")
+
+
+@query("d11_storage_rollup", f"""WITH {b.IT} SELECT tier, group_key, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS files, CAST(coalesce(sum(size) FILTER (tier = 'safe' AND deletable), 0) AS BIGINT) AS reclaimable, CAST(grouping(tier, group_key) AS BIGINT) AS level FROM it GROUP BY ROLLUP (tier, group_key)""")
+def d11(s, d):
+    return tables.storage_rollup(b.items(s, d)).withColumn("level", F.col("level").cast("long"))
+
+
+@query("d11_lineitem_rollup", """SELECT l_returnflag AS tier, l_linestatus AS group_key, CAST(sum(round_even(l_extendedprice, 0)) AS BIGINT) AS bytes, count(*) AS files FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
+def d11b(s, d):
+    x = b.table(s, d, "lineitem").select(F.col("l_returnflag").alias("tier"), F.col("l_linestatus").alias("group_key"), F.bround("l_extendedprice", 0).cast("long").alias("size"), F.lit(True).alias("deletable"))
+    return tables.storage_rollup(x).drop("reclaimable", "level")
+
+
+@query("d12_timeline_summary", f"""WITH {b.VI} SELECT media_id, count(*) AS n, round(sum(end_s - start_s), 3) AS total, round(max(end_s - start_s), 6) AS longest, round(min(end_s - start_s), 6) AS shortest, count_if(end_s - start_s < 1) AS short, count_if(end_s - start_s < 0.05::DOUBLE) AS invalid, count(*) > 60 AS too_many FROM vi GROUP BY ALL""")
+def d12(s, d):
+    x = tables.timeline_summary(b.visits(s, d).withColumn("volume", F.lit(1.0)))
+    return r6(x.select(M, "n", F.round("total", 3).alias("total"), "longest", "shortest", F.size("short").cast("long").alias("short"), F.size("invalid").cast("long").alias("invalid"), "too_many"), "longest", "shortest")
+
+
+@query("d13_all_tags", "SELECT DISTINCT lower(w) AS tag FROM (SELECT unnest(string_split(p_type, ' ')) AS w FROM part) ORDER BY 1")
+def d13(s, d):
+    return tables.all_tags(b.table(s, d, "part").select(F.split(F.lower("p_type"), " ").alias("tags")))
+
+
+GR = "SELECT DISTINCT {id}, substring(text, CAST(i AS BIGINT), 2) AS gram FROM (SELECT {id}, text, unnest(range(1, length(text))) AS i FROM {t}) WHERE trim(substring(text, CAST(i AS BIGINT), 2)) <> ''"
+
+
+@query("d14_gram_df", f"WITH g AS ({GR.format(id='item_id', t='benchmark')}) SELECT gram, count(*) AS df, (SELECT count(*) FROM benchmark) AS n_docs FROM g GROUP BY ALL")
+def d14(s, d):
+    return joins.gram_df(b.table(s, d, "benchmark"), "item_id")
+
+
+@query("d15_kind_histogram")
+def d15(s, d):
+    return signals.kind_histogram(b.cues(s, d))
+
+
+@query("d16_peaks", f"""WITH {b.EV}, x AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY t_ms, event_id) - 1 AS i, cents FROM ev), c AS (SELECT media_id, i // 2 AS c, max(abs(cents) / 32768.0::DOUBLE) AS p FROM x GROUP BY ALL), n AS (SELECT media_id, count(*) AS n FROM c GROUP BY ALL),
+k AS (SELECT media_id, n, unnest(range(8)) AS k FROM n) SELECT k.media_id, CAST(k AS INTEGER) AS bucket, round_even(max(p), 4) AS peak FROM k JOIN c ON c.media_id = k.media_id AND c.c >= k * n // 8 AND c.c < greatest((k + 1) * n // 8, k * n // 8 + 1) GROUP BY ALL""")
+def d16(s, d):
+    w = W.partitionBy(M).orderBy("t_ms", "event_id")
+    return signals.peaks(b.live(s, d).select(M, (F.row_number().over(w) - 1).alias("i"), F.col("cents").alias("x")), 8, 2)
+
+
+@query("d17_robust_thresholds", f"""WITH {b.EV}, q AS (SELECT media_id, quantile_cont(CAST(cents AS DOUBLE), [0.25, 0.5, 0.75, 0.8, 0.9, 0.95]) AS q FROM ev GROUP BY ALL)
+SELECT media_id, round(q[1], 6) AS p25, round(q[2], 6) AS median, round(q[3], 6) AS p75, round(q[4], 6) AS p80, round(q[5], 6) AS p90, round(q[6], 6) AS p95, round(q[3] - q[1], 6) AS iqr, round(greatest(q[3] + 1.5::DOUBLE * (q[3] - q[1]), 0.004::DOUBLE), 6) AS motion_threshold, round(0.9::DOUBLE * q[1], 6) AS pause_threshold FROM q""")
+def d17(s, d):
+    x = signals.robust_thresholds(b.live(s, d), "cents")
+    return r6(x, *[c for c in x.columns if c != M])
+
+
+@query("d18_task_counts", f"WITH {b.LO} SELECT run_id, count_if(NOT done) AS running, count_if(done AND error IS NULL) AS done, count_if(done AND error IS NOT NULL) AS failed FROM (SELECT *, idx <> 3 AS done FROM lo) GROUP BY ALL")
+def d18(s, d):
+    return tables.task_counts(b.step_log(s, d).withColumn("done", F.col("idx") != 3), ["run_id"])
+
+
+@query("d19_alignment_coverage", f"WITH {b.EV} SELECT media_id, count(*) AS total, count_if(cents > 1000) AS aligned, round(count_if(cents > 1000) / count(*) * 100, 6) AS percent, count_if(cents > 1000) < 0.95::DOUBLE * count(*) AS warn FROM ev GROUP BY ALL")
+def d19(s, d):
+    x = b.live(s, d).select(M, F.col("event_id").alias("line_no"), "cents")
+    return r6(tables.alignment_coverage(x.where("cents > 1000"), x), "percent")
+
+
+@query("d20_ab_compare", f"""WITH {b.VI}, x AS (SELECT 'v' || (media_id % 3) AS variant, media_id, seg_no AS line_no, length(text) / 50.0::DOUBLE AS overlap, seg_no / 1000.0::DOUBLE AS cosine, length(text) * 1.0::DOUBLE AS density, start_s, end_s FROM vi),
+a AS (SELECT variant, avg(overlap) AS mean_overlap, count_if(overlap >= 0.15::DOUBLE) AS hits, avg(cosine) AS mean_cosine, avg(density) AS mean_density, count_if(end_s > 2000000.01::DOUBLE) AS out_of_bounds FROM x GROUP BY ALL)
+SELECT variant, round(mean_overlap, 6) AS mean_overlap, hits, round(mean_cosine, 6) AS mean_cosine, round(mean_density, 6) AS mean_density, CAST(0 AS BIGINT) AS backward, out_of_bounds, round(mean_overlap / (SELECT max(mean_overlap) FROM a WHERE variant IN ('v0', 'v1')) - 1, 6) AS gain FROM a""")
+def d20(s, d):
+    n = F.length("text")
+    x = b.visits(s, d).select(F.concat(F.lit("v"), (F.col(M) % 3).cast("string")).alias("variant"), M, F.col("seg_no").alias("line_no"), (n / 50.0).alias("overlap"), (F.col("seg_no") / 1000.0).alias("cosine"), n.cast("double").alias("density"), "start_s", "end_s", F.lit(2_000_000.0).alias("dur"))
+    return r6(tables.ab_compare(x, ["v0", "v1"]), "mean_overlap", "mean_cosine", "mean_density", "gain")
+
+
+@query("d21_analysis_health", """SELECT o_custkey AS run_id, count(*) AS segments, avg(CASE WHEN o_orderstatus = 'F' THEN 100.0::DOUBLE ELSE 0 END) AS dialogue_percent, avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 100.0::DOUBLE ELSE 0 END) AS main_line_percent, 100.0::DOUBLE AS draft_percent FROM orders GROUP BY ALL""")
+def d21(s, d):
+    o = b.table(s, d, "orders").select(F.col("o_custkey").alias("run_id"), F.when(F.col("o_orderstatus") == "F", "x").alias("dialogue"), F.when(F.col("o_orderpriority") == "1-URGENT", "x").otherwise(" ").alias("main_line"), F.lit("x").alias("draft"))
+    return tables.analysis_health(o)
+
+
+@query("d22_mean_abs_error", f"WITH {b.EV} SELECT media_id, round(avg(abs(t_ms % 1000 - cents)), 6) AS mean_error, max(abs(t_ms % 1000 - cents)) AS max_error, count_if(abs(t_ms % 1000 - cents) > 500) AS far FROM ev GROUP BY ALL")
+def d22(s, d):
+    x = b.live(s, d).select(M, F.col("event_id").alias("line_no"), (F.col("t_ms") % 1000).alias("p"), "cents")
+    return r6(tables.mean_abs_error(x.withColumn("t_s", F.col("p")), x.withColumn("t_s", F.col("cents")), limit=500), "mean_error")
+
+
+@query("d23_act_groups", f"""WITH {b.VI}, x AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY seg_no) - 1 AS i, count(*) OVER (PARTITION BY media_id) AS n FROM vi), a AS (SELECT unnest(range(4)) AS act_no)
+SELECT media_id, CAST(act_no AS INTEGER) AS act_no, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS n FROM x JOIN a ON i >= round_even(act_no * n / 4.0::DOUBLE, 0) AND i < round_even((act_no + 1) * n / 4.0::DOUBLE, 0) GROUP BY ALL""")
+def d23(s, d):
+    x = b.visits(s, d).withColumnRenamed("seg_no", "scene_no").withColumnRenamed("text", "story")
+    return tables.act_groups(x, 4).drop("items")
+
+
+@query("d24_material_digest", """WITH x AS (SELECT l_orderkey AS media_id, l_linenumber AS scene_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i, ceil(count(*) OVER (PARTITION BY l_orderkey) / 3) AS step FROM lineitem) SELECT media_id, CAST(floor(i / step) AS INTEGER) AS part, min(scene_no) AS first_scene FROM x GROUP BY ALL""")
+def d24(s, d):
+    x = b.table(s, d, "lineitem").select(F.col("l_orderkey").alias(M), F.col("l_linenumber").alias("scene_no"), F.col("l_returnflag").alias("story"))
+    return tables.material_digest(x, 3).drop("digest")
+
+
+@query("e1_pct_rank", f"""WITH {WIN}, w AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY chat, win) - 1 AS i, count(*) OVER (PARTITION BY media_id) AS n, max(chat) OVER (PARTITION BY media_id) - min(chat) OVER (PARTITION BY media_id) AS r FROM chat)
+SELECT media_id, win, CASE WHEN r <= 1e-9 THEN 0.5::DOUBLE ELSE i / (n - 1) END AS rank FROM w""")
+def e1(s, d):
+    return windows.pct_rank(_chat(s, d), "chat").drop("chat")
+
+
+@query("e2_pct_rank_ties", f"""WITH {WIN}, w AS (SELECT *, rank() OVER (PARTITION BY media_id ORDER BY chat) - 1 + (count(*) OVER (PARTITION BY media_id, chat) - 1) / 2 AS i, count(*) OVER (PARTITION BY media_id) AS n, max(chat) OVER (PARTITION BY media_id) - min(chat) OVER (PARTITION BY media_id) AS r FROM chat)
+SELECT media_id, win, round(CASE WHEN r <= 1e-9 THEN 0.5::DOUBLE ELSE i / (n - 1) END, 9) AS rank FROM w""")
+def e2(s, d):
+    return windows.pct_rank(_chat(s, d), "chat", ties=True).withColumn("rank", F.round("rank", 9)).drop("chat")
+
+
+@query("e3_smooth", f"WITH {WIN} SELECT media_id, win, round(sum(chat) OVER (PARTITION BY media_id ORDER BY win ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4, 6) AS smooth FROM chat")
+def e3(s, d):
+    return r6(windows.smooth(_chat(s, d), "chat", 4), "smooth").drop("chat")
+
+
+RANKS = f"""{MOT}, rk AS (SELECT c.media_id, c.win, chat, motion, (rank() OVER (PARTITION BY c.media_id ORDER BY chat) - 1 + (count(*) OVER (PARTITION BY c.media_id, chat) - 1) / 2) / 119 AS c, (rank() OVER (PARTITION BY c.media_id ORDER BY motion) - 1 + (count(*) OVER (PARTITION BY c.media_id, motion) - 1) / 2) / 119 AS m,
+max(chat) OVER p - min(chat) OVER p AS rc, max(motion) OVER p - min(motion) OVER p AS rm FROM chat c JOIN mot USING (media_id, win) WINDOW p AS (PARTITION BY c.media_id)),
+fu AS (SELECT media_id, win, CASE WHEN rc <= 1e-9 THEN 0.5::DOUBLE ELSE c END AS chat_rank, CASE WHEN rm <= 1e-9 THEN 0.5::DOUBLE ELSE m END AS motion_rank, (0.4::DOUBLE * CASE WHEN rc <= 1e-9 THEN 0.5::DOUBLE ELSE c END + 0.3::DOUBLE * CASE WHEN rm <= 1e-9 THEN 0.5::DOUBLE ELSE m END) / 0.7::DOUBLE AS fused FROM rk)"""
+
+
+def _fused(s, d):
+    x = windows.pct_rank(_chat(s, d), "chat", out="chat_rank", ties=True).join(windows.pct_rank(_motion(s, d), "motion", out="motion_rank", ties=True), [M, "win"])
+    return windows.fuse(x.withColumn("audio_rank", F.lit(None).cast("double")), {"chat_rank": 0.4, "motion_rank": 0.3, "audio_rank": 0.5})
+
+
+@query("e4_fuse", f"WITH {RANKS} SELECT media_id, win, round(fused, 6) AS fused FROM fu")
+def e4(s, d):
+    return r6(_fused(s, d), "fused").select(M, "win", "fused")
+
+
+HOT = f"""{RANKS}, sm AS (SELECT media_id, win, chat_rank, motion_rank, round(sum(fused) OVER (PARTITION BY media_id ORDER BY win ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3, 9) AS heat FROM fu),
+pk AS (SELECT *, max(heat) OVER (PARTITION BY media_id ORDER BY win ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS top FROM sm)"""
+
+
+def _hot(s, d):
+    x = windows.smooth(_fused(s, d), "fused", 3, out="heat").withColumn("heat", F.round("heat", 9))
+    return windows.local_peaks(x, "heat", 2, 0.6)
+
+
+@query("e5_local_peaks", f"WITH {HOT} SELECT media_id, win, heat FROM pk WHERE heat >= 0.6::DOUBLE AND heat >= top - 1e-9")
+def e5(s, d):
+    return _hot(s, d).select(M, "win", "heat")
+
+
+@query("flagship_hot_windows", f"""WITH {HOT} SELECT media_id, win, round(heat, 6) AS heat, coalesce(nullif(concat_ws('; ', CASE WHEN chat_rank >= 0.7::DOUBLE THEN 'chat peak (top ' || greatest(1, CAST(floor((1 - chat_rank) * 100 + 1e-9) AS INTEGER)) || '%)' END, CASE WHEN motion_rank >= 0.7::DOUBLE THEN 'motion peak (top ' || greatest(1, CAST(floor((1 - motion_rank) * 100 + 1e-9) AS INTEGER)) || '%)' END), ''), 'overall peak') AS reasons
+FROM pk WHERE heat >= 0.6::DOUBLE AND heat >= top - 1e-9""")
+def flagship(s, d):
+    x = _hot(s, d).withColumn("reasons", F.array_join(num.reasons({"chat": "chat_rank", "motion": "motion_rank"}), "; "))
+    return r6(x, "heat").select(M, "win", "heat", "reasons")
+
+
+@query("e6_onset_peaks")
+def e6(s, d):
+    return windows.onset_peaks(b.live(s, d).withColumn("strength", F.col("cents") / 50000.0), 0.05, 3600.0)
+
+
+@query("e7_motion_cuts")
+def e7(s, d):
+    return windows.motion_cuts(b.frames(s, d))
+
+
+@query("e8_visual_cuts")
+def e8(s, d):
+    return windows.visual_cuts(b.frames(s, d))
+
+
+@query("e9_frame_diffs", """WITH f AS (SELECT label AS media_id, vec_id AS frame_no, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL)
+SELECT CAST(media_id AS BIGINT) AS media_id, frame_no, round(CASE WHEN p IS NULL THEN 0 ELSE list_sum(list_transform(list_zip(e, p), lambda x: abs(CAST(x[1] AS FLOAT) - CAST(x[2] AS FLOAT)))) END, 4) AS hist FROM f""")
+def e9(s, d):
+    x = windows.frame_diffs(b.vectors(s, d), "vec")
+    return x.select(M, "frame_no", F.round("hist", 4).alias("hist"))
+
+
+@query("e10_onset_envelope", f"""WITH {b.FR}, x AS (SELECT media_id, frame_no, greatest(coalesce(ln(bright + 1e-6) - lag(ln(bright + 1e-6)) OVER w, 0), 0) + 0.5::DOUBLE * greatest(coalesce(ln(hist + 1e-6) - lag(ln(hist + 1e-6)) OVER w, 0), 0) AS s FROM fr WINDOW w AS (PARTITION BY media_id ORDER BY frame_no))
+SELECT media_id, frame_no, round(CASE WHEN max(s) OVER (PARTITION BY media_id) > 0 THEN s / max(s) OVER (PARTITION BY media_id) ELSE 0 END, 6) AS strength FROM x""")
+def e10(s, d):
+    x = windows.onset_envelope(b.frames(s, d), "bright", "hist")
+    return r6(x, "strength").select(M, "frame_no", "strength")
+
+
+@query("e11_prefix_range_sum", f"WITH {WIN}, r AS (SELECT DISTINCT media_id, 10 AS lo, 20 AS hi FROM gr) SELECT r.media_id, lo, hi, sum(chat) AS range_total FROM r JOIN chat c ON c.media_id = r.media_id AND c.win >= lo AND c.win < hi GROUP BY ALL")
+def e11(s, d):
+    x = _chat(s, d)
+    r = x.select(M).distinct().withColumn("lo", F.lit(10)).withColumn("hi", F.lit(20))
+    return windows.range_sum(windows.prefix_sums(x, "chat"), r).select(M, "lo", "hi", "range_total")
+
+
+@query("e12_forward_window", f"WITH {b.EV} SELECT media_id, event_id, cents + 0.5::DOUBLE * coalesce(max(cents) OVER (PARTITION BY media_id ORDER BY t_ms RANGE BETWEEN 4000000 FOLLOWING AND 30000000 FOLLOWING), 0) AS forward FROM ev")
+def e12(s, d):
+    x = windows.forward_window_agg(b.live(s, d), "cents", "t_ms", (4_000_000, 30_000_000))
+    return x.select(M, "event_id", "forward")
+
+
+@query("e13_collapse_repeats", f"""WITH {b.EV}, x AS (SELECT *, lag(text) OVER (PARTITION BY media_id ORDER BY t_ms, event_id) AS p FROM ev), y AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> text THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY t_ms, event_id) AS g FROM x)
+SELECT media_id, min(event_id) AS event_id, min(t_s) AS start_s, max(t_s) AS end_s, any_value(text) AS text, count(*) AS n FROM y GROUP BY media_id, g""")
+def e13(s, d):
+    w = W.partitionBy(M).orderBy("t_ms", "event_id")
+    x = b.live(s, d).withColumn("cue_no", F.row_number().over(w)).withColumn("start_s", F.col("t_s")).withColumn("end_s", F.col("t_s"))
+    ids = x.select(M, "cue_no", "event_id")
+    return windows.collapse_repeats(x).join(ids, [M, "cue_no"]).select(M, "event_id", "start_s", "end_s", "text", "n")
+
+
+@query("e14_merge_intervals", f"""WITH {b.EV}, v AS (SELECT media_id, t_s AS start_s, t_s + cents AS end_s FROM ev WHERE cents > 0), x AS (SELECT *, max(end_s) OVER (PARTITION BY media_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM v),
+y AS (SELECT *, sum(CASE WHEN m IS NULL OR start_s > m + 0.05::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY start_s, end_s ROWS UNBOUNDED PRECEDING) AS g FROM x) SELECT media_id, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS n FROM y GROUP BY media_id, g""")
+def e14(s, d):
+    x = b.live(s, d).where("cents > 0").select(M, F.col("t_s").alias("start_s"), (F.col("t_s") + F.col("cents")).alias("end_s"))
+    return windows.merge_intervals(x)
+
+
+@query("e15_order_checks", f"WITH {b.CU}, x AS (SELECT *, lag(end_s) OVER (PARTITION BY media_id ORDER BY cue_no) AS p FROM cu) SELECT media_id, count_if(start_s < p - 0.01::DOUBLE) AS backward, count_if(start_s < 0 OR end_s > 60.01::DOUBLE) AS out_of_bounds FROM x GROUP BY ALL")
+def e15(s, d):
+    return windows.order_checks(b.cues(s, d).withColumn("dur", F.lit(60.0)), order="cue_no")
+
+
+@query("e16_merge_adjacent_equal", f"""WITH {b.VI}, x AS (SELECT *, lag(text) OVER w AS p, lag(end_s) OVER w AS e FROM vi WINDOW w AS (PARTITION BY media_id ORDER BY start_s, seg_no)), y AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> text OR abs(start_s - e) >= 0.02::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY start_s, seg_no) AS g FROM x)
+SELECT media_id, min(start_s) AS start_s, max(end_s) AS end_s, any_value(text) AS tier FROM y GROUP BY media_id, g""")
+def e16(s, d):
+    return windows.merge_adjacent_equal(b.visits(s, d).withColumnRenamed("text", "tier"))
+
+
+@query("e17_beats_per_second", f"WITH {b.EV}, g AS (SELECT media_id, t_s - lag(t_s) OVER (PARTITION BY media_id ORDER BY t_s) AS gap FROM ev WHERE text = 'purchase') SELECT media_id AS track_id, round(1 / median(gap), 9) AS beats_per_second FROM g WHERE gap > 0.2::DOUBLE GROUP BY ALL")
+def e17(s, d):
+    x = b.live(s, d).where("text = 'purchase'").withColumnRenamed(M, "track_id")
+    return windows.beats_per_second(x).withColumn("beats_per_second", F.round("beats_per_second", 9))
+
+
+@query("e18_detect_opening")
+def e18(s, d):
+    c = b.cues(s, d)
+    return windows.detect_opening(c, c.where(F.lit(False)), ["the", "en", "de", "und"])
+
+
+@query("e19_tail_budget", f"WITH {b.CU} SELECT media_id, cue_no, round(coalesce(sum(end_s - start_s + 0.35::DOUBLE) OVER (PARTITION BY media_id ORDER BY cue_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0), 6) AS need_after FROM cu WHERE end_s > start_s")
+def e19(s, d):
+    x = b.cues(s, d).where("end_s > start_s").withColumn("voice_s", F.col("end_s") - F.col("start_s"))
+    return r6(windows.tail_budget(x, order="cue_no"), "need_after").select(M, "cue_no", "need_after")
+
+
+@query("e20_relative_position", f"WITH {b.CU} SELECT media_id, cue_no, (coalesce(sum(length(text)) OVER (PARTITION BY media_id ORDER BY cue_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(text) / 2) / greatest(sum(length(text)) OVER (PARTITION BY media_id), 1) AS position FROM cu")
+def e20(s, d):
+    return windows.relative_position(b.cues(s, d), order="cue_no").select(M, "cue_no", "position")
+
+
+@query("e21_repeat_leader")
+def e21(s, d):
+    return sequences.repeat_leader(b.vectors(s, d), 0.2)
+
+
+@query("e22_build_scenes")
+def e22(s, d):
+    return sequences.build_scenes(b.live(s, d).where("text in ('click', 'view')"), b.users(s, d), 3600.0)
+
+
+@query("e23_cumulative_starts", f"WITH {b.VI} SELECT media_id, seg_no, round(coalesce(sum(end_s - start_s) OVER (PARTITION BY media_id ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS at FROM vi")
+def e23(s, d):
+    x = b.visits(s, d).select(M, "seg_no", (F.col("end_s") - F.col("start_s")).alias("dur"))
+    return windows.cumulative_starts(x, order="seg_no", out="at").select(M, "seg_no", F.round("at", 3).alias("at"))
+
+
+# ---- joins -------------------------------------------------------------------------------------------------------------
+
+
+@query("c1_overlap_join", f"WITH {b.SE} SELECT se.media_id, seg_no, cue_no FROM se JOIN cu ON cu.media_id = se.media_id AND cu.end_s > se.start_s AND cu.start_s < se.end_s")
+def c1(s, d):
+    return joins.overlap_join(b.cues(s, d), b.segs(s, d)).select(M, "seg_no", F.col("cue_cue_no").alias("cue_no"))
+
+
+@query("c1_overlap_text", f"WITH {b.SE} SELECT se.media_id, seg_no, left(string_agg(text, ' / ' ORDER BY cu.start_s, cue_no), 160) AS text FROM se JOIN cu ON cu.media_id = se.media_id AND cu.end_s + 1 >= se.start_s AND cu.start_s - 1 <= se.end_s GROUP BY ALL")
+def c1b(s, d):
+    x = joins.overlap_join(b.cues(s, d), b.segs(s, d), tol=1.0, closed=True, chars=160, separator=" / ")
+    return x.select(M, "seg_no", "text")
+
+
+@query("c2_midpoint_join", f"WITH {b.SE} SELECT se.media_id, seg_no, cue_no FROM se JOIN cu ON cu.media_id = se.media_id AND (cu.start_s + cu.end_s) / 2 >= se.start_s AND (cu.start_s + cu.end_s) / 2 < se.end_s")
+def c2(s, d):
+    return joins.midpoint_join(b.cues(s, d), b.segs(s, d)).select(M, F.col("seg_seg_no").alias("seg_no"), "cue_no")
+
+
+@query("c3_contained_join", f"WITH {b.SE} SELECT se.media_id, seg_no, cue_no FROM se JOIN cu ON cu.media_id = se.media_id AND cu.start_s >= se.start_s - 2 AND cu.end_s <= se.end_s + 2")
+def c3(s, d):
+    return joins.contained_join(b.cues(s, d), b.segs(s, d), 2.0).select(M, "seg_no", F.col("cue_cue_no").alias("cue_no"))
+
+
+@query("c4_spread_to_windows", f"""WITH {b.CU}, x AS (SELECT media_id, cue_no, CAST(unnest(range(CAST(floor(start_s / 4) AS BIGINT), CAST(ceil(end_s / 4) AS BIGINT))) AS INTEGER) AS win, start_s, end_s FROM cu WHERE end_s > start_s)
+SELECT media_id, cue_no, win, round(least(end_s, (win + 1) * 4.0::DOUBLE) - greatest(start_s, win * 4.0::DOUBLE), 6) AS covered FROM x""")
+def c4(s, d):
+    return r6(joins.spread_to_windows(b.cues(s, d).where("end_s > start_s"), 4.0), "covered").select(M, "cue_no", "win", "covered")
+
+
+@query("c5_snap_nearest", f"""WITH {b.EV}, p AS (SELECT media_id, event_id, t_s FROM ev WHERE text = 'click'), q AS (SELECT DISTINCT media_id, t_s AS q FROM ev WHERE text = 'purchase'),
+l AS (SELECT p.*, q.q AS lo FROM p ASOF LEFT JOIN q ON p.media_id = q.media_id AND p.t_s >= q.q), h AS (SELECT l.*, q.q AS hi FROM l ASOF LEFT JOIN q ON l.media_id = q.media_id AND l.t_s < q.q)
+SELECT media_id, event_id, CASE WHEN lo IS NOT NULL AND (hi IS NULL OR t_s - lo <= hi - t_s) THEN CASE WHEN t_s - lo <= 20000 THEN lo ELSE t_s END WHEN hi IS NOT NULL AND hi - t_s <= 20000 THEN hi ELSE t_s END AS snapped FROM h""")
+def c5(s, d):
+    e = b.live(s, d)
+    return joins.snap_nearest(e.where("text = 'click'"), e.where("text = 'purchase'"), 20000.0).select(M, "event_id", "snapped")
+
+
+@query("c6_near_semi", f"""WITH {b.EV} SELECT media_id, event_id FROM ev p WHERE text = 'click' AND (EXISTS (SELECT 1 FROM ev q WHERE q.media_id = p.media_id AND q.text = 'purchase' AND abs(p.t_s - q.t_s) <= 30000) OR NOT EXISTS (SELECT 1 FROM ev q WHERE q.media_id = p.media_id AND q.text = 'purchase'))""")
+def c6(s, d):
+    e = b.live(s, d)
+    cues = e.where("text = 'purchase'").select(M, F.col("t_s").alias("start_s"), F.col("t_s").alias("end_s"), "text")
+    return joins.near_semi(e.where("text = 'click'"), cues, 30000.0).select(M, "event_id")
+
+
+@query("c7_carry_best_overlap", f"""WITH {b.SE}, o AS (SELECT se.*, cu.start_s AS ds, cu.end_s AS de, least(se.end_s, cu.end_s) - greatest(se.start_s, cu.start_s) AS over FROM se LEFT JOIN cu ON cu.media_id = se.media_id AND cu.end_s > se.start_s AND cu.start_s < se.end_s),
+x AS (SELECT *, row_number() OVER (PARTITION BY media_id, seg_no ORDER BY over DESC NULLS LAST, ds) AS r FROM o)
+SELECT media_id, seg_no, CASE WHEN coalesce(over / 15, 0) < 0.5::DOUBLE THEN 'manual' WHEN abs(start_s - ds) <= 1 AND abs(end_s - de) <= 1 THEN 'draft' ELSE 'draft,edited' END AS reasons, CASE WHEN coalesce(over / 15, 0) < 0.5::DOUBLE THEN 0.0::DOUBLE WHEN abs(start_s - ds) <= 1 AND abs(end_s - de) <= 1 THEN 1 ELSE 0.9::DOUBLE END AS score FROM x WHERE r = 1""")
+def c7(s, d):
+    drafts = b.cues(s, d).select(M, "start_s", "end_s", F.lit(1.0).alias("score"), F.array(F.lit("draft")).alias("reasons"))
+    return joins.carry_best_overlap(b.segs(s, d), drafts).select(M, "seg_no", F.array_join("reasons", ",").alias("reasons"), "score")
+
+
+@query("c8_self_overlaps", f"WITH {b.CU} SELECT x.media_id, x.cue_no AS a, y.cue_no AS b, round_even(least(x.end_s, y.end_s) - greatest(x.start_s, y.start_s), 1) AS overlap FROM cu x JOIN cu y ON x.media_id = y.media_id AND x.cue_no < y.cue_no AND least(x.end_s, y.end_s) - greatest(x.start_s, y.start_s) > 0.5::DOUBLE")
+def c8(s, d):
+    return joins.self_overlaps(b.cues(s, d), pos="cue_no").select(M, "a", "b", "overlap")
+
+
+SIM = f"a AS ({GR.format(id='item_id', t='benchmark')}), d AS ({GR.format(id='media_id, cue_no', t='cu')}), s AS (SELECT item_id, media_id, cue_no, count(*) AS shared FROM a JOIN d USING (gram) GROUP BY ALL), na AS (SELECT item_id, count(*) AS na FROM a GROUP BY ALL), nd AS (SELECT media_id, cue_no, count(*) AS nd FROM d GROUP BY ALL)"
+
+
+def _cue_docs(s, d):
+    return b.cues(s, d).select(F.struct(M, "cue_no").alias("d_id"), "text")
+
+
+for _name, _sql in (("jaccard", "shared / (na + nd - shared)"), ("containment", "shared / least(na, nd)"), ("coverage", "shared / na")):
+
+    def _c9(s, d, metric=_name):
+        q = b.table(s, d, "benchmark").select(F.col("item_id").alias("q_id"), "text")
+        x = joins.bigram_join(q, _cue_docs(s, d), metric, 0.2)
+        return x.select(F.col("q_id").alias("item_id"), "d_id.media_id", "d_id.cue_no", "shared", F.round("score", 9).alias("score"))
+
+    query(f"c9_bigram_{_name}", f"WITH {b.CU}, {SIM} SELECT item_id, media_id, cue_no, shared, round({_sql}, 9) AS score FROM s JOIN na USING (item_id) JOIN nd USING (media_id, cue_no) WHERE {_sql} >= 0.2::DOUBLE")(_c9)
+
+
+@query("c10_idf_score_join")
+def c10(s, d):
+    c = b.cues(s, d)
+    x = joins.idf_score_join(c.withColumnRenamed("cue_no", "line_no"), c.withColumnRenamed("cue_no", "scene_no"))
+    return r6(x, "score")
+
+
+@query("c11_anchor_score_join")
+def c11(s, d):
+    c = b.cues(s, d)
+    return r6(joins.anchor_score_join(c.withColumnRenamed("cue_no", "line_no"), c), "score")
+
+
+@query("c12_literal_match")
+def c12(s, d):
+    c = b.cues(s, d)
+    q = c.select(M, F.col("cue_no").cast("long").alias("quote_no"), F.substring("text", 1, 60).alias("text"), F.col("start_s").alias("near_s"))
+    return r6(joins.literal_match(q, c), "ratio")
+
+
+@query("c13_cosine_join", """WITH v AS (SELECT CAST(label AS BIGINT) AS media_id, vec_id AS n, (vec_id % 50) * 10.0::DOUBLE AS s, embedding AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL)
+SELECT a.media_id, a.n AS line_no, round(greatest(0, max(list_inner_product(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])))), 6) AS cosine FROM v a JOIN v b ON a.media_id = b.media_id AND b.s < a.s + 15 AND b.s + 10 > a.s GROUP BY ALL""")
+def c13(s, d):
+    v = b.vectors(s, d).withColumn("start_s", (F.col("frame_no") % 50) * 10.0)
+    lines = v.select(M, F.col("frame_no").alias("line_no"), "start_s", (F.col("start_s") + 15).alias("end_s"), "vec")
+    return r6(joins.cosine_join(lines, v.withColumn("end_s", F.col("start_s") + 10)), "cosine")
+
+
+STORY = f"""{b.CU}, a AS ({GR.format(id='media_id, cue_no', t='cu')}), p AS (SELECT x.media_id, x.cue_no AS line_no, y.cue_no AS scene_no, count(*) AS shared FROM a x JOIN a y ON x.media_id = y.media_id AND x.gram = y.gram WHERE x.cue_no % 2 = 1 AND y.cue_no % 2 = 0 GROUP BY ALL), n AS (SELECT media_id, cue_no AS line_no, count(*) AS n FROM a GROUP BY ALL)"""
+
+
+@query("c14_fill_from_story", f"WITH {STORY} SELECT media_id, line_no, arg_max(scene_no, shared * 1000 - scene_no) AS scene_no FROM p JOIN n USING (media_id, line_no) WHERE shared >= 2 AND shared >= 0.25::DOUBLE * n GROUP BY ALL")
+def c14(s, d):
+    c = b.cues(s, d).withColumnRenamed("cue_no", "line_no")
+    done = c.where("line_no % 2 = 0").select(M, "line_no", F.lit(0).alias("scene_no"))
+    stories = c.where("line_no % 2 = 0").select(M, F.col("line_no").alias("scene_no"), F.col("text").alias("story"))
+    return joins.fill_from_story(done, c, stories)
+
+
+@query("c15_shot_match")
+def c15(s, d):
+    c = b.cues(s, d)
+    cards = c.select(M, F.col("cue_no").alias("shot_no"), "text")
+    return joins.shot_match(c.withColumnRenamed("cue_no", "line_no"), b.segs(s, d).withColumnRenamed("seg_no", "shot_no"), cards, c)
+
+
+@query("c16_pair_reports", f"""WITH {b.CU}, o AS (SELECT media_id * 100 + cue_no AS line_no, lower(regexp_replace(text, '[^一-鿿A-Za-z0-9]', '', 'g')) AS k, CASE cue_no % 3 WHEN 0 THEN 'match' WHEN 1 THEN 'related' ELSE 'wrong' END AS v FROM cu WHERE cue_no <> 1),
+n AS (SELECT media_id * 100 + cue_no AS line_no, lower(regexp_replace(text, '[^一-鿿A-Za-z0-9]', '', 'g')) AS k, CASE cue_no % 2 WHEN 0 THEN 'related' ELSE 'match' END AS v FROM cu WHERE cue_no <> 2),
+oo AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY line_no) AS r FROM o), nn AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY line_no) AS r FROM n)
+SELECT oo.line_no AS old_line, nn.line_no AS new_line, CASE WHEN oo.line_no IS NULL THEN 'only_new' WHEN nn.line_no IS NULL THEN 'only_old' WHEN list_position(['wrong','related','match'], nn.v) > list_position(['wrong','related','match'], oo.v) THEN 'better' WHEN list_position(['wrong','related','match'], nn.v) < list_position(['wrong','related','match'], oo.v) THEN 'worse' ELSE 'same' END AS change FROM oo FULL JOIN nn ON oo.k = nn.k AND oo.r = nn.r""")
+def c16(s, d):
+    old, new = _two_reports(s, d)
+    return joins.pair_reports(old, new).select("old_line", "new_line", "change")
+
+
+def _two_reports(s, d):
+    c = b.cues(s, d).withColumn("line_no", F.col(M) * 100 + F.col("cue_no")).withColumn("narr", F.col("text"))
+    third = F.when(F.col("cue_no") % 3 == 0, "match").when(F.col("cue_no") % 3 == 1, "related").otherwise("wrong")
+    half = F.when(F.col("cue_no") % 2 == 0, "related").otherwise("match")
+    return c.where("cue_no <> 1").withColumn("verdict", third), c.where("cue_no <> 2").withColumn("verdict", half)
+
+
+@query("c17_orphans", "SELECT c_custkey AS run_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def c17(s, d):
+    return joins.orphans(b.table(s, d, "customer").select(F.col("c_custkey").alias("run_id")), b.table(s, d, "orders").select(F.col("o_custkey").alias("run_id")))
+
+
+@query("c17_referenced", "SELECT c_custkey AS run_id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def c17b(s, d):
+    return joins.referenced(b.table(s, d, "customer").select(F.col("c_custkey").alias("run_id")), b.table(s, d, "orders").select(F.col("o_custkey").alias("run_id")))
+
+
+@query("c18_backfill_leader", "SELECT l.l_orderkey AS media_id, l.l_linenumber AS frame_no, CASE WHEN l.l_linenumber <= 2 THEN l.l_returnflag ELSE coalesce(m.l_returnflag, '') END AS field FROM lineitem l LEFT JOIN lineitem m ON m.l_orderkey = l.l_orderkey AND m.l_linenumber = l.l_linenumber - 2")
+def c18(s, d):
+    li = b.table(s, d, "lineitem").select(F.col("l_orderkey").alias(M), F.col("l_linenumber").alias("frame_no"), F.col("l_returnflag").alias("field"))
+    return joins.backfill_leader(li.withColumn("leader_no", F.when(F.col("frame_no") > 2, F.col("frame_no") - 2)), ["field"]).select(M, "frame_no", "field")
+
+
+@query("c19_attach_line", f"WITH {b.SE} SELECT se.media_id, seg_no, CASE WHEN cu.cue_no IS NULL THEN 'advance' WHEN cue_no % 2 = 0 THEN 'key' ELSE 'mood' END AS importance, coalesce(text, '') AS caption FROM se LEFT JOIN cu ON cu.media_id = se.media_id AND cu.cue_no = se.seg_no")
+def c19(s, d):
+    lines = b.cues(s, d).select(M, F.col("cue_no").alias("line_no"), F.when(F.col("cue_no") % 2 == 0, "key").otherwise("mood").alias("importance"), "text")
+    return joins.attach_line(b.segs(s, d).withColumn("line_no", F.col("seg_no")), lines).select(M, "seg_no", "importance", "caption")
+
+
+@query("c20_quality_join")
+def c20(s, d):
+    c = b.cues(s, d)
+    return joins.quality_join(c.select(M, F.col("cue_no").alias("seg_no"), "start_s", (F.col("start_s") + 12).alias("end_s"), F.col("text").alias("caption")), c)
+
+
+@query("c21_recommend_segments")
+def c21(s, d):
+    c = b.cues(s, d).join(b.media(s, d), M)
+    lines = c.select(M, F.col("cue_no").alias("line_no"), "text", F.col("start_s").alias("expected_s"), "dur")
+    scenes = c.select(M, F.col("cue_no").alias("scene_no"), "start_s", "end_s", F.lit("").alias("characters"), F.col("text").alias("event"), F.lit("").alias("summary"))
+    return r6(joins.recommend_segments(lines, c, scenes), "score")
+
+
+@query("c22_align_detail", f"WITH {b.CU} SELECT media_id AS run_id, cue_no AS line_no, left(text, 80) AS narr, '' AS why, CASE WHEN cue_no > 0 THEN start_s END AS start_s, CASE WHEN cue_no % 2 = 0 THEN cue_no END AS scene_no FROM cu")
+def c22(s, d):
+    c = b.cues(s, d).select(F.col(M).alias("run_id"), F.col("cue_no").alias("line_no"), F.col("text").alias("narr"), "start_s")
+    return joins.align_detail(c.select("run_id", "line_no", "narr", F.lit(None).cast("string").alias("why")), c.where("line_no > 0").select("run_id", "line_no", "start_s"), c.where("line_no % 2 = 0").select("run_id", "line_no", F.col("line_no").alias("scene_no")))
+
+
+# ---- filters and selection -----------------------------------------------------------------------------------------------
+
+
+@query("b1_clean_cues", f"WITH {b.CU} SELECT media_id, cue_no FROM cu WHERE end_s > start_s AND trim(text) <> '' AND end_s <= 40.5::DOUBLE")
+def b1(s, d):
+    c = b.cues(s, d)
+    return select.clean_cues(c, c.select(M).distinct().withColumn("dur", F.lit(40.0))).select(M, "cue_no")
+
+
+@query("b2_validate_segments", f"""WITH {b.CU}, x AS (SELECT media_id, least(greatest(start_s - 2, 0), 90) AS a, least(greatest(end_s, 0), 90) AS e FROM cu), y AS (SELECT media_id, round_even(a, 2) AS start_s, round_even(least(e, a + 30), 2) AS end_s FROM x WHERE e - a >= 3), z AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_s, end_s) AS r FROM y) SELECT media_id, start_s, end_s FROM z WHERE r <= 3""")
+def b2(s, d):
+    x = b.cues(s, d).select(M, (F.col("start_s") - 2).alias("start_s"), "end_s", F.lit(90.0).alias("dur"))
+    return select.validate_segments(x, 3.0, 30.0, 3).drop("dur")
+
+
+@query("b3_validate_timeline", f"""WITH {b.CU}, x AS (SELECT media_id, cue_no, least(greatest(start_s - 2, 0), 90) AS a, least(greatest(end_s, 0), 90) AS e FROM cu), y AS (SELECT media_id, cue_no AS pos, round_even(a, 2) AS start_s, round_even(least(e, a + 30), 2) AS end_s, least(greatest(coalesce(try_cast(CASE cue_no % 3 WHEN 0 THEN 'x' WHEN 1 THEN '5' ELSE '0.5' END AS DOUBLE), 1), 0), 2) AS volume FROM x WHERE e - a >= 2),
+z AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY pos) AS r FROM y) SELECT media_id, pos, start_s, end_s, volume FROM z WHERE r <= 3""")
+def b3(s, d):
+    v = F.when(F.col("cue_no") % 3 == 0, "x").when(F.col("cue_no") % 3 == 1, "5").otherwise("0.5")
+    x = b.cues(s, d).select(M, F.col("cue_no").alias("pos"), (F.col("start_s") - 2).alias("start_s"), "end_s", F.lit(90.0).alias("dur"), v.alias("volume"))
+    return select.validate_timeline(x, 2.0, 30.0, 3).drop("dur")
+
+
+@query("b4_search_runs", "SELECT o_orderkey FROM orders WHERE contains(lower(concat_ws(' ', CAST(o_orderdate AS VARCHAR), 'f' || o_orderkey, o_orderpriority || ' ' || o_orderstatus, 'Kind')), 'urgent f')")
+def b4(s, d):
+    o = b.table(s, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("time"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("file"), F.array("o_orderpriority", "o_orderstatus").alias("captions"), F.lit("Kind").alias("kind"))
+    return select.search_runs(o, "Urgent F").select("o_orderkey")
+
+
+@query("b5_search_catalog", "SELECT p_partkey AS id FROM part WHERE contains(lower(p_name || ' ' || p_type || ' ' || p_partkey), 'steel')")
+def b5(s, d):
+    p = b.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("genre"))
+    return select.search_catalog(p, "STEEL").select("id")
+
+
+@query("b6_informative_lines")
+def b6(s, d):
+    return select.informative_lines(b.lines(s, d)).groupBy(M).agg(F.count("*").alias("n"))
+
+
+@query("b7_clean_onscreen", f"WITH {b.LI} SELECT media_id, count(*) AS n FROM li WHERE NOT contains(trim(text), 'license') AND NOT contains(trim(text), 'License') AND length(trim(text)) >= 2 AND NOT regexp_full_match(regexp_replace(trim(text), '[^\\pL\\pN]', '', 'g'), '\\p{{Nd}}*') AND trim(text) NOT IN ('N/A', 'none') GROUP BY ALL")
+def b7(s, d):
+    return select.clean_onscreen(b.lines(s, d), ["license", "License"]).groupBy(M).agg(F.count("*").alias("n"))
+
+
+@query("b8_reject_placeholders", f"WITH {b.LI} SELECT media_id, count_if(regexp_full_match(trim(text), '[<【\\[][^<【\\[\\]>】\\]]{{0,16}}[>】\\]]') OR length(regexp_replace(trim(text), '[^\\pL\\pN]+', '', 'g')) < 2) AS n FROM li GROUP BY ALL")
+def b8(s, d):
+    return select.reject_placeholders(b.lines(s, d)).groupBy(M).agg(F.count_if("placeholder").alias("n"))
+
+
+@query("b9_allowlist", f"WITH {b.IT} SELECT name FROM (SELECT CASE size % 3 WHEN 0 THEN rel WHEN 1 THEN 'outputs/../' || name ELSE '/' || rel END AS rel, name FROM it) WHERE regexp_matches(rel, '^outputs/[^/]+\\.(?:mp4|srt|json|wav)$')")
+def b9(s, d):
+    rel = F.when(F.col("size") % 3 == 0, F.col("rel")).when(F.col("size") % 3 == 1, F.concat(F.lit("outputs/../"), F.col("name"))).otherwise(F.concat(F.lit("/"), F.col("rel")))
+    return select.allowlist(b.items(s, d).withColumn("rel", rel)).select("name")
+
+
+@query("b10_line_filter_min", f"WITH {b.LI} SELECT media_id, line_no FROM li WHERE length(trim(regexp_replace(regexp_replace(text, '\\{{[^}}]*\\}}', '', 'g'), '\\s+', ' ', 'g'))) >= 40")
+def b10(s, d):
+    return select.line_filter_min(b.lines(s, d), min_len=40).select(M, "line_no")
+
+
+@query("b11_keep_default", f"""WITH {b.SE}, m AS (SELECT media_id, (start_s + end_s) / 2 AS t FROM cu WHERE length(trim(text)) > 0), n AS (SELECT se.media_id, seg_no, count(m.t) AS n_cues FROM se LEFT JOIN m ON m.media_id = se.media_id AND m.t >= se.start_s AND m.t < se.end_s GROUP BY ALL) SELECT media_id, seg_no, n_cues, CASE WHEN n_cues > 0 THEN 'keep' ELSE 'cut_candidate' END AS decision FROM n""")
+def b11(s, d):
+    return select.keep_default(b.segs(s, d), b.cues(s, d)).select(M, "seg_no", "n_cues", "decision")
+
+
+@query("b12_force_cut", f"""WITH {b.VI}, p AS (SELECT media_id, count_if(text = 'error') AS removed, coalesce(sum(end_s - start_s) FILTER (text <> 'error'), 0) / sum(end_s - start_s) * 100 AS coverage FROM vi GROUP BY ALL) SELECT media_id, removed > 0 OR coverage < 80 AS force_cut FROM p""")
+def b12(s, d):
+    return select.force_cut(signals.cut_plan_summary(b.visits(s, d).withColumn("keep", F.col("text") != "error"))).select(M, "force_cut")
+
+
+@query("b13_filter_materials", "SELECT p_name AS name, p_partkey FROM part WHERE list_has_all(string_split(p_type, ' '), ['STEEL']) AND p_size > 10 AND contains(lower(p_name), 'a')")
+def b13(s, d):
+    p = b.table(s, d, "part").select(F.col("p_name").alias("name"), "p_partkey", F.split("p_type", " ").alias("tags"), (F.col("p_size") > 10).alias("favorite"))
+    return select.filter_materials(p, ["STEEL"], True, "A").select("name", "p_partkey")
+
+
+@query("b14_tail", f"WITH {b.EV} SELECT event_id FROM ev ORDER BY event_id DESC LIMIT 200")
+def b14(s, d):
+    return select.tail(b.live(s, d), 200, "event_id").select("event_id")
+
+
+@query("f1_select_clips")
+def f1(s, d):
+    return sequences.select_clips(_fused(s, d).join(b.users(s, d), M), GRID, 5, 20_000.0, 86_400.0, 100_000.0)
+
+
+@query("f2_detect_points")
+def f2(s, d):
+    return sequences.detect_points(_fused(s, d).join(b.users(s, d), M), GRID, 20_000.0, 86_400.0, 43_200.0)
+
+
+@query("f3_thin_min_gap", f"""WITH {b.EV}, p AS (SELECT media_id, list_sort(list(DISTINCT t_s)) AS t FROM ev GROUP BY ALL) SELECT media_id, unnest(list_reduce(list_transform(t, lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[-1] >= 40000 THEN list_concat(a, x) ELSE a END)) AS t_s FROM p""")
+def f3(s, d):
+    return windows.thin_min_gap(b.live(s, d), 40000.0)
+
+
+@query("f4_bucket_argmax", f"""WITH {b.EV}, x AS (SELECT media_id, t_s, cents, count(*) OVER (PARTITION BY media_id) AS n, max(t_s) OVER (PARTITION BY media_id) AS e FROM ev), y AS (SELECT *, row_number() OVER (PARTITION BY media_id, CASE WHEN n > 5 THEN least(floor(t_s / greatest(e / 5, 1e-9)), 4) ELSE t_s END ORDER BY cents DESC, t_s) AS r FROM x)
+SELECT media_id AS track_id, t_s, cents FROM y WHERE n <= 5 OR r = 1""")
+def f4(s, d):
+    return select.bucket_argmax(b.live(s, d).select(F.col(M).alias("track_id"), "t_s", "cents"), 5, strength="cents")
+
+
+@query("f5_even_cap", f"WITH {b.EV}, x AS (SELECT media_id, event_id, row_number() OVER (PARTITION BY media_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY media_id) AS n FROM ev) SELECT media_id, event_id FROM x WHERE n <= 4 OR i IN (0, n // 4, 2 * n // 4, 3 * n // 4)")
+def f5(s, d):
+    return select.even_cap(b.live(s, d), 4, "event_id").select(M, "event_id")
+
+
+@query("f6_keep_budget", f"""WITH {b.VI}, x AS (SELECT media_id, seg_no, end_s - start_s AS dur, list_position(['signup', 'view', 'click', 'purchase'], CASE WHEN text = 'error' THEN 'click' ELSE text END) AS imp FROM vi), y AS (SELECT *, row_number() OVER w AS i, coalesce(sum(dur) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, count(*) OVER (PARTITION BY media_id) AS n FROM x WINDOW w AS (PARTITION BY media_id ORDER BY imp DESC, dur, seg_no))
+SELECT media_id, seg_no, imp = 4 OR before < 500000 OR (imp = 3 AND before < 550000) OR i <= greatest(2, floor(0.35::DOUBLE * n)) AS keep FROM y""")
+def f6(s, d):
+    imp = F.element_at(F.create_map(*[F.lit(x) for kv in (("signup", "transition"), ("view", "mood"), ("click", "advance"), ("error", "advance"), ("purchase", "key")) for x in kv]), F.col("text"))
+    x = b.visits(s, d).select(M, F.col("seg_no").alias("line_no"), (F.col("end_s") - F.col("start_s")).alias("dur"), imp.alias("importance"))
+    return select.keep_budget(x, 500_000.0, b.DAYS_S).select(M, F.col("line_no").alias("seg_no"), "keep")
+
+
+@query("f7_select_expired", f"WITH {b.IT}, x AS (SELECT *, (800000000.0::DOUBLE - mtime) / 86400 AS age, row_number() OVER (PARTITION BY group_key ORDER BY mtime DESC, name) AS r FROM it) SELECT group_key, name FROM x WHERE (age > 400 OR r > 3) AND age >= 1")
+def f7(s, d):
+    return select.select_expired(b.items(s, d), 800_000_000, 400, 3, ["group_key"]).select("group_key", "name")
+
+
+@query("f8_best_cover", f"WITH {b.FR}, x AS (SELECT media_id, frame_no, 0.6::DOUBLE * bright + 2 * hist - 40 * frac AS score FROM fr) SELECT media_id, frame_no, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY score DESC, frame_no) AS r FROM x) WHERE r = 1")
+def f8(s, d):
+    x = b.frames(s, d).select(M, "frame_no", F.col("bright").alias("contrast"), F.col("hist").alias("detail"), F.col("frac").alias("extreme"))
+    return r6(select.best_cover(x), "score")
+
+
+@query("f9_argmax_scene", "SELECT l_orderkey AS media_id, l_quantity AS line_no, arg_max(l_linenumber, l_discount * 1000 - l_linenumber) AS scene_no FROM lineitem GROUP BY ALL")
+def f9(s, d):
+    li = b.table(s, d, "lineitem").select(F.col("l_orderkey").alias(M), F.col("l_quantity").alias("line_no"), F.col("l_linenumber").alias("scene_no"), F.col("l_discount").alias("score"))
+    return select.argmax_scene(li).drop("score")
+
+
+@query("f10_increasing_chain")
+def f10(s, d):
+    x = b.visits(s, d).select(M, F.col("seg_no").cast("int").alias("line_no"), (F.col("end_s") - F.col("start_s")).alias("t_s"), F.lit(1.0).alias("score"))
+    return sequences.increasing_chain(x)
+
+
+@query("f11_sort_timeline", f"WITH {b.VI} SELECT media_id, seg_no, CAST(row_number() OVER (PARTITION BY media_id ORDER BY text_len, end_s) - 1 AS INTEGER) AS pos FROM (SELECT *, CAST(length(text) AS DOUBLE) AS text_len FROM vi)")
+def f11(s, d):
+    x = b.visits(s, d).withColumn("start_s", F.length("text").cast("double"))
+    return select.sort_timeline(x).select(M, "seg_no", "pos")
+
+
+@query("f12_snap_sample_grid")
+def f12(s, d):
+    return sequences.snap_sample_grid(b.cues(s, d), b.media(s, d), 8.0)
+
+
+@query("f13_cap_segments")
+def f13(s, d):
+    return sequences.cap_segments(b.visits(s, d), 10)
+
+
+@query("f14_top_k_non_overlapping")
+def f14(s, d):
+    x = b.live(s, d).select(M, F.col("t_s").alias("start_s"), (F.col("t_s") + 100_000).alias("end_s"), F.col("cents").alias("score"))
+    return select.top_k_non_overlapping(x)
+
+
+@query("f15_order_tasks", f"WITH {b.LO} SELECT run_id, idx, ok AS done FROM lo ORDER BY done, run_id")
+def f15(s, d):
+    return select.order_tasks(b.step_log(s, d).withColumnRenamed("ok", "done")).select("run_id", "idx", "done")
+
+
+@query("g1_union_cuts", f"""WITH {b.EV}, x AS (SELECT media_id, round_even(t_s, 2) AS t_s, CASE text WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 ELSE 1 END AS w FROM ev WHERE text IN ('purchase', 'click', 'view')) SELECT media_id, t_s, max(w) AS weight FROM x GROUP BY ALL""")
+def g1(s, d):
+    e = b.live(s, d)
+    return signals.union_cuts(*[e.where(F.col("text") == t) for t in ("purchase", "click", "view")])
+
+
+@query("g2_union_pools", f"WITH {b.IT} SELECT name FROM it WHERE tier = 'safe' AND deletable")
+def g2(s, d):
+    return pipelines.union_pools(b.items(s, d)).select("name")
+
+
+@query("g3_except_reports")
+def g3(s, d):
+    return pipelines.except_reports(joins.pair_reports(*_two_reports(s, d))).select("old_line", "new_line", "change")
+
+
+@query("g4_gram_sets", f"WITH {b.CU}, a AS ({GR.format(id='media_id, cue_no', t='cu')}), l AS (SELECT media_id, cue_no, list(gram) AS g FROM a GROUP BY ALL) SELECT x.media_id, x.cue_no, len(list_intersect(x.g, y.g)) AS both, len(list_distinct(list_concat(x.g, y.g))) AS any FROM l x JOIN l y ON x.media_id = y.media_id AND y.cue_no = x.cue_no + 1")
+def g4(s, d):
+    g = b.cues(s, d).select(M, "cue_no", tx.char_bigrams("text").alias("g"))
+    n = g.select(M, (F.col("cue_no") - 1).alias("cue_no"), F.col("g").alias("h"))
+    x = g.join(n, [M, "cue_no"]).where("size(g) > 0 and size(h) > 0")
+    return x.select(M, "cue_no", F.size(F.array_intersect("g", "h")).cast("long").alias("both"), F.size(F.array_union("g", "h")).cast("long").alias("any"))
+
+
+@query("g5_distinct_points", f"WITH {b.EV} SELECT DISTINCT media_id, round_even(t_s, 0) AS t_s FROM ev")
+def g5(s, d):
+    return signals.distinct_points(b.live(s, d), places=0)
+
+
+# ---- scalar functions --------------------------------------------------------------------------------------------------
+
+
+@query("h1_line_weight")
+def h1(s, d):
+    return b.lines(s, d).select(M, "line_no", tx.line_weight("text").alias("weight"))
+
+
+@query("h2_collapse_runs")
+def h2(s, d):
+    return b.lines(s, d).select(M, "line_no", F.md5(tx.collapse_runs("text").cast("binary")).alias("text_md5"))
+
+
+@query("h3_norm_text", f"WITH {b.LI} SELECT media_id, line_no, md5(lower(regexp_replace(text, '[^一-鿿A-Za-z0-9]', '', 'g'))) AS norm FROM li")
+def h3(s, d):
+    return b.lines(s, d).select(M, "line_no", F.md5(tx.norm_text("text", True).cast("binary")).alias("norm"))
+
+
+@query("h4_strip_markup", "SELECT event_id, trim(regexp_replace(regexp_replace(props || ' x  y', '\\{[^}]*\\}', '', 'g'), '\\s+', ' ', 'g')) AS text FROM events")
+def h4(s, d):
+    return b.table(s, d, "events").select("event_id", tx.strip_markup(F.concat("props", F.lit(" x  y"))).alias("text"))
+
+
+@query("h5_parse_markup")
+def h5(s, d):
+    tagged = F.concat(F.lit("{情绪:"), "event_type", F.lit("}a"), F.col("event_id").cast("string"), F.lit("{/情绪}{停顿:0.30}b"))
+    return b.table(s, d, "events").select("event_id", F.explode(tx.parse_markup(tagged)).alias("p")).select("event_id", "p.*")
+
+
+@query("h6_pause_pieces", "SELECT event_id, unnest(['a' || event_id, 'b']) AS text, unnest([0.3::DOUBLE, 0]) AS pause FROM events")
+def h6(s, d):
+    tagged = F.concat(F.lit("{情绪:x}a"), F.col("event_id").cast("string"), F.lit("{/情绪}{停顿:0.30}b"))
+    return b.table(s, d, "events").select("event_id", F.explode(tx.pause_pieces(tagged)).alias("p")).select("event_id", "p.*")
+
+
+@query("h7_strip_markdown", "SELECT p_partkey, p_name || ' bold link' AS text FROM part")
+def h7(s, d):
+    return b.table(s, d, "part").select("p_partkey", tx.strip_markdown(F.concat(F.lit("## "), "p_name", F.lit(" **bold** [link](http://x)"))).alias("text"))
+
+
+@query("h8_strip_think", "SELECT p_partkey, p_name AS text FROM part")
+def h8(s, d):
+    return b.table(s, d, "part").select("p_partkey", tx.strip_think(F.concat(F.lit("<think>a\nb</think>"), "p_name", F.lit("<think>open"))).alias("text"))
+
+
+@query("h9_char_bigrams", f"WITH {b.CU}, a AS ({GR.format(id='media_id, cue_no', t='cu')}) SELECT media_id, cue_no, count(*) AS n FROM a GROUP BY ALL")
+def h9(s, d):
+    return b.cues(s, d).select(M, "cue_no", F.size(tx.char_bigrams("text")).cast("long").alias("n")).where("n > 0")
+
+
+@query("h9_bigrams_by_clause", f"""WITH {b.CU}, p AS (SELECT media_id, cue_no, unnest(regexp_split_to_array(text, '[^一-鿿\\pL\\pN]+')) AS text FROM cu), a AS ({GR.format(id='media_id, cue_no', t='p')}) SELECT media_id, cue_no, count(*) AS n FROM a GROUP BY ALL""")
+def h9b(s, d):
+    return b.cues(s, d).select(M, "cue_no", F.size(tx.bigrams_by_clause("text")).cast("long").alias("n")).where("n > 0")
+
+
+@query("h10_lcs_contiguous")
+def h10(s, d):
+    c = b.cues(s, d)
+    n = c.select(M, (F.col("cue_no") - 1).alias("cue_no"), F.substring("text", 1, 80).alias("next"))
+    return c.join(n, [M, "cue_no"]).select(M, "cue_no", tx.lcs_contiguous(F.substring("text", 1, 80), "next").alias("lcs"))
+
+
+@query("h11_edit_ratio")
+def h11(s, d):
+    c = b.cues(s, d)
+    n = c.select(M, (F.col("cue_no") - 1).alias("cue_no"), F.substring("text", 1, 80).alias("next"))
+    return r6(c.join(n, [M, "cue_no"]).select(M, "cue_no", tx.edit_ratio(F.substring("text", 1, 80), "next").alias("ratio")), "ratio")
+
+
+_ACTION_SQL = " UNION ALL ".join(f"SELECT '{w}' AS w, 'ACT:{c}' AS c" for w, c in {w: c for c, ws in ACTIONS.items() for w in ws}.items())
+
+
+@query("h12_action_tokens", f"WITH l AS ({_ACTION_SQL}), t AS (SELECT p_partkey, p_name || (['他开枪了', '她哭泣', '挥锤敲打', ''])[p_partkey % 4 + 1] AS text FROM part) SELECT p_partkey, coalesce((SELECT string_agg(DISTINCT c, ',' ORDER BY c) FROM l WHERE contains(text, w)), '') AS tokens FROM t")
+def h12(s, d):
+    t = F.concat("p_name", F.element_at(F.array(*[F.lit(x) for x in ("他开枪了", "她哭泣", "挥锤敲打", "")]), (F.col("p_partkey") % 4 + 1).cast("int")))
+    return b.table(s, d, "part").select("p_partkey", F.array_join(tx.action_tokens(t), ",").alias("tokens"))
+
+
+@query("h13_sentence_kind")
+def h13(s, d):
+    return b.lines(s, d).select(M, "line_no", tx.sentence_kind("text").alias("kind"))
+
+
+@query("h14_emotion_of")
+def h14(s, d):
+    return b.lines(s, d).select(M, "line_no", tx.emotion_of("text").alias("emotion"), tx.clause_emotion("text").alias("clause_emotion"))
+
+
+@query("h15_prosody_markup")
+def h15(s, d):
+    return b.cues(s, d).select(M, "cue_no", F.md5(tx.prosody_markup("text").cast("binary")).alias("marked_md5"))
+
+
+@query("h16_split_sentences")
+def h16(s, d):
+    return b.cues(s, d).select(M, "cue_no", F.size(tx.split_sentences("text")).alias("n"))
+
+
+@query("h17_split_clauses")
+def h17(s, d):
+    return b.cues(s, d).select(M, "cue_no", F.size(tx.split_clauses("text")).alias("n"))
+
+
+@query("h18_script_lines")
+def h18(s, d):
+    return sequences.script_lines(b.table(s, d, "benchmark").select(F.col("item_id").alias(M), "text"))
+
+
+@query("h19_chunk_text")
+def h19(s, d):
+    return sequences.chunk_text(b.table(s, d, "benchmark").select(F.col("item_id").alias(M), "text"), 80)
+
+
+@query("h20_clamp_text")
+def h20(s, d):
+    return b.lines(s, d).select(M, "line_no", tx.clamp_text("text", 60).alias("text"))
+
+
+@query("h21_clean_caption", f"WITH {b.CU} SELECT media_id, cue_no, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS caption FROM cu WHERE NOT regexp_matches(text, '[\\[【<{{]')")
+def h21(s, d):
+    c = b.cues(s, d).where(~F.col("text").rlike(r"[\[【<{]"))
+    return c.select(M, "cue_no", F.md5(tx.clean_caption("text").cast("binary")).alias("caption"))
+
+
+@query("h22_scrub")
+def h22(s, d):
+    return b.cues(s, d).select(M, "cue_no", F.md5(tx.scrub("text").cast("binary")).alias("text_md5"))
+
+
+@query("h23_scrub_texts")
+def h23(s, d):
+    x = b.cues(s, d).withColumn("new", tx.scrub("text"))
+    return x.groupBy(M).agg(F.count("*").alias("n"), F.count_if(F.col("new") != F.col("text")).alias("changed"))
+
+
+@query("h24_quotes", "SELECT p_partkey, p_name AS quote FROM part WHERE length(p_name) BETWEEN 2 AND 80")
+def h24(s, d):
+    t = F.concat(F.lit("他说：“"), "p_name", F.lit("”然后走了“不算”"))
+    return b.table(s, d, "part").select("p_partkey", F.get(tx.quotes(t), 0).alias("quote")).where("quote is not null")
+
+
+@query("h25_safe_title", "SELECT p_partkey, left(trim(replace(p_name, ':', '')), 20) AS title FROM part")
+def h25(s, d):
+    return b.table(s, d, "part").select("p_partkey", tx.safe_title(F.concat(F.lit("“"), "p_name", F.lit("”"))).alias("title"))
+
+
+@query("h26_classify_error", f"WITH {b.LO} SELECT CASE error WHEN 'Connection refused' THEN 'net' WHEN 'read timed out' THEN 'timeout' WHEN 'No space left' THEN 'disk' WHEN 'Permission denied' THEN 'perm' ELSE 'other' END AS kind, count(*) AS n FROM lo WHERE NOT ok GROUP BY ALL")
+def h26(s, d):
+    return pipelines.error_report(b.step_log(s, d))
+
+
+@query("h27_apply_mapping", "SELECT p_partkey, replace(replace(p_name, 'a', 'b'), 'e', 'f') AS text FROM part")
+def h27(s, d):
+    return b.table(s, d, "part").select("p_partkey", tx.apply_mapping("p_name", F.create_map(F.lit("a"), F.lit("b"), F.lit("e"), F.lit("f"))).alias("text"))
+
+
+@query("h28_compose_scene_text", "SELECT p_partkey, concat_ws('；', trim(p_name), CASE WHEN p_size > 20 THEN trim(p_type) END) AS text FROM part")
+def h28(s, d):
+    return b.table(s, d, "part").select("p_partkey", tx.compose_scene_text("p_name", F.when(F.col("p_size") > 20, F.col("p_type")).otherwise("N/A"), F.lit(" ")).alias("text"))
+
+
+@query("t1_tc_to_seconds", f"WITH {b.EV} SELECT event_id, CAST(t_ms // 1000 % 3600 AS DOUBLE) + t_ms % 1000 / 1000.0::DOUBLE AS s FROM ev".replace("CAST(t_ms // 1000 % 3600 AS DOUBLE) + t_ms % 1000 / 1000.0::DOUBLE AS s", "round(t_ms % 3600000 / 1000.0::DOUBLE, 6) AS s"))
+def t1(s, d):
+    ms = F.col("t_ms") % 3_600_000
+    tc = F.format_string("00:%02d:%02d,%03d", F.floor(ms / 60000), F.floor(ms / 1000) % 60, ms % 1000)
+    return r6(b.live(s, d).select("event_id", num.tc_to_seconds(tc).alias("s")), "s")
+
+
+@query("t2_seconds_to_tc", f"WITH {b.EV} SELECT event_id, printf('%02d:%02d:%02d,%03d', t_ms // 3600000, t_ms // 60000 % 60, t_ms // 1000 % 60, t_ms % 1000) AS tc, printf('%d:%02d', t_ms // 60000, t_ms // 1000 % 60) AS short FROM ev")
+def t2(s, d):
+    return b.live(s, d).select("event_id", num.seconds_to_tc("t_s").alias("tc"), num.seconds_to_tc("t_s", False).alias("short"))
+
+
+@query("t3_age_days", f"WITH {b.IT} SELECT name, round((800000000.0::DOUBLE - mtime) / 86400, 6) AS age FROM it")
+def t3(s, d):
+    return r6(b.items(s, d).select("name", num.age_days("mtime", 800_000_000.0).alias("age")), "age")
+
+
+@query("m1_length_penalty", f"WITH {b.LI} SELECT media_id, line_no, CASE WHEN length(text) <= 60 THEN 1.0::DOUBLE ELSE round(greatest(0.5::DOUBLE, 1 / (1 + (length(text) - 60) / 300.0::DOUBLE)), 6) END AS scene, CASE WHEN length(text) <= 90 THEN 1.0::DOUBLE ELSE round(greatest(0.5::DOUBLE, 1 / (1 + (length(text) - 90) / 400.0::DOUBLE)), 6) END AS line FROM li")
+def m1(s, d):
+    n = F.length("text")
+    return r6(b.lines(s, d).select(M, "line_no", num.length_penalty(n).alias("scene"), num.length_penalty(n, "line").alias("line")), "scene", "line")
+
+
+@query("m2_jump_cap", f"WITH {b.ME}, x AS (SELECT cu.media_id, dur, count(*) AS n, avg(end_s - start_s) AS m FROM cu JOIN me USING (media_id) GROUP BY ALL) SELECT media_id, round(greatest(round_even(least(greatest(3 * m, 25), 150) / 5, 0) * 5, dur / n), 6) AS jump FROM x")
+def m2(s, d):
+    x = b.cues(s, d).join(b.media(s, d), M).groupBy(M, "dur").agg(F.count("*").alias("n"), F.avg(F.col("end_s") - F.col("start_s")).alias("m"))
+    return r6(x.select(M, num.jump_cap("dur", "n", "m", "n").alias("jump")), "jump")
+
+
+@query("m3_fit", f"WITH {b.CU}, x AS (SELECT *, end_s - start_s AS v FROM cu WHERE end_s > start_s) SELECT media_id, cue_no, CAST(greatest(1, floor(v * 5.2::DOUBLE)) AS BIGINT) AS chars, round(least(greatest(v / 10, 1), 1.35::DOUBLE), 6) AS speed, v / 10 > 1.35::DOUBLE AS trim, round(least(greatest((v + 0.35::DOUBLE) / 10, 0.85::DOUBLE), 1.15::DOUBLE), 6) AS factor FROM x")
+def m3(s, d):
+    v = F.col("end_s") - F.col("start_s")
+    x = b.cues(s, d).where("end_s > start_s").withColumn("f", num.fit_speed(v, F.lit(10.0)))
+    return r6(x.select(M, "cue_no", num.target_chars(v).cast("long").alias("chars"), "f.speed", "f.trim", num.display_factor(F.lit(10.0), v, F.lit(0.35)).alias("factor")), "speed", "factor")
+
+
+@query("m4_score_segments", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity > 25 THEN 50.0::DOUBLE ELSE 0 END + 0.8::DOUBLE * l_discount + 0.3::DOUBLE * l_tax + 0.2::DOUBLE * l_discount + CASE WHEN l_tax > 0.04::DOUBLE THEN 10 ELSE 0 END + CASE WHEN l_quantity BETWEEN 3 AND 12 THEN 5 ELSE -5 END + 0.1::DOUBLE * l_linenumber, 6) AS score FROM lineitem")
+def m4(s, d):
+    x = b.table(s, d, "lineitem")
+    score = num.segment_score(F.col("l_quantity") > 25, "l_discount", "l_tax", "l_discount", F.col("l_tax") > 0.04, "l_quantity", "l_linenumber")
+    return r6(x.select("l_orderkey", "l_linenumber", score.alias("score")), "score")
+
+
+@query("m5_clamps", f"WITH {b.FR} SELECT media_id, frame_no, least(greatest(hist, 0), 1) AS focus, round(least(greatest(6000 / greatest(bright, 1), 2), 8), 6) AS fps FROM fr")
+def m5(s, d):
+    return r6(b.frames(s, d).select(M, "frame_no", num.crop_focus("hist").alias("focus"), num.adaptive_fps("bright").alias("fps")), "fps")
+
+
+@query("r1_distribute", "SELECT p_partkey, p_name AS a, '' AS b FROM part".replace("p_name AS a, '' AS b", "(string_split(p_type, ' '))[1] || '' AS first, array_to_string(string_split(p_type, ' '), '') AS joined"))
+def r1(s, d):
+    x = b.table(s, d, "part").withColumn("w", F.split("p_type", " ")).withColumn("slots", num.distribute("w", 3))
+    return x.select("p_partkey", F.col("w")[0].alias("first"), F.array_join("slots", "").alias("joined"))
+
+
+@query("r2_reasons", f"""WITH {RANKS} SELECT media_id, win, coalesce(nullif(concat_ws('; ', CASE WHEN chat_rank >= 0.7::DOUBLE THEN 'chat peak (top ' || greatest(1, CAST(floor((1 - chat_rank) * 100 + 1e-9) AS INTEGER)) || '%)' END, CASE WHEN motion_rank >= 0.7::DOUBLE THEN 'motion peak (top ' || greatest(1, CAST(floor((1 - motion_rank) * 100 + 1e-9) AS INTEGER)) || '%)' END), ''), 'overall peak') AS reasons FROM fu""")
+def r2(s, d):
+    return _fused(s, d).select(M, "win", F.array_join(num.reasons({"chat": "chat_rank", "motion": "motion_rank"}), "; ").alias("reasons"))
+
+
+@query("r3_lines_of_clip")
+def r3(s, d):
+    x = joins.overlap_join(b.cues(s, d), b.segs(s, d), limit=200)
+    said = F.filter("lines", lambda v: tx.line_weight(v["text"]) >= 0.4)
+    return x.select(M, "seg_no", F.size("lines").alias("n"), F.size(said).alias("informative"), ((F.size("lines") > 0) & (F.size(said) == 0)).alias("noisy"))
+
+
+@query("r4_l2_normalise", "SELECT vec_id, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS norm2, 1.0::DOUBLE AS unit FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL")
+def r4(s, d):
+    x = b.vectors(s, d).withColumn("u", num.l2_normalise(F.transform("vec", lambda v: v.cast("double"))))
+    return x.select(F.col("frame_no").alias("vec_id"), F.round(num.dot("vec", "vec"), 6).alias("norm2"), F.round(num.dot("u", "u"), 6).alias("unit"))
+
+
+@query("j1_extract_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE props IS NOT NULL")
+def j1(s, d):
+    e = b.table(s, d, "events").where("props is not null")
+    return e.select("event_id", num.extract_json(F.concat(F.lit("sure: "), "props", F.lit(" done")), "k bigint").getField("k").alias("k"))
+
+
+@query("j2_index_or_positional", "SELECT l_orderkey AS media_id, count(*) AS n FROM lineitem GROUP BY ALL")
+def j2(s, d):
+    x = b.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias(M)).agg(F.array_sort(F.collect_list(F.struct((F.col("l_linenumber") + 100).alias("i"), "l_returnflag"))).alias("rows"))
+    return x.select(M, F.size(num.index_or_positional("rows", F.size("rows"))).cast("long").alias("n"))
+
+
+@query("j3_parse_story", "SELECT p_partkey AS media_id, p_size AS scene_idx, left(p_name, 60) AS story, len(string_split(p_type, ' ')) AS n FROM part")
+def j3(s, d):
+    line = F.to_json(F.struct(F.col("p_size").cast("string").alias("scene"), F.col("p_name").alias("plot"), F.replace("p_type", F.lit(" "), F.lit(",")).alias("keywords")))
+    x = b.table(s, d, "part").select(F.col("p_partkey").alias(M), num.parse_story(line).alias("j"))
+    return x.select(M, "j.scene_idx", "j.story", F.size("j.keywords").cast("long").alias("n"))
+
+
+@query("j3_parse_alignment", "SELECT p_partkey AS media_id, CASE WHEN p_size < 40 THEN 1 ELSE 0 END AS n FROM part")
+def j3b(s, d):
+    text = F.format_string('{"%d": ["%d", "x"]}', F.col("p_partkey"), F.col("p_size"))
+    return b.table(s, d, "part").select(F.col("p_partkey").alias(M), F.size(num.parse_alignment(text, F.lit(40))).alias("n"))
+
+
+# ---- tables, sources ---------------------------------------------------------------------------------------------------
+
+
+@query("a2_decode_text", "SELECT item_id, md5(text) AS text_md5 FROM benchmark")
+def a2(s, d):
+    t = b.table(s, d, "benchmark")
+    raw = F.when(F.col("item_id") % 3 == 0, F.encode("text", "UTF-16")).when(F.col("item_id") % 3 == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    return t.select("item_id", F.md5(tx.decode_bytes(raw).cast("binary")).alias("text_md5"))
+
+
+@query("a1_parse_cues", f"WITH {b.CU} SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY start_s, cue_no) AS INTEGER) AS cue_no, round(start_s, 3) AS start_s, md5(trim(replace(text, chr(10), ' '))) AS text_md5 FROM cu WHERE trim(replace(text, chr(10), ' ')) <> ''")
+def a1(s, d):
+    from ..sources.subtitles import parse_cues, srt_text
+
+    c = b.cues(s, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
+    back = parse_cues(srt_text(c).select(M, F.col("srt").alias("text")), M)
+    return back.select(M, "cue_no", F.round("start_s", 3).alias("start_s"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("a3_notes_timeline", f"WITH {b.CU}, x AS (SELECT media_id, cue_no, start_s, lead(start_s) OVER (PARTITION BY media_id ORDER BY cue_no) AS n, count(*) OVER (PARTITION BY media_id) AS c FROM cu) SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY cue_no) AS INTEGER) AS cue_no, start_s, coalesce(n, start_s + 15) AS end_s FROM x WHERE c >= 2")
+def a3(s, d):
+    from ..sources.subtitles import read_notes_timeline
+
+    line = F.format_string("[%02d:%02d] said %d", F.floor(F.col("cue_no") / 6), (F.col("cue_no") % 6) * 10, F.col("cue_no"))
+    notes = b.cues(s, d).groupBy(M).agg(F.array_join(F.array_sort(F.collect_list(F.struct("cue_no", line.alias("l"))))["l"], "\nand on\n").alias("text"))
+    return read_notes_timeline(notes).drop("text")
+
+
+@query("a5_discover_sidecars", "SELECT 'd' || (p_partkey % 10) AS dir, 'm' || p_partkey || '.mp4' AS name, CASE p_partkey % 3 WHEN 0 THEN 'm' || p_partkey || '.srt' ELSE 'm' || p_partkey || '.zh.srt' END AS sidecar FROM part WHERE p_partkey % 3 < 2")
+def a5(s, d):
+    from ..sources.subtitles import discover_sidecars
+
+    p = b.table(s, d, "part").select(F.concat(F.lit("d"), (F.col("p_partkey") % 10).cast("string")).alias("dir"), F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("stem"), (F.col("p_partkey") % 3).alias("r"))
+    ends = F.when(F.col("r") == 0, F.array(F.lit(".srt"), F.lit(".en.ass"))).when(F.col("r") == 1, F.array(F.lit(".zh.srt"), F.lit(".zz.srt"))).otherwise(F.array(F.lit(".zz.srt")))
+    files = p.select("dir", F.explode(F.transform(ends, lambda e: F.concat("stem", e))).alias("name"), F.lit(100).alias("size"))
+    return discover_sidecars(files, p.select("dir", F.concat("stem", F.lit(".mp4")).alias("name")))
+
+
+@query("a6_pick_source", f"WITH {b.EV} SELECT media_id, event_id FROM (SELECT *, CASE text WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 END AS r FROM ev) WHERE r IS NOT NULL QUALIFY r = min(r) OVER (PARTITION BY media_id)")
+def a6(s, d):
+    from ..sources.subtitles import pick_source
+
+    return pick_source(b.live(s, d).withColumnRenamed("text", "source"), ["view", "click", "purchase"]).select(M, "event_id")
+
+
+@query("a7_parse_reports", "SELECT o_custkey AS run_id, count(*) AS n FROM orders GROUP BY ALL")
+def a7(s, d):
+    from ..sources.reports import parse_reports
+
+    o = b.table(s, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderkey").cast("int").alias("i"), F.col("o_orderstatus").alias("narr"), F.lit("match").alias("verdict"))).alias("r"))
+    value = F.when(F.col("o_custkey") % 2 == 0, F.to_json("r")).otherwise(F.to_json(F.struct(F.lit("x").alias("summary"), F.col("r").alias("report"))))
+    return parse_reports(o.select(F.col("o_custkey").alias("run_id"), value.alias("value"))).groupBy("run_id").agg(F.count("*").alias("n"))
+
+
+@query("a9_incremental", f"WITH {b.IT} SELECT name FROM it WHERE tier <> 'safe'")
+def a9(s, d):
+    from ..sources.reports import fingerprint, incremental
+
+    x = b.items(s, d).withColumn("analysis_version", F.lit(2)).withColumn("print", fingerprint("rel", "size", "mtime"))
+    return incremental(x, x.where("tier = 'safe'"), ["analysis_version", "print"]).select("name")
+
+
+@query("a10_srt_text", f"WITH {b.CU} SELECT media_id, count_if(trim(text) <> '') AS blocks FROM cu GROUP BY ALL")
+def a10(s, d):
+    from ..sources.subtitles import srt_text
+
+    return srt_text(b.cues(s, d)).select(M, F.regexp_count("srt", F.lit(" --> ")).cast("long").alias("blocks"))
+
+
+@query("a11_clip_report", f"WITH {b.VI} SELECT media_id, count(*) AS n FROM vi GROUP BY ALL")
+def a11(s, d):
+    from ..sources.reports import clip_report
+
+    c = b.visits(s, d).select(M, "start_s", "end_s", F.lit(1.0).alias("score"), F.array("text").alias("reasons"))
+    return clip_report(c).where("line is not null and json is not null").groupBy(M).agg(F.count("*").alias("n"))
+
+
+@query("a12_append_run", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, 'f' || o_orderkey LIMIT 100")
+def a12(s, d):
+    o = b.table(s, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("time"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("file"))
+    return tables.append_run(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"))[0].select("o_orderkey")
+
+
+@query("a13_material_catalog", "SELECT name, kind, tag FROM (SELECT 'p' || p_partkey || (['.mp4', '.PNG', '.txt'])[p_partkey % 3 + 1] AS name, (['video', 'image', NULL])[p_partkey % 3 + 1] AS kind, CASE WHEN p_size > 20 THEN p_brand ELSE '' END AS tag FROM part) WHERE kind IS NOT NULL")
+def a13(s, d):
+    ext = F.element_at(F.array(F.lit(".mp4"), F.lit(".PNG"), F.lit(".txt")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    p = b.table(s, d, "part").withColumn("name", F.concat(F.lit("p"), F.col("p_partkey").cast("string"), ext))
+    meta = p.where("p_size > 20").select("name", F.array("p_brand").alias("tags"), F.lit(True).alias("favorite"))
+    return tables.material_catalog(p.select("name", F.lit(1).alias("size"), F.lit(1).alias("mtime")), meta).select("name", "kind", F.array_join("tags", ",").alias("tag"))
+
+
+@query("a14_artefact_inventory", "SELECT l_orderkey AS run_id, count(*) AS n, count_if(l_linenumber % 3 = 0) AS videos FROM lineitem GROUP BY ALL")
+def a14(s, d):
+    ext = F.element_at(F.array(F.lit(".mp4"), F.lit(".txt"), F.lit(".json")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    x = b.table(s, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string"), ext).alias("name"), F.lit(10).alias("size"))
+    return tables.artefact_inventory(x).groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "video").alias("videos"))
+
+
+# ---- sequential operators and pipelines ----------------------------------------------------------------------------------
+
+
+def _scenes(s, d):
+    return b.segs(s, d).withColumnRenamed("seg_no", "scene_no")
+
+
+def _lines(s, d):
+    return b.cues(s, d).select(M, F.col("cue_no").alias("line_no"), "text")
+
+
+def _alignment(s, d):
+    said = joins.overlap_join(b.cues(s, d), b.segs(s, d), chars=200).select(M, F.col("seg_no").alias("scene_no"), "text")
+    return sequences.align_lines(_lines(s, d), _scenes(s, d), joins.idf_score_join(_lines(s, d), said))
+
+
+@query("i1_align_lines")
+def i1(s, d):
+    return _alignment(s, d)
+
+
+@query("i2_isotonic")
+def i2(s, d):
+    x = b.visits(s, d).select(M, F.col("seg_no").cast("int").alias("line_no"), (F.col("end_s") - F.col("start_s")).alias("t_s"))
+    return r6(sequences.isotonic(x), "fixed_s")
+
+
+@query("i3_sanitize_alignment")
+def i3(s, d):
+    a = _alignment(s, d)
+    return sequences.sanitize_alignment(a.withColumn("scene_no", F.when(F.col("line_no") % 4 == 1, 0).otherwise(F.col("scene_no")).cast("int")).distinct(), a, _scenes(s, d), 12)
+
+
+@query("i4_allocate_spans")
+def i4(s, d):
+    return sequences.allocate_spans(_lines(s, d).join(b.media(s, d), M), signals.char_density(b.cues(s, d), b.media(s, d)))
+
+
+@query("i5_event_anchors")
+def i5(s, d):
+    return r6(sequences.event_anchors(_lines(s, d).withColumn("voice_s", F.lit(3.0)), b.cues(s, d)), "score")
+
+
+@query("i6_anchored_spans")
+def i6(s, d):
+    segs = b.segs(s, d).withColumnRenamed("seg_no", "line_no")
+    anchors = b.cues(s, d).where("cue_no % 3 = 0").select(M, F.col("cue_no").alias("line_no"), F.col("start_s").alias("t_s"))
+    return sequences.anchored_spans(segs, _lines(s, d).withColumn("voice_s", F.lit(4.0)), b.cues(s, d), anchors)
+
+
+@query("i7_fit_spans")
+def i7(s, d):
+    x = b.segs(s, d).join(b.media(s, d), M).withColumn("line_no", F.floor(F.col("seg_no") / 2).cast("int")).withColumn("voice_s", F.lit(12.0) + F.col("line_no") * 9.0)
+    return sequences.fit_spans(x)
+
+
+@query("i8_plan_cuts")
+def i8(s, d):
+    e = b.live(s, d)
+    cuts = signals.union_cuts(e.where("text = 'signup'"), e.where("text = 'click'"), e.where("text = 'view'"))
+    return sequences.plan_cuts(cuts, e.where("text = 'purchase'"), b.users(s, d), tol=3600.0, longest=86400.0)
+
+
+@query("i9_beat_durations")
+def i9(s, d):
+    items = b.segs(s, d).select(M, F.col("seg_no").alias("pos"), (F.col("end_s") - F.col("start_s")).alias("dur"))
+    return sequences.beat_durations(items, b.cues(s, d).select(M, F.col("end_s").alias("t_s")))
+
+
+@query("i10_tempo")
+def i10(s, d):
+    return sequences.tempo(b.frames(s, d).withColumn("strength", F.col("bright")), 4.0)
+
+
+@query("i11_merge_to_count")
+def i11(s, d):
+    return sequences.merge_to_count(b.visits(s, d))
+
+
+@query("i12_condense")
+def i12(s, d):
+    x = b.segs(s, d).withColumn("importance", F.when(F.col("seg_no") % 2 == 0, "mood").otherwise("advance")).withColumn("dialogue", F.col("seg_no") % 3 == 0)
+    return sequences.condense(x)
+
+
+@query("i13_segment_timeline")
+def i13(s, d):
+    return sequences.segment_timeline(b.cues(s, d).select(M, F.col("end_s").alias("t_s")), b.media(s, d))
+
+
+@query("i14_cap_duration", f"""WITH {b.VI}, x AS (SELECT *, greatest(1, CAST(ceil((end_s - start_s) / 43200) AS BIGINT)) AS n FROM vi) SELECT media_id, seg_no, count(*) AS parts FROM (SELECT media_id, seg_no, unnest(range(n)) FROM x) GROUP BY ALL""")
+def i14(s, d):
+    return sequences.cap_duration(b.visits(s, d), 43_200.0).groupBy(M, "seg_no").agg(F.count("*").alias("parts"))
+
+
+@query("i14_expand_to", f"""WITH {b.VI}, x AS (SELECT media_id, count(*) AS m FROM vi GROUP BY ALL) SELECT media_id, m * greatest(1, CAST(ceil(20 / m) AS BIGINT)) AS parts FROM x""")
+def i14b(s, d):
+    return sequences.expand_to(b.visits(s, d), 20).groupBy(M).agg(F.count("*").alias("parts"))
+
+
+@query("i15_shots_to_lines")
+def i15(s, d):
+    return sequences.shots_to_lines(b.segs(s, d).withColumnRenamed("seg_no", "shot_no"), _lines(s, d))
+
+
+@query("i16_align_events")
+def i16(s, d):
+    ev = b.cues(s, d).select(M, F.col("cue_no").alias("event_no"), F.substring("text", 1, 60).alias("text"))
+    return r6(sequences.align_events(ev, b.segs(s, d), b.cues(s, d)), "score")
+
+
+@query("i17_scrub_beats")
+def i17(s, d):
+    return sequences.scrub_beats(b.lines(s, d).select(M, "line_no", "text")).groupBy(M).agg(F.count("*").alias("kept"))
+
+
+@query("i18_volume_envelope")
+def i18(s, d):
+    x = b.cues(s, d).withColumn("importance", F.when(F.col("cue_no") % 4 == 0, "key").otherwise("mood")).withColumn("end_s", F.col("start_s") + 10)
+    return sequences.volume_envelope(x)
+
+
+@query("i19_detect_shots")
+def i19(s, d):
+    return sequences.detect_shots(b.live(s, d), b.users(s, d), 50)
+
+
+@query("i20_shot_groups", f"WITH {b.VI}, x AS (SELECT *, (row_number() OVER (PARTITION BY media_id ORDER BY seg_no) - 1) // 10 AS g FROM vi) SELECT media_id, CAST(g AS INTEGER) AS group_no, min(seg_no) AS first_shot, count(*) AS n, min(start_s) AS start_s, max(end_s) AS end_s FROM x GROUP BY ALL")
+def i20(s, d):
+    return sequences.shot_groups(b.visits(s, d).withColumnRenamed("seg_no", "shot_no")).drop("text")
+
+
+@query("i21_voice_windows", f"WITH {b.CU} SELECT media_id, cue_no, least(end_s, start_s + 3 + 0.35::DOUBLE) AS voice_end_s FROM cu")
+def i21(s, d):
+    return sequences.voice_windows(b.cues(s, d).withColumn("voice_s", F.lit(3.0))).select(M, "cue_no", "voice_end_s")
+
+
+@query("i22_remap_spans")
+def i22(s, d):
+    return sequences.remap_spans(b.cues(s, d).withColumnRenamed("cue_no", "seg_no").join(b.media(s, d), M))
+
+
+@query("i23_quote_slots")
+def i23(s, d):
+    c = b.cues(s, d)
+    lines = c.select(M, F.col("cue_no").alias("line_no"), F.concat(F.lit("她说：“"), F.substring("text", 1, 40), F.lit("”")).alias("text"), F.col("start_s").alias("near_s"))
+    return r6(sequences.quote_slots(lines, c), "ratio")
+
+
+@query("p1_highlights")
+def p1(s, d):
+    x = pipelines.highlights(b.media(s, d), 2.0, 3, cues=b.cues(s, d), events=b.cues(s, d).select(M, F.col("start_s").alias("t_s"), "text"))
+    return x.select(M, "start_s", "end_s", F.round("score", 6).alias("score"), "peak_t", F.array_join("reasons", "; ").alias("reasons"), F.size("lines").alias("n_lines"))
+
+
+@query("p2_timeline_points")
+def p2(s, d):
+    x = pipelines.timeline_points(b.users(s, d), GRID, events=b.live(s, d))
+    return x.select(M, "start_s", "end_s", "peak_t", "score", "pct", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("p3_align_corpus")
+def p3(s, d):
+    c = b.cues(s, d)
+    scripts = c.groupBy(M).agg(F.array_join(F.array_sort(F.collect_list(F.struct("cue_no", "text")))["text"], "\n").alias("text"))
+    scenes = joins.overlap_join(c, b.segs(s, d), chars=200).select(M, F.col("seg_no").alias("scene_no"), "start_s", "end_s", "text")
+    x = pipelines.align_corpus(scripts, scenes, c)
+    return x["plan"].select(M, "kept", "removed", F.round("coverage", 6).alias("coverage")).join(x["coverage"].select(M, "aligned", "total"), M)
+
+
+@query("p4_beat_cut_plan")
+def p4(s, d):
+    e = b.live(s, d)
+    beats = e.where("text = 'purchase'").select(M, "t_s", F.col("cents").alias("strength"))
+    return pipelines.beat_cut_plan(b.frames(s, d), e.where("text = 'signup'"), beats, b.users(s, d))
+
+
+@query("p5_transcript_quality")
+def p5(s, d):
+    c = b.cues(s, d).withColumn("source", F.when(F.col(M) % 2 == 0, "embedded").otherwise("transcript"))
+    x = pipelines.transcript_quality(c, b.media(s, d))
+    return r6(x.select(M, "n", "tail_gap", "largest_gap", "coverage", "level"), "tail_gap", "largest_gap", "coverage")
+
+
+@query("p6_alignment_regression")
+def p6(s, d):
+    return pipelines.alignment_regression(*_two_reports(s, d))["changes"]
+
+
+@query("p7_retention", f"WITH {b.IT}, x AS (SELECT *, (800000000.0::DOUBLE - mtime) / 86400 AS age, row_number() OVER (PARTITION BY group_key ORDER BY mtime DESC, name) AS r FROM it WHERE tier = 'safe' AND deletable) SELECT name, size FROM x WHERE (age > 400 OR r > 3) AND age >= 1")
+def p7(s, d):
+    return pipelines.retention(b.items(s, d), 800_000_000, 400, 3).select("name", "size")
