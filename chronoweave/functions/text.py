@@ -39,7 +39,7 @@ def collapse_runs(text: Text) -> Column:
     2 to 6 letters said three times or more once (shortest period first), with the half phrase that ends it."""
     s = F.regexp_replace(_c(text), "[\\ufffd\\u200b-\\u200f\\u2028\\u2029\\u0000-\\u0008\\u000b\\u000c\\u000e-\\u001f]", "")
     for _ in range(3):
-        s = F.regexp_replace(s, r"(?i)(?U)\b(\w{1,12})\b(?:[\s,，、。.!?！？;；]*\1\b){3,}", "$1")
+        s = F.regexp_replace(s, r"(?i)(?U)\b(\w{1,12})\b(?:[\s,，、。.!?！？;；]*\1\b){3,}+", "$1")
     s = F.regexp_replace(s, "([\\u4e00-\\u9fa5])\\1{3,}", "$1$1")
     return F.when(s.rlike("([\\u4e00-\\u9fa5]).{1,40}\\1"), collapse_phrases(s)).otherwise(s)
 
@@ -204,18 +204,21 @@ def clause_emotion(text: Text, emotions: dict[str, list[str]] = lx.EMOTIONS) ->
 
 _BALANCED = "“[^”]*”?|‘[^’]*’?|「[^」]*」?|『[^』]*』?|（[^）]*）?|\\([^)]*\\)?|\\{[^}]*\\}?"
 
+#: What opens a balanced stretch. Runs and groups are possessive: they never step back, so long texts need no deep stack.
+_OPENERS = "“‘「『（({"
+
 
 def split_clauses(text: Text) -> Column:
     """[H17] Array of (clause, mark): cut after commas, full stops and the like, never inside braces, brackets or quotes."""
-    pieces = F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(f"((?:{_BALANCED}|[^，,。；;！!？?])*[，,。；;！!？?]|(?:{_BALANCED}|[^，,。；;！!？?])+)"), F.lit(1))
+    pieces = F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(f"((?:{_BALANCED}|[^，,。；;！!？?{_OPENERS}]++)*+[，,。；;！!？?]|(?:{_BALANCED}|[^，,。；;！!？?{_OPENERS}]++)++)"), F.lit(1))
     return F.transform(pieces, lambda p: F.struct(F.regexp_replace(p, "[，,。；;！!？?]$", "").alias("clause"), F.regexp_extract(p, "([，,。；;！!？?])$", 1).alias("mark")))
 
 
 def split_sentences(text: Text, quotes: bool = True) -> Column:
     """[H16] Array of sentences with their marks; with ``quotes`` marks inside paired quotes do not cut."""
     s = F.coalesce(_c(text), F.lit(""))
-    inside = f"(?:{_BALANCED}|[^。！？!?；])" if quotes else "[^。！？!?；]"
-    parts = F.regexp_extract_all(s, F.lit(f"({inside}*[。！？!?；]+[”’」』]?|{inside}+)"), F.lit(1))
+    inside = f"(?:{_BALANCED}|[^。！？!?；{_OPENERS}]++)" if quotes else "[^。！？!?；]"
+    parts = F.regexp_extract_all(s, F.lit(f"({inside}*+[。！？!?；]+[”’」』]?|{inside}++)"), F.lit(1))
     return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
@@ -224,7 +227,7 @@ def prosody_markup(text: Text) -> Column:
     s = F.trim(F.coalesce(_c(text), F.lit("")))
     marks = "".join(lx.PAUSES)
     quoted = "[“‘「『][^”’」』]*[”’」』]?"
-    pieces = F.regexp_extract_all(s, F.lit(f"((?:{quoted}|[^{marks}])*[{marks}]|(?:{quoted}|[^{marks}])+)"), F.lit(1))
+    pieces = F.regexp_extract_all(s, F.lit(f"((?:{quoted}|[^{marks}“‘「『]++)*+[{marks}]|(?:{quoted}|[^{marks}“‘「『]++)++)"), F.lit(1))
     pauses = F.create_map(*[F.lit(x) for kv in lx.PAUSES.items() for x in kv])
 
     def piece(p: Column, i: Column, last: Column) -> Column:
@@ -302,7 +305,7 @@ def strip_foreign(text: Text) -> Column:
 
     def scrubbed(c: Column) -> Column:
         c = F.regexp_replace(c, "['\"“”‘’「」『』](?=[^'\"“”‘’「」『』]*[A-Za-z][^'\"“”‘’「」『』]*[A-Za-z][^'\"“”‘’「」『』]*[A-Za-z])[^'\"“”‘’「」『』]{1,80}['\"“”‘’「」『』]", "")
-        c = F.regexp_replace(c, r"[A-Za-z][A-Za-z'\-]*(?:[\s,.!?]+[A-Za-z][A-Za-z'\-]*)+[.!?]?", "")
+        c = F.regexp_replace(c, r"[A-Za-z][A-Za-z'\-]*[\s,.!?]+[A-Za-z][A-Za-z'\-\s,.!?]*", "")
         c = F.regexp_replace(c, f"(?<=[{CJK}])\\s*[A-Za-z][A-Za-z'\\-]{{2,}}(?=[{CJK}]|$)", "")
         return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s{2,}", " "), "^[，,。；;、\\s]+", ""))
 

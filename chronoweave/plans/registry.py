@@ -17,6 +17,7 @@ from ..functions.lexicon import ACTIONS, HIGHLIGHT_WORDS
 from ..operators import joins, select, sequences, signals, tables, windows
 from . import bindings as b
 from . import pipelines
+from .oracles import MORE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -740,7 +741,7 @@ def f15(s, d):
     return select.order_tasks(b.step_log(s, d).withColumnRenamed("ok", "done")).select("run_id", "idx", "done")
 
 
-@query("g1_union_cuts", f"""WITH {b.EV}, x AS (SELECT media_id, round_even(t_s, 2) AS t_s, CASE text WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 ELSE 1 END AS w FROM ev WHERE text IN ('purchase', 'click', 'view')) SELECT media_id, t_s, max(w) AS weight FROM x GROUP BY ALL""")
+@query("g1_union_cuts", f"""WITH {b.EV}, x AS (SELECT media_id, round_even(round(t_s * 1000) / 10, 0) / 100 AS t_s, CASE text WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 ELSE 1 END AS w FROM ev WHERE text IN ('purchase', 'click', 'view')) SELECT media_id, t_s, max(w) AS weight FROM x GROUP BY ALL""")
 def g1(s, d):
     e = b.live(s, d)
     return signals.union_cuts(*[e.where(F.col("text") == t) for t in ("purchase", "click", "view")])
@@ -1317,3 +1318,6 @@ def p6(s, d):
 @query("p7_retention", f"WITH {b.IT}, x AS (SELECT *, (800000000.0::DOUBLE - mtime) / 86400 AS age, row_number() OVER (PARTITION BY group_key ORDER BY mtime DESC, name) AS r FROM it WHERE tier = 'safe' AND deletable) SELECT name, size FROM x WHERE (age > 400 OR r > 3) AND age >= 1")
 def p7(s, d):
     return pipelines.retention(b.items(s, d), 800_000_000, 400, 3).select("name", "size")
+
+
+ORACLE_SQL |= MORE_SQL
