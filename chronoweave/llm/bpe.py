@@ -13,6 +13,7 @@ import json
 import re
 from collections import ChainMap
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import buffers, spans
 
-LEAF, SPREAD, FIRST_WINDOW, LONG_WORD, KNOWN = 65536, 65536, 64, 128, 800_000
+LEAF, SPREAD, FIRST_WINDOW, LONG_WORD, KNOWN, SPELT = 65536, 65536, 64, 128, 1_200_000, 300_000
 #: Byte values to the letters by which byte-level vocabularies write them: printable ones stand for themselves, the rest follow
 #: from code point 256 on.
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -110,7 +111,7 @@ class Words:
         """A word of Latin letters and the marks after it, each a stretch that the tokenizer never joins with the other; else None."""
         body = w[1:] if w[0] == " " else w
         core = body.rstrip(TAIL)
-        if self.style == "whole" or not core.isalpha() or max(core) >= "\u0180" or (self.style == "dropped" and w[0] == " "):
+        if not core.isalpha() or (not core.isascii() and max(core) >= "\u0180") or self.style == "whole" or (self.style == "dropped" and w[0] == " "):
             return None, ""
         return w[: len(w) - len(body) + len(core)], body[len(core) :]
 
@@ -118,15 +119,19 @@ class Words:
         """Ids of one stretch, straight from the model."""
         if w not in table:
             own = w.lower() if self.style == "dropped" else w
-            found = self.model.tokenize(own.encode().decode("latin-1").translate(LETTERS))
-            table[w] = np.array([t.id for t in found], "<u4").tobytes()
+            if own.isascii():  # printable, but for a space in front
+                own = LETTERS[32] + own[1:] if own[0] == " " else own
+            else:
+                own = own.encode().decode("latin-1").translate(LETTERS)
+            found = self.model.tokenize(own)
+            table[w] = pack(f"<{len(found)}I", *[t.id for t in found])
         return table[w]
 
     def spell(self, w: str, ids: bytes) -> str:
         """The decoded text of one word."""
         if w not in self.texts:
             text = " ".join([self.names[i] for i in np.frombuffer(ids, "<u4").tolist()])
-            if len(self.texts) > KNOWN:
+            if len(self.texts) > SPELT:
                 return text
             self.texts[w] = text
         return self.texts[w]
