@@ -15,6 +15,13 @@ def _bins(low: Column, high: Column, width: float) -> Column:
     return F.sequence(F.floor(low / width), F.floor(F.greatest(low, high) / width))
 
 
+def _identified(df: DataFrame) -> DataFrame:
+    """A digest of each row. Equal rows share it, which is right here: they match alike. Numbers of rows would not do, as a plan
+    that reads the table twice may number it twice."""
+    cols = [F.col(c) for c in df.columns]
+    return df.withColumn("_cw_row", F.struct(F.xxhash64(*cols), F.xxhash64(F.lit(1), *cols)))
+
+
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], width: float, tol: float = 0.0, closed: bool = False, l: tuple[str, str] = ("start_s", "end_s"), r: tuple[str, str] = ("start_s", "end_s"), prefix: str = "r_", how: str = "inner") -> DataFrame:  # noqa: E741
     """Pairs whose intervals overlap within ``tol`` on each side (strictly, or with ends that touch if ``closed``).
 
@@ -23,7 +30,7 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], width: float
     near the usual length. Join on (keys, bin) lets skewed timelines spread over their bins."""
     right = prefixed(right, prefix, on)
     rl, rh = prefix + r[0], prefix + r[1]
-    a = left.withColumn("_cw_row", F.monotonically_increasing_id()) if how == "left" else left
+    a = _identified(left) if how == "left" else left
     a2 = a.withColumn("_cw_bin", F.explode(_bins(F.col(l[0]) - tol, F.col(l[1]) + tol, width)))
     b2 = right.withColumn("_cw_bin", F.explode(_bins(F.col(rl), F.col(rh), width)))
     first = F.greatest(F.floor((F.col(l[0]) - tol) / width), F.floor(F.col(rl) / width))
@@ -32,7 +39,7 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], width: float
     else:
         hit = (F.col(l[1]) + tol > F.col(rl)) & (F.col(l[0]) - tol < F.col(rh))
     if how in ("left_semi", "left_anti"):
-        keys = a.select("*").withColumn("_cw_row", F.monotonically_increasing_id())
+        keys = _identified(a)
         probe = keys.withColumn("_cw_bin", F.explode(_bins(F.col(l[0]) - tol, F.col(l[1]) + tol, width)))
         found = probe.join(b2, [*on, "_cw_bin"]).where(hit).select("_cw_row").distinct()
         return keys.join(found, "_cw_row", how).select(*left.columns)

@@ -44,7 +44,7 @@ pt AS (SELECT media_id, round_even(round(t_s * 1000) / 10, 0) / 100 AS t FROM d
 x AS (SELECT sg.media_id, sg.seg_no, list_distinct(regexp_extract_all(lower(text), '[一-鿿]{{2,}}|[a-z]{{3,}}')) AS w, list_distinct(regexp_extract_all(lower(coalesce(said, '')), '[一-鿿]{{2,}}|[a-z]{{3,}}')) AS c FROM sg LEFT JOIN sd USING (media_id, seg_no)), y AS (SELECT *, CASE WHEN len(w) > 0 THEN len(list_intersect(w, c)) / len(w) ELSE 0 END AS overlap FROM x)
 SELECT media_id, seg_no, CAST(overlap AS DOUBLE) AS overlap, CASE WHEN len(w) = 0 THEN 'empty' WHEN len(c) = 0 THEN 'no_dialogue' WHEN overlap >= 0.1::DOUBLE THEN 'ok' ELSE 'mismatch' END AS flag FROM y""",
     "i2_isotonic": f"""WITH {b.VI}, x AS (SELECT media_id, seg_no AS line_no, end_s - start_s AS t_s, sum(end_s - start_s) OVER (PARTITION BY media_id ORDER BY seg_no) AS total FROM vi), m AS (SELECT a.media_id, a.line_no AS i, z.line_no AS j, (z.total - a.total + a.t_s) / (z.line_no - a.line_no + 1) AS mean FROM x a JOIN x z ON a.media_id = z.media_id AND z.line_no >= a.line_no),
-lo AS (SELECT media_id, i, j AS k, min(mean) OVER (PARTITION BY media_id, i ORDER BY j DESC) AS low FROM m) SELECT x.media_id, x.line_no, x.t_s, round(max(low), 6) AS fixed_s FROM x JOIN lo ON lo.media_id = x.media_id AND lo.k = x.line_no GROUP BY ALL""",
+lo AS (SELECT media_id, i, j AS k, min(mean) OVER (PARTITION BY media_id, i ORDER BY j DESC) AS low FROM m) SELECT x.media_id, x.line_no, CAST(floor(max(low) * 1000 + 1e-5) AS BIGINT) AS fixed_ms FROM x JOIN lo ON lo.media_id = x.media_id AND lo.k = x.line_no GROUP BY ALL""",
     "p5_transcript_quality": f"""WITH {b.CU}, me AS (SELECT media_id, max(end_s) AS dur FROM cu GROUP BY ALL), k AS (SELECT *, regexp_replace(text, '[\\s，。！？、,.!?;；:："''“”‘’…—\\-]+', '', 'g') AS k FROM cu), l AS (SELECT *, lag(k) OVER (PARTITION BY media_id ORDER BY cue_no) AS p FROM k), g AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> k OR k = '' THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY cue_no) AS g FROM l),
 c AS (SELECT media_id, arg_min(start_s, cue_no) AS start_s, arg_max(end_s, cue_no) AS end_s FROM g GROUP BY media_id, g), d AS (SELECT *, max(end_s) OVER (PARTITION BY media_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM c), a AS (SELECT media_id, dur, count(*) AS n, min(start_s) AS head, max(end_s) AS last, greatest(0, coalesce(max(start_s - prev), 0)) AS largest_gap, sum(end_s - start_s) AS spoken FROM d JOIN me USING (media_id) GROUP BY ALL)
 SELECT media_id, n, round(greatest(0, dur - last), 6) AS tail_gap, round(largest_gap, 6) AS largest_gap, round(spoken / dur, 6) AS coverage, CASE WHEN head > greatest(60, 0.15::DOUBLE * dur) THEN 'warn' ELSE 'ok' END AS level FROM a""",

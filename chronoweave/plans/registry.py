@@ -1150,7 +1150,7 @@ def i1(s, d):
 @query("i2_isotonic")
 def i2(s, d):
     x = b.visits(s, d).select(M, F.col("seg_no").cast("int").alias("line_no"), (F.col("end_s") - F.col("start_s")).alias("t_s"))
-    return r6(sequences.isotonic(x), "fixed_s")
+    return sequences.isotonic(x).select(M, "line_no", F.floor(F.col("fixed_s") * 1000 + 1e-5).alias("fixed_ms"))
 
 
 @query("i3_sanitize_alignment")
