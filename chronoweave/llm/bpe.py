@@ -264,7 +264,8 @@ def encode_docs(docs: DataFrame, tokenizer: str, spread: int = SPREAD) -> DataFr
     short = docs.where(size <= spread).mapInArrow(whole, schema)
     step = spread // 2
     cuts = F.transform(F.sequence(F.lit(0), F.ceil(size / step).cast("int") - 1), lambda k: F.substring(F.col("text"), k * step + 1, F.lit(step)))
-    long = docs.where(size > spread).select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(cuts).alias("leaf", "part"))
+    long = docs.where(size > spread).withColumn("row", F.monotonically_increasing_id())  # before the leaves: one number a text
+    long = long.select("doc_id", "row", F.posexplode(cuts).alias("leaf", "part"))
     long = long.select("doc_id", "row", "leaf", (F.col("leaf").cast("long") * step).alias("start"), F.col("part").alias("text")).repartition("row", "leaf")
     long = long.mapInArrow(leaves, "doc_id long, row long, leaf int, start long, text string, starts array<long>, ends array<long>, ids array<binary>")
     return short.unionByName(long.groupBy("row").applyInArrow(joined, schema))
