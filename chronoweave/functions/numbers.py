@@ -96,6 +96,24 @@ def distribute(items: Value, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_join(F.slice(_c(items), bound(i) + 1, bound(i + 1) - bound(i)), ""))
 
 
+def map_lines_to_segs(lines: Value, n: Value) -> Column:
+    """[R1] A text for each of n segments: lines spread evenly; with fewer lines than segments the longest are cut into sentences,
+    then clauses, then equal parts, until there are enough."""
+    have = lambda x: F.size(x) >= _c(n)
+    fine = F.filter(F.flatten(F.transform(_c(lines), lambda t: F.regexp_extract_all(t, F.lit("([^。！？!?；;]+[。！？!?；;]*)"), F.lit(1)))), lambda t: F.trim(t) != "")
+    finer = F.filter(F.flatten(F.transform(_c(lines), lambda t: F.regexp_extract_all(t, F.lit("([^，,、。！？!?；;]+[，,、。！？!?；;]*)"), F.lit(1)))), lambda t: F.trim(t) != "")
+    whole = F.array_join(_c(lines), "")
+    size = F.greatest(F.lit(1), F.ceil(F.length(whole) / _c(n)).cast("int"))
+    equal = F.transform(F.sequence(F.lit(0), _c(n) - 1), lambda k: F.substring(whole, k * size + 1, size))
+    parts = F.when(have(_c(lines)), _c(lines)).when(have(fine), fine).when(have(finer), finer).otherwise(equal)
+
+    def spread(p: Column) -> Column:
+        bound = lambda i: F.bround(i * F.size(p) / _c(n), 0).cast("int")
+        return F.transform(F.sequence(F.lit(0), _c(n) - 1), lambda i: F.array_join(F.slice(p, bound(i) + 1, bound(i + 1) - bound(i)), ""))
+
+    return F.get(F.transform(F.array(parts), spread), 0)
+
+
 def reasons(ranks: dict[str, Value], keywords: Value | None = None, floor: float = 0.70) -> Column:
     """[R2] Up to three notes: every signal whose rank is high, keywords said, or a default. Names in order of the dict."""
     notes = [F.when(_c(r) >= floor, F.format_string(f"{name} peak (top %d%%)", F.greatest(F.lit(1), F.floor((1 - _c(r)) * 100 + 1e-9)).cast("int"))) for name, r in ranks.items()]

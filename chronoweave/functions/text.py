@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -324,6 +324,12 @@ def scrub(text: Text) -> Column:
     return let(F.coalesce(_c(text), F.lit("")), chain)
 
 
+def scrub_texts(lines: DataFrame, text: str = "text") -> DataFrame:
+    """[H23] Lines with their text scrubbed in place, none dropped, and ``changed`` where that did something."""
+    d = lines.withColumn("_cw_new", scrub(text))
+    return d.withColumn("changed", F.col("_cw_new") != F.coalesce(F.col(text), F.lit(""))).withColumn(text, F.col("_cw_new")).drop("_cw_new")
+
+
 def quotes(text: Text) -> Column:
     """[H24] Quoted spans of 2 to 80 characters after a colon or a speech verb within 14 characters."""
     verb = "[：:]|说|道|喊|叫|问|答|吼|骂|念|写"

@@ -273,3 +273,25 @@ def align_detail(report: DataFrame, plan: DataFrame, scenes: DataFrame, keys: tu
     """[C22] Verdicts with the planned window and candidate scenes of each line, texts cut to 80 characters."""
     d = report.join(plan, list(keys), "left").join(scenes, list(keys), "left")
     return d.withColumn("narr", F.left(F.coalesce("narr", F.lit("")), F.lit(80))).withColumn("why", F.left(F.coalesce("why", F.lit("")), F.lit(80)))
+
+
+def gram_sets(a: str | Column, b: str | Column) -> Column:
+    """[G4] (both, any): grams that two texts share, and all of theirs."""
+    x, y = char_bigrams(a), char_bigrams(b)
+    return F.struct(F.array_intersect(x, y).alias("both"), F.array_union(x, y).alias("any"))
+
+
+def lines_of_clip(clips: DataFrame, cues: DataFrame, least: float = 0.4) -> DataFrame:
+    """[R3] clips with their informative lines in order, and ``noisy`` where lines were said but none informs."""
+    from ..functions.text import line_weight
+
+    said = overlap_join(cues, clips, limit=200).drop("text")
+    good = F.filter("lines", lambda x: line_weight(x["text"]) >= least)
+    d = said.withColumn("_cw_n", F.size("lines")).withColumn("lines", good)
+    return d.withColumn("noisy", (F.col("_cw_n") > 0) & (F.size("lines") == 0)).drop("_cw_n")
+
+
+def explode_windows(df: DataFrame, window: float, start: str = "start_s", end: str = "end_s", out: str = "win") -> DataFrame:
+    """One row for each window that an interval touches."""
+    last = F.greatest(F.floor(F.col(start) / window), F.ceil(F.col(end) / window) - 1)
+    return df.withColumn(out, F.explode(F.sequence(F.floor(F.col(start) / window), last))).withColumn(out, F.col(out).cast("int"))

@@ -15,6 +15,8 @@ from ..functions import numbers as num
 from ..functions import text as tx
 from ..functions.lexicon import ACTIONS, HIGHLIGHT_WORDS
 from ..operators import joins, select, sequences, signals, tables, windows
+from ..session import scratch_dir
+from ..streaming import chat
 from . import bindings as b
 from . import pipelines
 from .oracles import MORE_SQL
@@ -759,10 +761,10 @@ def g3(s, d):
 
 @query("g4_gram_sets", f"WITH {b.CU}, a AS ({GR.format(id='media_id, cue_no', t='cu')}), l AS (SELECT media_id, cue_no, list(gram) AS g FROM a GROUP BY ALL) SELECT x.media_id, x.cue_no, len(list_intersect(x.g, y.g)) AS both, len(list_distinct(list_concat(x.g, y.g))) AS any FROM l x JOIN l y ON x.media_id = y.media_id AND y.cue_no = x.cue_no + 1")
 def g4(s, d):
-    g = b.cues(s, d).select(M, "cue_no", tx.char_bigrams("text").alias("g"))
-    n = g.select(M, (F.col("cue_no") - 1).alias("cue_no"), F.col("g").alias("h"))
-    x = g.join(n, [M, "cue_no"]).where("size(g) > 0 and size(h) > 0")
-    return x.select(M, "cue_no", F.size(F.array_intersect("g", "h")).cast("long").alias("both"), F.size(F.array_union("g", "h")).cast("long").alias("any"))
+    c = b.cues(s, d).where(F.size(tx.char_bigrams("text")) > 0)
+    n = c.select(M, (F.col("cue_no") - 1).alias("cue_no"), F.col("text").alias("next"))
+    x = c.join(n, [M, "cue_no"]).withColumn("g", joins.gram_sets("text", "next"))
+    return x.select(M, "cue_no", F.size("g.both").cast("long").alias("both"), F.size("g.any").cast("long").alias("any"))
 
 
 @query("g5_distinct_points", f"WITH {b.EV} SELECT DISTINCT media_id, round_even(t_s, 0) AS t_s FROM ev")
@@ -901,8 +903,7 @@ def h22(s, d):
 
 @query("h23_scrub_texts")
 def h23(s, d):
-    x = b.cues(s, d).withColumn("new", tx.scrub("text"))
-    return x.groupBy(M).agg(F.count("*").alias("n"), F.count_if(F.col("new") != F.col("text")).alias("changed"))
+    return tx.scrub_texts(b.cues(s, d)).groupBy(M).agg(F.count("*").alias("n"), F.count_if("changed").alias("changed"))
 
 
 @query("h24_quotes", "SELECT p_partkey, p_name AS quote FROM part WHERE length(p_name) BETWEEN 2 AND 80")
@@ -985,6 +986,12 @@ def r1(s, d):
     return x.select("p_partkey", F.col("w")[0].alias("first"), F.array_join("slots", "").alias("joined"))
 
 
+@query("r1_map_lines_to_segs", "SELECT p_partkey, array_to_string(string_split(p_type, ' '), '') AS joined, 5 AS n FROM part")
+def r1b(s, d):
+    x = b.table(s, d, "part").withColumn("slots", num.map_lines_to_segs(F.split("p_type", " "), F.lit(5)))
+    return x.select("p_partkey", F.array_join("slots", "").alias("joined"), F.size("slots").alias("n"))
+
+
 @query("r2_reasons", f"""WITH {RANKS} SELECT media_id, win, coalesce(nullif(concat_ws('; ', CASE WHEN chat_rank >= 0.7::DOUBLE THEN 'chat peak (top ' || greatest(1, CAST(floor((1 - chat_rank) * 100 + 1e-9) AS INTEGER)) || '%)' END, CASE WHEN motion_rank >= 0.7::DOUBLE THEN 'motion peak (top ' || greatest(1, CAST(floor((1 - motion_rank) * 100 + 1e-9) AS INTEGER)) || '%)' END), ''), 'overall peak') AS reasons FROM fu""")
 def r2(s, d):
     return _fused(s, d).select(M, "win", F.array_join(num.reasons({"chat": "chat_rank", "motion": "motion_rank"}), "; ").alias("reasons"))
@@ -992,9 +999,8 @@ def r2(s, d):
 
 @query("r3_lines_of_clip")
 def r3(s, d):
-    x = joins.overlap_join(b.cues(s, d), b.segs(s, d), limit=200)
-    said = F.filter("lines", lambda v: tx.line_weight(v["text"]) >= 0.4)
-    return x.select(M, "seg_no", F.size("lines").alias("n"), F.size(said).alias("informative"), ((F.size("lines") > 0) & (F.size(said) == 0)).alias("noisy"))
+    x = joins.lines_of_clip(b.segs(s, d), b.cues(s, d))
+    return x.select(M, "seg_no", F.size("lines").alias("informative"), "noisy")
 
 
 @query("r4_l2_normalise", "SELECT vec_id, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS norm2, 1.0::DOUBLE AS unit FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL")
@@ -1320,4 +1326,56 @@ def p7(s, d):
     return pipelines.retention(b.items(s, d), 800_000_000, 400, 3).select("name", "size")
 
 
+# ---- streams: the events table as a stream, drained once -----------------------------------------------------------------
+
+
+def _stream(s, d):
+    e = s.readStream.schema(b.table(s, d, "events").schema).option("pathGlobFilter", "events*.parquet").option("recursiveFileLookup", "true").parquet(d)
+    return e.select(F.col("user_id").alias(M), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("text"))
+
+
+def _drained(s, df):
+    out = scratch_dir(s)
+    q = df.writeStream.format("parquet").outputMode("append").option("path", f"{out}/out").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.read.schema(df.schema).parquet(f"{out}/out")
+
+
+LATEST = "(SELECT max(ts) - INTERVAL 30 SECOND FROM events)"
+
+
+@query("k1_stream_chat_counts", f"SELECT user_id AS media_id, CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, count(*) AS chat FROM events GROUP BY ALL HAVING max(time_bucket(INTERVAL 1 HOUR, ts)) + INTERVAL 1 HOUR <= {LATEST}")
+def k1(s, d):
+    return _drained(s, chat.stream_chat_counts(_stream(s, d), "1 hour")).select(M, F.unix_seconds("start").alias("start"), "chat")
+
+
+@query("k2_stream_smoothed", f"WITH x AS (SELECT user_id AS media_id, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start FROM events) SELECT media_id, CAST(epoch(start) AS BIGINT) AS start, count(*) / 2 AS smooth FROM x GROUP BY ALL HAVING max(start) + INTERVAL 2 HOUR <= {LATEST}")
+def k2(s, d):
+    return _drained(s, chat.stream_smoothed(_stream(s, d), "2 hours", "1 hour", 2)).select(M, F.unix_seconds("start").alias("start"), "smooth")
+
+
+@query("k3_stream_sessions", f"WITH x AS (SELECT user_id AS media_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), y AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY ts) AS g FROM x) SELECT media_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM y GROUP BY media_id, g HAVING max(ts) + INTERVAL 6 HOUR <= {LATEST}")
+def k3(s, d):
+    return _drained(s, chat.stream_sessions(_stream(s, d), "6 hours")).select(M, F.unix_seconds("start").alias("start"), "n")
+
+
+@query("k6_stream_dedup", "SELECT user_id AS media_id, event_id FROM events")
+def k6(s, d):
+    e = _stream(s, d)
+    return _drained(s, chat.stream_dedup_events(e.unionByName(e))).select(M, "event_id")
+
+
+@query("k7_stream_keyword_alerts", f"SELECT user_id AS media_id, CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS start, count(*) FILTER (event_type IN ('error', 'click')) AS hits FROM events GROUP BY ALL HAVING hits >= 2 AND max(time_bucket(INTERVAL 1 DAY, ts)) + INTERVAL 1 DAY <= {LATEST}")
+def k7(s, d):
+    x = chat.stream_keyword_alerts(_stream(s, d), "1 day", 2, ["error", "click"])
+    return _drained(s, x).select(M, F.unix_seconds("start").alias("start"), "hits")
+
+
+@query("k5_highlights_batch")
+def k5(s, d):
+    e = b.live(s, d).withColumn("ts", F.timestamp_millis(F.col("t_ms") + b.EPOCH_MS))
+    n = e.groupBy(M, F.date_trunc("hour", "ts").alias("start")).agg(F.count("*").alias("chat"))
+    return chat.highlights_batch(n, horizon="20 days").select(M, F.unix_seconds("start").alias("start"), "chat")
+
+
 ORACLE_SQL |= MORE_SQL

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,3 +28,9 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(archive))
     sys.path[:] = path
     _shipped.add(app)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder's path under spark.checkpoint.dir, which a cluster's executors share; a temporary one where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{(folder or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{uuid.uuid4().hex}"

@@ -44,7 +44,8 @@ def read_runs(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:
 def broken_runs(spark: SparkSession, path: str) -> DataFrame:
     """[A8] History files that could not be read."""
     d = spark.read.schema(RUN).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
-    return d.select(F.input_file_name().alias("path"), "_corrupt_record").where("_corrupt_record is not null")
+    broken = F.col("_corrupt_record").isNotNull() & F.coalesce(F.length("file") >= 0, F.lit(True))  # the reader wants a data column named as well
+    return d.where(broken).select(F.input_file_name().alias("path"), "_corrupt_record")
 
 
 def fingerprint(*columns: str | Column) -> Column:

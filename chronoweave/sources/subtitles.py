@@ -69,10 +69,11 @@ def read_live_events(spark: SparkSession, path: str) -> DataFrame:
     is not well formed gives none."""
     d = spark.read.format("xml").option("rowTag", "d").option("mode", "PERMISSIVE").schema("_p string, _VALUE string, _corrupt_record string").load(path)
     d = d.withColumn(MEDIA, F.input_file_name())
-    bad = d.where(F.col("_corrupt_record").isNotNull()).select(MEDIA).distinct()
+    broken = F.col("_corrupt_record").isNotNull() & F.coalesce(F.length("_p") >= 0, F.lit(True))  # the reader wants a data column named as well
+    bad = d.where(broken).select(MEDIA).distinct()
     good = d.where(F.col("_corrupt_record").isNull()).join(bad, MEDIA, "left_anti")
     t = F.get(F.split("_p", ","), 0).try_cast("double")
-    return good.select(MEDIA, F.greatest(t, F.lit(0.0)).alias("t_s"), F.trim("_VALUE").alias("text")).where("t_s is not null and text <> ''")
+    return good.select(MEDIA, F.when(t.isNotNull(), F.greatest(t, F.lit(0.0))).alias("t_s"), F.trim("_VALUE").alias("text")).where("t_s is not null and text <> ''")
 
 
 def discover_sidecars(files: DataFrame, media: DataFrame, langs: list[str] = LANGS) -> DataFrame:

@@ -79,7 +79,7 @@ def test_groups_do_not_leak(spark):
 
 def test_f2_flat_curve_gives_none(spark):
     assert sequences.detect_points(curve(spark, []), 2.0).count() == 0
-    got = rows(sequences.detect_points(curve(spark, [(100, 0.9), (200, 0.8)]), 2.0), "start_s", "end_s", "dur")
+    got = rows(sequences.detect_points(curve(spark, [(100, 0.9), (200, 0.8), (300, 0.9), (400, 0.8)]), 2.0), "start_s", "end_s", "dur")
     assert got and all(abs(b - a - d) < 0.02 and d >= 1 for a, b, d in got)
 
 

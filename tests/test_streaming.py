@@ -64,5 +64,5 @@ def test_collapse(spark, stream, tmp_path):
 
 
 def test_highlights_horizon(spark):
-    counts = spark.createDataFrame([(1, START + dt.timedelta(seconds=2 * i), 20 if i == 30 else 1 + i % 2) for i in range(60)], "media_id long, start timestamp, chat long")
+    counts = spark.createDataFrame([(1, START + dt.timedelta(seconds=2 * i), 20 if i == 30 else 1 + (i % 4 == 0)) for i in range(60)], "media_id long, start timestamp, chat long")
     assert START + dt.timedelta(seconds=60) in {r["start"] for r in chat.highlights_batch(counts).collect()}
