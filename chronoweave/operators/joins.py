@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import dot, length_penalty
-from ..functions.text import action_tokens, bigrams_by_clause, char_bigrams, edit_ratio, lcs_contiguous, sentence_kind
+from ..functions.text import action_tokens, bigrams_by_clause, char_bigrams, edit_ratio, lcs_up_to_ten, sentence_kind
 from .bins import interval_join, point_in_interval, prefixed
 
 MEDIA = "media_id"
@@ -150,8 +150,8 @@ def anchor_score_join(lines: DataFrame, cues: DataFrame) -> DataFrame:
     hit = hit.agg(F.sum("w").alias("s"), F.count("*").alias("hit"), F.sum("common").alias("common"))
     base = F.col("s") / F.col("total") * (1 - 0.8 * F.col("common") / F.col("hit"))
     hit = hit.join(lines.select(MEDIA, "line_no", F.col("text").alias("line_text")), [MEDIA, "line_no"]).join(cues.select(MEDIA, "cue_no", F.col("text").alias("cue_text")), [MEDIA, "cue_no"])
-    lcs = lcs_contiguous("line_text", "cue_text")
-    return hit.withColumn("lcs", lcs).select(MEDIA, "line_no", "cue_no", (base + F.when(F.col("lcs") >= 3, F.least("lcs", F.lit(10)) / 20).otherwise(0.0)).alias("score"))
+    lcs = lcs_up_to_ten("line_text", "cue_text")
+    return hit.withColumn("lcs", lcs).select(MEDIA, "line_no", "cue_no", (base + F.when(F.col("lcs") >= 3, F.col("lcs") / 20).otherwise(0.0)).alias("score"))
 
 
 def literal_match(quotes: DataFrame, cues: DataFrame, window: float = 240.0, threshold: float = 0.55) -> DataFrame:

@@ -186,6 +186,12 @@ def test_h12_last_class_wins(spark):
     assert scalar(spark, tx.action_tokens(F.lit("他开枪射击"))) == ["ACT:持械"]
 
 
+def test_h10_forms_agree(spark):
+    df = spark.createDataFrame([("abcde，fgh", "xxcdefgyy"), ("ab", "cd"), ("", None), ("aaaaaaaaaaaa", "aaaaaaaaaaaaa")], "a string, b string")
+    got = rows(df.select(tx.lcs_contiguous("a", "b"), tx.lcs_up_to_ten("a", "b")))
+    assert [min(10, x) for x, _ in got] == [y for _, y in got] == [5, 0, 0, 10]
+
+
 def test_h14_needs_two(spark):
     assert scalar(spark, tx.emotion_of(F.lit("真相与秘密"))) == "严肃" and scalar(spark, tx.emotion_of(F.lit("真相"))) == "解说"
 
