@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import write_table
 
-SAMPLE, SAMPLE_BYTES, BRANCH, LEAF_ROWS, CALIBRATE, RECALL, SLICE = 20_000, 64 << 20, 8, 400, 96, 0.96, 4096
+SAMPLE, SAMPLE_BYTES, BRANCH, LEAF_ROWS, CALIBRATE, RECALL, GROUP_ROWS = 20_000, 64 << 20, 8, 400, 96, 0.96, 16_384
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -159,23 +159,42 @@ def search(vectors: DataFrame, queries_of, k: int = 10, recall: float = RECALL,
     needed = np.sort([order[q][leaf] for q, leaf in zip(truth["query_id"], truth["leaf"], strict=True)])
     most = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1 if len(needed) else tree.leaves
 
+    # Leaves of neighbouring numbers are packed into groups of about GROUP_ROWS entries, larger leaves are cut into slices: a query
+    # gets k rows from each group it visits, not from each leaf. The tree bounds the number of leaves.
+    group, slices, filled = np.zeros(tree.leaves, np.int64), [1], 0
+    for r in sorted(index.groupBy("leaf").count().collect()):
+        if filled and filled + r["count"] > GROUP_ROWS:
+            slices, filled = [*slices, 1], 0
+        group[r["leaf"]], filled = len(slices) - 1, filled + r["count"]
+        slices[-1] = max(slices[-1], -(-r["count"] // GROUP_ROWS))
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            visits = [tree.visits(d, most) for d in tree.distances(_matrix(b.column(1)))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(visits, pa.list_(pa.int32()))], ["query_id", "v", "leaf"])
-
-    counts = index.groupBy("leaf").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("n")).hint("broadcast")  # a row for each leaf of the tree
-    left = index.join(counts, "leaf").select("leaf", F.pmod(F.xxhash64("v"), F.col("n")).cast("int").alias("slice"), "v", "ids")
-    right = queries.mapInArrow(walk, "query_id long, v array<double>, leaf array<int>").withColumn("leaf", F.explode("leaf")).join(counts, "leaf")
-    right = right.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("leaf", "slice", "query_id", "v")
+            rows = []
+            for i, d in enumerate(tree.distances(_matrix(b.column(1)))):
+                by_group: dict[int, list[int]] = {}
+                for leaf in tree.visits(d, most):
+                    by_group.setdefault(int(group[leaf]), []).append(leaf)
+                rows += [(i, g, s, leaves) for g, leaves in by_group.items() for s in range(slices[g])]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.list_(pa.int32()))))], ["query_id", "v", "group", "slice", "leaves"])
+
+    places = spark.createDataFrame([(i, int(g), slices[g]) for i, g in enumerate(group)], "leaf int, group int, n int").hint("broadcast")  # a row for each leaf of the tree
+    left = index.join(places, "leaf").select("group", F.pmod(F.xxhash64("v"), F.col("n")).cast("int").alias("slice"), "leaf", "v", "ids")
+    right = queries.mapInArrow(walk, "query_id long, v array<double>, group int, slice int, leaves array<int>")
 
     def near(x: pa.Table, q: pa.Table) -> pa.Table:
         out = ([], [], [])
         if x.num_rows and q.num_rows:
-            out = _best(_matrix(q["v"].combine_chunks()), q["query_id"].to_numpy(), _matrix(x["v"].combine_chunks()), x["ids"].to_pylist(), k)
+            m, names, leaf = _matrix(x["v"].combine_chunks()), x["ids"].to_pylist(), x["leaf"].to_numpy()
+            asked, ids, lists = _matrix(q["v"].combine_chunks()), q["query_id"].to_numpy(), q["leaves"].to_pylist()
+            for i, leaves in enumerate(lists):
+                use = np.flatnonzero(np.isin(leaf, leaves))
+                for c, got in zip(out, _best(asked[i : i + 1], ids[i : i + 1], m[use], [names[j] for j in use], k), strict=True):
+                    c += got
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
-    found = left.groupBy("leaf", "slice").cogroup(right.groupBy("leaf", "slice")).applyInArrow(near, schema)
+    found = left.groupBy("group", "slice").cogroup(right.groupBy("group", "slice")).applyInArrow(near, schema)
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return found.withColumn("rank", ranked).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
