@@ -1,14 +1,16 @@
 """License scans by conditional compression.
 
-Lines that may belong to a license are gathered into blocks. A block is compressed alone and with each template as a raw
-zstandard dictionary; templates are ranked by how much smaller it gets, and winners are confirmed by the exact differences in
-wording: every word of the template's name part must stand, and few others may be missing.
+Every template has a word without which its wording cannot be confirmed. Around each such word of a text, however its lines are
+wrapped, a window of bounded words is compared with the template word by word, so no template and no place is left out: all of
+its telling words must stand, and few others may be missing. Of grants that overlap, the one wins whose template, as a raw
+zstandard dictionary, makes their common text smallest; every other grant is a row of its own.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GAP, RANKED, SHARE = 2, 4, 0.85
+#: Words of a template that must be found; a template of n words may have n + SLACK other words on each side of its anchor.
+SHARE, SLACK, AFTER = 0.85, 16, 8
 # Wording by which licenses are granted or referred to, and the words that tell one from another.
 TEMPLATES = [
     ("MIT", "mit", "Released under the MIT License."),
@@ -45,33 +48,65 @@ TEMPLATES = [
     ("CC-BY-4.0", "creative commons attribution 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("Unlicense", "unencumbered public domain", "This is free and unencumbered software released into the public domain."),
 ]
-#: Words that a block may not have beyond its template's, since they name another license.
+#: Words that a grant may not have beyond its template's, in it or in the AFTER words that end its sentence: they name another license.
 TELLING = {"nc", "nd", "sa", "lesser", "affero", "later", "2.0", "1.0", "3.0", "4.0", "2", "3", "0"}
-HINT = r"(?i)licen[sc]e|copyright|permission (?:is hereby|to use)|warrant|redistribut|public domain|spdx|creative commons|cc[ -]by|cc0"
-_HINT = re.compile(HINT)
 _WORD = re.compile(r"\d+(?:\.\d+)+|[^\W_]+")
+_END = re.compile(r"[.!?][\"')\]]*\s|\n[^\S\n]*\n")
+_BAD = -(10**12)
 
 
 def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def candidate_blocks(text: str, gap: int = GAP) -> list[tuple[int, str]]:
-    """(number of the first line, text) of runs of lines with a hint, which may skip ``gap`` lines between."""
-    lines = text.split("\n")
-    hits = [i for i, line in enumerate(lines) if _HINT.search(line)]
-    groups: list[list[int]] = []
-    for i in hits:
-        if groups and i - groups[-1][1] <= gap + 1:
-            groups[-1][1] = i
+def _needed(want: list[str], must: set[str]) -> str:
+    """The longest word without which a template is not confirmed: one that must stand, or whose loss leaves too few."""
+    return max((w for w in want if w in must or len(want) - want.count(w) < SHARE * len(want)), key=len)
+
+
+def _side(want: list[str], must: set[str], words: list[str], barred: list[bool]) -> tuple[int, list[int], list[int]] | None:
+    """The best way to find ``want`` in order from the start of ``words``: (words used, numbers of the words of ``want`` that
+    are missing, numbers of the words that are added); None if a word of ``must`` cannot be found. Most words kept, then fewest
+    added; words after the last one found are not used, and barred ones are never passed over."""
+    n, m = len(want), len(words)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for j in range(m):
+        best[0][j + 1] = _BAD if barred[j] else best[0][j] - 1
+    for i in range(n):
+        old, row, w = best[i], best[i + 1], want[i]
+        lost = _BAD if w in must else 0
+        row[0] = old[0] + lost
+        for j in range(m):
+            x = max(old[j + 1] + lost, row[j] + (_BAD if barred[j] else -1))
+            if words[j] == w and old[j] + 1000 > x:
+                x = old[j] + 1000
+            row[j + 1] = x
+    used = max(range(m + 1), key=lambda j: (best[n][j], -j))
+    if best[n][used] < _BAD // 2:
+        return None
+    i, j, missing, added = n, used, [], []
+    while i or j:
+        if i and j and words[j - 1] == want[i - 1] and best[i][j] == best[i - 1][j - 1] + 1000:
+            i, j = i - 1, j - 1
+        elif i and best[i][j] == best[i - 1][j] + (_BAD if want[i - 1] in must else 0):
+            i -= 1
+            missing.append(i)
         else:
-            groups.append([i, i])
-    out = []
-    for a, b in groups:
-        out.append((a, "\n".join(lines[a : b + 1])))
-        if b > a:
-            out += [(i, lines[i]) for i in hits if a <= i <= b]
-    return out
+            j -= 1
+            added.append(j)
+    return used, missing[::-1], added[::-1]
+
+
+def _apart(spans: list[tuple]) -> list[tuple]:
+    """The spans (first word, end, ...), taken in order, that overlap none taken before."""
+    taken: list[tuple] = []
+    starts: list[int] = []
+    for s in spans:
+        at = bisect_left(starts, s[0])
+        if (at == 0 or taken[at - 1][1] <= s[0]) and (at == len(taken) or s[1] <= taken[at][0]):
+            starts.insert(at, s[0])
+            taken.insert(at, s)
+    return taken
 
 
 class Scanner:
@@ -80,57 +115,102 @@ class Scanner:
     def __init__(self, templates: list[tuple[str, str, str]] = TEMPLATES) -> None:
         self.templates = [(name, set(must.split()), _words(text), self._press(text)) for name, must, text in templates]
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+        self.opening = {tuple(want[:2]) for _, _, want, _ in self.templates}
+        self.anchors: dict[str, list[int]] = defaultdict(list)
+        for k, (_, must, want, _) in enumerate(self.templates):
+            self.anchors[_needed(want, must)].append(k)
+        #: Found in every text that has a grant, as each template's anchor is.
+        self.hint = rf"(?i)(?<![a-z])(?:{'|'.join(re.escape(w) for w in sorted(self.anchors))})(?![a-z])"
 
     @staticmethod
     def _press(text: str) -> zstandard.ZstdCompressor:
         raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         return zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def scan(self, block: str) -> tuple[str, float, float, list[str], list[str]] | None:
-        """(license, size reduction, share of the template's words found, words missing, words added) of the best template
-        that the wording confirms."""
-        data, words = block.encode(), _words(block)
-        size = len(self.alone.compress(data))
-        ranked = sorted(((1 - len(t[3].compress(data)) / size, -k) for k, t in enumerate(self.templates)), reverse=True)
-        best = None
-        for reduction, k in ranked[:RANKED]:
-            name, must, want, _ = self.templates[-k]
-            if reduction <= 0:
-                break
-            kept, missing, added = 0, [], []
-            for op, a, b, c, d in difflib.SequenceMatcher(None, want, words, autojunk=False).get_opcodes():
-                if op == "equal":
-                    kept += b - a
-                else:
-                    missing += want[a:b]
-                    added += words[c:d]
-            share = kept / len(want)
-            near = words[: len(want) + 8]
-            if share >= SHARE and must <= set(words) and not TELLING & (set(added) & set(near)) and not must & set(missing):
-                found = (share, reduction, len(want), name, missing, added)
-                best = max(best, found) if best else found
-        return (best[3], best[1], best[0], best[4], best[5]) if best else None
+    def _reduction(self, k: int, text: str) -> float:
+        data = text.encode("utf-8", "replace")
+        return 1 - len(self.templates[k][3].compress(data)) / len(self.alone.compress(data))
+
+    def _confirm(self, k: int, anchor: str, at: int, words: list[str], barred: list[bool]) -> tuple | None:
+        """(first word, end, template, kept words, missing, added) of the grant whose anchor is word ``at``."""
+        _, must, want, _ = self.templates[k]
+        n, j = len(want), want.index(anchor)
+        lo, hi = max(0, at - j - n - SLACK), min(len(words), at + 2 * n - j + SLACK)
+        near = words[lo:hi]
+        there = set(near)
+        if not must <= there or sum((Counter(want) & Counter(near)).values()) < SHARE * n:
+            return None
+        left = _side(want[:j][::-1], must, words[lo:at][::-1], barred[lo:at][::-1])
+        right = left and _side(want[j + 1 :], must, words[at + 1 : hi], barred[at + 1 : hi])
+        if not right:
+            return None
+        kept = n - len(left[1]) - len(right[1])
+        if kept < SHARE * n:
+            return None
+        missing = [want[j - 1 - i] for i in reversed(left[1])] + [want[j + 1 + i] for i in right[1]]
+        added = [words[at - 1 - i] for i in reversed(left[2])] + [words[at + 1 + i] for i in right[2]]
+        return at - left[0], at + 1 + right[0], k, kept, missing, added
+
+    def scan(self, text: str) -> list[tuple[int, str, float, float, list[str], list[str]]]:
+        """(line, license, size reduction, share of the template's words found, words missing, words added) of every grant."""
+        found = list(_WORD.finditer(text))
+        words = [m[0].lower() for m in found]
+        barred = [w in TELLING for w in words]
+
+        def ends_another(end: int) -> bool:
+            for i in range(end, min(end + AFTER, len(words))):
+                if _END.search(text, found[i - 1].end(), found[i].start()) or tuple(words[i : i + 2]) in self.opening:
+                    return False
+                if barred[i]:
+                    return True
+            return False
+
+        by_template: dict[int, set] = defaultdict(set)
+        spans: dict[tuple, tuple] = {}
+        for at, w in enumerate(words):
+            for k in self.anchors.get(w, ()):
+                if (s := self._confirm(k, w, at, words, barred)) and not ends_another(s[1]):
+                    by_template[k].add(s[:4])
+                    spans[s[:3]] = s
+        grants = []
+        for some in by_template.values():
+            grants += [spans[s[:3]] for s in _apart(sorted(some, key=lambda s: (-s[3], s[1] - s[0], s[0])))]
+        rows, group, end = [], [], 0
+        lines = [m.start() for m in re.finditer("\n", text)]
+
+        def close() -> None:
+            block = text[found[group[0][0]].start() : found[end - 1].end()]
+            ranked = sorted(group, key=lambda s: (-self._reduction(s[2], block), -s[3], s[2])) if len(group) > 1 else group
+            for a, b, k, kept, missing, added in _apart(ranked):
+                grant = text[found[a].start() : found[b - 1].end()]
+                name, _, want, _ = self.templates[k]
+                rows.append((bisect_left(lines, found[a].start()), name, self._reduction(k, grant), kept / len(want), missing, added))
+
+        for s in sorted(grants, key=lambda s: s[:3]):
+            if group and s[0] >= end:
+                close()
+                group = []
+            end = max(end, s[1]) if group else s[1]
+            group.append(s)
+        if group:
+            close()
+        return rows
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, line, license, reduction, share, missing, added), a row for each confirmed block. A
-    block of several lines gives its own rows only where its lines alone give none. Null texts have no blocks; repeated rows
-    are scanned each; null doc_ids stay."""
+    """docs(doc_id, text) -> (doc_id, line, license, reduction, share, missing, added), a row for each grant at the line where
+    it starts, also where a line has several. Null texts have none; repeated rows are scanned each; null doc_ids stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = {}
-                for line, block in candidate_blocks(text):
-                    if (r := scanner.scan(block)) and (line not in found or r[2] > found[line][2]):
-                        found[line] = r
-                rows += [(doc_id, line, *r) for line, r in sorted(found.items())]
+                rows += [(doc_id, *r) for r in scanner.scan(text)]
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "line", "license", "reduction", "share", "missing", "added"])
 
-    near = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").rlike(HINT))
+    near = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").rlike(Scanner(templates).hint))
     return near.mapInArrow(run, "doc_id long, line int, license string, reduction double, share double, missing array<string>, added array<string>")
 
 

@@ -172,6 +172,21 @@ def test_licences(spark):
     assert licences.scan(empty(spark)).count() == 0
 
 
+def test_licences_inside_long_lines():
+    rng, scanner = random.Random(7), licences.Scanner()
+    for name, _, grant in licences.TEMPLATES:
+        line = " ".join(rng.choice(VOCAB) for _ in range(1500))
+        text = f"first\n{line} {grant} {line}\nlast"
+        assert [r[:2] for r in scanner.scan(text)] == [(1, name)]
+
+
+def test_licences_report_every_grant_of_a_block():
+    grants = [(name, grant) for name, _, grant in licences.TEMPLATES]
+    for sep in (" ", "\n"):
+        text = sep.join(grant for _, grant in grants)
+        assert [r[1] for r in licences.Scanner().scan(text)] == [name for name, _ in grants]
+
+
 # ---- substrings (6)
 
 
