@@ -52,6 +52,7 @@ TEMPLATES = [
 TELLING = {"nc", "nd", "sa", "lesser", "affero", "later", "2.0", "1.0", "3.0", "4.0", "2", "3", "0"}
 _WORD = re.compile(r"\d+(?:\.\d+)+|[^\W_]+")
 _END = re.compile(r"[.!?][\"')\]]*\s|\n[^\S\n]*\n")
+_LISTED = re.compile(r"(?:^[\s*#/;(-]*|[.:;]\s+\(?)(\d+)[.)]\s", re.MULTILINE)
 _BAD = -(10**12)
 
 
@@ -155,7 +156,8 @@ class Scanner:
         """(line, license, size reduction, share of the template's words found, words missing, words added) of every grant."""
         found = list(_WORD.finditer(text))
         words = [m[0].lower() for m in found]
-        barred = [w in TELLING for w in words]
+        listed = {m.start(1) for m in _LISTED.finditer(text)}
+        barred = [w in TELLING and m.start() not in listed for w, m in zip(words, found, strict=True)]
 
         def ends_another(end: int) -> bool:
             for i in range(end, min(end + AFTER, len(words))):

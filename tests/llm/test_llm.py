@@ -3,6 +3,7 @@
 import hashlib
 import html
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -187,6 +188,39 @@ def test_licences_report_every_grant_of_a_block():
         assert [r[1] for r in licences.Scanner().scan(text)] == [name for name, _ in grants]
 
 
+BSD3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_licences_wrapped_grants():
+    scanner = licences.Scanner()
+    for width in (12, 30, 72):
+        for lead in ("", "# ", " * "):
+            for name, _, grant in licences.TEMPLATES:
+                text = "before\n\n" + "\n".join(lead + x for x in textwrap.wrap(grant, width, break_long_words=False)) + "\n\nafter"
+                assert [(r[0], r[1], r[3]) for r in scanner.scan(text)] == [(2, name, 1.0)]
+    assert [r[1] for r in scanner.scan(BSD3)] == [r[1] for r in scanner.scan(" ".join(BSD3.split()))] == ["BSD-3-Clause"]
+    assert [r[1] for r in scanner.scan(BSD3[: BSD3.index("3. Neither")])] == ["BSD-2-Clause"]
+
+
+def test_licences_hint_is_in_every_wrapped_grant(spark):
+    rows = [(i, "\n".join(grant.split()), "", "", 0) for i, (_, _, grant) in enumerate(licences.TEMPLATES)]
+    got = sorted((r["doc_id"], r["license"]) for r in licences.scan(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(i, name) for i, (name, _, _) in enumerate(licences.TEMPLATES)]
+
+
 # ---- substrings (6)
 
 
