@@ -163,6 +163,28 @@ def test_pages_repeats_equal_brute_force(spark):
         assert r["text"] == " ".join(x for k, x in enumerate(w) if k not in gone)
 
 
+def test_pages_keep_prose_that_recurs_now_and_then(spark):
+    rng = random.Random(9)
+    prose = {i: [f"v{rng.randrange(10**6)}" for _ in range(120)] for i in range(12)}
+    for i in (1, 2):
+        prose[i][40:50] = "ten words of a saying that two pages quote whole".split()
+    boiler = "we send a letter each week to all who ask for it"
+    rows = [(i, f"http://h.example/{i}", f"<body><div>{' '.join(w)}</div><div>{boiler}</div></body>") for i, w in prose.items()]
+    rows += [(12, "http://h.example/copy", rows[3][2]), (13, "http://two.example/a", "<div>a page that stands at two places of its host</div>"), (14, "http://two.example/b", "<div>a page that stands at two places of its host</div>")]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: " ".join(w) for i, w in prose.items()}
+    assert got == want | {12: want[3], 13: "a page that stands at two places of its host", 14: "a page that stands at two places of its host"}
+
+
+def test_pages_main_with_a_teaser():
+    prose, teaser = "<p>" + "long text " * 30 + "</p>", "<article><p>Read this too</p></article>"
+    text = ("long text " * 30).strip()
+    assert pages.blocks(f"<main>{prose}{teaser}</main>") == [("keep", text), ("keep", "Read this too")]
+    assert pages.blocks(f"<main>{prose}</main>{teaser}") == [("keep", text), ("drop", "Read this too")]
+    assert pages.blocks(f"<div class='post'>{prose}</div>{teaser}") == [("keep", text), ("drop", "Read this too")]
+    assert pages.blocks(f"<main><p>More posts</p><article>{prose}</article></main>") == [("drop", "More posts"), ("keep", text)]
+
+
 # ---- licences (5)
 
 
