@@ -126,19 +126,18 @@ def bigrams_by_clause(text: Text) -> Column:
 
 @F.pandas_udf(T.IntegerType())
 def lcs_contiguous(a: pd.Series, b: pd.Series) -> pd.Series:
-    """[H10] Length of the longest common stretch, punctuation aside."""
+    """[H10] Length of the longest common stretch, punctuation aside, by halving: a stretch of n letters has one of n - 1."""
     import re
 
     def one(x: str | None, y: str | None) -> int:
         x, y = (re.sub(r"[\W_]+", "", v or "") for v in (x, y))
-        best, row = 0, [0] * (len(y) + 1)
-        for ch in x:
-            new = [0] * (len(y) + 1)
-            for j, other in enumerate(y, 1):
-                if ch == other:
-                    new[j] = row[j - 1] + 1
-            best, row = max(best, max(new)), new
-        return best
+        low, high = 0, min(len(x), len(y))
+        while low < high:
+            n = (low + high + 1) // 2
+            own = {x[i : i + n] for i in range(len(x) - n + 1)}
+            hit = any(y[i : i + n] in own for i in range(len(y) - n + 1))
+            low, high = (n, high) if hit else (low, n - 1)
+        return low
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 

@@ -489,7 +489,7 @@ def c11(s, d):
 @query("c12_literal_match")
 def c12(s, d):
     c = b.cues(s, d)
-    q = c.select(M, F.col("cue_no").cast("long").alias("quote_no"), F.substring("text", 1, 60).alias("text"), F.col("start_s").alias("near_s"))
+    q = c.select(M, F.col("cue_no").cast("long").alias("quote_no"), "text", F.col("start_s").alias("near_s"))
     return r6(joins.literal_match(q, c), "ratio")
 
 
@@ -830,15 +830,15 @@ def h9b(s, d):
 @query("h10_lcs_contiguous")
 def h10(s, d):
     c = b.cues(s, d)
-    n = c.select(M, (F.col("cue_no") - 1).alias("cue_no"), F.substring("text", 1, 80).alias("next"))
-    return c.join(n, [M, "cue_no"]).select(M, "cue_no", tx.lcs_contiguous(F.substring("text", 1, 80), "next").alias("lcs"))
+    n = c.select(M, (F.col("cue_no") - 1).alias("cue_no"), F.col("text").alias("next"))
+    return c.join(n, [M, "cue_no"]).select(M, "cue_no", tx.lcs_contiguous("text", "next").alias("lcs"))
 
 
 @query("h11_edit_ratio")
 def h11(s, d):
     c = b.cues(s, d)
-    n = c.select(M, (F.col("cue_no") - 1).alias("cue_no"), F.substring("text", 1, 80).alias("next"))
-    return r6(c.join(n, [M, "cue_no"]).select(M, "cue_no", tx.edit_ratio(F.substring("text", 1, 80), "next").alias("ratio")), "ratio")
+    n = c.select(M, (F.col("cue_no") - 1).alias("cue_no"), F.col("text").alias("next"))
+    return r6(c.join(n, [M, "cue_no"]).select(M, "cue_no", tx.edit_ratio("text", "next").alias("ratio")), "ratio")
 
 
 _ACTION_SQL = " UNION ALL ".join(f"SELECT '{w}' AS w, 'ACT:{c}' AS c" for w, c in {w: c for c, ws in ACTIONS.items() for w in ws}.items())
@@ -1135,6 +1135,9 @@ def a14(s, d):
 # ---- sequential operators and pipelines ----------------------------------------------------------------------------------
 
 
+WHOLE = 2**31 - 1  #: all lines of a scene, none cut
+
+
 def _scenes(s, d):
     return b.segs(s, d).withColumnRenamed("seg_no", "scene_no")
 
@@ -1144,7 +1147,7 @@ def _lines(s, d):
 
 
 def _alignment(s, d):
-    said = joins.overlap_join(b.cues(s, d), b.segs(s, d), chars=200).select(M, F.col("seg_no").alias("scene_no"), "text")
+    said = joins.overlap_join(b.cues(s, d), b.segs(s, d), limit=WHOLE).select(M, F.col("seg_no").alias("scene_no"), "text")
     return sequences.align_lines(_lines(s, d), _scenes(s, d), joins.idf_score_join(_lines(s, d), said))
 
 
@@ -1239,7 +1242,7 @@ def i15(s, d):
 
 @query("i16_align_events")
 def i16(s, d):
-    ev = b.cues(s, d).select(M, F.col("cue_no").alias("event_no"), F.substring("text", 1, 60).alias("text"))
+    ev = b.cues(s, d).select(M, F.col("cue_no").alias("event_no"), "text")
     return r6(sequences.align_events(ev, b.segs(s, d), b.cues(s, d)), "score")
 
 
@@ -1297,7 +1300,7 @@ def p2(s, d):
 def p3(s, d):
     c = b.cues(s, d)
     scripts = c.groupBy(M).agg(F.array_join(F.array_sort(F.collect_list(F.struct("cue_no", "text")))["text"], "\n").alias("text"))
-    scenes = joins.overlap_join(c, b.segs(s, d), chars=200).select(M, F.col("seg_no").alias("scene_no"), "start_s", "end_s", "text")
+    scenes = joins.overlap_join(c, b.segs(s, d), limit=WHOLE).select(M, F.col("seg_no").alias("scene_no"), "start_s", "end_s", "text")
     x = pipelines.align_corpus(scripts, scenes, c)
     return x["plan"].select(M, "kept", "removed", F.round("coverage", 6).alias("coverage")).join(x["coverage"].select(M, "aligned", "total"), M)
 

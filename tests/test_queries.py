@@ -44,3 +44,15 @@ def test_query(spark, name):
         a, b = values(got), values(want)
         assert len(a) == len(b), (len(a), len(b), [x for x in a if x not in set(b)][:3], [x for x in b if x not in set(a)][:3])
         assert a == b, [(x, y) for x, y in zip(a, b, strict=True) if x != y][:4]
+
+
+def test_texts_are_compared_whole(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    a, b = "".join(chr(0x4E00 + i) for i in range(150)), "".join(chr(0x5E00 + i) for i in range(150))
+    rows = [(1, 0, "user", a + "the part that both texts share"), (1, 1, "assistant", b + "the part that both texts share")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = entry.queries()["h10_lcs_contiguous"](spark, str(tmp_path)).collect()
+    assert [r["lcs"] for r in got] == [25]
+    got = entry.queries()["h11_edit_ratio"](spark, str(tmp_path)).collect()
+    assert [r["ratio"] > 0.1 for r in got] == [True]
