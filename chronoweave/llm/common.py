@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,21 +90,47 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+@cache
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word from prefix sums of a polynomial over all bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(BASE, n), out=sums[1:])
-    inverse = _powers(pow(BASE, -1, 1 << 64), n)
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word from prefix sums of a polynomial over its bytes; worked in pieces, so that temporaries stay
+    small however long the text is."""
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + piece, "right")))
+        lo, n = starts[at], int(ends[stop - 1] - starts[at])
+        size = 1 << max(10, (n - 1).bit_length())
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data[lo : lo + n].astype(np.uint64) + np.uint64(1)) * _powers(BASE, size)[:n], out=sums[1:])
+        s, e = starts[at:stop] - lo, ends[at:stop] - lo
+        out[at:stop] = mix((sums[e] - sums[s]) * _powers(pow(BASE, -1, 1 << 64), size)[s] + (e - s).astype(np.uint64))
+        at = stop
+    return out
+
+
+def span_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run of symbols h[start:end], from prefix sums."""
+    size = 1 << max(10, (len(h)).bit_length())
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _powers(GRAM_BASE, size)[: len(h)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _powers(pow(GRAM_BASE, -1, 1 << 64), size)[starts] + (ends - starts).astype(np.uint64))
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Column names like ``names`` that a table with ``columns`` does not have (Spark compares them without case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:

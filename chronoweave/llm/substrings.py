@@ -1,18 +1,25 @@
 """Substring dedup by recompression.
 
-Rounds name pairs of neighbouring symbols by a hash of the pair, the same everywhere: a symbol of class L and one of class R
-after it become one symbol, the class being a bit of the name (equal neighbours share a class, so runs keep their symbols and
-never hide a boundary). After two rounds a symbol spans at most four words, and where it begins and ends depends on two words
-to either side. Every window of ``WINDOW`` words therefore holds symbols that are the same wherever that window occurs; the
-one of least name is its anchor, and the anchor with two words of context is the window's high-level symbol. Only windows
-whose symbol occurs in two documents are verified, by a 128-bit name of their exact words.
-
-Texts are dealt to chunks of bounded size. A chunk sends each name once, with the smallest doc_id that has it, so a passage
-that a third of all documents share costs one entry a chunk; answers return as one bit for each name that was sent.
+Every round names runs of one symbol, then pairs of neighbours: a symbol of class L and one of class R after it become one
+symbol, the class being a bit of the name. A name is a hash of what it stands for, so tasks name alike without a dictionary,
+and equal substrings have equal symbols inside, wherever they stand. Spark groups three levels of symbols over all documents,
+each only where the level above left something open:
+
+1. High symbols (about twenty words) cut a text into blocks. A block with the words that its last window needs gets a 128-bit
+   name; a block that a document of smaller doc_id has too is a repeat as a whole. Of a text that thousands copy, one goes on.
+2. Low symbols (two rounds, pairs only: up to four words, where they begin and end depends on two words to either side). Every
+   window holds some; the one of least name, with two words on both sides, is its anchor. Anchors of open blocks that two
+   documents have reveal where a repeat can be.
+3. Windows of such anchors are verified by a 128-bit name of their exact words.
+
+All three are plain rows and partial minima, so a passage that a third of all documents share costs each task one row a name;
+texts are shuffled once. Tasks work through texts in pieces of about ``PIECE`` bytes, one very long text as well.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,167 +28,206 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, buffers, gram_hashes, mix, spans, word_bounds, word_hashes
+from .common import IS_SPACE, buffers, mix, span_hashes, spans, unused, word_bounds, word_hashes, write_table
 
-WINDOW, EDGE, ROUNDS, LONGEST = 13, 2, 2, 4
+WINDOW, EDGE, ROUNDS, LONGEST, UPPER = 13, 2, 2, 4, 9
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 LAST = np.iinfo(np.int64).max
-SMALL, LARGE = 8 << 20, 128 << 20
+PIECE = 1 << 20
+
+
+def _pairs(names: np.ndarray, at: np.ndarray, first: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One round of pairs: equal neighbours share a class and never pair."""
+    left = (mix(names + np.uint64(0x1F83D9AB + salt)) & np.uint64(1)).astype(bool)
+    pair = np.zeros(len(names), bool)
+    pair[:-1] = left[:-1] & ~left[1:] & ~first[1:]
+    i = np.flatnonzero(pair)
+    named = names.copy()
+    named[i] = mix(names[i] * np.uint64(0xC2B2AE3D27D4EB4F) + names[i + 1])
+    stays = np.ones(len(names), bool)
+    stays[i + 1] = False
+    return named[stays], at[stays], first[stays]
+
+
+def _runs(names: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One round of runs: a symbol that repeats becomes one, named by the symbol and how often it stands there."""
+    new = np.ones(len(names), bool)
+    new[1:] = (names[1:] != names[:-1]) | first[1:]
+    if new.all():
+        return names, at, first
+    i = np.flatnonzero(new)
+    count = np.diff(np.append(i, len(names)))
+    named = np.where(count > 1, mix(names[i] * np.uint64(0x9E6C63D0876A9A47) + count.astype(np.uint64)), names[i])
+    return named, at[i], first[i]
 
 
 def recompress(names: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """names of the words, first: which words begin a document -> places and names of the symbols after the rounds."""
+    """names of the words, first: which words begin a document -> places and names of the low symbols."""
     at = np.arange(len(names))
     for r in range(rounds):
-        left = (mix(names + np.uint64(0x1F83D9AB + r)) & np.uint64(1)).astype(bool)
-        pair = np.zeros(len(names), bool)
-        pair[:-1] = left[:-1] & ~left[1:] & ~first[1:]
-        named = names.copy()
-        i = np.flatnonzero(pair)
-        named[i] = mix(names[i] * np.uint64(0xC2B2AE3D27D4EB4F) + names[i + 1])
-        stays = np.ones(len(names), bool)
-        stays[i + 1] = False
-        names, at, first = named[stays], at[stays], first[stays]
+        names, at, first = _pairs(names, at, first, r)
     return at, names
 
 
+def high_symbols(at: np.ndarray, names: np.ndarray, begins: np.ndarray, rounds: int = UPPER) -> np.ndarray:
+    """Places where the high symbols begin, from the low ones; begins: for every word whether it begins a document."""
+    first = begins[at]
+    for r in range(rounds):
+        names, at, first = _pairs(*_runs(names, at, first), ROUNDS + r)
+    return at
+
+
 class Slice:
-    """Words, windows and anchors of a few documents."""
+    """Words and windows of some rows, or of one piece of a long row (``base`` words of which come before)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> None:
-        self.data, self.offsets, self.docs = data, offsets, docs
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, row: int, base: int = 0) -> None:
+        self.data, self.offsets, self.row, self.base = data, offsets, row, base
         self.starts, self.ends, self.before = word_bounds(data, offsets)
-        n = len(self.starts)
-        self.doc_of = np.repeat(np.arange(len(docs)), np.diff(self.before))
-        count = n - WINDOW + 1
-        ok = self.doc_of[:count] == self.doc_of[WINDOW - 1 :] if count > 0 else np.zeros(0, bool)
-        self.windows = np.flatnonzero(ok)
+        self.doc_of = np.repeat(np.arange(len(offsets) - 1), np.diff(self.before))
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """The name of each anchor used, and for each window the number of its anchor."""
+    def anchors(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each window the place of its anchor and the anchor's name; then where high symbols begin."""
         n = len(self.starts)
-        if not len(self.windows):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         h = word_hashes(self.data, self.starts, self.ends)
-        first = np.zeros(n, bool)
-        first[self.before[:-1][np.diff(self.before) > 0]] = True
-        at, names = recompress(h, first)
+        begins = np.zeros(n, bool)
+        begins[self.before[:-1][np.diff(self.before) > 0]] = True
+        at, names = recompress(h, begins)
         value, length = np.full(n, NONE), np.full(n, 127, np.int8)
         value[at] = mix(names) >> np.uint64(1)
         length[at] = np.diff(np.append(at, n)).clip(max=127)
-        best, place = np.full(len(self.windows), NONE), np.zeros(len(self.windows), np.int64)
+        best, place = np.full(len(windows), NONE), np.zeros(len(windows), np.int64)
         for o in range(EDGE, WINDOW - EDGE):
-            b = self.windows + o
+            b = windows + o
             v = value[b]
             use = (v < best) & (length[b] <= WINDOW - EDGE - o)
             best[use], place[use] = v[use], b[use]
-        used, number = np.unique(place, return_inverse=True)
-        keys = np.zeros(len(used), np.uint64)
-        for k in range(1, LONGEST + 1):
-            rows = np.flatnonzero(length[used] == k)
-            if len(rows):
-                keys[rows] = gram_hashes(h, k + 2 * EDGE)[used[rows] - EDGE] + np.uint64(k)
-        return keys, number
-
-    def window_names(self, windows: np.ndarray) -> np.ndarray:
-        """128-bit names of the words of windows, joined by one space (a row of two numbers each)."""
+        return place, span_hashes(h, place - EDGE, place + length[place] + EDGE), high_symbols(at, names, begins)
+
+    def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """128-bit names of words first to last, joined by one space (a row of two numbers each)."""
         space = IS_SPACE[self.data]
         keep = ~space
         keep[1:] |= ~space[:-1]
-        place = np.cumsum(keep) - 1
+        place = np.cumsum(keep, dtype=np.int64) - 1
         joined = np.where(space, np.uint8(32), self.data)[keep].tobytes()
-        s = place[self.starts[windows]]
-        last = windows + WINDOW - 1
+        s = place[self.starts[first]]
         e = place[self.starts[last]] + self.ends[last] - self.starts[last]
         name = xxhash.xxh3_128_digest
         return np.frombuffer(b"".join([name(joined[a:b]) for a, b in zip(s.tolist(), e.tolist(), strict=True)]), "<i8").reshape(-1, 2)
 
 
-def _least(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct names in order, the smallest and largest doc of each, and where each row's name is. names: (n,) or (n, 2)."""
-    if names.ndim == 1:
-        order = np.argsort(names, kind="stable")
-        new = np.ones(len(names), bool)
-        new[1:] = names[order][1:] != names[order][:-1]
-    else:
-        order = np.lexsort((names[:, 1], names[:, 0]))
-        s = names[order]
-        new = np.ones(len(names), bool)
-        new[1:] = (s[1:] != s[:-1]).any(axis=1)
-    at = np.flatnonzero(new)
-    number = np.empty(len(names), np.int64)
-    number[order] = np.cumsum(new) - 1
-    d = docs[order]
-    return names[order][at], np.minimum.reduceat(d, at) if len(at) else d, np.maximum.reduceat(d, at) if len(at) else d, number
-
-
-def _slices(table: pa.Table, doc_id: str, text: str) -> list[Slice]:
-    data, offsets = buffers(pc.cast(table[text], pa.binary()))
-    docs = pc.fill_null(pc.cast(table[doc_id], pa.int64()), LAST).to_numpy()
-    return [Slice(data[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s], docs[s:e]) for s, e in spans(offsets)]
-
-
-def _by_bucket(chunk: int, names: np.ndarray, columns: dict[str, np.ndarray], buckets: int) -> pa.Table:
-    """Names in order, cut by bucket (a name's leading bits): a row of arrays for each bucket."""
-    lead = (names if names.ndim == 1 else names[:, 0].view(np.uint64)) if len(names) else np.zeros(0, np.uint64)
-    bucket = ((lead >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    counts = np.bincount(bucket, minlength=buckets)
-    have = np.flatnonzero(counts)
-    offsets = pa.array(np.append(0, np.cumsum(counts[have])), pa.int32())
-    lists = {c: pa.ListArray.from_arrays(offsets, pa.array(v[order])) for c, v in columns.items()}
-    return pa.table({"bucket": pa.array(have, pa.int32()), "chunk": pa.array(np.full(len(have), chunk), pa.int32()), **lists})
-
-
-def _answers(group: pa.Table, flag) -> pa.Table:
-    """One bucket of all chunks -> for each chunk one flag a name, in the order sent."""
-    sizes = pc.list_value_length(group["low"]).to_numpy()
-    cols = {c: pc.list_flatten(group[c]).to_numpy(zero_copy_only=False) for c in group.column_names if c not in ("bucket", "chunk")}
-    names = np.stack([cols["hi"], cols["lo"]], axis=1) if "hi" in cols else cols["name"]
-    _, low, high, number = _least(names, cols["low"])
-    high = np.full(len(low), np.iinfo(np.int64).min)
-    np.maximum.at(high, number, cols["high"])
-    flags = np.packbits(np.concatenate([np.zeros(0, bool), flag(cols, low[number], high[number])]))
-    bits = np.unpackbits(flags)[: sizes.sum()]
-    ends = np.cumsum(sizes)
-    out = [np.packbits(bits[e - n : e]).tobytes() for n, e in zip(sizes, ends, strict=True)]
-    return pa.table({"chunk": pc.cast(group["chunk"], pa.int32()), "bucket": pc.cast(group["bucket"], pa.int32()), "flags": pa.array(out, pa.binary())})
-
-
-def _returned(answers: pa.Table, phase: int, names: np.ndarray, buckets: int) -> np.ndarray:
-    """The flags of a chunk's names, in the order of the names."""
-    out = np.zeros(len(names), bool)
-    lead = (names if names.ndim == 1 else names[:, 0].view(np.uint64)) if len(names) else np.zeros(0, np.uint64)
-    bucket = ((lead >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    counts = np.bincount(bucket, minlength=buckets)
-    ends = np.cumsum(counts)
-    for p, b, flags in zip(*(answers[c].to_pylist() for c in ("phase", "bucket", "flags")), strict=True):
-        if p == phase:
-            n = counts[b]
-            out[order[ends[b] - n : ends[b]]] = np.unpackbits(np.frombuffer(flags, np.uint8))[:n].astype(bool)
-    return out
-
-
-def _shared_windows(slices: list[Slice], answers: pa.Table, buckets: int):
-    """Per slice the windows whose anchor occurs in two documents; then the distinct names of those windows."""
-    anchors = [s.anchors() for s in slices]
-    docs = [_anchor_docs(s, a) for s, a in zip(slices, anchors, strict=True)]
-    names, _, _, number = _least(np.concatenate([k for k, _ in anchors]), np.concatenate(docs))
-    shared = _returned(answers, 1, names, buckets)
-    windows, at = [], 0
-    for s, (keys, of) in zip(slices, anchors, strict=True):
-        windows.append(s.windows[shared[number[at : at + len(keys)]][of]] if len(of) else s.windows)
-        at += len(keys)
-    named = np.concatenate([s.window_names(w) for s, w in zip(slices, windows, strict=True)])
-    return windows, _least(named, np.concatenate([s.docs[s.doc_of[w]] for s, w in zip(slices, windows, strict=True)]))
-
-
-def _anchor_docs(s: Slice, a: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The document of each anchor."""
-    doc = np.zeros(len(a[0]), np.int64)
-    doc[a[1]] = s.docs[s.doc_of[s.windows]]
-    return doc
+def _slices(texts: pa.Array, shared: int = WINDOW - 1) -> Iterator[Slice]:
+    """All rows in slices of about PIECE bytes; a longer row in pieces, neighbours of which share ``shared`` words."""
+    data, offsets = buffers(pc.cast(texts, pa.binary()))
+    for s, e in spans(offsets, PIECE):
+        lo, hi = int(offsets[s]), int(offsets[e])
+        if hi - lo <= 2 * PIECE:
+            yield Slice(data[lo:hi], offsets[s : e + 1] - lo, s)
+            continue
+        base, size = 0, PIECE
+        while True:
+            end = min(hi, lo + size)
+            while end < hi and not IS_SPACE[data[end]]:
+                end += 1
+            piece = Slice(data[lo:end], np.array([0, end - lo]), s, base)
+            n = len(piece.starts)
+            if end < hi and n <= shared:  # words of such length that a piece holds too few
+                size *= 2
+                continue
+            yield piece
+            if end == hi:
+                break
+            lo, base, size = (lo + int(piece.starts[n - shared]), base + n - shared, PIECE) if shared else (end, base + n, PIECE)
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, key, text) -> a row for each block: its place, number of windows, name, and its anchors' names and stretches of
+    windows (16 * first window + number of windows)."""
+    for batch in batches:
+        doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for s in _slices(batch.column(2)):
+            count = len(s.starts) - WINDOW + 1
+            w = np.flatnonzero(s.doc_of[:count] == s.doc_of[WINDOW - 1 :]) if count > 0 else np.zeros(0, np.int64)
+            if not len(w):
+                continue
+            place, name, bounds = s.anchors(w)
+            cut = np.zeros(len(s.starts), bool)
+            cut[bounds] = True
+            block = cut[w]
+            block[0] = True
+            block[1:] |= w[1:] != w[:-1] + 1
+            part = block.copy()
+            part[1:] |= place[1:] != place[:-1]
+            b, p = np.flatnonzero(block), np.flatnonzero(part)
+            n, m = np.diff(np.append(b, len(w))), np.diff(np.append(p, len(w)))
+            of = np.cumsum(block)[p] - 1
+            named = s.digests(w[b], w[b] + n + WINDOW - 2)
+            row = s.row + s.doc_of[w[b]]
+            at = w[b] - s.before[:-1][s.doc_of[w[b]]] + s.base
+            parts = np.bincount(of, minlength=len(b))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[row]), pa.array(key[row]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(named[:, 0].copy()), pa.array(named[:, 1].copy()), _lists(name[p].view(np.int64), parts), _lists(((w[p] - w[b][of]) * 16 + m).astype(np.int32), parts)],
+                ["doc", "key", "at", "n", "hi", "lo", "names", "parts"],
+            )
+
+
+def _ranges(column: pa.Array, row: int) -> np.ndarray:
+    """(at, n) of a row's list of structs, a row each; empty where the list is null."""
+    got = column[row].values
+    return np.zeros((0, 2), np.int64) if got is None else np.stack([got.field("at").to_numpy(), got.field("n").to_numpy()], axis=1).astype(np.int64)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, key, text, wanted) -> a row for each wanted window: its place and name."""
+    for batch in batches:
+        doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for s in _slices(batch.column(2)):
+            own, row = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k in range(len(s.offsets) - 1):
+                r = _ranges(batch.column(3), s.row + k)
+                at = np.repeat(r[:, 0] - np.cumsum(r[:, 1]) + r[:, 1], r[:, 1]) + np.arange(r[:, 1].sum()) - s.base + s.before[k]
+                own.append(at[(at >= s.before[k]) & (at + WINDOW <= s.before[k + 1])])
+                row.append(np.full(len(own[-1]), k))
+            w, k = np.concatenate(own), np.concatenate(row)
+            if len(w):
+                named = s.digests(w, w + WINDOW - 1)
+                at = (w - s.before[:-1][k] + s.base).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[s.row + k]), pa.array(key[s.row + k]), pa.array(at), pa.array(named[:, 0].copy()), pa.array(named[:, 1].copy())], ["doc", "key", "at", "hi", "lo"])
+
+
+def _cutter(text: str, ranges: str, keep: list[str]):
+    """Rows with their repeats -> rows with counts and what is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            repeats = batch.column(batch.schema.get_field_index(ranges))
+            n_words, n_removed, kept = (np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)])
+            for s in _slices(batch.column(batch.schema.get_field_index(text)), shared=0):
+                raw = s.data.tobytes()
+                for k in range(len(s.offsets) - 1):
+                    lo, hi = int(s.before[k]), int(s.before[k + 1])
+                    r, row = _ranges(repeats, s.row + k), s.row + k
+                    n_words[row] += hi - lo
+                    edge = np.zeros(hi - lo + 1, np.int64)
+                    if len(r):
+                        a, b = (r[:, 0] - s.base).clip(0, hi - lo), (r[:, 0] + r[:, 1] + WINDOW - 1 - s.base).clip(0, hi - lo)
+                        np.add.at(edge, a, 1)
+                        np.add.at(edge, b, -1)
+                    stays = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
+                    n_removed[row] += hi - lo - len(stays)
+                    if len(stays) == hi - lo:
+                        kept[row] += raw[s.offsets[k] : s.offsets[k + 1]].split()
+                    else:
+                        kept[row] += [raw[a:b] for a, b in zip(s.starts[lo + stays].tolist(), s.ends[lo + stays].tolist(), strict=True)]
+                    kept[row] = [b" ".join(kept[row])] if kept[row] else []
+            texts = pa.array([b"".join(p) for p in kept], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(n_words), pa.array(n_removed), texts], [*keep, "n_words", "n_removed", "kept_text"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,75 +235,35 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Words are runs of anything but ASCII white space. A word is removed if a window of 13 consecutive words over it, as the
     input has them, also starts in a document of smaller doc_id. kept_text is the rest joined by one space. Null and empty
-    texts have no words; a null doc_id counts as the largest; rows that share a doc_id never remove from one another; an
-    empty table gives none."""
+    texts have no words; texts of any length are whole; a null doc_id counts as the largest; rows that share a doc_id never
+    remove from one another, equal rows lose the same words; an empty table gives none."""
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    chunks = max(1, -(-total // SMALL))
-    chunks = max(min(chunks, 4096), -(-total // LARGE))
-    buckets = int(chunks)
-    dealt = docs.withColumn("_cw_chunk", F.pmod(F.xxhash64(F.lit(13), doc_id), F.lit(buckets)).cast("int")).repartition("_cw_chunk")
-    lists = "bucket int, chunk int, {}"
-
-    def anchors(table: pa.Table) -> pa.Table:
-        chunk, slices = table["_cw_chunk"][0].as_py(), _slices(table, doc_id, text)
-        found = [s.anchors() for s in slices]
-        names, low, high, _ = _least(np.concatenate([k for k, _ in found]), np.concatenate([_anchor_docs(s, a) for s, a in zip(slices, found, strict=True)]))
-        return _by_bucket(chunk, names, {"name": names.view(np.int64), "low": low, "high": high}, buckets)
-
-    def anchor_answers(group: pa.Table) -> pa.Table:
-        return _answers(group, lambda cols, low, high: low != high)
-
-    def windows(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _by_bucket(0, np.zeros((0, 2), np.int64), {c: np.zeros(0, np.int64) for c in ("hi", "lo", "low", "high")}, buckets)
-        _, (names, low, high, _) = _shared_windows(_slices(table, doc_id, text), answers, buckets)
-        return _by_bucket(table["_cw_chunk"][0].as_py(), names, {"hi": names[:, 0].copy(), "lo": names[:, 1].copy(), "low": low, "high": high}, buckets)
-
-    def window_answers(group: pa.Table) -> pa.Table:
-        return _answers(group, lambda cols, low, high: low < cols["low"])
-
-    fields = [f for f in docs.schema.fields]
-    out_schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-
-    def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
-        n_words, n_removed, kept = [], [], []
-        if table.num_rows:
-            slices = _slices(table, doc_id, text)
-            windows_of, (names, low, _, number) = _shared_windows(slices, answers, buckets)
-            earlier = _returned(answers, 2, names, buckets)
-            at = 0
-            for s, w in zip(slices, windows_of, strict=True):
-                own = number[at : at + len(w)]
-                at += len(w)
-                hit = w[earlier[own] | (low[own] < s.docs[s.doc_of[w]])]
-                edge = np.zeros(len(s.starts) + 1, np.int64)
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + WINDOW, -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                removed = np.add.reduceat(np.append(gone, False).astype(np.int64), s.before[:-1]) if len(s.docs) else []
-                removed = np.where(np.diff(s.before) > 0, removed, 0)
-                n_words += np.diff(s.before).tolist()
-                n_removed += removed.tolist()
-                raw, a, b, stays = s.data.tobytes(), s.starts.tolist(), s.ends.tolist(), ~gone
-                for d in range(len(s.docs)):
-                    lo, hi = s.before[d], s.before[d + 1]
-                    if removed[d] == 0:
-                        kept.append(b" ".join(raw[s.offsets[d] : s.offsets[d + 1]].split()))
-                    else:
-                        kept.append(b" ".join([raw[a[i] : b[i]] for i in (np.flatnonzero(stays[lo:hi]) + lo).tolist()]))
-        cols = [table[f.name] for f in fields]
-        texts = pa.array(kept, pa.binary()).cast(pa.string())
-        return pa.table([*cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), texts], [f.name for f in out_schema.fields])
-
-    three = ", ".join(f"{c} array<long>" for c in ("name", "low", "high"))
-    four = ", ".join(f"{c} array<long>" for c in ("hi", "lo", "low", "high"))
-    sent = dealt.groupBy("_cw_chunk").applyInArrow(anchors, lists.format(three))
-    first = sent.groupBy("bucket").applyInArrow(anchor_answers, "chunk int, bucket int, flags binary").withColumn("phase", F.lit(1))
-    sent = dealt.groupBy("_cw_chunk").cogroup(first.groupBy("chunk")).applyInArrow(windows, lists.format(four))
-    second = sent.groupBy("bucket").applyInArrow(window_answers, "chunk int, bucket int, flags binary").withColumn("phase", F.lit(2))
-    both = first.unionByName(second)
-    return dealt.groupBy("_cw_chunk").cogroup(both.groupBy("chunk")).applyInArrow(cut, out_schema)
+    doc, key, repeats = unused(docs.columns, "doc", "key", "repeats")
+    keyed = docs.select("*", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias(doc), F.xxhash64(text).alias(key))
+    whole = "doc long, key long, at int, n int, hi long, lo long, names array<long>, parts array<int>"
+    blocks = write_table(keyed.select(doc, key, text).mapInArrow(_blocks, whole), "blocks")
+    least = blocks.groupBy("hi", "lo").agg(F.min("doc").alias("low"))
+    open_ = F.col("doc") <= F.col("low")
+    judged = blocks.hint("merge").join(least, ["hi", "lo"])
+    judged = write_table(judged.select("doc", "key", "at", "n", open_.alias("open"), *[F.when(open_, F.col(c)).alias(c) for c in ("names", "parts")]), "judged")
+
+    parts = judged.where("open").select("doc", "key", "at", F.explode(F.arrays_zip("names", "parts")).alias("p"))
+    parts = parts.select("doc", "key", F.col("p.names").alias("name"), (F.col("at") + F.shiftright("p.parts", 4)).alias("at"), F.col("p.parts").bitwiseAND(15).alias("n"))
+    shared = parts.groupBy("name").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("name")
+    wanted = parts.hint("merge").join(shared, "name")
+    ranges = F.collect_set(F.struct("at", "n"))  # a set: rows that repeat add nothing
+    wanted = wanted.groupBy(F.col("doc").alias(doc), F.col("key").alias(key)).agg(ranges.alias(repeats))
+
+    asked = keyed.hint("merge").join(wanted, [doc, key])
+    windows = asked.select(doc, key, text, repeats).mapInArrow(_windows, "doc long, key long, at int, hi long, lo long")
+    least = windows.groupBy("hi", "lo").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    found = windows.hint("merge").join(least, ["hi", "lo"]).where("doc > low").select("doc", "key", "at", F.lit(1).alias("n"))
+    found = judged.where("not open").select("doc", "key", "at", "n").unionByName(found)
+    found = found.groupBy(F.col("doc").alias(doc), F.col("key").alias(key)).agg(ranges.alias(repeats))
+
+    joined = keyed.hint("merge").join(found, [doc, key], "left")
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    return joined.mapInArrow(_cutter(text, repeats, docs.columns), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -246,6 +246,16 @@ def test_licences_hint_is_in_every_wrapped_grant(spark):
 # ---- substrings (6)
 
 
+def sized(run, piece):
+    def inner(batches):
+        from chronoweave.llm import substrings as own
+
+        own.PIECE = piece
+        yield from run(batches)
+
+    return inner
+
+
 def brute_removed(rows):
     first = {}
     for i, t, *_ in rows:
@@ -264,9 +274,12 @@ def brute_removed(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk", [8 << 20, 600])
-def test_substrings_equal_brute_force(spark, docs, monkeypatch, chunk):
-    monkeypatch.setattr(substrings, "SMALL", chunk)
+@pytest.mark.parametrize("piece", [1 << 20, 300])
+def test_substrings_equal_brute_force(spark, docs, monkeypatch, piece):
+    for part in ("_blocks", "_windows"):  # a worker of its own for each piece size
+        monkeypatch.setattr(substrings, part, sized(getattr(substrings, part), piece))
+    cutter = substrings._cutter
+    monkeypatch.setattr(substrings, "_cutter", lambda *a: sized(cutter(*a), piece))
     rng = random.Random(9)
     more = [(100 + i, " ".join(rng.choice("ab") for _ in range(60)), "", "", 0) for i in range(30)]
     rows = docs[1] + more
