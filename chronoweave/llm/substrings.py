@@ -5,7 +5,7 @@ symbol, the class being a bit of the name. A name is a hash of what it stands fo
 and equal substrings have equal symbols inside, wherever they stand. Spark groups three levels of symbols over all documents,
 each only where the level above left something open:
 
-1. High symbols (about twenty words) cut a text into blocks. A block with the words that its last window needs gets a 128-bit
+1. High symbols (some twenty-five words) cut a text into blocks. A block with the words that its last window needs gets a 128-bit
    name; a block that a document of smaller doc_id has too is a repeat as a whole. Of a text that thousands copy, one goes on.
 2. Low symbols (two rounds, pairs only: up to four words, where they begin and end depends on two words to either side). Every
    window holds some; the one of least name, with two words on both sides, is its anchor. Anchors of open blocks that two
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import IS_SPACE, buffers, mix, span_hashes, spans, unused, word_bounds, word_hashes, write_table
 
-WINDOW, EDGE, ROUNDS, LONGEST, UPPER = 13, 2, 2, 4, 9
+WINDOW, EDGE, ROUNDS, LONGEST, UPPER = 13, 2, 2, 4, 11
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 LAST = np.iinfo(np.int64).max
 PIECE = 1 << 20
@@ -85,13 +85,17 @@ class Slice:
         self.starts, self.ends, self.before = word_bounds(data, offsets)
         self.doc_of = np.repeat(np.arange(len(offsets) - 1), np.diff(self.before))
 
-    def anchors(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each window the place of its anchor and the anchor's name; then where high symbols begin."""
-        n = len(self.starts)
-        h = word_hashes(self.data, self.starts, self.ends)
-        begins = np.zeros(n, bool)
+    def low_symbols(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and names of the low symbols, and for every word whether it begins a document."""
+        self.hashes = word_hashes(self.data, self.starts, self.ends)
+        begins = np.zeros(len(self.starts), bool)
         begins[self.before[:-1][np.diff(self.before) > 0]] = True
-        at, names = recompress(h, begins)
+        return *recompress(self.hashes, begins), begins
+
+    def anchors(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each window the place of its anchor and the anchor's name."""
+        n = len(self.starts)
+        at, names, _ = self.low_symbols()
         value, length = np.full(n, NONE), np.full(n, 127, np.int8)
         value[at] = mix(names) >> np.uint64(1)
         length[at] = np.diff(np.append(at, n)).clip(max=127)
@@ -101,7 +105,7 @@ class Slice:
             v = value[b]
             use = (v < best) & (length[b] <= WINDOW - EDGE - o)
             best[use], place[use] = v[use], b[use]
-        return place, span_hashes(h, place - EDGE, place + length[place] + EDGE), high_symbols(at, names, begins)
+        return place, span_hashes(self.hashes, place - EDGE, place + length[place] + EDGE)
 
     def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """128-bit names of words first to last, joined by one space (a row of two numbers each)."""
@@ -140,39 +144,31 @@ def _slices(texts: pa.Array, shared: int = WINDOW - 1) -> Iterator[Slice]:
             lo, base, size = (lo + int(piece.starts[n - shared]), base + n - shared, PIECE) if shared else (end, base + n, PIECE)
 
 
-def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values))
+def _doc_windows(s: Slice) -> np.ndarray:
+    """First words of the windows, none of which spans two rows."""
+    count = len(s.starts) - WINDOW + 1
+    return np.flatnonzero(s.doc_of[:count] == s.doc_of[WINDOW - 1 :]) if count > 0 else np.zeros(0, np.int64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, key, text) -> a row for each block: its place, number of windows, name, and its anchors' names and stretches of
-    windows (16 * first window + number of windows)."""
+    """(doc, key, text) -> a row for each block: its place, number of windows and name."""
     for batch in batches:
         doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for s in _slices(batch.column(2)):
-            count = len(s.starts) - WINDOW + 1
-            w = np.flatnonzero(s.doc_of[:count] == s.doc_of[WINDOW - 1 :]) if count > 0 else np.zeros(0, np.int64)
+            w = _doc_windows(s)
             if not len(w):
                 continue
-            place, name, bounds = s.anchors(w)
             cut = np.zeros(len(s.starts), bool)
-            cut[bounds] = True
+            cut[high_symbols(*s.low_symbols())] = True
             block = cut[w]
             block[0] = True
             block[1:] |= w[1:] != w[:-1] + 1
-            part = block.copy()
-            part[1:] |= place[1:] != place[:-1]
-            b, p = np.flatnonzero(block), np.flatnonzero(part)
-            n, m = np.diff(np.append(b, len(w))), np.diff(np.append(p, len(w)))
-            of = np.cumsum(block)[p] - 1
-            named = s.digests(w[b], w[b] + n + WINDOW - 2)
-            row = s.row + s.doc_of[w[b]]
-            at = w[b] - s.before[:-1][s.doc_of[w[b]]] + s.base
-            parts = np.bincount(of, minlength=len(b))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[row]), pa.array(key[row]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(named[:, 0].copy()), pa.array(named[:, 1].copy()), _lists(name[p].view(np.int64), parts), _lists(((w[p] - w[b][of]) * 16 + m).astype(np.int32), parts)],
-                ["doc", "key", "at", "n", "hi", "lo", "names", "parts"],
-            )
+            b = np.flatnonzero(block)
+            n, b = np.diff(np.append(b, len(w))), w[b]
+            named = s.digests(b, b + n + WINDOW - 2)
+            k = s.doc_of[b]
+            at = b - s.before[:-1][k] + s.base
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s.row + k]), pa.array(key[s.row + k]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(named[:, 0].copy()), pa.array(named[:, 1].copy())], ["doc", "key", "at", "n", "hi", "lo"])
 
 
 def _ranges(column: pa.Array, row: int) -> np.ndarray:
@@ -181,20 +177,50 @@ def _ranges(column: pa.Array, row: int) -> np.ndarray:
     return np.zeros((0, 2), np.int64) if got is None else np.stack([got.field("at").to_numpy(), got.field("n").to_numpy()], axis=1).astype(np.int64)
 
 
+def _open_windows(s: Slice, done: pa.Array) -> np.ndarray:
+    """Windows of no block that is known to repeat."""
+    edge = np.zeros(len(s.starts) + 1, np.int64)
+    for k in range(len(s.offsets) - 1):
+        r = _ranges(done, s.row + k)
+        if len(r):
+            lo, hi = s.before[k], s.before[k + 1]
+            np.add.at(edge, (r[:, 0] - s.base).clip(0, hi - lo) + lo, 1)
+            np.add.at(edge, (r[:, 0] + r[:, 1] - s.base).clip(0, hi - lo) + lo, -1)
+    w = _doc_windows(s)
+    return w[np.cumsum(edge)[w] == 0]
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, key, text, done) -> a row for each anchor of an open window."""
+    for batch in batches:
+        doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for s in _slices(batch.column(2)):
+            w = _open_windows(s, batch.column(3))
+            if not len(w):
+                continue
+            place, name = s.anchors(w)
+            new = np.ones(len(w), bool)
+            new[1:] = place[1:] != place[:-1]
+            k = s.row + s.doc_of[w[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(name[new].view(np.int64)), pa.array(doc[k]), pa.array(key[k])], ["name", "doc", "key"])
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, key, text, wanted) -> a row for each wanted window: its place and name."""
+    """(doc, key, text, done, names) -> a row for each open window whose anchor is one of names: its place and name."""
     for batch in batches:
         doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for s in _slices(batch.column(2)):
-            own, row = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for k in range(len(s.offsets) - 1):
-                r = _ranges(batch.column(3), s.row + k)
-                at = np.repeat(r[:, 0] - np.cumsum(r[:, 1]) + r[:, 1], r[:, 1]) + np.arange(r[:, 1].sum()) - s.base + s.before[k]
-                own.append(at[(at >= s.before[k]) & (at + WINDOW <= s.before[k + 1])])
-                row.append(np.full(len(own[-1]), k))
-            w, k = np.concatenate(own), np.concatenate(row)
+            w = _open_windows(s, batch.column(3))
+            if not len(w):
+                continue
+            _, name = s.anchors(w)
+            edges, use = np.searchsorted(w, s.before), np.zeros(len(w), bool)
+            for k in np.flatnonzero(np.diff(edges)):
+                own = slice(edges[k], edges[k + 1])
+                use[own] = np.isin(name[own], batch.column(4)[int(s.row + k)].values.to_numpy().view(np.uint64))
+            w = w[use]
             if len(w):
-                named = s.digests(w, w + WINDOW - 1)
+                named, k = s.digests(w, w + WINDOW - 1), s.doc_of[w]
                 at = (w - s.before[:-1][k] + s.base).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(doc[s.row + k]), pa.array(key[s.row + k]), pa.array(at), pa.array(named[:, 0].copy()), pa.array(named[:, 1].copy())], ["doc", "key", "at", "hi", "lo"])
 
@@ -238,28 +264,24 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts have no words; texts of any length are whole; a null doc_id counts as the largest; rows that share a doc_id never
     remove from one another, equal rows lose the same words; an empty table gives none."""
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    doc, key, repeats = unused(docs.columns, "doc", "key", "repeats")
+    doc, key, repeats, names = unused(docs.columns, "doc", "key", "repeats", "names")
     keyed = docs.select("*", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias(doc), F.xxhash64(text).alias(key))
-    whole = "doc long, key long, at int, n int, hi long, lo long, names array<long>, parts array<int>"
-    blocks = write_table(keyed.select(doc, key, text).mapInArrow(_blocks, whole), "blocks")
-    least = blocks.groupBy("hi", "lo").agg(F.min("doc").alias("low"))
-    open_ = F.col("doc") <= F.col("low")
-    judged = blocks.hint("merge").join(least, ["hi", "lo"])
-    judged = write_table(judged.select("doc", "key", "at", "n", open_.alias("open"), *[F.when(open_, F.col(c)).alias(c) for c in ("names", "parts")]), "judged")
-
-    parts = judged.where("open").select("doc", "key", "at", F.explode(F.arrays_zip("names", "parts")).alias("p"))
-    parts = parts.select("doc", "key", F.col("p.names").alias("name"), (F.col("at") + F.shiftright("p.parts", 4)).alias("at"), F.col("p.parts").bitwiseAND(15).alias("n"))
-    shared = parts.groupBy("name").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("name")
-    wanted = parts.hint("merge").join(shared, "name")
     ranges = F.collect_set(F.struct("at", "n"))  # a set: rows that repeat add nothing
-    wanted = wanted.groupBy(F.col("doc").alias(doc), F.col("key").alias(key)).agg(ranges.alias(repeats))
-
-    asked = keyed.hint("merge").join(wanted, [doc, key])
-    windows = asked.select(doc, key, text, repeats).mapInArrow(_windows, "doc long, key long, at int, hi long, lo long")
-    least = windows.groupBy("hi", "lo").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    found = windows.hint("merge").join(least, ["hi", "lo"]).where("doc > low").select("doc", "key", "at", F.lit(1).alias("n"))
-    found = judged.where("not open").select("doc", "key", "at", "n").unionByName(found)
-    found = found.groupBy(F.col("doc").alias(doc), F.col("key").alias(key)).agg(ranges.alias(repeats))
+    own = [F.col("doc").alias(doc), F.col("key").alias(key)]
+    blocks = write_table(keyed.select(doc, key, text).mapInArrow(_blocks, "doc long, key long, at int, n int, hi long, lo long"), "blocks")
+    least = blocks.groupBy("hi", "lo").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("hi", "lo", "low")
+    done = blocks.hint("merge").join(least, ["hi", "lo"]).where("doc > low").groupBy(*own).agg(ranges.alias(repeats))
+    done = write_table(done, "done")
+
+    open_ = keyed.hint("merge").join(done, [doc, key], "left")
+    anchors = open_.select(doc, key, text, repeats).mapInArrow(_anchors, "name long, doc long, key long")
+    shared = anchors.groupBy("name").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("name")
+    wanted = anchors.hint("merge").join(shared, "name").groupBy(*own).agg(F.collect_set("name").alias(names))
+    asked = open_.hint("merge").join(wanted, [doc, key]).select(doc, key, text, repeats, names)
+    windows = asked.mapInArrow(_windows, "doc long, key long, at int, hi long, lo long")
+    least = windows.groupBy("hi", "lo").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("hi", "lo", "low")
+    found = windows.hint("merge").join(least, ["hi", "lo"]).where("doc > low").select(*own, F.struct("at", F.lit(1).alias("n")).alias("r"))
+    found = done.select(doc, key, F.explode(repeats).alias("r")).unionByName(found).groupBy(doc, key).agg(F.collect_set("r").alias(repeats))
 
     joined = keyed.hint("merge").join(found, [doc, key], "left")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])

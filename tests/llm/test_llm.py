@@ -276,7 +276,7 @@ def brute_removed(rows):
 
 @pytest.mark.parametrize("piece", [1 << 20, 300])
 def test_substrings_equal_brute_force(spark, docs, monkeypatch, piece):
-    for part in ("_blocks", "_windows"):  # a worker of its own for each piece size
+    for part in ("_blocks", "_anchors", "_windows"):  # a worker of its own for each piece size
         monkeypatch.setattr(substrings, part, sized(getattr(substrings, part), piece))
     cutter = substrings._cutter
     monkeypatch.setattr(substrings, "_cutter", lambda *a: sized(cutter(*a), piece))
