@@ -147,20 +147,106 @@ def test_pages_without_container_lose_repeats(spark):
         assert "weekly" not in r["text"] and f"page {'abcdef'[r['page_id']]}" in r["text"]
 
 
-def test_pages_repeats_equal_brute_force(spark):
-    rng = random.Random(5)
-    rows = [(i, f"http://h{i % 2}.example/", "<div>" + html.escape(" ".join(rng.choice("ab cd ef".split()) for _ in range(30))) + "</div>") for i in range(8)]
-    own = {i: h[5:-6].split() for i, _, h in rows}
+def judge_brute(host):
+    """The rules of pages.judge on dictionaries of tuples: host is a list of pages, a page a list of (kind, text)."""
+    bodies = ["\n".join(t for k, t in page if k != "drop") for page in host]
     seen = {}
-    for i, w in own.items():
-        for k in range(len(w) - pages.RUN + 1):
-            seen.setdefault((i % 2, *w[k : k + pages.RUN]), set()).add(i)
-    for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
-        w, gone = own[r["page_id"]], set()
+    for body, page in zip(bodies, host, strict=True):
+        for _, t in page:
+            w = t.split()
+            for k in range(len(w) - pages.RUN + 1):
+                seen.setdefault(tuple(w[k : k + pages.RUN]), set()).add(body)
+    n = len(set(bodies))
+    often, some = max(2, n / 2), max(3, n / 10)
+
+    def gone(w, least):
+        out = set()
         for k in range(len(w) - pages.RUN + 1):
-            if len(seen[(r["page_id"] % 2, *w[k : k + pages.RUN])]) > 1:
-                gone.update(range(k, k + pages.RUN))
-        assert r["text"] == " ".join(x for k, x in enumerate(w) if k not in gone)
+            if len(seen[tuple(w[k : k + pages.RUN])]) >= least:
+                out.update(range(k, k + pages.RUN))
+        return out
+
+    texts = []
+    for page in host:
+        kept, cut = [], []
+        for i, (kind, t) in enumerate(page):
+            w = t.split()
+            if kind == "drop":
+                continue
+            if kind == "keep":
+                g = set(range(len(w))) if len(w) >= pages.RUN and len(gone(w, max(often, 3))) >= 0.9 * len(w) else set()
+            else:
+                g = gone(w, min(often, some))
+                g = g if len(g) * 2 > len(w) else gone(w, often)
+            kept.append([i, " ".join(x for k, x in enumerate(w) if k not in g)])
+            cut.append((len(g), i))
+        words = sum(len(t.split()) for k, t in page if k != "drop")
+        lost = sum(g for g, _ in cut)
+        for g, i in sorted(cut, key=lambda c: (-c[0], c[1])):
+            if g and words - lost < 0.25 * words:
+                lost -= g
+                next(k for k in kept if k[0] == i)[1] = page[i][1]
+        texts.append("\n".join(t for _, t in kept if t))
+    return texts
+
+
+@pytest.mark.parametrize("letters", [3, 12])
+def test_pages_repeats_equal_brute_force(spark, letters):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(letters)]
+    boiler = " ".join(rng.choice(vocab) for _ in range(9))
+    rows = []
+    for i in range(24):
+        parts = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 40))) for _ in range(3)]
+        main = f"<article><p>{parts[0]}</p><p>{boiler}</p></article>" if i % 3 else f"<div>{parts[0]}</div><div>{boiler} {parts[2]}</div>"
+        rows.append((i, f"http://h{i % 2}.example/", f"<nav>{boiler}</nav>{main}<footer>{parts[1]}</footer>"))
+    rows += [(30, "http://h0.example/", rows[0][2]), (31, "http://h1.example/", "")]
+    got = {r["page_id"]: r for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for host in ("http://h0.example/", "http://h1.example/"):
+        own = [r for r in rows if r[1] == host]
+        assert [got[r[0]]["text"] for r in own] == judge_brute([pages.blocks(r[2]) for r in own])
+    assert sum(r["by_repeats"] for r in got.values()) > 0 and sum(r["by_structure"] for r in got.values()) > 0
+
+
+def test_suffix_array_equals_sorted_suffixes():
+    rng = random.Random(8)
+    for n, k in ((0, 2), (1, 1), (50, 2), (200, 3), (300, 40)):
+        streams = []
+        while sum(map(len, streams)) < n:
+            streams.append([rng.randrange(k) for _ in range(rng.randrange(1, 40))])
+        tokens = np.array([t for x in streams for t in x], np.int64)
+        left = np.array([len(x) - i for x in streams for i in range(len(x))], np.int64)
+        if not len(tokens):
+            continue
+        order, shared = pages.suffix_array(tokens, left)
+        cut = [tuple(tokens[i : i + min(left[i], 32)].tolist()) for i in order]
+        assert cut == sorted(cut)
+        for a, b, n_shared in zip(cut, cut[1:], shared[1:], strict=False):
+            assert n_shared == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def test_pages_unclosed_boxes_comments_and_shared_text(spark):
+    assert pages.blocks('<div class="ad">buy now<article><p>The text</p></article>') == [("drop", "buy now"), ("keep", "The text")]
+    assert pages.blocks('<article><p>Text</p></article><section id="comments"><article class="comment"><p>Nice</p></article></section>') == [("keep", "Text"), ("drop", "Nice")]
+    assert pages.blocks('<div class="post"><p>Text</p></div><article class="comment"><p>Nice</p></article>') == [("keep", "Text"), ("drop", "Nice")]
+    assert pages.blocks('<article class="post tag-social related"><p>Text</p></article>') == [("keep", "Text")]
+    assert pages.blocks('<nav>Home<article class="reply"><p>Nice</p></article></nav>') == [("drop", "Home"), ("drop", "Nice")]
+    shared = "a text of some length that stands on two pages of a host, whose menus differ"
+    rows = [(1, "http://s.example/a", f"<div>menu one two</div><div>{shared}</div>"), (2, "http://s.example/b", f"<div>menu three four</div><div>{shared}</div>")]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: f"menu one two\n{shared}", 2: f"menu three four\n{shared}"}
+
+
+def test_pages_of_large_hosts_and_hot_rows(spark):
+    rng = random.Random(13)
+    boiler = "write to us at any time of the day or night"
+    rows = [(i, "http://big.example/x", f"<article><p>{' '.join(rng.choice(VOCAB) for _ in range(40))} {i}</p><p>{boiler}</p></article>") for i in range(120)] + [(7, "http://big.example/x", "<p>equal rows</p>")] * 100 + [(None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    for big_hosts in (100, 0):
+        got = pages.extract(df, host_bytes=8000, tokens=2000, big_hosts=big_hosts).collect()
+        assert len(got) == len(rows)
+        assert all(boiler not in r["text"] for r in got)
+        assert sum(r["text"] == "equal rows" for r in got) == 100
 
 
 def test_pages_keep_prose_that_recurs_now_and_then(spark):
