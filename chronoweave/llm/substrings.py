@@ -5,12 +5,12 @@ symbol, the class being a bit of the name. A name is a hash of what it stands fo
 and equal substrings have equal symbols inside, wherever they stand. Spark groups three levels of symbols over all documents,
 each only where the level above left something open:
 
-1. High symbols (some twenty-five words) cut a text into blocks. A block with the words that its last window needs gets a 128-bit
+1. High symbols (some twenty-five words) cut a text into blocks. A block with the words that its last window needs gets a 96-bit
    name; a block that a document of smaller doc_id has too is a repeat as a whole. Of a text that thousands copy, one goes on.
 2. Low symbols (two rounds, pairs only: up to four words, where they begin and end depends on two words to either side). Every
    window holds some; the one of least name, with two words on both sides, is its anchor. Anchors of open blocks that two
    documents have reveal where a repeat can be.
-3. Windows of such anchors are verified by a 128-bit name of their exact words.
+3. Windows of such anchors are verified by a 96-bit name of their exact words.
 
 All three are plain rows and partial minima, so a passage that a third of all documents share costs each task one row a name;
 texts are shuffled once. Tasks work through texts in pieces of about ``PIECE`` bytes, one very long text as well.
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,8 +93,8 @@ class Slice:
         begins[self.before[:-1][np.diff(self.before) > 0]] = True
         return *recompress(self.hashes, begins), begins
 
-    def anchors(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each window the place of its anchor and the anchor's name."""
+    def anchors(self, windows: np.ndarray) -> np.ndarray:
+        """For each window its anchor's name, of 48 bits: where names coincide, a window more is verified."""
         n = len(self.starts)
         at, names, _ = self.low_symbols()
         value, length = np.full(n, NONE), np.full(n, 127, np.int8)
@@ -105,10 +106,12 @@ class Slice:
             v = value[b]
             use = (v < best) & (length[b] <= WINDOW - EDGE - o)
             best[use], place[use] = v[use], b[use]
-        return place, span_hashes(self.hashes, place - EDGE, place + length[place] + EDGE)
+        used, number = np.unique(place, return_inverse=True)
+        return (span_hashes(self.hashes, used - EDGE, used + length[used] + EDGE) >> np.uint64(16)).view(np.int64)[number]
 
-    def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """128-bit names of words first to last, joined by one space (a row of two numbers each)."""
+    def digests(self, first: np.ndarray, last: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """96-bit names of words first to last, joined by one space: among 10**13 windows two differ under one name with odds
+        of one to a thousand."""
         space = IS_SPACE[self.data]
         keep = ~space
         keep[1:] |= ~space[:-1]
@@ -117,12 +120,36 @@ class Slice:
         s = place[self.starts[first]]
         e = place[self.starts[last]] + self.ends[last] - self.starts[last]
         name = xxhash.xxh3_128_digest
-        return np.frombuffer(b"".join([name(joined[a:b]) for a, b in zip(s.tolist(), e.tolist(), strict=True)]), "<i8").reshape(-1, 2)
+        both = np.frombuffer(b"".join([name(joined[a:b]) for a, b in zip(s.tolist(), e.tolist(), strict=True)]), "<i8").reshape(-1, 2)
+        return pa.array(both[:, 0].copy()), pa.array(both[:, 1].astype(np.int32))
+
+
+def _packed(text: str):
+    """The text column compressed row by row, as it travels once but is read several times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            i = batch.schema.get_field_index(text)
+            own = pc.cast(batch.column(i), pa.binary())
+            yield batch.set_column(i, text, pa.array([(press.compress(t.as_buffer()) if len(t.as_buffer()) else b"") if t.is_valid else None for t in own], pa.binary()))
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], text: str | int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Batches in parts of bounded size, each with its texts as they were (null as empty)."""
+    press = zstandard.ZstdDecompressor()
+    for batch in batches:
+        column = batch.column(text)
+        for s, e in spans(buffers(column)[1], 2 * PIECE):
+            part = batch.slice(s, e - s)
+            yield part, pa.array([press.decompress(t.as_buffer()) if t.is_valid and len(t.as_buffer()) else b"" for t in part.column(text)], pa.large_binary())
 
 
 def _slices(texts: pa.Array, shared: int = WINDOW - 1) -> Iterator[Slice]:
     """All rows in slices of about PIECE bytes; a longer row in pieces, neighbours of which share ``shared`` words."""
-    data, offsets = buffers(pc.cast(texts, pa.binary()))
+    data, offsets = buffers(texts)
     for s, e in spans(offsets, PIECE):
         lo, hi = int(offsets[s]), int(offsets[e])
         if hi - lo <= 2 * PIECE:
@@ -154,7 +181,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, key, text) -> a row for each block: its place, number of windows and name."""
     for batch in batches:
         doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for s in _slices(batch.column(2)):
+        for s in _slices(pc.cast(batch.column(2), pa.binary())):
             w = _doc_windows(s)
             if not len(w):
                 continue
@@ -165,10 +192,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block[1:] |= w[1:] != w[:-1] + 1
             b = np.flatnonzero(block)
             n, b = np.diff(np.append(b, len(w))), w[b]
-            named = s.digests(b, b + n + WINDOW - 2)
             k = s.doc_of[b]
             at = b - s.before[:-1][k] + s.base
-            yield pa.RecordBatch.from_arrays([pa.array(doc[s.row + k]), pa.array(key[s.row + k]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(named[:, 0].copy()), pa.array(named[:, 1].copy())], ["doc", "key", "at", "n", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s.row + k]), pa.array(key[s.row + k]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), *s.digests(b, b + n + WINDOW - 2)], ["doc", "key", "at", "n", "hi", "lo"])
 
 
 def _ranges(column: pa.Array, row: int) -> np.ndarray:
@@ -191,48 +217,49 @@ def _open_windows(s: Slice, done: pa.Array) -> np.ndarray:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, key, text, done) -> a row for each anchor of an open window."""
-    for batch in batches:
+    """(doc, key, text, done) -> a row for each anchor of an open window, once for each slice of a text."""
+    for batch, texts in _unpacked(batches, 2):
         doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for s in _slices(batch.column(2)):
+        for s in _slices(texts):
             w = _open_windows(s, batch.column(3))
             if not len(w):
                 continue
-            place, name = s.anchors(w)
+            name, k = s.anchors(w), s.doc_of[w]
+            order = np.lexsort((name, k))
             new = np.ones(len(w), bool)
-            new[1:] = place[1:] != place[:-1]
-            k = s.row + s.doc_of[w[new]]
-            yield pa.RecordBatch.from_arrays([pa.array(name[new].view(np.int64)), pa.array(doc[k]), pa.array(key[k])], ["name", "doc", "key"])
+            new[1:] = (name[order][1:] != name[order][:-1]) | (k[order][1:] != k[order][:-1])
+            name, k = name[order][new], s.row + k[order][new]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(key[k]), pa.array(name)], ["doc", "key", "name"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, key, text, done, names) -> a row for each open window whose anchor is one of names: its place and name."""
-    for batch in batches:
+    for batch, texts in _unpacked(batches, 2):
         doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for s in _slices(batch.column(2)):
+        for s in _slices(texts):
             w = _open_windows(s, batch.column(3))
             if not len(w):
                 continue
-            _, name = s.anchors(w)
+            name = s.anchors(w)
             edges, use = np.searchsorted(w, s.before), np.zeros(len(w), bool)
             for k in np.flatnonzero(np.diff(edges)):
                 own = slice(edges[k], edges[k + 1])
-                use[own] = np.isin(name[own], batch.column(4)[int(s.row + k)].values.to_numpy().view(np.uint64))
+                use[own] = np.isin(name[own], batch.column(4)[int(s.row + k)].values.to_numpy())
             w = w[use]
             if len(w):
-                named, k = s.digests(w, w + WINDOW - 1), s.doc_of[w]
+                k = s.doc_of[w]
                 at = (w - s.before[:-1][k] + s.base).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[s.row + k]), pa.array(key[s.row + k]), pa.array(at), pa.array(named[:, 0].copy()), pa.array(named[:, 1].copy())], ["doc", "key", "at", "hi", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[s.row + k]), pa.array(key[s.row + k]), pa.array(at), *s.digests(w, w + WINDOW - 1)], ["doc", "key", "at", "hi", "lo"])
 
 
 def _cutter(text: str, ranges: str, keep: list[str]):
     """Rows with their repeats -> rows with counts and what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in _unpacked(batches, text):
             repeats = batch.column(batch.schema.get_field_index(ranges))
             n_words, n_removed, kept = (np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)])
-            for s in _slices(batch.column(batch.schema.get_field_index(text)), shared=0):
+            for s in _slices(texts, shared=0):
                 raw = s.data.tobytes()
                 for k in range(len(s.offsets) - 1):
                     lo, hi = int(s.before[k]), int(s.before[k + 1])
@@ -250,8 +277,10 @@ def _cutter(text: str, ranges: str, keep: list[str]):
                     else:
                         kept[row] += [raw[a:b] for a, b in zip(s.starts[lo + stays].tolist(), s.ends[lo + stays].tolist(), strict=True)]
                     kept[row] = [b" ".join(kept[row])] if kept[row] else []
-            texts = pa.array([b"".join(p) for p in kept], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(n_words), pa.array(n_removed), texts], [*keep, "n_words", "n_removed", "kept_text"])
+            left = pa.array([b"".join(p) for p in kept], pa.binary()).cast(pa.string())
+            own = [c if f.name != text else pa.array([None if gone else t.as_py() for t, gone in zip(texts, pc.is_null(c).to_pylist(), strict=True)], pa.binary()).cast(pa.string()) for f, c in zip(batch.schema, batch.columns, strict=True)]
+            own = [own[batch.schema.get_field_index(c)] for c in keep]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n_words), pa.array(n_removed), left], [*keep, "n_words", "n_removed", "kept_text"])
 
     return run
 
@@ -265,21 +294,27 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     remove from one another, equal rows lose the same words; an empty table gives none."""
     docs = docs.drop("n_words", "n_removed", "kept_text")
     doc, key, repeats, names = unused(docs.columns, "doc", "key", "repeats", "names")
-    keyed = docs.select("*", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias(doc), F.xxhash64(text).alias(key))
+    first = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
+    repeated = not docs.groupBy(first.alias(doc)).count().where("count > 1").isEmpty()
+    # A row is known by its doc_id and, where doc_ids repeat, by its text; rows equal in both lose the same words.
+    rows = docs.select("*", first.alias(doc), (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias(key))
     ranges = F.collect_set(F.struct("at", "n"))  # a set: rows that repeat add nothing
     own = [F.col("doc").alias(doc), F.col("key").alias(key)]
-    blocks = write_table(keyed.select(doc, key, text).mapInArrow(_blocks, "doc long, key long, at int, n int, hi long, lo long"), "blocks")
-    least = blocks.groupBy("hi", "lo").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("hi", "lo", "low")
+    several = F.count("*") > 1
+    blocks = rows.select(doc, key, text).mapInArrow(_blocks, "doc long, key long, at int, n int, hi long, lo int")
+    least = blocks.groupBy("hi", "lo").agg(F.min("doc").alias("low"), several.alias("several")).where("several").select("hi", "lo", "low")
     done = blocks.hint("merge").join(least, ["hi", "lo"]).where("doc > low").groupBy(*own).agg(ranges.alias(repeats))
     done = write_table(done, "done")
 
+    packed = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in rows.schema.fields])
+    keyed = rows.mapInArrow(_packed(text), packed)
     open_ = keyed.hint("merge").join(done, [doc, key], "left")
-    anchors = open_.select(doc, key, text, repeats).mapInArrow(_anchors, "name long, doc long, key long")
-    shared = anchors.groupBy("name").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("name")
+    anchors = open_.select(doc, key, text, repeats).mapInArrow(_anchors, "doc long, key long, name long")
+    shared = anchors.groupBy("name").agg(several.alias("several")).where("several").select("name")
     wanted = anchors.hint("merge").join(shared, "name").groupBy(*own).agg(F.collect_set("name").alias(names))
     asked = open_.hint("merge").join(wanted, [doc, key]).select(doc, key, text, repeats, names)
-    windows = asked.mapInArrow(_windows, "doc long, key long, at int, hi long, lo long")
-    least = windows.groupBy("hi", "lo").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("hi", "lo", "low")
+    windows = asked.mapInArrow(_windows, "doc long, key long, at int, hi long, lo int")
+    least = windows.groupBy("hi", "lo").agg(F.min("doc").alias("low"), several.alias("several")).where("several").select("hi", "lo", "low")
     found = windows.hint("merge").join(least, ["hi", "lo"]).where("doc > low").select(*own, F.struct("at", F.lit(1).alias("n")).alias("r"))
     found = done.select(doc, key, F.explode(repeats).alias("r")).unionByName(found).groupBy(doc, key).agg(F.collect_set("r").alias(repeats))
 

@@ -15,6 +15,7 @@ from chronoweave.llm import bitplanes, bpe, common, decontaminate, licences, pag
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+DOCS_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 R = random.Random(3)
 VOCAB = [f"w{i}" for i in range(40)] + ["é", "ü", "x."]
 
@@ -323,6 +324,45 @@ def test_licences_wrapped_grants():
     assert [r[1] for r in scanner.scan(BSD3[: BSD3.index("3. Neither")])] == ["BSD-2-Clause"]
 
 
+def test_licences_headings_tags_and_headers():
+    one = lambda text: [r[1] for r in licences.Scanner().scan(text)]
+    for name in licences.SPDX:
+        assert one(f"# SPDX-License-Identifier: {name}\nimport os\n") == one(f"/* SPDX-License-Identifier: {name} */ int x;") == [name]
+    assert one("SPDX-License-Identifier: MIT OR Apache-2.0") in (["MIT"], ["Apache-2.0"])
+    assert one("x\n\nMIT License\n\nCopyright (c) 2020 A. Body\n") == one("  # The MIT License (MIT)\n") == ["MIT"]
+    assert one("he said that the MIT license was short") == []
+    assert one("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n") == ["GPL-3.0"]
+    assert one("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n") == ["GPL-2.0"]
+    assert one("                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n") == ["LGPL-3.0"]
+    header = "Licensed under the Apache License, Version 2.0 (the \"License\");\n   you may not use this file except in compliance with the License.\n   You may obtain a copy of the License at\n\n       http://www.apache.org/licenses/LICENSE-2.0\n"
+    assert one(header) == one(header.upper()) == ["Apache-2.0"]
+
+
+def test_licences_equal_brute_force():
+    """Random texts of whole, thinned and foreign grants between words: the scanner finds what a comparison of every template at
+    every place without anchors, hints and compression finds."""
+    rng, scanner = random.Random(21), licences.Scanner()
+    plain = licences.Scanner(gain=float("-inf"))
+    for _ in range(60):
+        parts, want = [], []
+        for _ in range(rng.randrange(1, 5)):
+            k = rng.randrange(len(licences.TEMPLATES))
+            name, must, text = licences.TEMPLATES[k]
+            ws = text.split()
+            for _ in range(len(ws) // 12):
+                at = rng.randrange(1, len(ws))
+                if not set(licences._words(ws[at])) & set(must.split()) and ws[at][-1].isalpha():
+                    del ws[at]
+            parts += [" ".join(rng.choice(VOCAB[:40]) for _ in range(rng.randrange(0, 60))) + ".", "\n".join(textwrap.wrap(" ".join(ws), rng.choice((20, 400)), break_long_words=False, break_on_hyphens=False)), ""]
+            want.append(name)
+        text = "\n\n".join(parts)
+        got = scanner.scan(text)
+        assert [r[1] for r in got] == want
+        assert [r[:2] for r in plain.scan(text)] == [r[:2] for r in got]
+        for line, name, reduction, share, _, _ in got:
+            assert reduction > 0 and share >= 0.85 and 0 <= line <= text.count("\n")
+
+
 def test_licences_hint_is_in_every_wrapped_grant(spark):
     rows = [(i, "\n".join(grant.split()), "", "", 0) for i, (_, _, grant) in enumerate(licences.TEMPLATES)]
     got = sorted((r["doc_id"], r["license"]) for r in licences.scan(spark.createDataFrame(rows, DOCS)).collect())
@@ -372,6 +412,11 @@ def test_substrings_equal_brute_force(spark, docs, monkeypatch, piece):
     df = spark.createDataFrame(rows, DOCS).withColumn("n_words", F.lit("clash"))
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(df).collect())
     assert got == brute_removed(rows)
+    same = substrings.remove_repeats(df).select(*DOCS_COLUMNS).collect()
+    assert sorted(map(str, same)) == sorted(map(str, df.select(*DOCS_COLUMNS).collect()))
+    distinct = [r for r in rows if r[0] is not None and r[4] != 0 or r[0] in (3, 4)]  # doc_ids do not repeat: rows go by the id alone
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(spark.createDataFrame(distinct, DOCS)).collect())
+    assert got == brute_removed(distinct)
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
 
