@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-Every template has a word without which its wording cannot be confirmed. Around each such word of a text, however its lines are
-wrapped, a window of bounded words is compared with the template word by word, so no template and no place is left out: all of
-its telling words must stand, and few others may be missing. Of grants that overlap, the one wins whose template, as a raw
-zstandard dictionary, makes their common text smallest; every other grant is a row of its own.
+Every template has a word without which its wording cannot be confirmed (its anchor). Around each such word of a text, however
+its lines are wrapped, stands a candidate block: as many words as the template has. The block is compressed alone and with the
+template as a raw zstandard dictionary; whichever template makes it ``GAIN`` bytes smaller is compared word by word with the text
+there, and is confirmed if all of its telling words stand and few others are missing. Of grants that overlap, the one wins whose template
+makes their common text smallest; every other grant is a row of its own. No template and no place is left out.
 """
 
 from __future__ import annotations
@@ -20,7 +21,12 @@ from pyspark.sql import functions as F
 
 #: Words of a template that must be found; a template of n words may have n + SLACK other words on each side of its anchor.
 SHARE, SLACK, AFTER = 0.85, 16, 8
-# Wording by which licenses are granted or referred to, and the words that tell one from another.
+#: What a word of the template that is found counts, and what a word between costs: a far word is not fetched over a long gap.
+FOUND, ADDED = 1000, 100
+#: Bytes that a template must save on a candidate block (measured: 5 at least where the grant stands, 14 but for headings).
+GAIN = 2
+# Wording by which licenses are granted or referred to, and the words that tell one from another; after a ^ the
+# wording must fill its line (a heading).
 TEMPLATES = [
     ("MIT", "mit", "Released under the MIT License."),
     ("MIT", "mit", "Licensed under the MIT License."),
@@ -47,9 +53,23 @@ TEMPLATES = [
     ("CC0-1.0", "cc0 1.0", "Released under CC0 1.0."),
     ("CC-BY-4.0", "creative commons attribution 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("Unlicense", "unencumbered public domain", "This is free and unencumbered software released into the public domain."),
+    ("MIT", "^ mit license", "MIT License"),
+    ("MIT", "^ mit license", "The MIT License (MIT)"),
+    ("ISC", "^ isc license", "ISC License"),
+    ("BSD-2-Clause", "^ bsd 2 clause license", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "^ bsd 3 clause license", "BSD 3-Clause License"),
+    ("Apache-2.0", "apache license 2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", "gnu general public license 3", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "gnu general public license 2", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "gnu lesser general public license 3", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "gnu affero general public license 3", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "^ mozilla public license 2.0", "Mozilla Public License Version 2.0"),
 ]
+# Identifiers of the SPDX list.
+SPDX = "MIT ISC Unlicense 0BSD Zlib BSD-2-Clause BSD-3-Clause Apache-2.0 MPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-2.0 GPL-3.0-only GPL-3.0-or-later GPL-3.0 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later LGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later AGPL-3.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0".split()
+TEMPLATES += [(name, f"spdx license identifier {name.lower().replace('-', ' ')}", f"SPDX-License-Identifier: {name}") for name in SPDX]
 #: Words that a grant may not have beyond its template's, in it or in the AFTER words that end its sentence: they name another license.
-TELLING = {"nc", "nd", "sa", "lesser", "affero", "later", "2.0", "1.0", "3.0", "4.0", "2", "3", "0"}
+TELLING = {"nc", "nd", "sa", "lesser", "affero", "later", "only", "2.0", "1.0", "2.1", "3.0", "4.0", "2", "3", "0"}
 _WORD = re.compile(r"\d+(?:\.\d+)+|[^\W_]+")
 _END = re.compile(r"[.!?][\"')\]]*\s|\n[^\S\n]*\n")
 _LISTED = re.compile(r"(?:^[\s*#/;(-]*|[.:;]\s+\(?)(\d+)[.)]\s", re.MULTILINE)
@@ -67,27 +87,27 @@ def _needed(want: list[str], must: set[str]) -> str:
 
 def _side(want: list[str], must: set[str], words: list[str], barred: list[bool]) -> tuple[int, list[int], list[int]] | None:
     """The best way to find ``want`` in order from the start of ``words``: (words used, numbers of the words of ``want`` that
-    are missing, numbers of the words that are added); None if a word of ``must`` cannot be found. Most words kept, then fewest
-    added; words after the last one found are not used, and barred ones are never passed over."""
+    are missing, numbers of the words that are added); None if a word of ``must`` cannot be found. Words found count FOUND, words
+    added cost ADDED; words after the last one found are not used, and barred ones are never passed over."""
     n, m = len(want), len(words)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for j in range(m):
-        best[0][j + 1] = _BAD if barred[j] else best[0][j] - 1
+        best[0][j + 1] = _BAD if barred[j] else best[0][j] - ADDED
     for i in range(n):
         old, row, w = best[i], best[i + 1], want[i]
         lost = _BAD if w in must else 0
         row[0] = old[0] + lost
         for j in range(m):
-            x = max(old[j + 1] + lost, row[j] + (_BAD if barred[j] else -1))
-            if words[j] == w and old[j] + 1000 > x:
-                x = old[j] + 1000
+            x = max(old[j + 1] + lost, row[j] + (_BAD if barred[j] else -ADDED))
+            if words[j] == w and old[j] + FOUND > x:
+                x = old[j] + FOUND
             row[j + 1] = x
     used = max(range(m + 1), key=lambda j: (best[n][j], -j))
     if best[n][used] < _BAD // 2:
         return None
     i, j, missing, added = n, used, [], []
     while i or j:
-        if i and j and words[j - 1] == want[i - 1] and best[i][j] == best[i - 1][j - 1] + 1000:
+        if i and j and words[j - 1] == want[i - 1] and best[i][j] == best[i - 1][j - 1] + FOUND:
             i, j = i - 1, j - 1
         elif i and best[i][j] == best[i - 1][j] + (_BAD if want[i - 1] in must else 0):
             i -= 1
@@ -113,8 +133,10 @@ def _apart(spans: list[tuple]) -> list[tuple]:
 class Scanner:
     """Templates as dictionaries, with their words."""
 
-    def __init__(self, templates: list[tuple[str, str, str]] = TEMPLATES) -> None:
-        self.templates = [(name, set(must.split()), _words(text), self._press(text)) for name, must, text in templates]
+    def __init__(self, templates: list[tuple[str, str, str]] = TEMPLATES, gain: float = GAIN) -> None:
+        self.gain = gain
+        self.templates = [(name, set(must.split()) - {"^"}, _words(text), self._press(" ".join(_words(text)))) for name, must, text in templates]
+        self.heading = [must.startswith("^") for _, must, _ in templates]
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
         self.opening = {tuple(want[:2]) for _, _, want, _ in self.templates}
         self.anchors: dict[str, list[int]] = defaultdict(list)
@@ -128,9 +150,14 @@ class Scanner:
         raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         return zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def _reduction(self, k: int, text: str) -> float:
-        data = text.encode("utf-8", "replace")
-        return 1 - len(self.templates[k][3].compress(data)) / len(self.alone.compress(data))
+    def _sizes(self, k: int, words: list[str]) -> tuple[int, int]:
+        """Bytes of some words compressed alone and with template ``k`` as dictionary."""
+        data = " ".join(words).encode("utf-8", "replace")
+        return len(self.alone.compress(data)), len(self.templates[k][3].compress(data))
+
+    def _reduction(self, k: int, words: list[str]) -> float:
+        alone, given = self._sizes(k, words)
+        return 1 - given / alone
 
     def _confirm(self, k: int, anchor: str, at: int, words: list[str], barred: list[bool]) -> tuple | None:
         """(first word, end, template, kept words, missing, added) of the grant whose anchor is word ``at``."""
@@ -141,6 +168,9 @@ class Scanner:
         there = set(near)
         if not must <= there or sum((Counter(want) & Counter(near)).values()) < SHARE * n:
             return None
+        alone, given = self._sizes(k, words[max(0, at - j) : at - j + n])
+        if alone - given < self.gain:
+            return None
         left = _side(want[:j][::-1], must, words[lo:at][::-1], barred[lo:at][::-1])
         right = left and _side(want[j + 1 :], must, words[at + 1 : hi], barred[at + 1 : hi])
         if not right:
@@ -161,17 +191,21 @@ class Scanner:
 
         def ends_another(end: int) -> bool:
             for i in range(end, min(end + AFTER, len(words))):
-                if _END.search(text, found[i - 1].end(), found[i].start()) or tuple(words[i : i + 2]) in self.opening:
+                if found[i][0] in ("OR", "AND", "WITH") or _END.search(text, found[i - 1].end(), found[i].start()) or tuple(words[i : i + 2]) in self.opening:
                     return False
                 if barred[i]:
                     return True
             return False
 
+        def fills_line(first: int, end: int) -> bool:
+            before = first == 0 or "\n" in text[found[first - 1].end() : found[first].start()]
+            return before and (end == len(words) or "\n" in text[found[end - 1].end() : found[end].start()])
+
         by_template: dict[int, set] = defaultdict(set)
         spans: dict[tuple, tuple] = {}
         for at, w in enumerate(words):
             for k in self.anchors.get(w, ()):
-                if (s := self._confirm(k, w, at, words, barred)) and not ends_another(s[1]):
+                if (s := self._confirm(k, w, at, words, barred)) and not ends_another(s[1]) and (not self.heading[k] or fills_line(*s[:2])):
                     by_template[k].add(s[:4])
                     spans[s[:3]] = s
         grants = []
@@ -181,12 +215,11 @@ class Scanner:
         lines = [m.start() for m in re.finditer("\n", text)]
 
         def close() -> None:
-            block = text[found[group[0][0]].start() : found[end - 1].end()]
+            block = words[group[0][0] : end]
             ranked = sorted(group, key=lambda s: (-self._reduction(s[2], block), -s[3], s[2])) if len(group) > 1 else group
             for a, b, k, kept, missing, added in _apart(ranked):
-                grant = text[found[a].start() : found[b - 1].end()]
                 name, _, want, _ = self.templates[k]
-                rows.append((bisect_left(lines, found[a].start()), name, self._reduction(k, grant), kept / len(want), missing, added))
+                rows.append((bisect_left(lines, found[a].start()), name, self._reduction(k, words[a:b]), kept / len(want), missing, added))
 
         for s in sorted(grants, key=lambda s: s[:3]):
             if group and s[0] >= end:
@@ -201,7 +234,11 @@ class Scanner:
 
 def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, line, license, reduction, share, missing, added), a row for each grant at the line where
-    it starts, also where a line has several. Null texts have none; repeated rows are scanned each; null doc_ids stay."""
+    it starts, also where a line has several.
+
+    Of grants that overlap and whose templates save equally much, the one with more words found is reported, then the template
+    that is listed first. Null and empty texts have none; texts and lines of any length are scanned whole, in time by their
+    candidate blocks, which are bounded; repeated rows are scanned each; null doc_ids stay; an empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
