@@ -4,7 +4,8 @@ Banding a whole document's signature finds hardly any short item in a long docum
 so the sketch is asymmetric: of an item with q distinct shingles only the k = q - ceil(t * q) + 1 of least hash are kept. A
 document that contains a share t of the item holds one of those at least, so no match is missed. Items are partitioned by
 size; a partition's largest kept hash bounds what a document's shingles need to be looked up for, and documents with fewer
-shingles than a partition's items need are passed over. Survivors are compared shingle by shingle, as text.
+shingles than a partition's items need are passed over. Items of fewer words than a shingle are partitions of their own: the whole
+item is its one shingle, looked up among the documents' runs of that many words. Survivors are compared shingle by shingle, as text.
 """
 
 from __future__ import annotations
@@ -28,69 +29,84 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 33 <= c <= 47 or 58 <= c <= 64 o
 _FOLD = np.frombuffer(FOLD, np.uint8)
 
 
+def folded(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(FOLD).split()
+
+
 def shingles(text: bytes | None, words: int = WORDS) -> set[bytes]:
-    """The distinct runs of ``words`` words, folded and joined by one space; none for shorter texts."""
-    w = (text or b"").translate(FOLD).split()
-    return {b" ".join(w[i : i + words]) for i in range(len(w) - words + 1)}
+    """The distinct runs of ``words`` words, folded and joined by one space."""
+    w = folded(text)
+    return {b" ".join(w[i : i + words]) for i in range(len(w) - words + 1)} if words else set()
 
 
-def _hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """MinHash values of all shingles and the row of each."""
+def _hashes(data: np.ndarray, offsets: np.ndarray, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each width the MinHash values of all runs of so many words, and the row of each."""
     data = _FOLD[data]
     starts, ends, before = word_bounds(data, offsets)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
-    h = gram_hashes(word_hashes(data, starts, ends), words)
-    inside = row[: len(h)] == row[words - 1 :] if len(h) else np.zeros(0, bool)
-    return mix(h[inside] + np.uint64(0x5BD1E995)), row[: len(h)][inside]
+    row, words = np.repeat(np.arange(len(offsets) - 1), np.diff(before)), word_hashes(data, starts, ends)
+    for width in widths:
+        h = gram_hashes(words, width)
+        inside = row[: len(h)] == row[width - 1 :] if len(h) else np.zeros(0, bool)
+        yield width, mix(h[inside] + np.uint64(0x5BD1E995 * width)), row[: len(h)][inside]
 
 
-def sketch(text: bytes | None, words: int = WORDS, share: float = SHARE) -> tuple[np.ndarray, int]:
-    """The least hashes of an item that a match cannot miss all of, and its number of distinct shingle hashes."""
+def sketch(text: bytes | None, words: int = WORDS, share: float = SHARE) -> tuple[np.ndarray, int, int]:
+    """The least hashes of an item that a match cannot miss all of, its number of distinct shingle hashes, and the words of a
+    shingle: ``words``, or all that the item has."""
+    width = min(words, len(folded(text)))
     data = np.frombuffer(text or b"", np.uint8)
-    h = np.unique(_hashes(data, np.array([0, len(data)]), words)[0])
-    return h[: len(h) - math.ceil(share * len(h) - 1e-9) + 1] if len(h) else h, len(h)
+    h = np.zeros(0, np.uint64)
+    for _, all_, _ in _hashes(data, np.array([0, len(data)]), [width] if width else []):
+        h = np.unique(all_)
+    return h[: len(h) - math.ceil(share * len(h) - 1e-9) + 1] if len(h) else h, len(h), width
 
 
 class Index:
     """Sketches of many items, in partitions by size (powers of two)."""
 
     def __init__(self, items: list[tuple[int, bytes]], words: int, share: float) -> None:
-        self.words, self.share = words, share
+        self.share = share
         found = [(i, *sketch(t, words, share)) for i, (_, t) in enumerate(items)]
-        self.parts = []
-        for size in sorted({q.bit_length() for _, _, q in found if q}):
-            own = [(i, h, q) for i, h, q in found if q.bit_length() == size]
+        self.width = [w for _, _, _, w in found]
+        self.parts: dict[int, list] = {}
+        for width, size in sorted({(w, q.bit_length()) for _, _, q, w in found if q}):
+            own = [(i, h, q) for i, h, q, w in found if (w, q.bit_length()) == (width, size)]
             h = np.concatenate([h for _, h, _ in own])
             item = np.concatenate([np.full(len(h), i) for i, h, _ in own])
             order = np.argsort(h, kind="stable")
-            self.parts.append((h[order], item[order], math.ceil(share * min(q for _, _, q in own) - 1e-9)))
+            self.parts.setdefault(width, []).append((h[order], item[order], math.ceil(share * min(q for _, _, q in own) - 1e-9)))
         self.ids = [i for i, _ in items]
-        self.exact = [shingles(t, words) for _, t in items]
+        self.exact = [shingles(t, w) for (_, t), w in zip(items, self.width, strict=True)]
 
     def candidates(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
         """(row, item) pairs that share a sketch hash."""
-        h, row = _hashes(data, offsets, self.words)
-        count = np.bincount(row, minlength=len(offsets) - 1)
         out = set()
-        for keys, item, least in self.parts:
-            use = np.flatnonzero((h <= keys[-1]) & (count[row] >= least))
-            lo = np.searchsorted(keys, h[use], "left")
-            hit = use[keys[np.minimum(lo, len(keys) - 1)] == h[use]]
-            for k in hit.tolist():
-                a, b = np.searchsorted(keys, h[k], "left"), np.searchsorted(keys, h[k], "right")
-                out.update((int(row[k]), i) for i in item[a:b].tolist())
+        for width, h, row in _hashes(data, offsets, list(self.parts)):
+            count = np.bincount(row, minlength=len(offsets) - 1)
+            for keys, item, least in self.parts[width]:
+                use = np.flatnonzero((h <= keys[-1]) & (count[row] >= least))
+                lo = np.searchsorted(keys, h[use], "left")
+                hit = use[keys[np.minimum(lo, len(keys) - 1)] == h[use]]
+                for k in np.unique(h[hit]).tolist():
+                    a, b = np.searchsorted(keys, np.uint64(k), "left"), np.searchsorted(keys, np.uint64(k), "right")
+                    rows = np.unique(row[hit[h[hit] == np.uint64(k)]]).tolist()
+                    out.update((r, i) for r in rows for i in item[a:b].tolist())
         return sorted(out)
 
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
         """(row, item_id, shingles of the item, shared shingles) for every verified pair."""
         data, offsets = buffers(texts)
         out = []
-        for s, e in spans(offsets):
-            own, last = set(), -1
+        for s, e in spans(offsets, 1 << 20):
+            own: dict[int, set[bytes]] = {}
+            last = -1
             for row, i in self.candidates(data[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s]):
                 if row != last:
-                    own, last = shingles(data[offsets[s + row] : offsets[s + row + 1]].tobytes(), self.words), row
-                both = len(own & self.exact[i])
+                    own, last = {}, row
+                w = self.width[i]
+                if w not in own:
+                    own[w] = shingles(data[offsets[s + row] : offsets[s + row + 1]].tobytes(), w)
+                both = len(own[w] & self.exact[i])
                 if both >= self.share * len(self.exact[i]) - 1e-9:
                     out.append((s + row, self.ids[i], len(self.exact[i]), both))
         return out
@@ -100,8 +116,8 @@ def matches(docs: DataFrame, items: DataFrame, words: int = WORDS, share: float
     """docs(doc_id, text), items(item_id, text) -> (doc_id, item_id, n_shingles, n_shared, containment), one row for each pair
     whose containment of the item in the document is ``share`` or more, by distinct shingles.
 
-    Items and texts that are null or shorter than ``words`` match nothing; null ids are passed over; of repeated rows the
-    best pair counts; empty tables give none."""
+    An item of fewer than ``words`` words is one shingle. Items and texts that are null or without words match nothing; null ids
+    are passed over; of repeated rows the best pair counts; texts of any length are searched whole; empty tables give none."""
     items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("item"))
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     schema = "doc_id long, item_id long, n_shingles long, n_shared long"
@@ -125,23 +141,23 @@ def matches(docs: DataFrame, items: DataFrame, words: int = WORDS, share: float
         def item_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    h, _ = sketch(t, words, share)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(h.view(np.int64))], ["item_id", "h"])
+                    h, _, width = sketch(t, words, share)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), width))], ["item_id", "h", "width"])
 
-        sketches = write_table(items.mapInArrow(item_hashes, "item_id long, h long"), "sketches")
+        sketches = write_table(items.mapInArrow(item_hashes, "item_id long, h long, width long"), "sketches")
         sign = F.lit(-(1 << 63))
-        top = sketches.agg(F.max(F.col("h").bitwiseXOR(sign))).first()[0]
-        if top is None:
+        top = sketches.groupBy("width").agg(F.max(F.col("h").bitwiseXOR(sign)).alias("h")).collect()  # at most ``words`` rows
+        if not top:
             return docs.sparkSession.createDataFrame([], schema + ", containment double")
-        most = np.uint64((top ^ -(1 << 63)) & (1 << 64) - 1)
+        most = {r["width"]: np.uint64((r["h"] ^ -(1 << 63)) & (1 << 64) - 1) for r in top}
 
         def doc_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = buffers(batch.column(1))
-                for s, e in spans(offsets):
-                    h, row = _hashes(data[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s], words)
-                    use = h <= most
-                    yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(s + row[use])), pa.array(h[use].view(np.int64))], ["doc_id", "h"])
+                for s, e in spans(offsets, 1 << 20):
+                    for width, h, row in _hashes(data[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s], list(most)):
+                        use = h <= most[width]
+                        yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(s + row[use])), pa.array(h[use].view(np.int64))], ["doc_id", "h"])
 
         pairs = docs.mapInArrow(doc_hashes, "doc_id long, h long").hint("merge").join(sketches, "h").select("doc_id", "item_id").distinct()
         pairs = write_table(pairs, "pairs")
@@ -150,8 +166,9 @@ def matches(docs: DataFrame, items: DataFrame, words: int = WORDS, share: float
             for batch in batches:
                 found = []
                 for d, i, t, item in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "item")), strict=True):
-                    want = shingles(item, words)
-                    both = len(want & shingles(t, words))
+                    width = min(words, len(folded(item)))
+                    want = shingles(item, width)
+                    both = len(want & shingles(t, width))
                     if want and both >= share * len(want) - 1e-9:
                         found.append((d, i, len(want), both))
                 yield rows(found)
