@@ -1,7 +1,8 @@
 """SimHash near-duplicates: fingerprints, pivot distance tables, components.
 
-Candidates come from equal pairs of bit blocks (a difference of at most four bits leaves two of six blocks equal).  Inside
-a bucket each fingerprint carries its distances to reference fingerprints; a pair whose distances differ by more than the
+Candidates share bit blocks (a difference of at most four bits leaves two of six blocks equal, three of seven, and so on; the more
+fingerprints, the more blocks, so that a bucket holds about one fingerprint by chance and work grows little faster than the
+fingerprints). Inside a bucket each fingerprint carries its distances to reference fingerprints; a pair whose distances differ by more than the
 radius in any coordinate cannot be near (triangle inequality) and is discarded; survivors are verified by their exact
 distance.  Large buckets are cut into tiles of bounded size, and a tile gives a spanning forest of its links, never all
 pairs: components lose nothing by that.
@@ -53,11 +54,20 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
 
 
-def block_masks(radius: int) -> list[int]:
-    """Masks of pairs among radius + 2 blocks: whatever differs in at most ``radius`` bits is equal under one of them."""
-    edges = [round(i * 64 / (radius + 2)) for i in range(radius + 3)]
-    blocks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
-    return [a | b for a, b in combinations(blocks, 2)]
+def block_count(points: int, radius: int) -> int:
+    """The least number of blocks of which those that must be equal have at least as many bits as ``points`` has."""
+    blocks = radius + 2
+    while (blocks - radius) * 64 // blocks < points.bit_length() and blocks < 3 * radius:
+        blocks += 1
+    return blocks
+
+
+def block_masks(radius: int, blocks: int | None = None) -> list[int]:
+    """Masks of all but ``radius`` of the blocks: whatever differs in at most ``radius`` bits is equal under one of them."""
+    n = blocks or radius + 2
+    edges = [round(i * 64 / n) for i in range(n + 1)]
+    parts = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(c) for c in combinations(parts, n - radius)]
 
 
 def _signed(x: int) -> int:
@@ -165,9 +175,9 @@ def _links(pivots: np.ndarray, radius: int):
     return run
 
 
-def near_links(points: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS, tile: int = TILE) -> DataFrame:
+def near_links(points: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS, tile: int = TILE, blocks: int | None = None) -> DataFrame:
     """points(node long, fp long), fps distinct -> links (a, b) that connect just what chains of near fingerprints connect."""
-    masks = [_signed(m) for m in block_masks(radius)]
+    masks = [_signed(m) for m in block_masks(radius, blocks or block_count(points.count(), radius))]
     reference = np.frombuffer(b"".join(xxhash.xxh64_digest(str(i).encode(), seed=i) for i in range(pivots)), np.uint64)
     keys = points.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("k", "bucket"))
     counts = keys.groupBy("k", "bucket").count().where("count > 1")
@@ -182,8 +192,8 @@ def near_links(points: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS, ti
 
 def near_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, fp long, component_id): component_id is the smallest doc_id reachable over links of at
-    most ``radius`` differing bits, itself included. Null and empty texts have fingerprint zero and link like any other;
-    repeated rows stay as rows; rows of a null doc_id are returned with a null component; an empty table gives none."""
+    most ``radius`` differing bits, itself included. Null and empty texts have fingerprint zero and link like any other; texts of
+    any length count whole; of equal fingerprints one is compared, whichever of them ties; repeated rows stay as rows; rows of a null doc_id are returned with a null component; an empty table gives none."""
     prints = write_table(fingerprints(docs, words), "fingerprints")
     points = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"))
     found = components(near_links(points, radius))
