@@ -8,9 +8,9 @@ each only where the level above left something open:
 1. High symbols (some twenty-five words) cut a text into blocks. A block with the words that its last window needs gets a 96-bit
    name; a block that a document of smaller doc_id has too is a repeat as a whole. Of a text that thousands copy, one goes on.
 2. Low symbols (two rounds, pairs only: up to four words, where they begin and end depends on two words to either side). Every
-   window holds some; the one of least name, with two words on both sides, is its anchor. Anchors of open blocks that two
+   window holds some; the least of their names, each taken with two words on both sides, is its anchor. Anchors of open blocks that two
    documents have reveal where a repeat can be.
-3. Windows of such anchors are verified by a 96-bit name of their exact words.
+3. Windows of such anchors are verified by a 96-bit name of their words.
 
 All three are plain rows and partial minima, so a passage that a third of all documents share costs each task one row a name;
 texts are shuffled once. Tasks work through texts in pieces of about ``PIECE`` bytes, one very long text as well.
@@ -23,13 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, buffers, mix, span_hashes, spans, unused, word_bounds, word_hashes, write_table
+from .common import BASE, IS_SPACE, buffers, mix, span_hashes, spans, unused, word_bounds, word_hashes, write_table
 
 WINDOW, EDGE, ROUNDS, LONGEST, UPPER = 13, 2, 2, 4, 11
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -39,10 +38,8 @@ PIECE = 1 << 20
 
 def _pairs(names: np.ndarray, at: np.ndarray, first: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One round of pairs: equal neighbours share a class and never pair."""
-    left = (mix(names + np.uint64(0x1F83D9AB + salt)) & np.uint64(1)).astype(bool)
-    pair = np.zeros(len(names), bool)
-    pair[:-1] = left[:-1] & ~left[1:] & ~first[1:]
-    i = np.flatnonzero(pair)
+    left = (names * np.uint64((BASE * (2 * salt + 1)) & (1 << 64) - 1)).view(np.int64) < 0
+    i = np.flatnonzero(left[:-1] & ~left[1:] & ~first[1:])
     named = names.copy()
     named[i] = mix(names[i] * np.uint64(0xC2B2AE3D27D4EB4F) + names[i + 1])
     stays = np.ones(len(names), bool)
@@ -86,42 +83,42 @@ class Slice:
         self.starts, self.ends, self.before = word_bounds(data, offsets)
         self.doc_of = np.repeat(np.arange(len(offsets) - 1), np.diff(self.before))
 
-    def low_symbols(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places and names of the low symbols, and for every word whether it begins a document."""
-        self.hashes = word_hashes(self.data, self.starts, self.ends)
-        begins = np.zeros(len(self.starts), bool)
-        begins[self.before[:-1][np.diff(self.before) > 0]] = True
-        return *recompress(self.hashes, begins), begins
+        self.hashes = word_hashes(data, self.starts, self.ends)
+        self.begins = np.zeros(len(self.starts), bool)
+        self.begins[self.before[:-1][np.diff(self.before) > 0]] = True
+
+    def low_symbols(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and names of the low symbols."""
+        return recompress(self.hashes, self.begins)
 
     def anchors(self, windows: np.ndarray) -> np.ndarray:
-        """For each window its anchor's name, of 48 bits: where names coincide, a window more is verified."""
+        """For each window its anchor's name, of 48 bits: where names coincide, a window more is verified. It is the least among
+        the names of the low symbols that stand, with their context, in the window."""
         n = len(self.starts)
-        at, names, _ = self.low_symbols()
-        value, length = np.full(n, NONE), np.full(n, 127, np.int8)
-        value[at] = mix(names) >> np.uint64(1)
-        length[at] = np.diff(np.append(at, n)).clip(max=127)
-        best, place = np.full(len(windows), NONE), np.zeros(len(windows), np.int64)
-        for o in range(EDGE, WINDOW - EDGE):
-            b = windows + o
-            v = value[b]
-            use = (v < best) & (length[b] <= WINDOW - EDGE - o)
-            best[use], place[use] = v[use], b[use]
-        used, number = np.unique(place, return_inverse=True)
-        return (span_hashes(self.hashes, used - EDGE, used + length[used] + EDGE) >> np.uint64(16)).view(np.int64)[number]
+        at, _ = self.low_symbols()
+        length = np.diff(np.append(at, n))
+        inside = (at >= EDGE) & (at + length + EDGE <= n)
+        at, length = at[inside], length[inside]
+        name = span_hashes(self.hashes, at - EDGE, at + length + EDGE) >> np.uint64(16)
+        least = np.full(len(windows), NONE)
+        for longest in range(1, LONGEST + 1):  # symbols of up to so many words, at the places that only they reach
+            v = np.full(n, NONE)
+            v[at[length <= longest]] = name[length <= longest]
+            if longest < LONGEST:
+                np.minimum(least, v[windows + WINDOW - EDGE - longest], out=least)
+        width, have = WINDOW - 2 * EDGE - LONGEST + 1, 1
+        while have < width:  # the least of ``width`` places in a row, by doubling
+            step = min(have, width - have)
+            v[:-step] = np.minimum(v[:-step], v[step:])
+            have += step
+        return np.minimum(least, v[windows + EDGE]).view(np.int64)
 
     def digests(self, first: np.ndarray, last: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        """96-bit names of words first to last, joined by one space: among 10**13 windows two differ under one name with odds
-        of one to a thousand."""
-        space = IS_SPACE[self.data]
-        keep = ~space
-        keep[1:] |= ~space[:-1]
-        place = np.cumsum(keep, dtype=np.int64) - 1
-        joined = np.where(space, np.uint8(32), self.data)[keep].tobytes()
-        s = place[self.starts[first]]
-        e = place[self.starts[last]] + self.ends[last] - self.starts[last]
-        name = xxhash.xxh3_128_digest
-        both = np.frombuffer(b"".join([name(joined[a:b]) for a, b in zip(s.tolist(), e.tolist(), strict=True)]), "<i8").reshape(-1, 2)
-        return pa.array(both[:, 0].copy()), pa.array(both[:, 1].astype(np.int32))
+        """96-bit names of words first to last, two hashes over those of the words: among 10**13 windows two differ under one name
+        with odds of one to a thousand."""
+        hi = span_hashes(self.hashes, first, last + 1)
+        lo = span_hashes(mix(self.hashes + np.uint64(0x632BE59BD9B4E019)), first, last + 1)
+        return pa.array(hi.view(np.int64)), pa.array((lo >> np.uint64(32)).astype(np.uint32).view(np.int32))
 
 
 def _packed(text: str):
@@ -186,7 +183,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(w):
                 continue
             cut = np.zeros(len(s.starts), bool)
-            cut[high_symbols(*s.low_symbols())] = True
+            cut[high_symbols(*s.low_symbols(), s.begins)] = True
             block = cut[w]
             block[0] = True
             block[1:] |= w[1:] != w[:-1] + 1
@@ -216,40 +213,47 @@ def _open_windows(s: Slice, done: pa.Array) -> np.ndarray:
     return w[np.cumsum(edge)[w] == 0]
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, key, text, done) -> a row for each anchor of an open window, once for each slice of a text."""
-    for batch, texts in _unpacked(batches, 2):
-        doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for s in _slices(texts):
-            w = _open_windows(s, batch.column(3))
-            if not len(w):
-                continue
-            name, k = s.anchors(w), s.doc_of[w]
-            order = np.lexsort((name, k))
-            new = np.ones(len(w), bool)
-            new[1:] = (name[order][1:] != name[order][:-1]) | (k[order][1:] != k[order][:-1])
-            name, k = name[order][new], s.row + k[order][new]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(key[k]), pa.array(name)], ["doc", "key", "name"])
+def _anchors(text: str, doc_: str, key_: str, done: str):
+    """Rows and the blocks of them that repeat -> a row for each anchor of open windows in a row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _unpacked(batches, text):
+            doc, key = batch.column(doc_).to_numpy(), batch.column(key_).to_numpy()
+            for s in _slices(texts):
+                w = _open_windows(s, batch.column(done))
+                if not len(w):
+                    continue
+                name, k = s.anchors(w), s.doc_of[w]
+                new = np.ones(len(w), bool)
+                new[1:] = (name[1:] != name[:-1]) | (k[1:] != k[:-1])
+                name, k = name[new], s.row + k[new]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(key[k]), pa.array(name)], ["doc", "key", "name"])
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, key, text, done, names) -> a row for each open window whose anchor is one of names: its place and name."""
-    for batch, texts in _unpacked(batches, 2):
-        doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for s in _slices(texts):
-            w = _open_windows(s, batch.column(3))
-            if not len(w):
-                continue
-            name = s.anchors(w)
-            edges, use = np.searchsorted(w, s.before), np.zeros(len(w), bool)
-            for k in np.flatnonzero(np.diff(edges)):
-                own = slice(edges[k], edges[k + 1])
-                use[own] = np.isin(name[own], batch.column(4)[int(s.row + k)].values.to_numpy())
-            w = w[use]
-            if len(w):
-                k = s.doc_of[w]
-                at = (w - s.before[:-1][k] + s.base).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[s.row + k]), pa.array(key[s.row + k]), pa.array(at), *s.digests(w, w + WINDOW - 1)], ["doc", "key", "at", "hi", "lo"])
+    return run
+
+
+def _windows(text: str, doc_: str, key_: str, done: str, names: str):
+    """Rows, the blocks of them that repeat and anchors -> a row for each open window of such an anchor: its place and name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _unpacked(batches, text):
+            doc, key, wanted = batch.column(doc_).to_numpy(), batch.column(key_).to_numpy(), batch.column(names)
+            for s in _slices(texts):
+                w = _open_windows(s, batch.column(done))
+                if not len(w):
+                    continue
+                name = s.anchors(w)
+                edges, use = np.searchsorted(w, s.before), np.zeros(len(w), bool)
+                for k in np.flatnonzero(np.diff(edges)):
+                    own = slice(edges[k], edges[k + 1])
+                    use[own] = np.isin(name[own], wanted[int(s.row + k)].values.to_numpy())
+                w = w[use]
+                if len(w):
+                    k = s.doc_of[w]
+                    at = (w - s.before[:-1][k] + s.base).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[s.row + k]), pa.array(key[s.row + k]), pa.array(at), *s.digests(w, w + WINDOW - 1)], ["doc", "key", "at", "hi", "lo"])
+
+    return run
 
 
 def _cutter(text: str, ranges: str, keep: list[str]):
@@ -309,11 +313,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     packed = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in rows.schema.fields])
     keyed = rows.mapInArrow(_packed(text), packed)
     open_ = keyed.hint("merge").join(done, [doc, key], "left")
-    anchors = open_.select(doc, key, text, repeats).mapInArrow(_anchors, "doc long, key long, name long")
+    anchors = open_.mapInArrow(_anchors(text, doc, key, repeats), "doc long, key long, name long")
     shared = anchors.groupBy("name").agg(several.alias("several")).where("several").select("name")
     wanted = anchors.hint("merge").join(shared, "name").groupBy(*own).agg(F.collect_set("name").alias(names))
-    asked = open_.hint("merge").join(wanted, [doc, key]).select(doc, key, text, repeats, names)
-    windows = asked.mapInArrow(_windows, "doc long, key long, at int, hi long, lo int")
+    asked = open_.hint("merge").join(wanted, [doc, key])
+    windows = asked.mapInArrow(_windows(text, doc, key, repeats, names), "doc long, key long, at int, hi long, lo int")
     least = windows.groupBy("hi", "lo").agg(F.min("doc").alias("low"), several.alias("several")).where("several").select("hi", "lo", "low")
     found = windows.hint("merge").join(least, ["hi", "lo"]).where("doc > low").select(*own, F.struct("at", F.lit(1).alias("n")).alias("r"))
     found = done.select(doc, key, F.explode(repeats).alias("r")).unionByName(found).groupBy(doc, key).agg(F.collect_set("r").alias(repeats))

@@ -444,10 +444,9 @@ def brute_removed(rows):
 
 @pytest.mark.parametrize("piece", [1 << 20, 300])
 def test_substrings_equal_brute_force(spark, docs, monkeypatch, piece):
-    for part in ("_blocks", "_anchors", "_windows"):  # a worker of its own for each piece size
-        monkeypatch.setattr(substrings, part, sized(getattr(substrings, part), piece))
-    cutter = substrings._cutter
-    monkeypatch.setattr(substrings, "_cutter", lambda *a: sized(cutter(*a), piece))
+    monkeypatch.setattr(substrings, "_blocks", sized(substrings._blocks, piece))  # workers have a module of their own
+    for part in ("_anchors", "_windows", "_cutter"):
+        monkeypatch.setattr(substrings, part, lambda *a, make=getattr(substrings, part): sized(make(*a), piece))
     rng = random.Random(9)
     more = [(100 + i, " ".join(rng.choice("ab") for _ in range(60)), "", "", 0) for i in range(30)]
     rows = docs[1] + more
