@@ -38,12 +38,30 @@ def collapse_runs(text: Text) -> Column:
     """[H2] Without control characters; a word said four times or more in a row stands once, a CJK letter twice, a CJK phrase of
     2 to 6 letters said three times or more once (shortest period first), with the half phrase that ends it."""
     s = F.regexp_replace(_c(text), "[\\ufffd\\u200b-\\u200f\\u2028\\u2029\\u0000-\\u0008\\u000b\\u000c\\u000e-\\u001f]", "")
-    for _ in range(3):
-        s = F.regexp_replace(s, r"(?i)(?U)\b(\w{1,12})\b(?:[\s,，、。.!?！？;；]*\1\b){3,}+", "$1")
+    word = r"(?i)(?U)\b(\w{1,12})\b(?:[\s,，、。.!?！？;；]*\1\b){3,}"
+    for _ in range(2):
+        s = F.regexp_replace(s, word.replace("{3,}", "{3,}+"), "$1")
+    s = F.when(s.rlike(word), collapse_words(s)).otherwise(s)  # folded words that stand together again
     s = F.regexp_replace(s, "([\\u4e00-\\u9fa5])\\1{3,}", "$1$1")
     return F.when(s.rlike("([\\u4e00-\\u9fa5]).{1,40}\\1"), collapse_phrases(s)).otherwise(s)
 
 
+@F.pandas_udf(T.StringType())
+def collapse_words(texts: pd.Series) -> pd.Series:
+    """[H2] The word step until nothing changes; few texts come here."""
+    import re
+
+    said = re.compile(r"\b(\w{1,12})\b(?:[\s,，、。.!?！？;；]*\1\b){3,}", re.IGNORECASE)
+
+    def one(s: str | None) -> str | None:
+        before = None
+        while s is not None and before != s:
+            before, s = s, said.sub(r"\1", s)
+        return s
+
+    return texts.map(one)
+
+
 @F.pandas_udf(T.StringType())
 def collapse_phrases(texts: pd.Series) -> pd.Series:
     """[H2] The phrase step, which has to look through punctuation."""

@@ -27,7 +27,8 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], width: float
 
     Both sides are exploded to bins of ``width``; a pair is kept in its first common bin only, so none comes twice. Right
     columns get ``prefix``. ``how``: inner, left, left_semi or left_anti. Long intervals cost one row a bin: choose ``width``
-    near the usual length. Join on (keys, bin) lets skewed timelines spread over their bins."""
+    near the usual length. Join on (keys, bin) lets skewed timelines spread over their bins. Exploded sides are sorted and merged,
+    as Spark cannot tell their size."""
     right = prefixed(right, prefix, on)
     rl, rh = prefix + r[0], prefix + r[1]
     a = _identified(left) if how == "left" else left
@@ -41,12 +42,12 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], width: float
     if how in ("left_semi", "left_anti"):
         keys = _identified(a)
         probe = keys.withColumn("_cw_bin", F.explode(_bins(F.col(l[0]) - tol, F.col(l[1]) + tol, width)))
-        found = probe.join(b2, [*on, "_cw_bin"]).where(hit).select("_cw_row").distinct()
-        return keys.join(found, "_cw_row", how).select(*left.columns)
-    pairs = a2.join(b2, [*on, "_cw_bin"]).where(hit & (F.col("_cw_bin") == first)).drop("_cw_bin")
+        found = probe.hint("merge").join(b2, [*on, "_cw_bin"]).where(hit).select("_cw_row").distinct()
+        return keys.hint("merge").join(found, "_cw_row", how).select(*left.columns)
+    pairs = a2.hint("merge").join(b2, [*on, "_cw_bin"]).where(hit & (F.col("_cw_bin") == first)).drop("_cw_bin")
     if how == "left":
         extra = [c for c in right.columns if c not in on]
-        rest = a.join(pairs.select("_cw_row").distinct(), "_cw_row", "left_anti").select(*a.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in extra])
+        rest = a.hint("merge").join(pairs.select("_cw_row").distinct(), "_cw_row", "left_anti").select(*a.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in extra])
         pairs = pairs.select(*a.columns, *extra).unionByName(rest).drop("_cw_row")
     return pairs
 
@@ -57,4 +58,4 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, on: list[str], wi
     rl, rh = F.col(prefix + r[0]), F.col(prefix + r[1])
     b = b.withColumn("_cw_bin", F.explode(_bins(rl, rh, width)))
     a = points.withColumn("_cw_bin", F.floor(F.col(at) / width))
-    return a.join(b, [*on, "_cw_bin"]).where((F.col(at) >= rl) & (F.col(at) < rh)).drop("_cw_bin")
+    return a.hint("merge").join(b, [*on, "_cw_bin"]).where((F.col(at) >= rl) & (F.col(at) < rh)).drop("_cw_bin")

@@ -99,7 +99,10 @@ def bigram_join(queries: DataFrame, docs: DataFrame, metric: str = "jaccard", at
     Pairs that share nothing do not appear. ``on``: keys that must be equal, such as the timeline."""
     on = list(on)
     q, d = grams(queries, [*on, q_id]), prefixed(grams(docs, [*on, d_id]), "d_", [*on, d_id, "gram"])
-    shared = q.join(d, [*on, "gram"]).groupBy(*on, q_id, d_id, "n_grams", "d_n_grams").agg(F.count("*").alias("shared"))
+    pairs = q.hint("merge").join(d, [*on, "gram"])
+    if metric == "jaccard" and at_least > 0:  # sets whose sizes differ too much cannot be alike; they go before they are counted
+        pairs = pairs.where((F.col("n_grams") >= at_least * F.col("d_n_grams")) & (F.col("d_n_grams") >= at_least * F.col("n_grams")))
+    shared = pairs.groupBy(*on, q_id, d_id, "n_grams", "d_n_grams").agg(F.count("*").alias("shared"))
     s = F.col("shared")
     score = {"jaccard": s / (F.col("n_grams") + F.col("d_n_grams") - s), "containment": s / F.least("n_grams", "d_n_grams"), "coverage": s / F.col("n_grams")}[metric]
     return shared.select(*on, q_id, d_id, "shared", score.alias("score")).where(F.col("score") >= at_least)
@@ -126,10 +129,10 @@ def idf_score_join(lines: DataFrame, scenes: DataFrame, action_weight: float = 1
     n = scenes.groupBy(MEDIA).agg(F.count("*").alias("n"))
     df = scene.groupBy(MEDIA, "gram").agg(F.countDistinct("scene_no").alias("df"))
     weight = F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 0.5)) * F.when(F.col("gram").startswith("ACT:"), action_weight).otherwise(1.0)
-    line = line.join(df, [MEDIA, "gram"], "left").join(n, MEDIA).withColumn("w", F.greatest(weight, F.lit(0.0)))
+    line = line.hint("merge").join(df, [MEDIA, "gram"], "left").hint("merge").join(n, MEDIA).withColumn("w", F.greatest(weight, F.lit(0.0)))
     norm = F.sqrt(F.greatest(F.sum("w").over(W.partitionBy(MEDIA, "line_no")), F.lit(1e-9)))
     line = line.withColumn("norm", norm).select(MEDIA, "line_no", "gram", "w", "norm", F.col("chars").alias("line_chars"))
-    got = line.join(scene, [MEDIA, "gram"]).groupBy(MEDIA, "line_no", "scene_no", "line_chars", "chars", "norm").agg(F.sum("w").alias("s"))
+    got = line.hint("merge").join(scene, [MEDIA, "gram"]).groupBy(MEDIA, "line_no", "scene_no", "line_chars", "chars", "norm").agg(F.sum("w").alias("s"))
     score = F.col("s") / F.col("norm") * length_penalty("chars") * length_penalty("line_chars", "line")
     return got.select(MEDIA, "line_no", "scene_no", score.alias("score"))
 
@@ -142,14 +145,14 @@ def anchor_score_join(lines: DataFrame, cues: DataFrame) -> DataFrame:
     n_cues = cues.groupBy(MEDIA).agg(F.count("*").alias("n_cues"))
     n_lines = lines.groupBy(MEDIA).agg(F.count("*").alias("n_lines"))
     cue_df = cue.groupBy(MEDIA, "gram").agg(F.count("*").alias("df"))
-    line_df = line.groupBy(MEDIA, "gram").agg(F.count("*").alias("ldf")).join(n_lines, MEDIA)
+    line_df = line.groupBy(MEDIA, "gram").agg(F.count("*").alias("ldf")).hint("merge").join(n_lines, MEDIA)
     line_df = line_df.select(MEDIA, "gram", (F.col("ldf") >= F.greatest(F.lit(3.0), 0.4 * F.col("n_lines"))).cast("int").alias("common"))
-    cue = cue.join(cue_df, [MEDIA, "gram"]).join(n_cues, MEDIA).withColumn("w", F.log(1 + F.col("n_cues") / (1 + F.col("df"))))
+    cue = cue.hint("merge").join(cue_df, [MEDIA, "gram"]).hint("merge").join(n_cues, MEDIA).withColumn("w", F.log(1 + F.col("n_cues") / (1 + F.col("df"))))
     cue = cue.withColumn("total", F.sum("w").over(W.partitionBy(MEDIA, "cue_no")))
-    hit = line.join(line_df, [MEDIA, "gram"]).join(cue, [MEDIA, "gram"]).groupBy(MEDIA, "line_no", "cue_no", "total")
+    hit = line.hint("merge").join(line_df, [MEDIA, "gram"]).hint("merge").join(cue, [MEDIA, "gram"]).groupBy(MEDIA, "line_no", "cue_no", "total")
     hit = hit.agg(F.sum("w").alias("s"), F.count("*").alias("hit"), F.sum("common").alias("common"))
     base = F.col("s") / F.col("total") * (1 - 0.8 * F.col("common") / F.col("hit"))
-    hit = hit.join(lines.select(MEDIA, "line_no", F.col("text").alias("line_text")), [MEDIA, "line_no"]).join(cues.select(MEDIA, "cue_no", F.col("text").alias("cue_text")), [MEDIA, "cue_no"])
+    hit = hit.hint("merge").join(lines.select(MEDIA, "line_no", F.col("text").alias("line_text")), [MEDIA, "line_no"]).hint("merge").join(cues.select(MEDIA, "cue_no", F.col("text").alias("cue_text")), [MEDIA, "cue_no"])
     lcs = lcs_up_to_ten("line_text", "cue_text")
     return hit.withColumn("lcs", lcs).select(MEDIA, "line_no", "cue_no", (base + F.when(F.col("lcs") >= 3, F.col("lcs") / 20).otherwise(0.0)).alias("score"))
 
@@ -185,10 +188,10 @@ def shot_match(line: DataFrame, shots: DataFrame, cards: DataFrame, cues: DataFr
     got = interval_join(line, shots.select(MEDIA, "shot_no", "start_s", "end_s"), [MEDIA], width, prefix="s_")
     got = got.select(MEDIA, "line_no", F.col("s_shot_no").alias("shot_no"), F.greatest("start_s", "s_start_s").alias("start_s"), F.least("end_s", "s_end_s").alias("end_s"))
     pair = bigram_join(line.select(MEDIA, "line_no", "text"), cards.select(MEDIA, "shot_no", "text"), "coverage", 0.0, "line_no", "shot_no", [MEDIA]).where(F.col("shared") >= least)
-    got = got.join(pair.select(MEDIA, "line_no", "shot_no", "shared"), [MEDIA, "line_no", "shot_no"], "left")
+    got = got.hint("merge").join(pair.select(MEDIA, "line_no", "shot_no", "shared"), [MEDIA, "line_no", "shot_no"], "left")
     starts = point_in_interval(cues.select(MEDIA, F.col("start_s").alias("t_s"), "cue_no", "text"), got.select(MEDIA, "line_no", "shot_no", "start_s", "end_s"), [MEDIA], width, prefix="g_")
     said = starts.groupBy(MEDIA, F.col("g_line_no").alias("line_no"), F.col("g_shot_no").alias("shot_no")).agg(F.min_by("text", F.struct("t_s", "cue_no")).alias("evidence"))
-    return got.join(said, [MEDIA, "line_no", "shot_no"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    return got.hint("merge").join(said, [MEDIA, "line_no", "shot_no"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
 
 
 def pair_reports(old: DataFrame, new: DataFrame, ranks: list[str] | None = None) -> DataFrame:
@@ -246,7 +249,7 @@ def quality_join(segs: DataFrame, cues: DataFrame, tol: float = 2.0, floor: floa
     no_dialogue, mismatch or empty."""
     got = contained_join(cues, segs.select(MEDIA, "seg_no", "start_s", "end_s"), tol)
     said = got.groupBy(MEDIA, "seg_no").agg(F.concat_ws(" ", F.array_sort(F.collect_list(F.struct("cue_start_s", "cue_text")))["cue_text"]).alias("said"))
-    d = segs.join(said, [MEDIA, "seg_no"], "left").withColumn("w", words("caption")).withColumn("c", words("said"))
+    d = segs.hint("merge").join(said, [MEDIA, "seg_no"], "left").withColumn("w", words("caption")).withColumn("c", words("said"))
     share = F.when(F.size("w") > 0, F.size(F.array_intersect("w", "c")) / F.size("w")).otherwise(0.0)
     flag = F.when(F.size("w") == 0, "empty").when(F.size("c") == 0, "no_dialogue").when(share >= floor, "ok").otherwise("mismatch")
     return d.select(MEDIA, "seg_no", share.alias("overlap"), flag.alias("flag"))
@@ -261,10 +264,10 @@ def recommend_segments(lines: DataFrame, cues: DataFrame, scenes: DataFrame, k:
         return df.withColumn("word", F.explode(words(text)))
 
     line = index(lines, "text").select(MEDIA, "line_no", "expected_s", "dur", "word")
-    by_cue = line.join(index(cues, "text").select(MEDIA, "start_s", "end_s", "cue_no", "word"), [MEDIA, "word"]).groupBy(MEDIA, "line_no", "start_s", "end_s", "cue_no").agg(F.count("*").cast("double").alias("score"))
+    by_cue = line.hint("merge").join(index(cues, "text").select(MEDIA, "start_s", "end_s", "cue_no", "word"), [MEDIA, "word"]).groupBy(MEDIA, "line_no", "start_s", "end_s", "cue_no").agg(F.count("*").cast("double").alias("score"))
     scene = index(scenes.withColumn("_cw_s", F.concat_ws(" ", "characters", "event", "summary")), "_cw_s").select(MEDIA, "start_s", "end_s", "scene_no", "word")
     near = F.greatest(F.lit(0.0), 1 - F.abs((F.col("start_s") + F.col("end_s")) / 2 - F.col("expected_s")) / (F.col("dur") / 2))
-    by_scene = line.join(scene, [MEDIA, "word"]).groupBy(MEDIA, "line_no", "expected_s", "dur", "start_s", "end_s", "scene_no").agg(F.count("*").alias("n"))
+    by_scene = line.hint("merge").join(scene, [MEDIA, "word"]).groupBy(MEDIA, "line_no", "expected_s", "dur", "start_s", "end_s", "scene_no").agg(F.count("*").alias("n"))
     by_scene = by_scene.select(MEDIA, "line_no", "start_s", "end_s", (F.col("n") + near).alias("score"))
     return top_k_non_overlapping(by_cue.select(*by_scene.columns).unionByName(by_scene), k, by=[MEDIA, "line_no"])
 

@@ -27,7 +27,7 @@ def window_of(t: str | Column, window: float) -> Column:
 
 def fill(grid_: DataFrame, values: DataFrame, cols: list[str], by: str = MEDIA) -> DataFrame:
     """Values on the whole grid, 0 where there are none; windows beyond the grid drop out."""
-    return grid_.join(values, [by, "win"], "left").select(by, "win", *[F.coalesce(c, F.lit(0).cast("double")).alias(c) for c in cols])
+    return grid_.hint("merge").join(values, [by, "win"], "left").select(by, "win", *[F.coalesce(c, F.lit(0).cast("double")).alias(c) for c in cols])
 
 
 def chat_curve(events: DataFrame, grid_: DataFrame, window: float, t: str = "t_s", by: str = MEDIA) -> DataFrame:

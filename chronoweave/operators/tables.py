@@ -102,9 +102,11 @@ def material_digest(story: DataFrame, cap: int = 40, by: str = "media_id") -> Da
 
 
 def append_run(history: DataFrame, entry: DataFrame, keep: int = 100) -> tuple[DataFrame, DataFrame]:
-    """[A12] (kept, dropped): the newest ``keep`` rows of history and entry, and the rest."""
-    d = history.unionByName(entry, allowMissingColumns=True).withColumn("_cw", F.row_number().over(W.orderBy(F.desc("time"), "file")))
-    return d.where(F.col("_cw") <= keep).drop("_cw"), d.where(F.col("_cw") > keep).drop("_cw")
+    """[A12] (kept, dropped): the newest ``keep`` rows of history and entry, and the rest. Each task keeps its own newest rows, so the
+    history never stands in one task."""
+    d = history.unionByName(entry, allowMissingColumns=True)
+    kept = d.orderBy(F.desc("time"), "file", *[c for c in d.columns if c not in ("time", "file")]).limit(keep)
+    return kept, d.exceptAll(kept)
 
 
 # Kinds of media by extension.

@@ -19,6 +19,7 @@ from ..session import scratch_dir
 from ..streaming import chat
 from . import bindings as b
 from . import pipelines
+from .folds import FOLD_SQL
 from .oracles import MORE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -368,7 +369,9 @@ def e17(s, d):
 @query("e18_detect_opening")
 def e18(s, d):
     c = b.cues(s, d)
-    return windows.detect_opening(c, c.where(F.lit(False)), ["the", "en", "de", "und"])
+    scenes = c.withColumn("text", F.when(F.col(M) % 2 == 0, "opening titles").otherwise(F.md5(F.col("text").cast("binary"))))
+    late = c.withColumn("start_s", F.col("start_s") + (F.col(M) % 3) * 60)
+    return windows.detect_opening(scenes, late, ["opening"])
 
 
 @query("e19_tail_budget", f"WITH {b.CU} SELECT media_id, cue_no, round(coalesce(sum(end_s - start_s + 0.35::DOUBLE) OVER (PARTITION BY media_id ORDER BY cue_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0), 6) AS need_after FROM cu WHERE end_s > start_s")
@@ -877,12 +880,14 @@ def h17(s, d):
 
 @query("h18_script_lines")
 def h18(s, d):
-    return sequences.script_lines(b.table(s, d, "benchmark").select(F.col("item_id").alias(M), "text"))
+    x = sequences.script_lines(b.table(s, d, "documents").select(F.col("doc_id").alias(M), "text"))
+    return x.select(M, "line_no", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("h19_chunk_text")
 def h19(s, d):
-    return sequences.chunk_text(b.table(s, d, "benchmark").select(F.col("item_id").alias(M), "text"), 80)
+    x = sequences.chunk_text(b.table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias(M), "text"), 80)
+    return x.select(M, "chunk_no", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("h20_clamp_text")
@@ -1037,11 +1042,11 @@ def j3b(s, d):
 # ---- tables, sources ---------------------------------------------------------------------------------------------------
 
 
-@query("a2_decode_text", "SELECT item_id, md5(text) AS text_md5 FROM benchmark")
+@query("a2_decode_text", "SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def a2(s, d):
-    t = b.table(s, d, "benchmark")
-    raw = F.when(F.col("item_id") % 3 == 0, F.encode("text", "UTF-16")).when(F.col("item_id") % 3 == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
-    return t.select("item_id", F.md5(tx.decode_bytes(raw).cast("binary")).alias("text_md5"))
+    t = b.table(s, d, "documents")
+    raw = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-16")).when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    return t.select("doc_id", F.md5(tx.decode_bytes(raw).cast("binary")).alias("text_md5"))
 
 
 @query("a1_parse_cues", f"WITH {b.CU} SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY start_s, cue_no) AS INTEGER) AS cue_no, round(start_s, 3) AS start_s, md5(trim(replace(text, chr(10), ' '))) AS text_md5 FROM cu WHERE trim(replace(text, chr(10), ' ')) <> ''")
@@ -1381,4 +1386,44 @@ def k5(s, d):
     return chat.highlights_batch(n, horizon="20 days").select(M, F.unix_seconds("start").alias("start"), "chat")
 
 
-ORACLE_SQL |= MORE_SQL
+@query("k4_stream_collapse")
+def k4(s, d):
+    x = _stream(s, d).select(M, "ts", F.col("ts").alias("end_ts"), "text")
+    return _drained(s, chat.stream_collapse(x)).select(M, F.unix_seconds("start_ts").alias("start"), "text", "n")
+
+
+# ---- files: the tables written in a foreign format and read back ----------------------------------------------------------
+
+
+@query("a4_live_events")
+def a4(s, d):
+    from ..sources.subtitles import read_live_events
+
+    text = F.replace("text", F.lit("\n"), F.lit(" "))
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    row = F.concat(F.lit('<d p="'), (F.col("start_s") - 5).cast("string"), F.lit(',1,25">'), text, F.lit("</d>"))
+    bad = F.array(F.lit('<d p="soon,1">a bad time</d>'), F.lit('<d p="3.0,1">  </d>'))
+    log = F.concat(F.lit("<i>"), F.array_join(F.concat(F.collect_list(row), bad), ""), F.lit("</i>"))
+    path = scratch_dir(s)
+    b.cues(s, d).groupBy(M).agg(log.alias("value")).write.partitionBy(M).text(path)
+    got = read_live_events(s, path)
+    media = F.regexp_extract(M, f"{M}=([0-9]+)", 1).cast("long").alias(M)
+    return got.select(media, "t_s", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("a8_read_runs")
+def a8(s, d):
+    from ..sources.reports import read_runs
+
+    o = b.table(s, d, "orders")
+    run = F.struct(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("time"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".mp4")).alias("file"), F.lit(1.5).alias("duration"))
+    path = scratch_dir(s)
+    o.groupBy((F.col("o_custkey") % 16).alias("part")).agg(F.to_json(F.collect_list(run)).alias("value")).write.partitionBy("part").text(path)
+    return read_runs(s, path).select("file", F.unix_seconds("time").alias("time"))
+
+
+ORACLE_SQL |= MORE_SQL | FOLD_SQL
+_PAIRED = ORACLE_SQL["c16_pair_reports"]
+ORACLE_SQL["g3_except_reports"] = f"SELECT old_line, new_line, change FROM ({_PAIRED}) WHERE change IN ('only_old', 'only_new')"
+ORACLE_SQL["p6_alignment_regression"] = f"SELECT change, count(*) AS n FROM ({_PAIRED}) GROUP BY ALL"

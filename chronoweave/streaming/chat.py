@@ -79,12 +79,22 @@ def highlights_batch(counts: DataFrame, half: int = 2, horizon: str = "1 hour")
     return d.where(F.col("q")[1] > F.col("q")[0]).select("media_id", "start", "chat", "floor")
 
 
-def stream_highlights(counts: DataFrame, sink: Callable[[DataFrame, int], None], store: str, checkpoint: str, half: int = 2):
-    """[K5] counts of K1 appended to ``store`` batch by batch; each batch hands the highlights of the retained horizon to ``sink``."""
+def stream_highlights(counts: DataFrame, sink: Callable[[DataFrame, int], None], store: str, checkpoint: str, half: int = 2, horizon: str = "1 hour"):
+    """[K5] counts of K1 kept in ``store`` by batch and hour; each batch hands the highlights of the retained horizon of its media to
+    ``sink``. A batch that is run again replaces its own folder, and only folders of hours within the horizon are read."""
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append").parquet(store)
-        sink(highlights_batch(batch.sparkSession.read.parquet(store).dropDuplicates(["media_id", "start"]), half), number)
+        spark = batch.sparkSession
+        hour = F.date_format(F.date_trunc("hour", "start"), "yyyyMMddHH").cast("long").alias("hour")
+        batch.select("*", hour).write.mode("overwrite").partitionBy("hour").parquet(f"{store}/batch={number}")
+        since = F.date_trunc("hour", F.min("start") - F.expr(f"interval {horizon}"))
+        since = batch.agg(F.date_format(since, "yyyyMMddHH").cast("long")).first()[0]
+        if since is None:
+            return
+        kept = spark.read.schema(f"{batch._jdf.schema().toDDL()}, batch long, hour long").parquet(store)
+        kept = kept.where((F.col("hour") >= since) & (F.col("batch") <= number)).drop("batch", "hour")
+        kept = kept.hint("merge").join(batch.select("media_id").distinct(), "media_id", "left_semi")
+        sink(highlights_batch(kept.dropDuplicates(["media_id", "start"]), half, horizon), number)
 
     return counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each)
 
