@@ -37,13 +37,13 @@ def line_weight(text: Text) -> Column:
 def collapse_runs(text: Text) -> Column:
     """[H2] Without control characters; a word said four times or more in a row stands once, a CJK letter twice, a CJK phrase of
     2 to 6 letters said three times or more once (shortest period first), with the half phrase that ends it."""
-    s = F.regexp_replace(_c(text), "[\\ufffd\\u200b-\\u200f\\u2028\\u2029\\u0000-\\u0008\\u000b\\u000c\\u000e-\\u001f]", "")
-    word = r"(?i)(?U)\b(\w{1,12})\b(?:[\s,，、。.!?！？;；]*\1\b){3,}"
+    word = "(?i)(?U)" + lx.WORD_AGAIN
+    s = F.regexp_replace(_c(text), lx.CONTROL, "")
     for _ in range(2):
-        s = F.regexp_replace(s, word.replace("{3,}", "{3,}+"), "$1")
-    s = F.when(s.rlike(word), collapse_words(s)).otherwise(s)  # folded words that stand together again
-    s = F.regexp_replace(s, "([\\u4e00-\\u9fa5])\\1{3,}", "$1$1")
-    return F.when(s.rlike("([\\u4e00-\\u9fa5]).{1,40}\\1"), collapse_phrases(s)).otherwise(s)
+        s = F.regexp_replace(s, word + "+", "$1")  # possessive: long runs need no deep stack
+    s = F.coalesce(collapse_words(F.when(s.rlike(word), s)), s)  # folded words that stand together again
+    s = F.regexp_replace(s, lx.LETTER_AGAIN, "$1$1")
+    return F.coalesce(collapse_phrases(F.when(s.rlike("([\\u4e00-\\u9fa5]).{1,40}\\1"), s)), s)
 
 
 @F.pandas_udf(T.StringType())
@@ -51,7 +51,7 @@ def collapse_words(texts: pd.Series) -> pd.Series:
     """[H2] The word step until nothing changes; few texts come here."""
     import re
 
-    said = re.compile(r"\b(\w{1,12})\b(?:[\s,，、。.!?！？;；]*\1\b){3,}", re.IGNORECASE)
+    said = re.compile(lx.WORD_AGAIN, re.IGNORECASE)
 
     def one(s: str | None) -> str | None:
         before = None

@@ -1175,7 +1175,9 @@ def i3(s, d):
 
 @query("i4_allocate_spans")
 def i4(s, d):
-    return sequences.allocate_spans(_lines(s, d).join(b.media(s, d), M), signals.char_density(b.cues(s, d), b.media(s, d)))
+    c = b.cues(s, d)
+    said = joins.overlap_join(c, b.segs(s, d), limit=WHOLE).select(M, F.col("seg_no").alias("scene_no"), "start_s", "end_s", "text")
+    return sequences.allocate_spans(_lines(s, d).join(b.media(s, d), M), signals.char_density(c, b.media(s, d)), c, _alignment(s, d), said, 0.5)
 
 
 @query("i5_event_anchors")
