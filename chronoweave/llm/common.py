@@ -21,10 +21,13 @@ BASE, GRAM_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests on one machine), a new temporary one."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a local master (tests on one machine) gets a temporary folder and a
+    cluster an error, as its machines share none."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not folder and not (folder := sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
