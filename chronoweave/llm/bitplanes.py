@@ -77,8 +77,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, kind: str
         if lengths:
             yield flush()
 
-    docs = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    docs = docs.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("same").asc()]  # rows of one doc_id may lie in several ranges
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("same")).repartitionByRange(*order)
+    docs = docs.sortWithinPartitions(*order).select("doc_id", "text")
     docs.mapInArrow(run, FORMAT).write.option("compression", "none").parquet(path)
 
 

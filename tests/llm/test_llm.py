@@ -667,3 +667,67 @@ def test_pipeline_stages(spark, tmp_path):
     tok = bpe.words_of(public_tokenizers.path("word_bpe_49k.json")).tok
     ids = tok.encode(rows[1][1], add_special_tokens=False).ids
     assert out[out["doc_id"] == 1]["ids_sha256"].iloc[0] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    text = lambda: " ".join(rng.choice(VOCAB) for _ in range(60))
+    rows = [(i, text() if i % 3 else "BAD!! " * 50, "en", "s", 0) for i in range(90)] + [(200, None, None, None, None), (201, "", "en", "s", 0), (None, text(), "en", "s", 0), (7, text(), "en", "s", 0), (202, text() * 40, "en", "s", 0)]
+    rows += [rows[10], rows[10]]
+    labels = spark.createDataFrame([(i, int(bool(i % 3)), 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, None), (None, "w1 w2"), (2, "")], "item_id long, text string")
+    for name, docs in (("odd", spark.createDataFrame(rows, DOCS)), ("none", empty(spark))):
+        d = tmp_path / name
+        docs.withColumn("score", F.lit("clash")).withColumn("node", F.lit(1)).write.parquet(str(d / "documents.parquet"))
+        labels.write.parquet(str(d / "labels.parquet"))
+        items.write.parquet(str(d / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(d)).toPandas()
+        assert sorted(out.columns) == ["decoded_sha256", "doc_id", "ids_sha256", "n_tokens"]
+        if name == "none":
+            assert out.empty
+        else:
+            ids = out["doc_id"].dropna().astype(int).tolist()
+            assert len(ids) == len(set(ids)) and {1, 2, 4, 5, 202} <= set(ids) and not {3, 6, 9} & set(ids)
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
+    """Each stage's rows against plain Python over the rows that the one before kept (the classifier against its own scores)."""
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    shared = " ".join(rng.choice(VOCAB) + str(rng.randrange(50)) for _ in range(70))
+    rows = [(i, " ".join(rng.choice(VOCAB) + str(rng.randrange(50)) for _ in range(80)) if i % 4 else "BAD!! " * 60, "en", "s", 0) for i in range(120)]
+    rows = [(i, t + (" " + shared if i % 10 == 1 else ""), *rest) for i, t, *rest in rows]
+    rows[30] = (30, rows[5][1], "en", "s", 0)
+    item = " ".join(rows[77][1].split()[3:40])
+    for name, table in (("documents", spark.createDataFrame(rows, DOCS)), ("labels", spark.createDataFrame([(i, int(bool(i % 4)), 0) for i in range(120)], "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([(1, item)], "item_id long, text string"))):
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = stages[0](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == {i for i in range(120) if i % 4 or i == 30}
+    docs = spark.createDataFrame(kept, DOCS)
+    prints = {r.doc_id: simhash_brute(r.text) for r in kept}
+    label = {i: i for i in prints}
+    while True:
+        low = {i: min(label[j] for j, g in prints.items() if bin(f ^ g).count("1") <= 4) for i, f in prints.items()}
+        if low == label:
+            break
+        label = low
+    kept = stages[1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == set(label.values())
+    docs = spark.createDataFrame(kept, DOCS)
+    want = {int(i): (t, n) for i, _, n, t in brute_removed([tuple(r) for r in kept])}
+    kept = stages[2](spark, docs, str(tmp_path)).collect()
+    assert len(kept) == len(want) and any(n for _, n in want.values())
+    assert all(r.text == (want[r.doc_id][0] if want[r.doc_id][1] else next(x[1] for x in rows if x[0] == r.doc_id)) for r in kept)
+    docs = spark.createDataFrame(kept, DOCS)
+    s = decontaminate.shingles(item.encode())
+    clean = [r for r in kept if len(decontaminate.shingles(r.text.encode()) & s) < 0.8 * len(s)]
+    kept = stages[3](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == {r.doc_id for r in clean} and 77 not in {r.doc_id for r in kept}
+    tok = bpe.words_of(public_tokenizers.path("word_bpe_49k.json")).tok
+    out = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert out == {r.doc_id: hashlib.sha256(np.array(tok.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for r in kept}
