@@ -41,7 +41,17 @@ def _strongest(counts: list[str]) -> str:
 
 
 EMOTION = _strongest([f"CAST({' + '.join(_hits(w) for w in words)} AS DOUBLE)" for words in lx.EMOTIONS.values()])
-CLAUSE = _strongest(["CAST(" + " + ".join(f"CAST(contains(text, '{w}') AS INTEGER)" for w in words) + " AS DOUBLE)" for words in lx.EMOTIONS.values()])
+
+
+def _clause(text: str) -> str:
+    return _strongest(["CAST(" + " + ".join(f"CAST(contains({text}, '{w}') AS INTEGER)" for w in words) + " AS DOUBLE)" for words in lx.EMOTIONS.values()])
+
+
+CLAUSE, MARKS = _clause("text"), "".join(lx.PAUSES)
+PAUSE = "CASE " + " ".join(f"WHEN ends_with(p[i], '{mark}') THEN '{{停顿:{wait:.2f}}}'" for mark, wait in lx.PAUSES.items()) + " ELSE '' END"
+QUOTED = "[“‘「『][^”’」』]*[”’」』]?"
+WEIGHTED = f"SELECT *, CASE WHEN length(c) <= 1 THEN 0.0::DOUBLE WHEN {UNIT} THEN 0.12::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM (SELECT *, {CORE} AS c FROM cu)"
+HITS = " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}" for w in lx.HIGHLIGHT_WORDS)
 END = "2592000.0::DOUBLE"
 
 FOLD_SQL = {
@@ -73,6 +83,13 @@ c AS (SELECT media_id, cue_no, length(text) AS n FROM cu) SELECT s.media_id, s.l
 v AS (SELECT o.media_id, line_no, shot_no, arg_min(cu.text, cu.start_s) AS evidence FROM o JOIN cu ON cu.media_id = o.media_id AND cu.start_s >= o.start_s AND cu.start_s < o.end_s GROUP BY ALL) SELECT o.*, coalesce(shared, 0) AS shared, evidence FROM o LEFT JOIN p USING (media_id, line_no, shot_no) LEFT JOIN v USING (media_id, line_no, shot_no)""",
     "r3_lines_of_clip": f"WITH {b.SE}, w AS (SELECT media_id, cue_no, start_s, end_s, CASE WHEN length(c) <= 1 THEN 0.0::DOUBLE WHEN {UNIT} THEN 0.12::DOUBLE ELSE 1 END AS weight FROM (SELECT *, {CORE} AS c FROM cu)) SELECT se.media_id, seg_no, CAST(count(*) FILTER (weight >= 0.4::DOUBLE) AS INTEGER) AS informative, count(*) FILTER (weight >= 0.4::DOUBLE) = 0 AS noisy FROM se JOIN w ON w.media_id = se.media_id AND w.end_s > se.start_s AND w.start_s < se.end_s GROUP BY ALL",
     "h14_emotion_of": f"WITH {b.LI} SELECT media_id, line_no, {EMOTION} AS emotion, {CLAUSE} AS clause_emotion FROM li",
+    "h15_prosody_markup": f"""WITH {b.CU}, q AS (SELECT media_id, cue_no, text, trim(text) AS s, regexp_extract_all(trim(text), '(?:(?:{QUOTED}|[^{MARKS}“‘「『])*[{MARKS}]|(?:{QUOTED}|[^{MARKS}“‘「『])+)') AS p FROM cu)
+SELECT media_id, cue_no, md5(CASE WHEN length(s) < 12 OR regexp_matches(s, '\\{{/?(?:情绪|停顿|慢|快|高音|低音|大声|小声)') THEN text ELSE list_aggregate(list_transform(range(1, len(p) + 1), lambda i: '{{情绪:' || {_clause('p[i]')} || '}}' || p[i] || '{{/情绪}}' || CASE WHEN i < len(p) THEN {PAUSE} ELSE '' END), 'string_agg', '') END) AS marked_md5 FROM q""",
+    "i18_volume_envelope": f"""WITH {b.CU}, x AS (SELECT media_id, start_s, start_s + 10 AS end_s, cue_no % 4 = 0 AS key, {EMOTION} AS emotion, max(start_s + 10) OVER (PARTITION BY media_id) AS film_end FROM cu), y AS (SELECT media_id, unnest(CASE WHEN start_s < 7 AND end_s > 7 THEN [[start_s, 7], [7, end_s]] ELSE [[start_s, end_s]] END) AS p, key, emotion, film_end FROM x),
+z AS (SELECT media_id, p[1] AS start_s, p[2] AS end_s, CASE WHEN p[2] <= 7 THEN 'hook' WHEN p[2] >= film_end - 1e-9 AND film_end > 7 THEN 'closing' WHEN key THEN 'peak' WHEN emotion <> '{lx.NEUTRAL}' THEN 'tense' ELSE 'mood' END AS tier FROM y), n AS (SELECT *, CASE WHEN lag(tier) OVER w = tier AND abs(start_s - lag(end_s) OVER w) < 0.02::DOUBLE THEN 0 ELSE 1 END AS new FROM z WINDOW w AS (PARTITION BY media_id ORDER BY start_s)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY media_id ORDER BY start_s) AS g FROM n) SELECT media_id, min(start_s) AS start_s, max(end_s) AS end_s, arg_min(tier, start_s) AS tier, CASE arg_min(tier, start_s) WHEN 'hook' THEN 0.9::DOUBLE WHEN 'closing' THEN 0.7::DOUBLE WHEN 'peak' THEN 0.85::DOUBLE WHEN 'tense' THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS vol FROM g GROUP BY media_id, g""",
+    "d4_speech_curve": f"""WITH {b.ME}, x AS (SELECT media_id, CAST(unnest(range(CAST(floor(start_s / 2) AS BIGINT), CAST(greatest(ceil(e / 2), floor(start_s / 2) + 1) AS BIGINT))) AS INTEGER) AS win, start_s, e, weight, least(3, {HITS}) * weight AS hits FROM (SELECT *, CASE WHEN end_s > start_s THEN end_s ELSE start_s + 0.5::DOUBLE END AS e FROM ({WEIGHTED}))),
+y AS (SELECT media_id, win, sum(least(least(e, (win + 1) * 2.0::DOUBLE) - greatest(start_s, win * 2.0::DOUBLE), 2.0::DOUBLE) * weight) AS speech, CAST(sum(hits) AS DOUBLE) AS kw FROM x GROUP BY ALL), r AS (SELECT media_id, CAST(unnest(range(CAST(floor(dur / 2) AS BIGINT))) AS INTEGER) AS win FROM me) SELECT r.media_id, r.win, round(coalesce(speech, 0), 6) AS speech, round(coalesce(kw, 0), 6) AS kw FROM r LEFT JOIN y USING (media_id, win)""",
     "h16_split_sentences": f"WITH {b.CU} SELECT media_id, cue_no, CAST(len(list_filter(list_transform(regexp_extract_all(text, '(?:(?:{BALANCED}|[^。！？!?；])*[。！？!?；]+[”’」』]?|(?:{BALANCED}|[^。！？!?；])+)'), lambda y: trim(y)), lambda y: y <> '')) AS INTEGER) AS n FROM cu",
     "h19_chunk_text": f"""WITH p AS (SELECT doc_id AS media_id, regexp_extract_all(text, '(?s)(?:[^，,。！？；;!?\\n]*[，,。！？；;!?\\n]|[^，,。！？；;!?\\n]+)') AS p FROM documents WHERE text IS NOT NULL), q AS (SELECT media_id, flatten(list_transform(p, lambda y: list_transform(range(CAST((length(y) - 1) // 80 + 1 AS BIGINT)), lambda k: substring(y, k * 80 + 1, 80)))) AS q FROM p),
 s AS (SELECT media_id, list_filter({fold("list_concat([''], q)", "CASE WHEN length(acc[-1] || x[1]) > 80 AND acc[-1] <> '' THEN list_concat(acc, x) ELSE list_concat(acc[:-2], [acc[-1] || x[1]]) END")}, lambda y: trim(y) <> '') AS s FROM q) SELECT media_id, CAST(i - 1 AS INTEGER) AS chunk_no, md5(trim(s[i])) AS text_md5 FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM s)""",

@@ -110,11 +110,13 @@ def d6(s, d):
     return signals.line_durations(v, [M, "line"]).withColumn("dur", F.round("dur", 3))
 
 
-@query("d7_cut_plan_summary", f"""WITH {b.VI} SELECT media_id, count_if(text <> 'error') AS kept, count_if(text = 'error') AS removed, round(coalesce(sum(end_s - start_s) FILTER (text = 'error'), 0), 3) AS removed_sec,
+@query("d7_cut_plan_summary", f"""WITH {b.VI} SELECT media_id, count_if(text <> 'error') AS kept, count_if(text = 'error') AS removed, md5(string_agg(seg_no || ':' || CASE WHEN text <> 'error' THEN 1 ELSE 0 END, ',' ORDER BY start_s, end_s, seg_no)) AS segments_md5, round(coalesce(sum(end_s - start_s) FILTER (text = 'error'), 0), 3) AS removed_sec,
 round(coalesce(sum(end_s - start_s) FILTER (text <> 'error'), 0) / sum(end_s - start_s) * 100, 6) AS coverage, count(*) AS n FROM vi GROUP BY ALL""")
 def d7(s, d):
     x = signals.cut_plan_summary(b.visits(s, d).withColumn("keep", F.col("text") != "error"))
-    return r6(x.select(M, "kept", "removed", F.round("removed_sec", 3).alias("removed_sec"), "coverage", F.size("segments").cast("long").alias("n")), "coverage")
+    each = F.transform("segments", lambda y: F.concat_ws(":", y["seg_no"].cast("string"), y["keep"].cast("int").cast("string")))
+    order = F.md5(F.array_join(each, ",").cast("binary")).alias("segments_md5")
+    return r6(x.select(M, "kept", "removed", order, F.round("removed_sec", 3).alias("removed_sec"), "coverage", F.size("segments").cast("long").alias("n")), "coverage")
 
 
 @query("d8_sync_report", f"""WITH {b.CU}, me AS (SELECT media_id, max(end_s) * 1.3::DOUBLE AS dur FROM cu GROUP BY ALL), c AS (SELECT *, max(end_s) OVER (PARTITION BY media_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM cu),
@@ -1020,10 +1022,11 @@ def j1(s, d):
     return e.select("event_id", num.extract_json(F.concat(F.lit("sure: "), "props", F.lit(" done")), "k bigint").getField("k").alias("k"))
 
 
-@query("j2_index_or_positional", "SELECT l_orderkey AS media_id, count(*) AS n FROM lineitem GROUP BY ALL")
+@query("j2_index_or_positional", """WITH x AS (SELECT l_orderkey AS media_id, l_linenumber AS ln, l_returnflag AS flag, count(*) OVER w AS n, max(l_linenumber) OVER w AS top, min(l_linenumber) OVER w AS low, count(DISTINCT l_linenumber) OVER (PARTITION BY l_orderkey) AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) - 1 AS place FROM lineitem WINDOW w AS (PARTITION BY l_orderkey))
+SELECT media_id, CAST(CASE WHEN media_id % 2 = 0 AND d = n AND low >= 1 AND top <= n THEN ln - 1 ELSE place END AS INTEGER) AS i, flag FROM x""")
 def j2(s, d):
-    x = b.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias(M)).agg(F.array_sort(F.collect_list(F.struct((F.col("l_linenumber") + 100).alias("i"), "l_returnflag"))).alias("rows"))
-    return x.select(M, F.size(num.index_or_positional("rows", F.size("rows"))).cast("long").alias("n"))
+    x = b.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias(M)).agg(F.array_sort(F.collect_list(F.struct((F.col("l_linenumber") + F.when(F.col("l_orderkey") % 2 == 0, -1).otherwise(100)).alias("i"), "l_returnflag"))).alias("rows"))
+    return x.select(M, F.explode(num.index_or_positional("rows", F.size("rows"))).alias("r")).select(M, "r.i", F.col("r.row.l_returnflag").alias("flag"))
 
 
 @query("j3_parse_story", "SELECT p_partkey AS media_id, p_size AS scene_idx, left(p_name, 60) AS story, len(string_split(p_type, ' ')) AS n FROM part")
@@ -1108,12 +1111,14 @@ def a10(s, d):
     return srt_text(b.cues(s, d)).select(M, F.regexp_count("srt", F.lit(" --> ")).cast("long").alias("blocks"))
 
 
-@query("a11_clip_report", f"WITH {b.VI} SELECT media_id, count(*) AS n FROM vi GROUP BY ALL")
+@query("a11_clip_report", f"WITH {b.VI}, x AS (SELECT *, CAST(round(start_s * 1000) AS BIGINT) AS a, CAST(round(end_s * 1000) AS BIGINT) AS z FROM vi) SELECT media_id, start_s, end_s, printf('%d:%02d - %d:%02d', a // 60000, a // 1000 % 60, z // 60000, z // 1000 % 60) AS span, 'score 1.000  ' || text AS tail, text AS reason FROM x")
 def a11(s, d):
     from ..sources.reports import clip_report
 
     c = b.visits(s, d).select(M, "start_s", "end_s", F.lit(1.0).alias("score"), F.array("text").alias("reasons"))
-    return clip_report(c).where("line is not null and json is not null").groupBy(M).agg(F.count("*").alias("n"))
+    j = F.from_json("json", "start_s double, end_s double, score double, reasons array<string>")
+    line = F.regexp_extract("line", r"^(.*?)  [0-9.]+ s  (score .*)$", 1).alias("span"), F.regexp_extract("line", r"^(.*?)  [0-9.]+ s  (score .*)$", 2).alias("tail")
+    return clip_report(c).select(M, "start_s", *line, j.alias("j")).select(M, "start_s", "j.end_s", "span", "tail", F.col("j.reasons")[0].alias("reason"))
 
 
 @query("a12_append_run", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, 'f' || o_orderkey LIMIT 100")
@@ -1130,11 +1135,15 @@ def a13(s, d):
     return tables.material_catalog(p.select("name", F.lit(1).alias("size"), F.lit(1).alias("mtime")), meta).select("name", "kind", F.array_join("tags", ",").alias("tag"))
 
 
-@query("a14_artefact_inventory", "SELECT l_orderkey AS run_id, count(*) AS n, count_if(l_linenumber % 3 = 0) AS videos FROM lineitem GROUP BY ALL")
+@query("a14_artefact_inventory", """WITH x AS (SELECT DISTINCT l_orderkey AS run_id, (['final_', 'clip_', 'f'])[l_linenumber % 2 + 1] || l_linenumber || (['.mp4', '.txt', '.json'])[l_linenumber % 3 + 1] AS name, l_linenumber % 3 AS k, l_linenumber % 2 AS v, CASE WHEN l_linenumber % 4 = 0 THEN 2000000 ELSE 10 END AS size FROM lineitem),
+y AS (SELECT run_id, name, (['video', 'text', 'data'])[k + 1] AS kind, CAST(([0, 5, 4])[k + 1] AS INTEGER) AS kind_rank, k = 0 AND row_number() OVER (PARTITION BY run_id, k ORDER BY CASE v WHEN 0 THEN 0 ELSE 3 END, name) = 1 AS best_video, k = 1 AND size <= 1048576 AND row_number() OVER (PARTITION BY run_id, k = 1 AND size <= 1048576 ORDER BY name) = 1 AS first_text FROM x)
+SELECT run_id, name, kind, kind_rank, best_video, first_text, CAST(row_number() OVER (PARTITION BY run_id ORDER BY kind_rank, name) - 1 AS INTEGER) AS pos FROM y""")
 def a14(s, d):
     ext = F.element_at(F.array(F.lit(".mp4"), F.lit(".txt"), F.lit(".json")), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    x = b.table(s, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string"), ext).alias("name"), F.lit(10).alias("size"))
-    return tables.artefact_inventory(x).groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "video").alias("videos"))
+    stem = F.when(F.col("l_linenumber") % 2 == 0, "final_").otherwise("clip_")
+    size = F.when(F.col("l_linenumber") % 4 == 0, 2_000_000).otherwise(10).alias("size")
+    x = b.table(s, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.concat(stem, F.col("l_linenumber").cast("string"), ext).alias("name"), size).distinct()
+    return tables.artefact_inventory(x).drop("size")
 
 
 # ---- sequential operators and pipelines ----------------------------------------------------------------------------------
