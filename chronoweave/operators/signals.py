@@ -42,6 +42,13 @@ def motion_curve(frames: DataFrame, grid_: DataFrame, window: float, col: str =
     return fill(grid_, m, ["motion"], by)
 
 
+def activity_curves(events: DataFrame, grid_: DataFrame, window: float, col: str = "motion", t: str = "t_s", by: str = MEDIA) -> DataFrame:
+    """[D1, D2] chat and motion of one event table, in one pass."""
+    d = events.groupBy(by, window_of(t, window).alias("win"))
+    d = d.agg(F.count_if(F.coalesce(F.col(t), F.lit(0.0)) >= 0).cast("double").alias("chat"), F.avg(col).alias("motion"))
+    return fill(grid_, d, ["chat", "motion"], by)
+
+
 def rms_curve(chunks: DataFrame, window: float, by: str = MEDIA) -> DataFrame:
     """[D3] audio(media_id, chunk_no, sample_rate, pcm): root mean square of samples / 32768 in each full window; chunks lie end
     to end in order of chunk_no, so offsets are sums of sizes, and each chunk gives a partial sum a window."""

@@ -16,19 +16,17 @@ def _w(by: str | list[str], order: str | list[str]) -> W:
 def pct_rank(df: DataFrame, col: str, order: str = "win", out: str = "rank", ties: bool = False, by: str = MEDIA) -> DataFrame:
     """[E1, E2] Rank in 0..1 within a timeline: (row - 1) / (n - 1) by (value, order); with ``ties`` the mean rank of equal
     values; 0.5 where values differ by at most 1e-9 overall."""
-    all_ = W.partitionBy(by)
+    w = _w(by, col) if ties else _w(by, [col, order])
+    all_ = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # one order for all of them: one sort
     n = F.count("*").over(all_)
     flat = (F.max(col).over(all_) - F.min(col).over(all_) <= 1e-9) | (n <= 1)
-    if ties:
-        place = F.rank().over(_w(by, col)) - 1 + (F.count("*").over(W.partitionBy(by, col)) - 1) / 2
-    else:
-        place = F.row_number().over(_w(by, [col, order])) - 1
+    place = (F.rank().over(w) + F.count("*").over(w)) / 2 - 1 if ties else F.row_number().over(w) - 1  # the first and last of equals
     return df.withColumn(out, F.when(flat, 0.5).otherwise(place / (n - 1)))
 
 
 def smooth(df: DataFrame, col: str, k: int, order: str = "win", out: str = "smooth", by: str = MEDIA) -> DataFrame:
     """[E3] Centred moving sum over min(k, n) windows, divided by that count; nothing beyond the ends."""
-    n = F.count("*").over(W.partitionBy(by))
+    n = F.count("*").over(_w(by, order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     full = F.sum(col).over(_w(by, order).rowsBetween(-(k // 2), (k - 1) // 2)) / k
     short = df
     if k > 1:  # timelines shorter than k use k = n

@@ -263,7 +263,8 @@ fu AS (SELECT media_id, win, CASE WHEN rc <= 1e-9 THEN 0.5::DOUBLE ELSE c END AS
 
 
 def _fused(s, d):
-    x = windows.pct_rank(_chat(s, d), "chat", out="chat_rank", ties=True).join(windows.pct_rank(_motion(s, d), "motion", out="motion_rank", ties=True), [M, "win"])
+    x = signals.activity_curves(b.live(s, d), signals.grid(b.users(s, d), GRID), GRID, col="cents")
+    x = windows.pct_rank(windows.pct_rank(x, "chat", out="chat_rank", ties=True), "motion", out="motion_rank", ties=True)
     return windows.fuse(x.withColumn("audio_rank", F.lit(None).cast("double")), {"chat_rank": 0.4, "motion_rank": 0.3, "audio_rank": 0.5})
 
 
