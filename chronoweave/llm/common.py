@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -33,6 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bytes of an Arrow batch that a Python worker gets; Spark's own bound is 64 MB, held several times over in a task.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query`` with Arrow batches of BATCH_BYTES at most, where the session keeps Spark's own larger bound."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if spark.conf.get(key) == "67108864b":
+            spark.conf.set(key, f"{BATCH_BYTES}b")
+        return query(spark, sf_dir)
+
+    return run
+
+
 def write_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back, so that a lost executor costs a reread."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -61,7 +77,7 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def spans(offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def spans(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Cut rows into runs of about ``limit`` bytes, one row at least, so that temporaries stay small."""
     at, n = 0, len(offsets) - 1
     while at < n:

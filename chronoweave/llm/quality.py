@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import IS_SPACE, buffers, spans, word_bounds, word_hashes
 
 SAMPLE, PASSAGES, PASSAGE_WORDS, SIGNS, STYLE = 6000, 64, 64, 64, 14
-PIECE = 1 << 20
+PIECE = 1 << 19
 HIDDEN, ATTENTION, STEPS, RATE, DECAY = 24, 12, 300, 0.02, 1e-3
 KINDS = np.zeros((6, 256), np.int64)
 for _row, _set in enumerate((range(65, 91), range(97, 123), range(48, 58), range(128, 256), b".,;:?!'\"()-", b"#$%&*+/<=>@[\\]^_`{|}~")):

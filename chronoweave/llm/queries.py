@@ -1,6 +1,7 @@
 """Queries of the numbered operators: name -> function(spark, sf_dir), and the SQL for those that SQL can express."""
 
 from . import bitplanes, bpe, decontaminate, licences, pages, quality, sharding, simhash, substrings, vectors
+from .common import bounded_batches
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -15,4 +16,6 @@ QUERIES = {
     "op10_token_planes": bitplanes.query,
 }
 
+QUERIES = {name: bounded_batches(query) for name, query in QUERIES.items()}
+
 ORACLE_SQL: dict[str, str] = {}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import bpe, decontaminate, quality, simhash, substrings
-from chronoweave.llm.common import write_table
+from chronoweave.llm.common import bounded_batches, write_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -58,6 +58,7 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@bounded_batches
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
