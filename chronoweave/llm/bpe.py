@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, spans
+from .common import HELD, buffers, spans
 
 LEAF, SPREAD, FIRST_WINDOW, LONG_WORD, KNOWN, SPELT = 65536, 65536, 64, 128, 1_200_000, 300_000
 #: Byte values to the letters by which byte-level vocabularies write them: printable ones stand for themselves, the rest follow
@@ -31,6 +31,7 @@ LETTERS = {b: chr(b) if b in PRINTED else chr(256 + k) for k, b in enumerate(sor
 PAIRS, RARE = ("  ", " \n", "\n ", "\n\n"), "\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TAIL = ".,!?%*#$&|;:-\"()"
 _loaded: dict[str, Words] = {}
+HELD["bpe"] = _loaded.clear
 
 
 def words_of(path: str) -> Words:

@@ -49,6 +49,18 @@ def bounded_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable
     return run
 
 
+#: What empties the tables that operators keep in a Python worker between tasks, by operator.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def make_room(operator: str = "") -> None:
+    """Called by a task of ``operator`` when it starts: a worker serves stage after stage, and what other operators have kept in
+    it would stay beside this one's data."""
+    for name, empty in HELD.items():
+        if name != operator:
+            empty()
+
+
 def write_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back, so that a lost executor costs a reread."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

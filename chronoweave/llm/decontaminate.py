@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, gram_hashes, mix, spans, word_bounds, word_hashes, write_table
+from .common import buffers, gram_hashes, make_room, mix, spans, word_bounds, word_hashes, write_table
 
 WORDS, SHARE = 5, 0.8
 #: Up to so many bytes of items are sent to every task; beyond, sketches and pairs are joined by shuffles.
@@ -130,6 +130,7 @@ def matches(docs: DataFrame, items: DataFrame, words: int = WORDS, share: float
         index = docs.sparkSession.sparkContext.broadcast(items.collect())  # of the size just checked
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            make_room()
             own = Index([(r[0], bytes(r[1])) for r in index.value], words, share)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
@@ -152,6 +153,7 @@ def matches(docs: DataFrame, items: DataFrame, words: int = WORDS, share: float
         most = {r["width"]: np.uint64((r["h"] ^ -(1 << 63)) & (1 << 64) - 1) for r in top}
 
         def doc_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            make_room()
             for batch in batches:
                 data, offsets = buffers(batch.column(1))
                 for s, e in spans(offsets, 1 << 20):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, buffers, spans, word_bounds, word_hashes
+from .common import IS_SPACE, buffers, make_room, spans, word_bounds, word_hashes
 
 SAMPLE, PASSAGES, PASSAGE_WORDS, SIGNS, STYLE = 6000, 64, 64, 64, 14
 PIECE = 1 << 19
@@ -155,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str,
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most ``sample`` rows: small enough to broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             data, offsets = buffers(batch.column(0))
             bags = []
@@ -180,6 +181,7 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text") ->
     docs = docs.drop("score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             data, offsets = buffers(pc.cast(batch.column(batch.schema.get_field_index(text)), pa.binary()))
             out = []

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, write_table
+from .common import checkpointed, components, make_room, write_table
 
 WORDS, RADIUS, PIVOTS, TILE = 4, 4, 16, 512
 
@@ -47,6 +47,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, fp) with the fingerprint as a signed long. Null texts count as empty; every row stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             fps = np.array([fingerprint(t.as_py() or b"", words) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
@@ -157,6 +158,7 @@ def _links(pivots: np.ndarray, radius: int):
         return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         rest: pa.Table | None = None
         for batch in batches:
             t = pa.Table.from_batches([batch])

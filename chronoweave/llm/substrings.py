@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, IS_SPACE, buffers, mix, span_hashes, spans, unused, word_bounds, word_hashes, write_table
+from .common import BASE, IS_SPACE, buffers, make_room, mix, span_hashes, spans, unused, word_bounds, word_hashes, write_table
 
 WINDOW, EDGE, ROUNDS, LONGEST, UPPER = 13, 2, 2, 4, 11
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -125,6 +125,7 @@ def _packed(text: str):
     """The text column compressed row by row, as it travels once but is read several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             i = batch.schema.get_field_index(text)
@@ -136,6 +137,7 @@ def _packed(text: str):
 
 def _unpacked(batches: Iterator[pa.RecordBatch], text: str | int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Batches in parts of bounded size, each with its texts as they were (null as empty)."""
+    make_room()
     press = zstandard.ZstdDecompressor()
     for batch in batches:
         column = batch.column(text)
@@ -176,6 +178,7 @@ def _doc_windows(s: Slice) -> np.ndarray:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, key, text) -> a row for each block: its place, number of windows and name."""
+    make_room()
     for batch in batches:
         doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for s in _slices(pc.cast(batch.column(2), pa.binary())):
