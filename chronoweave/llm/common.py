@@ -9,6 +9,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,6 +145,30 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: i
     return out
 
 
+class WordNames(dict):
+    """XXH3 hashes of words; those of the first ``KEPT`` different words are kept, so the table is bounded."""
+
+    KEPT, PIECE = 200_000, 1 << 20
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < self.KEPT and len(word) <= 64:
+            self[word] = h
+        return h
+
+    def of(self, text: bytes) -> np.ndarray:
+        """The hashes of a text's words, in order; a long text is worked in pieces that end between words."""
+        out, at = [], 0
+        while at < len(text):
+            end = at + self.PIECE
+            while end < len(text) and text[end] not in SPACES:
+                end += 1
+            words = (text if end >= len(text) and not at else text[at:end]).split()
+            out.append(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
+            at = end
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def span_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each run of symbols h[start:end], from prefix sums."""
     size = 1 << max(10, (len(h)).bit_length())
