@@ -6,10 +6,10 @@ n - ceil(0.8 n) + 1 first elements in one global order are listed, since linked
 two is where the rows of both sides together cost least, from the counts of set sizes.
 
 Elements that many sets hold come last in the global order, so that lists stay short. What is left in one list is linked in two
-rounds. In the first, every set of a list is compared with the first of about its size; a group of near copies becomes one
-component that way, at the cost of one comparison a copy. In the second, sets of one list that are still in different components are
-counted over all lists they share; pairs whose counts allow the threshold are compared by their whole sets. So no link between
-components is lost, and no group lists all its pairs.
+rounds. In the first, every set is compared with one of about its size, the first of most of its lists; then, once more, one set of each
+component with one of another. A group of near copies becomes one component that way, at the cost of a comparison a copy. In the
+second, sets of one list that are still in different components are counted over all lists they share; pairs whose counts allow
+the threshold are compared by their whole sets. So no link between components is lost, and no group lists all its pairs.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ WORDS, PERCENT = 5, 80
 #: Light sets have fewer elements than this at most; POSTING is the cost of a row of an inverted list, in rows of a subset.
 LIGHT, POSTING = 24, 3.0
 #: Elements that go last in the global order: the most frequent, by what tasks have seen. Any choice gives the same result.
-FREQUENT, SEEN = 1 << 16, 4
+FREQUENT, SEEN = 1 << 18, 2
 #: Sets of a list that are paired in one piece; sets that a semi-join by broadcast may fetch, beyond it a merge does.
 TILE, FETCH = 512, 1_000_000
 
@@ -278,10 +278,29 @@ def verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, words: int, pe
     return both.mapInArrow(compared, "a long, b long")
 
 
-def open_pairs(lists: DataFrame, label: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """Pairs of sets of one list that lie in different components and whose common places in all lists allow the threshold."""
+def labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """Lists with the component of each node."""
     rows = lists.hint("merge").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = write_table(rows, "labelled")
+    return write_table(rows, "labelled")
+
+
+def best_centers(pairs: DataFrame) -> DataFrame:
+    """pairs(of, a, b), a row for each list -> one pair (a, b) for each ``of``, that of most lists."""
+    counted = pairs.groupBy("of", "a", "b").agg(F.count("*").alias("k"))
+    best = counted.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("k", "a", "b")).alias("p"))
+    return write_table(best.select("p.a", "p.b"), "stars")
+
+
+def component_stars(rows: DataFrame) -> DataFrame:
+    """A pair (a, b) for each component that meets another in a list: a set of its own and the smallest set of the list."""
+    own = rows.groupBy("elem", "component").agg(F.min(F.struct("n", "node")).alias("own"))
+    first = rows.groupBy("elem").agg(F.min(F.struct("n", "node", "component")).alias("first"))
+    met = own.hint("merge").join(first, "elem").where("component <> first.component")
+    return best_centers(met.select(F.col("component").alias("of"), F.col("own.node").alias("a"), F.col("first.node").alias("b")))
+
+
+def open_pairs(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
+    """Pairs of sets of one labelled list that lie in different components and whose common places in all lists allow the threshold."""
     mixed = rows.groupBy("elem").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("elem", "size")
     rows = rows.hint("merge").join(mixed, "elem").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
@@ -350,14 +369,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         sizes = found.where("node is not null").groupBy(F.least("n", F.lit(LIGHT)).alias("n")).agg(F.approx_count_distinct("node").alias("k"))
         boundary = choose_boundary({r["n"]: r["k"] for r in sizes.collect()}, percent)  # LIGHT rows at most
     often = survey.where("elem is not null").groupBy("elem").agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "elem").limit(FREQUENT)
-    frequent = np.array([r["elem"] for r in often.collect()][::-1], np.int64).view(np.uint64)  # FREQUENT rows at most
+    frequent = often.select("elem").toArrow()["elem"].to_numpy()[::-1].astype(np.int64).view(np.uint64)  # FREQUENT rows at most
     lists = write_table(shared_lists(listed(docs, boundary, frequent, words, percent), percent), "lists")
     links = light_links(lists.where("pos < 0"))
     lists = lists.where("pos >= 0")
-    stars = lists.where("node <> center").groupBy(F.col("node").alias("a"), F.col("center").alias("b")).agg(F.count("*").alias("k"), F.max("n").alias("n"))
-    stars = write_table(stars.where(F.col("k") >= 0.2 * (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)).select("a", "b"), "stars")
+    stars = best_centers(lists.where("node <> center").select(F.col("node").alias("of"), F.col("node").alias("a"), F.col("center").alias("b")))
+    lists = lists.drop("center")
+    links = write_table(links.unionByName(verified(stars, docs, found, words, percent)), "links")
+    stars = component_stars(labelled(lists, components(links)))
     links = write_table(links.unionByName(verified(stars, docs, found, words, percent)), "links")
-    rest = write_table(open_pairs(lists.drop("center"), components(links), percent), "open")
+    rest = write_table(open_pairs(labelled(lists, components(links)), percent), "open")
     more = verified(rest, docs, found, words, percent)
     linked = components(links.unionByName(more))
     ids = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own")).hint("merge").join(linked, "node", "left")
@@ -375,11 +396,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 #: Links by counting shared shingles, classes by label propagation.
 SQL = """
 with recursive words as (
-    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
     from documents
 ), sets as (
     select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-        else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) end as s
+        else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) end as s
     from words
 ), held as (select doc_id, len(s) as n, unnest(s) as e from sets),
 counted as (
