@@ -10,6 +10,7 @@ carry state over a space are encoded once and kept in a bounded table of the wor
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections import ChainMap
 from collections.abc import Iterator
@@ -55,7 +56,8 @@ class Words:
         self.tok.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        plain = not any(t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"]) for t in spec.get("added_tokens") or [])
+        added = spec.get("added_tokens") or []
+        plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"]) for t in added)
         pre = json.dumps(spec.get("pre_tokenizer") or {})
         if plain and (spec.get("model") or {}).get("end_of_word_suffix") and '"invert": true' in pre and '"Removed"' in pre:
             self.style = "dropped"
@@ -69,6 +71,9 @@ class Words:
         self.texts: dict[str, str] = {}
         self.model = self.tok.model
         self.model._resize_cache(0)  # words are kept here; a second table only costs time
+        #: Added tokens, the longest first: they end the stretch before them as the end of a text does.
+        contents = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.has_added, self.added, self.begin = bool(added), re.compile("(" + "|".join(map(re.escape, contents)) + ")").split, os.path.commonprefix(contents)
         self.cut = re.compile(r" ?[^ \n]+|[ \n]").findall
         self.run = re.compile(r"\s\s(?:\s|\Z)").search
 
@@ -76,10 +81,17 @@ class Words:
         if self.style == "dropped":
             return [w for w in text.replace("\n", " ").split(" ") if w]
         if self.style == "leading":
-            if not (any(x in text for x in PAIRS) or any(x in text for x in RARE)):
-                return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-            if not self.run(text):
-                return self.cut(text)
+            if self.has_added and self.begin in text:
+                return [w for k, part in enumerate(self.added(text)) for w in ([part] if k % 2 else self.stretch(part))]
+            return self.stretch(text)
+        return [text] if text else []
+
+    def stretch(self, text: str) -> list[str]:
+        """The words of a text without added tokens, where one space joins the word after it."""
+        if not (any(x in text for x in PAIRS) or any(x in text for x in RARE)):
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        if not self.run(text):
+            return self.cut(text)
         return [text] if text else []
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
@@ -112,7 +124,7 @@ class Words:
         """A word of Latin letters and the marks after it, each a stretch that the tokenizer never joins with the other; else None."""
         body = w[1:] if w[0] == " " else w
         core = body.rstrip(TAIL)
-        if not core.isalpha() or (not core.isascii() and max(core) >= "\u0180") or self.style == "whole" or (self.style == "dropped" and w[0] == " "):
+        if not core.isalpha() or (not core.isascii() and (max(core) >= "\u0180" or len(core.lower()) != len(core))) or self.style == "whole" or (self.style == "dropped" and w[0] == " "):
             return None, ""
         return w[: len(w) - len(body) + len(core)], body[len(core) :]
 
