@@ -129,19 +129,27 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each word from prefix sums of a polynomial over its bytes; worked in pieces, so that temporaries stay
-    small however long the text is."""
+#: Words of more bytes are hashed by XXH3: long words of two letters only can be equal under every polynomial modulo 2**64.
+LONG = 24
+#: A second odd multiplier, for a hash that does not depend on the first.
+SECOND = 0xA24BAED4963EE407
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 20, base: int = BASE) -> np.ndarray:
+    """A 64-bit hash of each word: of short ones from prefix sums of a polynomial over their bytes, worked in pieces, so that
+    temporaries stay small however long the text is; of long ones by XXH3, seeded by ``base``. Another base, another hash."""
     out, at = np.zeros(len(starts), np.uint64), 0
     while at < len(starts):
         stop = max(at + 1, int(np.searchsorted(ends, starts[at] + piece, "right")))
         lo, n = starts[at], int(ends[stop - 1] - starts[at])
         size = 1 << max(10, (n - 1).bit_length())
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data[lo : lo + n].astype(np.uint64) + np.uint64(1)) * _powers(BASE, size)[:n], out=sums[1:])
+        np.cumsum((data[lo : lo + n].astype(np.uint64) + np.uint64(1)) * _powers(base, size)[:n], out=sums[1:])
         s, e = starts[at:stop] - lo, ends[at:stop] - lo
-        out[at:stop] = mix((sums[e] - sums[s]) * _powers(pow(BASE, -1, 1 << 64), size)[s] + (e - s).astype(np.uint64))
+        out[at:stop] = mix((sums[e] - sums[s]) * _powers(pow(base, -1, 1 << 64), size)[s] + (e - s).astype(np.uint64))
         at = stop
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), base)
     return out
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, IS_SPACE, buffers, make_room, mix, span_hashes, spans, unused, word_bounds, word_hashes, write_table
+from .common import BASE, IS_SPACE, SECOND, buffers, make_room, mix, span_hashes, spans, unused, word_bounds, word_hashes, write_table
 
 WINDOW, EDGE, ROUNDS, LONGEST, UPPER = 13, 2, 2, 4, 11
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -114,10 +114,9 @@ class Slice:
         return np.minimum(least, v[windows + EDGE]).view(np.int64)
 
     def digests(self, first: np.ndarray, last: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        """96-bit names of words first to last, two hashes over those of the words: among 10**13 windows two differ under one name
-        with odds of one to a thousand."""
+        """96-bit names of words first to last, from two hashes of each word that do not depend on one another."""
         hi = span_hashes(self.hashes, first, last + 1)
-        lo = span_hashes(mix(self.hashes + np.uint64(0x632BE59BD9B4E019)), first, last + 1)
+        lo = span_hashes(word_hashes(self.data, self.starts, self.ends, base=SECOND), first, last + 1)
         return pa.array(hi.view(np.int64)), pa.array((lo >> np.uint64(32)).astype(np.uint32).view(np.int32))
 
 

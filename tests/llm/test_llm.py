@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import textwrap
+import unicodedata
 import zlib
 
 import numpy as np
@@ -133,6 +134,22 @@ def test_tree_equals_whole(monkeypatch, name):
             assert ids == [want] and out == [w.tok.decode(np.frombuffer(want, "<u4").tolist(), skip_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_of_all_kinds_of_letters_and_added_tokens(name):
+    """Letters of every class of Unicode, those that grow or shrink in small letters, white space of all kinds, added tokens."""
+    w, rng = bpe.words_of(public_tokenizers.path(name)), random.Random(13)
+    kinds = {}
+    for c in range(0x3000):
+        kinds.setdefault(unicodedata.category(chr(c)), []).append(chr(c))
+    kinds = [v for k, v in sorted(kinds.items()) if k not in ("Cn", "Cs")]
+    pieces = ["\u0130", "\u1e9e", "\u01c5", "\u212a", "I\u0307", "  ", "\n", " ", "\n\n", "\t ", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "'s", "ab", "Word", "."]
+    texts = ["\u0130stanbul", "x \u0130zmir y", "\n\n<|endoftext|>", "a  <|endoftext|>  b", "<|endoftext|><|endoftext|> \n"]
+    texts += ["".join(rng.choice(rng.choice(kinds)) if rng.random() < 0.5 else rng.choice(pieces) for _ in range(rng.choice([2, 4, 8, 20]))) for _ in range(6000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in w.tok.encode_batch(texts, add_special_tokens=False)]
+    assert w.ids_only(texts) == want
+    assert w.encode(texts)[1] == [w.tok.decode(np.frombuffer(i, "<u4").tolist(), skip_special_tokens=False) for i in want]
+
+
 def test_encode_docs_long_and_odd_rows(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = bpe.encode_docs(docs[0], path, spread=500).collect()
@@ -217,7 +234,7 @@ def judge_brute(host):
             if kind == "drop":
                 continue
             if kind == "keep":
-                g = set(range(len(w))) if len(w) >= pages.RUN and len(gone(w, max(often, 3))) >= 0.9 * len(w) else set()
+                g = set(range(len(w))) if len(w) >= pages.RUN and len(gone(w, max(often, pages.MANY))) >= 0.9 * len(w) else set()
             else:
                 g = gone(w, min(often, some))
                 g = g if len(g) * 2 > len(w) else gone(w, often)
@@ -251,6 +268,18 @@ def test_pages_repeats_equal_brute_force(spark, letters):
     assert sum(r["by_repeats"] for r in got.values()) > 0 and sum(r["by_structure"] for r in got.values()) > 0
 
 
+def test_pages_keep_articles_that_a_host_repeats(spark):
+    """Three pages of a host share the heading and first paragraph of their articles, nine share all but a word: nothing goes."""
+    head = "<h1>The and attion to thanedble the</h1><p>Eriner thanea attion thanedble and the rest of it here</p>"
+    rows = [(i, "http://www.h.example/", f"<nav>Home and more of the menu here</nav><article>{head}<p>Own text {i} of the page that nobody has</p></article>") for i in range(3)]
+    rows += [(10 + i, "http://two.example/", f"<article>{head}<p>Word {i}</p></article><footer>about us and more of that</footer>") for i in range(9)]
+    got = {r["page_id"]: r for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, page in rows:
+        inside = page[page.index("<article>") : page.index("</article>")]
+        assert got[i]["text"].split("\n") == [b for b in inside.replace("<h1>", "<p>").replace("</h1>", "</p>").replace("<article>", "").replace("</p>", "").split("<p>") if b]
+        assert got[i]["by_repeats"] == 0
+
+
 def test_suffix_array_equals_sorted_suffixes():
     rng = random.Random(8)
     for n, k in ((0, 2), (1, 1), (50, 2), (200, 3), (300, 40)):
@@ -461,6 +490,20 @@ def test_substrings_equal_brute_force(spark, docs, monkeypatch, piece):
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
 
+def test_long_words_of_two_letters_are_told_apart(spark):
+    """The sequence of Thue and Morse and its complement are equal under every polynomial modulo 2**64."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    lead = " ".join(VOCAB[:12])
+    rows = [(1, f"{lead} {a}", "", "", 0), (2, f"{lead} {b}", "", "", 0), (3, f"{lead} {a} end", "", "", 0)]
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+    data = np.frombuffer(f"{a} {b} ab ba".encode(), np.uint8)
+    starts, ends, _ = common.word_bounds(data, np.array([0, len(data)]))
+    h = [common.word_hashes(data, starts, ends, base=base) for base in (common.BASE, common.SECOND)]
+    assert len(set(h[0])) == len(set(h[1])) == 4 and not set(h[0]) & set(h[1])
+
+
 def test_recompression_is_local():
     rng = np.random.default_rng(2)
     for _ in range(200):
