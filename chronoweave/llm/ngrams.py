@@ -5,11 +5,13 @@ subset are linked, and nothing is left to verify. Large sets (heavy) scan invert
 n - ceil(0.8 n) + 1 first elements in one global order are listed, since linked sets share one of those. The boundary between the
 two is where the rows of both sides together cost least, from the counts of set sizes.
 
-Elements that many sets hold come last in the global order, so that lists stay short. What is left in one list is linked in two
-rounds. In the first, every set is compared with one of about its size, the first of most of its lists; then, once more, one set of each
-component with one of another. A group of near copies becomes one component that way, at the cost of a comparison a copy. In the
-second, sets of one list that are still in different components are counted over all lists they share; pairs whose counts allow
-the threshold are compared by their whole sets. So no link between components is lost, and no group lists all its pairs.
+Elements that many sets hold come last in the global order, so that lists stay short and a set's listed elements hold what no other
+set has. Those of its own tell two sets apart whatever else they share: where both together have more than the threshold
+allows to differ, the pair goes, before it is ever made. For that sets are listed up to steps of the order, so that most end at one. What is left in one list is linked in two rounds. In the first, every set is
+compared with one other, that of fewest own elements in most of its lists (of a group of near copies, the text they stem from); then,
+once more, one set of each component with one of another. A group of near copies becomes one component that way, at the cost
+of a comparison a copy. In the second, sets of one list that are still in different components are counted over all lists they
+share; pairs whose counts allow the threshold are compared by their whole sets. So no link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordNames, checkpointed, components, gram_hashes, make_room, mix, write_table
@@ -34,6 +36,8 @@ WORDS, PERCENT = 5, 80
 LIGHT, POSTING = 24, 3.0
 #: Elements that go last in the global order: the most frequent, by what tasks have seen. Any choice gives the same result.
 FREQUENT, SEEN = 1 << 18, 2
+#: Bits of a place in the order below its step; the step of sets that are listed beyond all elements that are not frequent.
+STEP, BEYOND = 57, 64
 #: Sets of a list that are paired in one piece; sets that a semi-join by broadcast may fetch, beyond it a merge does.
 TILE, FETCH = 512, 1_000_000
 
@@ -130,9 +134,13 @@ def surveyed(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, node long, n long, elem long")
 
 
+ROWS = "elem long, node long, n int, pos int, step int, cold int"
+
+
 def listed(docs: DataFrame, boundary: int, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(elem, node, n, pos): the subsets of light sets (pos below 0), the first elements of sets that can have a heavy partner. Equal sets
-    are listed once a task. frequent: elements that go last, the most frequent last of all."""
+    """(elem, node, n, pos, step, cold): the subsets of light sets (pos below 0), the first elements of sets that can have a heavy partner,
+    up to the end of a step, and how many of those are not frequent. Equal sets are listed once a task. frequent: elements that
+    go last, the most frequent last of all."""
     low = -(-percent * boundary // 100)
     rank = np.argsort(frequent)
     ordered = frequent[rank]
@@ -149,7 +157,15 @@ def listed(docs: DataFrame, boundary: int, frequent: np.ndarray, words: int, per
         make_room()
         names, seen = WordNames(), set()
         for batch in batches:
-            elems, nodes, sizes, places = [], [], [], []
+            elems, nodes, sizes, places, steps, colds = [], [], [], [], [], []
+
+            def add(keys: np.ndarray, pos: np.ndarray, node: int, n: int, step: int, cold: int) -> None:
+                elems.append(keys)
+                places.append(pos)
+                nodes.append(np.full(len(keys), node))
+                for held, x in ((sizes, n), (steps, step), (colds, cold)):
+                    held.append(np.full(len(keys), x, np.int32))
+
             for text in batch.column(0):
                 e = element_set(text.as_py() or b"", names, words)
                 n, node = len(e), set_name(e)
@@ -157,72 +173,66 @@ def listed(docs: DataFrame, boundary: int, frequent: np.ndarray, words: int, per
                     continue
                 seen.add(node)
                 if n < boundary:
-                    keys, sides = subset_keys(e, boundary, percent)
-                    elems.append(keys)
-                    places.append(sides)
-                    nodes.append(np.full(len(elems[-1]), node))
-                    sizes.append(np.full(len(elems[-1]), n, np.int32))
+                    add(*subset_keys(e, boundary, percent), node, n, 0, 0)
                 if n >= low:
-                    keys, k = keys_of(e), prefix(n, percent)
-                    elems.append(np.sort(np.partition(keys, k - 1)[:k]))
-                    places.append(np.arange(k, dtype=np.int32))
-                    nodes.append(np.full(k, node))
-                    sizes.append(np.full(k, n, np.int32))
+                    keys, k = np.sort(keys_of(e)), prefix(n, percent)
+                    step = min(int(keys[k - 1]) >> STEP, BEYOND)
+                    cold = int(np.searchsorted(keys, np.uint64(min(step + 1, BEYOND) << STEP)))
+                    keys = keys[: max(k, cold)]
+                    add(keys, np.arange(len(keys), dtype=np.int32), node, n, step, cold)
             if elems:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(elems).view(np.int64)), pa.array(np.concatenate(nodes), pa.int64()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["elem", "node", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(elems).view(np.int64)), pa.array(np.concatenate(nodes), pa.int64()), *(pa.array(np.concatenate(x)) for x in (sizes, places, steps, colds))], ["elem", "node", "n", "pos", "step", "cold"])
 
-    return docs.select("text").mapInArrow(run, "elem long, node long, n int, pos int")
+    return docs.select("text").mapInArrow(run, ROWS)
 
 
 def shared_lists(postings: DataFrame, percent: int) -> DataFrame:
-    """Rows of lists that two sets or more are in, each with the center of its star: the smallest set of about its size. Lists
-    stream through sorted; a task holds no list."""
+    """Rows of lists that two sets or more are in. Lists stream through sorted; a task holds no list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
-        last, sent, center, size = None, True, None, 0  # the row before, whether it has been sent, the star's center
+        last, open_ = None, False  # the row before; whether it begins a list and waits for a second
         for batch in batches:
             cols = [c.to_numpy() for c in batch.columns]
-            elem, node, n, pos = cols
-            light = pos < 0
-            if not len(elem):
+            if not len(cols[0]):
                 continue
-            same = np.zeros(len(elem), bool)
+            cols = [np.concatenate([[x], c]) if last is not None else c for x, c in zip(last or cols, cols, strict=True)]
+            elem, node, light = cols[0], cols[1], cols[3] < 0
+            same = np.zeros(len(elem), bool)  # whether a row goes on with the list of the row before
             same[1:] = (elem[1:] == elem[:-1]) & (light[1:] == light[:-1])
-            again = np.zeros(len(elem), bool)
-            again[1:] = same[1:] & (node[1:] == node[:-1])
-            if last is not None:
-                same[0] = elem[0] == last[0] and light[0] == (last[3] < 0)
-                again[0] = same[0] and node[0] == last[1]
-            shared = same & ~again
-            alike = np.append(same[1:], False)
-            busy = np.flatnonzero(same | alike)
-            out = []
-            if same[0] and not again[0] and not sent:
-                out.append((*last, center))
-            for i in busy.tolist() if shared.any() or alike[-1] or same[0] else []:
-                if not same[i]:
-                    center, size, sent = int(node[i]), int(n[i]), False
-                    held = (int(elem[i]), int(node[i]), int(n[i]), int(pos[i]))
-                    continue
-                if again[i]:
-                    continue
-                if i and not sent:
-                    out.append((*held, center))
-                sent = True
-                if not light[i] and 100 * size < percent * int(n[i]):
-                    center, size = int(node[i]), int(n[i])
-                out.append((int(elem[i]), int(node[i]), int(n[i]), int(pos[i]), center))
-            last = tuple(int(c[-1]) for c in cols)
-            if not same[-1]:
-                center, size, sent = last[1], last[2], False
-                held = last
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["elem", "node", "n", "pos", "center"])
+            again = same.copy()
+            again[1:] &= node[1:] == node[:-1]
+            start = np.maximum.accumulate(np.where(same, 0, np.arange(len(elem))))
+            fresh = np.add.reduceat(~again, np.flatnonzero(~same))  # different sets of each list
+            busy = (fresh > 1)[np.cumsum(~same) - 1] & ~again
+            held = last is not None
+            if held and not open_:  # its list has been shared before this batch
+                busy = busy | ((start == 0) & ~again)
+                busy[0] = False
+            i = np.flatnonzero(busy)
+            end = start == start[-1]
+            open_ = not busy[end].any() and not (held and not open_ and start[-1] == 0)
+            last = [c[-1] for c in cols]
+            if open_:
+                last = [c[np.flatnonzero(end)[0]] for c in cols]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i], t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], ["elem", "node", "n", "pos", "step", "cold"])
 
     order = ["elem", "light", "n", "node"]
     rows = postings.withColumn("light", F.col("pos") < 0).repartition("elem").sortWithinPartitions(*order).drop("light")
-    return rows.mapInArrow(run, "elem long, node long, n int, pos int, center long")
+    return rows.mapInArrow(run, ROWS)
+
+
+def _allowed(a: str, b: str, percent: int) -> Column:
+    """By how many elements linked sets of sizes a and b may differ."""
+    both = F.col(a) + F.col(b)
+    return both - 2 * F.ceil(percent * both / (100 + percent))
+
+
+def with_own(lists: DataFrame) -> DataFrame:
+    """Lists with ``own``, how many elements a set has listed that are neither frequent nor listed by another set."""
+    own = lists.groupBy("node", "cold").agg(F.count(F.when(F.col("elem") >= 0, 1)).alias("k")).select("node", (F.col("cold") - F.col("k")).cast("int").alias("own"))
+    return lists.drop("cold").hint("merge").join(own, "node")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
@@ -284,31 +294,31 @@ def labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
     return write_table(rows, "labelled")
 
 
-def best_centers(pairs: DataFrame) -> DataFrame:
-    """pairs(of, a, b), a row for each list -> one pair (a, b) for each ``of``, that of most lists."""
-    counted = pairs.groupBy("of", "a", "b").agg(F.count("*").alias("k"))
-    best = counted.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("k", "a", "b")).alias("p"))
+def stars(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: labelled lists -> a pair (a, b) for each component that meets another in a list and may be linked with it: a set of its own
+    and the set of fewest own elements of the list, from most of its lists."""
+    least = F.min(F.struct("own", "n", "node", "step"))
+    of = rows.groupBy("elem", "component").agg(least.alias("x"))
+    first = rows.groupBy("elem").agg(F.min(F.struct("own", "n", "node", "step", "component")).alias("f"))
+    met = of.hint("merge").join(first, "elem").where("component <> f.component")
+    apart = F.when(F.col("x.step") <= F.col("f.step"), F.col("x.own")).otherwise(0) + F.when(F.col("f.step") <= F.col("x.step"), F.col("f.own")).otherwise(0)
+    met = met.where((apart <= _allowed("x.n", "f.n", percent)) & (100 * F.least("x.n", "f.n") >= percent * F.greatest("x.n", "f.n")))
+    counted = met.groupBy("component", F.col("x.node").alias("a"), F.col("f.node").alias("b")).agg(F.count("*").alias("k"))
+    best = counted.groupBy("component").agg(F.max_by(F.struct("a", "b"), F.struct("k", "a", "b")).alias("p"))
     return write_table(best.select("p.a", "p.b"), "stars")
 
 
-def component_stars(rows: DataFrame) -> DataFrame:
-    """A pair (a, b) for each component that meets another in a list: a set of its own and the smallest set of the list."""
-    own = rows.groupBy("elem", "component").agg(F.min(F.struct("n", "node")).alias("own"))
-    first = rows.groupBy("elem").agg(F.min(F.struct("n", "node", "component")).alias("first"))
-    met = own.hint("merge").join(first, "elem").where("component <> first.component")
-    return best_centers(met.select(F.col("component").alias("of"), F.col("own.node").alias("a"), F.col("first.node").alias("b")))
-
-
 def open_pairs(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
     """Pairs of sets of one labelled list that lie in different components and whose common places in all lists allow the threshold."""
     mixed = rows.groupBy("elem").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("elem", "size")
     rows = rows.hint("merge").join(mixed, "elem").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("elem", F.least("own", "other").alias("tile_a"), F.greatest("own", "other").alias("tile_b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "n", "node", "pos", "component")
+    rows = rows.select("elem", F.least("mine", "other").alias("tile_a"), F.greatest("mine", "other").alias("tile_b"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "n", "node", "pos", "step", "own", "component")
 
     def pair_up(t: pa.Table) -> pa.RecordBatch | None:
-        node, n, pos, comp, side = (t[c].to_numpy() for c in ("node", "n", "pos", "component", "side"))
+        node, n, pos, step, own, comp, side = (t[c].to_numpy() for c in ("node", "n", "pos", "step", "own", "component", "side"))
+        n = n.astype(np.int64)
         cross = t["tile_a"].to_numpy() != t["tile_b"].to_numpy()
         key = [t[c].to_numpy() for c in ("elem", "tile_a", "tile_b")]
         new = np.ones(len(node), bool)
@@ -320,7 +330,10 @@ def open_pairs(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
                 continue
             i, j = np.triu_indices(e - s, 1)
             i, j = i + s, j + s  # rows of a tile are in order of n
-            ok = (comp[i] != comp[j]) & (100 * n[i].astype(np.int64) >= percent * n[j].astype(np.int64)) & (~cross[i] | (side[i] != side[j]))
+            both = n[i] + n[j]
+            ok = (comp[i] != comp[j]) & (100 * n[i] >= percent * n[j]) & (~cross[i] | (side[i] != side[j]))
+            # what a set has listed of its own is not in one that is listed as far; beyond that it may be
+            ok &= own[i] * (step[i] <= step[j]) + own[j] * (step[j] <= step[i]) <= both - 2 * -(-percent * both // (100 + percent))
             if ok.any():
                 i, j = i[ok], j[ok]
                 swap = node[i] > node[j]
@@ -350,9 +363,8 @@ def open_pairs(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
     order = ["elem", "tile_a", "tile_b"]
     pairs = rows.repartition(*order).sortWithinPartitions(*order, "n", "node").mapInArrow(run, "a long, b long, na long, nb long, pa long, pb long")
     pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    size = lambda n: n - F.ceil(percent * n / 100) + 1
-    apart = F.col("pa") + F.col("pb") + 2 - 2 * F.col("k") + F.least(size(F.col("na")) - F.col("pa"), size(F.col("nb")) - F.col("pb")) - 1
-    return pairs.where(apart <= F.col("na") + F.col("nb") - 2 * F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))).select("a", "b")
+    apart = F.col("pa") + F.col("pb") + 2 - 2 * F.col("k")  # up to the last element that both have listed
+    return pairs.where(apart <= _allowed("na", "nb", percent)).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, boundary: int | None = None) -> DataFrame:
@@ -372,12 +384,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     frequent = often.select("elem").toArrow()["elem"].to_numpy()[::-1].astype(np.int64).view(np.uint64)  # FREQUENT rows at most
     lists = write_table(shared_lists(listed(docs, boundary, frequent, words, percent), percent), "lists")
     links = light_links(lists.where("pos < 0"))
-    lists = lists.where("pos >= 0")
-    stars = best_centers(lists.where("node <> center").select(F.col("node").alias("of"), F.col("node").alias("a"), F.col("center").alias("b")))
-    lists = lists.drop("center")
-    links = write_table(links.unionByName(verified(stars, docs, found, words, percent)), "links")
-    stars = component_stars(labelled(lists, components(links)))
-    links = write_table(links.unionByName(verified(stars, docs, found, words, percent)), "links")
+    lists = write_table(with_own(lists.where("pos >= 0")), "own")
+    first = stars(lists.withColumn("component", F.col("node")), percent)
+    links = write_table(links.unionByName(verified(first, docs, found, words, percent)), "links")
+    second = stars(labelled(lists, components(links)), percent)
+    links = write_table(links.unionByName(verified(second, docs, found, words, percent)), "links")
     rest = write_table(open_pairs(labelled(lists, components(links)), percent), "open")
     more = verified(rest, docs, found, words, percent)
     linked = components(links.unionByName(more))
