@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,35 +130,67 @@ def strip_think(text: Text) -> Column:
     return F.trim(F.regexp_replace(s, r"(?is)<think>.*$", ""))
 
 
+def _pairs(text: Column) -> Column:
+    """All pairs of neighbouring characters. Letters are taken apart once, so a text costs its length, not the square of it."""
+    letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return let(letters, lambda c: F.transform(F.when(F.size(c) > 1, F.sequence(F.lit(0), F.size(c) - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.get(c, i), F.get(c, i + 1))))
+
+
 def char_bigrams(text: Text) -> Column:
     """[H9] Distinct pairs of neighbouring characters; blank pairs go."""
-    s = F.coalesce(_c(text), F.lit(""))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2)))
-    return F.array_distinct(F.filter(pairs, lambda g: (F.length(g) == 2) & (F.trim(g) != "")))
+    return F.array_distinct(F.filter(_pairs(F.coalesce(_c(text), F.lit(""))), lambda g: F.trim(g) != ""))
 
 
 def bigrams_by_clause(text: Text) -> Column:
     """[H9] As char_bigrams, but no pair crosses punctuation or white space."""
     parts = F.filter(F.split(F.coalesce(_c(text), F.lit("")), f"[^{CJK}\\p{{L}}\\p{{N}}]+"), lambda p: F.length(p) >= 2)
-    return F.array_distinct(F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 1), lambda i: F.substring(p, i, F.lit(2))))))
+    return F.array_distinct(F.flatten(F.transform(parts, _pairs)))
+
+
+def _window_sums(code: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of code points times powers of ``base`` modulo the prime 2**31 - 1, and the powers in falling order."""
+    powers, step = np.ones(len(code) + 1, np.uint64), 1
+    while step <= len(code):  # powers by doubling
+        powers[step : 2 * step] = powers[: min(step, len(powers) - step)] * np.uint64(pow(base, step, PRIME)) % np.uint64(PRIME)
+        step *= 2
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum((code.astype(np.uint64) + np.uint64(1)) * powers[:-1] % np.uint64(PRIME), out=sums[1:])
+    return sums, powers[::-1]
+
+
+PRIME, BASES = 2**31 - 1, (1_223_456_789, 987_654_323)
+
+
+def longest_common(x: str, y: str) -> int:
+    """Length of the longest stretch that both texts have. A stretch of n letters has one of n - 1, so lengths are halved upon; all
+    windows of one length are compared by hashes (two, modulo a prime), and a hit counts only if the letters are the same.
+    Memory is a few numbers for each letter."""
+    code = np.frombuffer((x + y).encode("utf-32-le", "surrogatepass"), np.uint32)
+    tables, own = [_window_sums(code, base) for base in BASES], len(x)
+
+    def hit(n: int) -> bool:
+        keys = np.zeros(len(code) - n + 1, np.uint64)
+        for sums, powers in tables:
+            window = (sums[n:] - sums[:-n]) % np.uint64(PRIME) * powers[: len(keys)] % np.uint64(PRIME)
+            keys = keys << np.uint64(31) | window
+        left, right = np.unique(keys[: own - n + 1], return_index=True), np.unique(keys[own:], return_index=True)
+        _, i, j = np.intersect1d(left[0], right[0], assume_unique=True, return_indices=True)
+        return any(x[a : a + n] == y[b : b + n] for a, b in zip(left[1][i].tolist(), right[1][j].tolist(), strict=True))
+
+    low, high = 0, min(len(x), len(y))
+    while low < high:
+        n = (low + high + 1) // 2
+        low, high = (n, high) if hit(n) else (low, n - 1)
+    return low
 
 
 @F.pandas_udf(T.IntegerType())
 def lcs_contiguous(a: pd.Series, b: pd.Series) -> pd.Series:
-    """[H10] Length of the longest common stretch, punctuation aside, by halving: a stretch of n letters has one of n - 1."""
+    """[H10] Length of the longest common stretch, punctuation aside."""
     import re
 
-    def one(x: str | None, y: str | None) -> int:
-        x, y = (re.sub(r"[\W_]+", "", v or "") for v in (x, y))
-        low, high = 0, min(len(x), len(y))
-        while low < high:
-            n = (low + high + 1) // 2
-            own = {x[i : i + n] for i in range(len(x) - n + 1)}
-            hit = any(y[i : i + n] in own for i in range(len(y) - n + 1))
-            low, high = (n, high) if hit else (low, n - 1)
-        return low
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+    plain = re.compile(r"[\W_]+")
+    return pd.Series([longest_common(plain.sub("", x or ""), plain.sub("", y or "")) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
 @F.pandas_udf(T.IntegerType())
@@ -331,7 +364,8 @@ def drop_broken(text: Text) -> Column:
 
     def cut(s: Column) -> Column:
         both = lambda parts: let(keep(parts), lambda kept: F.when((F.size(parts) >= 2) & (F.size(kept) > 0) & (F.size(kept) < F.size(parts)), tidy_tail(_joined(kept))).otherwise(s))
-        return let(split_clauses(s), both)
+        told = s.rlike(BROKEN.removesuffix("$")) | F.contains(s, F.lit("{"))  # without such a verb (which a tag may part) nothing is cut
+        return F.when(told, let(split_clauses(s), both)).otherwise(s)
 
     return let(F.coalesce(_c(text), F.lit("")), cut)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import dot, length_penalty
 from ..functions.text import action_tokens, bigrams_by_clause, char_bigrams, edit_ratio, lcs_up_to_ten, sentence_kind
 from .bins import interval_join, point_in_interval, prefixed
+from .similar import block_join, prefix_join, score_of
 
 MEDIA = "media_id"
 
@@ -95,17 +96,18 @@ def grams(df: DataFrame, ids: list[str], text: str = "text", by_clause: bool = F
 
 
 def bigram_join(queries: DataFrame, docs: DataFrame, metric: str = "jaccard", at_least: float = 0.0, q_id: str = "q_id", d_id: str = "d_id", on: list[str] = ()) -> DataFrame:
-    """[C9] Similarity of bigram sets over an inverted index: jaccard, containment (shared / smaller), coverage (shared / query).
-    Pairs that share nothing do not appear. ``on``: keys that must be equal, such as the timeline."""
+    """[C9] Similarity of bigram sets: jaccard, containment (shared / smaller), coverage (shared / query). Pairs that share nothing do not
+    appear. ``on``: keys that must be equal, such as the timeline. Within keys, or for a jaccard of a half or more, the first
+    bigrams of each set, rarest first, are looked up in an inverted index; below that most pairs of whole tables share so much that
+    they are counted block by block."""
     on = list(on)
+    if not on and (metric != "jaccard" or at_least < 0.5):
+        return block_join(queries, docs, metric, at_least, q_id, d_id)
+    if at_least > 0:
+        return prefix_join(queries, docs, metric, at_least, q_id, d_id, on)
     q, d = grams(queries, [*on, q_id]), prefixed(grams(docs, [*on, d_id]), "d_", [*on, d_id, "gram"])
-    pairs = q.hint("merge").join(d, [*on, "gram"])
-    if metric == "jaccard" and at_least > 0:  # sets whose sizes differ too much cannot be alike; they go before they are counted
-        pairs = pairs.where((F.col("n_grams") >= at_least * F.col("d_n_grams")) & (F.col("d_n_grams") >= at_least * F.col("n_grams")))
-    shared = pairs.groupBy(*on, q_id, d_id, "n_grams", "d_n_grams").agg(F.count("*").alias("shared"))
-    s = F.col("shared")
-    score = {"jaccard": s / (F.col("n_grams") + F.col("d_n_grams") - s), "containment": s / F.least("n_grams", "d_n_grams"), "coverage": s / F.col("n_grams")}[metric]
-    return shared.select(*on, q_id, d_id, "shared", score.alias("score")).where(F.col("score") >= at_least)
+    shared = q.hint("merge").join(d, [*on, "gram"]).groupBy(*on, q_id, d_id, "n_grams", "d_n_grams").agg(F.count("*").alias("shared"))
+    return shared.select(*on, q_id, d_id, "shared", score_of(metric, F.col("shared"), F.col("n_grams"), F.col("d_n_grams")).alias("score"))
 
 
 def gram_df(texts: DataFrame, doc: str, by: list[str] = ()) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as num
 from ..functions import text as tx
 from ..functions.lexicon import ACTIONS, HIGHLIGHT_WORDS
-from ..operators import joins, select, sequences, signals, tables, windows
+from ..operators import joins, select, sequences, signals, similar, tables, windows
 from ..session import scratch_dir
 from ..streaming import chat
 from . import bindings as b
@@ -465,6 +465,13 @@ def c8(s, d):
 SIM = f"a AS ({GR.format(id='item_id', t='benchmark')}), d AS ({GR.format(id='media_id, cue_no', t='cu')}), s AS (SELECT item_id, media_id, cue_no, count(*) AS shared FROM a JOIN d USING (gram) GROUP BY ALL), na AS (SELECT item_id, count(*) AS na FROM a GROUP BY ALL), nd AS (SELECT media_id, cue_no, count(*) AS nd FROM d GROUP BY ALL)"
 
 
+@query("c9_bigram_alike", f"WITH {b.CU}, {SIM} SELECT item_id, media_id, cue_no, shared, round(shared / (na + nd - shared), 9) AS score FROM s JOIN na USING (item_id) JOIN nd USING (media_id, cue_no) WHERE shared / (na + nd - shared) >= 0.6::DOUBLE")
+def c9_alike(s, d):
+    q = b.table(s, d, "benchmark").select(F.col("item_id").alias("q_id"), "text")
+    x = joins.bigram_join(q, _cue_docs(s, d), "jaccard", 0.6)
+    return x.select(F.col("q_id").alias("item_id"), "d_id.media_id", "d_id.cue_no", "shared", F.round("score", 9).alias("score"))
+
+
 def _cue_docs(s, d):
     return b.cues(s, d).select(F.struct(M, "cue_no").alias("d_id"), "text")
 
@@ -1263,6 +1270,11 @@ def i16(s, d):
     return r6(sequences.align_events(ev, b.segs(s, d), b.cues(s, d)), "score")
 
 
+@query("i17_near_lines")
+def i17_near(s, d):
+    return similar.near_lines(b.lines(s, d))
+
+
 @query("i17_scrub_beats")
 def i17(s, d):
     return sequences.scrub_beats(b.lines(s, d).select(M, "line_no", "text")).groupBy(M).agg(F.count("*").alias("kept"))
