@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lexicon import IMPORTANCE
 from ..functions.text import cjk_count, is_placeholder, is_promotion, line_weight, strip_markup
@@ -175,17 +179,33 @@ def sort_timeline(segs: DataFrame, by: str = MEDIA) -> DataFrame:
 
 
 def top_k_non_overlapping(cands: DataFrame, k: int = 3, ratio: float = 0.5, by: list[str] = (MEDIA,)) -> DataFrame:
-    """Candidates by score; one is passed over if a kept one covers more than ``ratio`` of it; k are kept."""
-    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "start_s", "end_s")))
-
-    def step(kept: Column, c: Column) -> Column:
-        n = F.greatest(c["end_s"] - c["start_s"], F.lit(1e-9))
-        hit = F.exists(kept, lambda o: (F.least(c["end_s"], o["end_s"]) - F.greatest(c["start_s"], o["start_s"])) / n > ratio)
-        return F.when((F.size(kept) < k) & ~hit, F.array_append(kept, c)).otherwise(kept)
-
-    none = F.array().cast("array<struct<neg:double,start_s:double,end_s:double>>")
-    d = cands.withColumn("score", F.col("score").cast("double")).groupBy(*by).agg(F.aggregate(order, none, step).alias("kept"))
-    return d.select(*by, F.posexplode("kept").alias("rank", "c")).select(*by, "rank", "c.start_s", "c.end_s", (-F.col("c.neg")).alias("score"))
+    """Candidates by score; one is passed over if a kept one covers more than ``ratio`` of it; k are kept. -> (by..., rank, start_s,
+    end_s, score). Groups stream through their tasks sorted, a task holds k kept ones; a candidate without times is kept only as
+    the first of its group."""
+    by = list(by)
+    d = cands.select(*by, F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"), F.col("score").cast("double").alias("score"))
+    schema = T.StructType([*[d.schema[c] for c in by], T.StructField("rank", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("start_s", "end_s", "score")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept = None, []
+        for batch in batches:
+            *keys, starts, ends, _ = (c.to_pylist() for c in batch.columns)
+            take, rank = [], []
+            for i, (own, start, end) in enumerate(zip(zip(*keys, strict=True), starts, ends, strict=True)):
+                if own != group:
+                    group, kept = own, []
+                if len(kept) == k:
+                    continue
+                if kept and (start is None or end is None or any(a is None or b is None or (min(end, b) - max(start, a)) / max(end - start, 1e-9) > ratio for a, b in kept)):
+                    continue
+                take.append(i)
+                rank.append(len(kept))
+                kept.append((start, end))
+            out = batch.take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns[: len(by)], pa.array(rank, pa.int32()), *out.columns[len(by) :]], schema.names)
+
+    order = [*by, F.desc_nulls_first("score"), "start_s", "end_s"]
+    return d.repartition(*by).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def order_tasks(tasks: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import HIGHLIGHT_WORDS
 from ..functions.text import line_weight, sentence_kind
 from .joins import spread_to_windows
+from .windows import percentiles_wide
 
 MEDIA = "media_id"
 
@@ -131,12 +132,13 @@ def peaks(samples: DataFrame, points: int = 180, cell: int = 200, by: str = MEDI
     return d.withColumn("bucket", first).withColumn("bucket", F.col("bucket").cast("int")).groupBy(by, "bucket").agg(F.bround(F.max("p"), 4).alias("peak"))
 
 
-def robust_thresholds(frames: DataFrame, col: str, by: str = MEDIA, approximate: bool = False) -> DataFrame:
+def robust_thresholds(frames: DataFrame, col: str, by: str = MEDIA, approximate: bool = False, wide: bool = False) -> DataFrame:
     """[D17] P25, median, P75, P80, P90, P95 with linear interpolation, IQR, and thresholds for motion and pauses. The exact form
-    keeps a timeline's counts of distinct values; ``approximate`` bounds that."""
-    points = F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, 0.8, 0.9, 0.95)])
+    keeps a timeline's counts of distinct values in one task; ``approximate`` bounds that, ``wide`` sorts over ranges instead."""
+    shares = [0.25, 0.5, 0.75, 0.8, 0.9, 0.95]
+    points = F.array(*[F.lit(p) for p in shares])
     q = F.percentile_approx(col, points, 10000) if approximate else F.percentile(col, points)
-    d = frames.groupBy(by).agg(q.alias("q"))
+    d = percentiles_wide(frames, col, shares, by) if wide else frames.groupBy(by).agg(q.alias("q"))
     d = d.select(by, *[F.col("q")[k].alias(n) for k, n in enumerate(("p25", "median", "p75", "p80", "p90", "p95"))])
     return d.withColumn("iqr", F.col("p75") - F.col("p25")).withColumn("motion_threshold", F.greatest(F.col("p75") + 1.5 * (F.col("p75") - F.col("p25")), F.lit(0.004))).withColumn("pause_threshold", 0.9 * F.col("p25"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .similar import written
+
 MEDIA = "media_id"
 
 
@@ -24,6 +26,44 @@ def pct_rank(df: DataFrame, col: str, order: str = "win", out: str = "rank", tie
     return df.withColumn(out, F.when(flat, 0.5).otherwise(place / (n - 1)))
 
 
+def range_places(df: DataFrame, order: list[str], by: str = MEDIA, out: str = "place", count: str = "n") -> DataFrame:
+    """Place of each row (from 0) within its timeline by ``order``, and the timeline's number of rows, however many tasks it lies in: rows
+    are sorted over ranges of (timeline, order) and numbered in each range; what stands before a range is a sum over ranges."""
+    d = df.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("_cw_id", F.monotonically_increasing_id())
+    d = written(d).withColumn("_cw_p", F.shiftright("_cw_id", 33))
+    parts = d.groupBy(by, "_cw_p").agg(F.min("_cw_id").alias("_cw_first"), F.count("*").alias("_cw_k"))
+    w = W.partitionBy(by)
+    before = F.coalesce(F.sum("_cw_k").over(w.orderBy("_cw_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("_cw_b", before).withColumn(count, F.sum("_cw_k").over(w)).drop("_cw_k")
+    key = F.col(f"a.{by}").eqNullSafe(F.col(f"b.{by}")) & (F.col("a._cw_p") == F.col("b._cw_p"))
+    d = d.alias("a").join(parts.alias("b").hint("merge"), key)
+    return d.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("_cw_id") - F.col("_cw_first") + F.col("_cw_b")).alias(out), count)
+
+
+def pct_rank_wide(df: DataFrame, col: str, order: str = "win", out: str = "rank", ties: bool = False, by: str = MEDIA) -> DataFrame:
+    """[E1, E2] As pct_rank, for timelines of any length: no task sorts one alone. The mean rank of equal values comes from their counts."""
+    d = range_places(df, [col, order], by, "_cw_i", "_cw_n")
+    flat = d.groupBy(by).agg((F.max(col) - F.min(col) <= 1e-9).alias("_cw_flat")).withColumnRenamed(by, "_cw_by")
+    if ties:
+        same = d.groupBy(F.col(by).alias("_cw_m"), F.col(col).alias("_cw_v")).agg(F.avg("_cw_i").alias("_cw_mean"))
+        d = d.hint("merge").join(same, F.col(by).eqNullSafe(F.col("_cw_m")) & F.col(col).eqNullSafe(F.col("_cw_v")))
+    d = d.hint("merge").join(flat, F.col(by).eqNullSafe(F.col("_cw_by")))
+    place = F.col("_cw_mean") if ties else F.col("_cw_i")
+    rank = F.when(F.coalesce("_cw_flat", F.lit(False)) | (F.col("_cw_n") <= 1), 0.5).otherwise(place / (F.col("_cw_n") - 1))
+    return d.select(*df.columns, rank.alias(out))
+
+
+def percentiles_wide(df: DataFrame, col: str, shares: list[float], by: str = MEDIA) -> DataFrame:
+    """[D17] (by, q): the percentiles of each timeline, between neighbours in proportion, from the places of its values; a timeline may be
+    of any length. Nulls are left out."""
+    d = range_places(df.where(F.col(col).isNotNull()).select(by, F.col(col).cast("double").alias("_cw_x")), ["_cw_x"], by, "_cw_i", "_cw_n")
+    at = lambda q: F.lit(q) * (F.col("_cw_n") - 1)
+    one = [F.max(F.when(F.col("_cw_i") == f(at(q)), F.col("_cw_x"))).alias(f"_cw_{name}{k}") for k, q in enumerate(shares) for name, f in (("a", F.floor), ("b", F.ceil))]
+    d = d.groupBy(by).agg(F.max("_cw_n").alias("_cw_n"), *one)
+    q = [F.col(f"_cw_a{k}") + (F.col(f"_cw_b{k}") - F.col(f"_cw_a{k}")) * (at(s) - F.floor(at(s))) for k, s in enumerate(shares)]
+    return d.select(by, F.array(*q).alias("q"))
+
+
 def smooth(df: DataFrame, col: str, k: int, order: str = "win", out: str = "smooth", by: str = MEDIA) -> DataFrame:
     """[E3] Centred moving sum over min(k, n) windows, divided by that count; nothing beyond the ends."""
     n = F.count("*").over(_w(by, order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))

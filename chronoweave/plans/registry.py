@@ -191,7 +191,7 @@ def d16(s, d):
 @query("d17_robust_thresholds", f"""WITH {b.EV}, q AS (SELECT media_id, quantile_cont(CAST(cents AS DOUBLE), [0.25, 0.5, 0.75, 0.8, 0.9, 0.95]) AS q FROM ev GROUP BY ALL)
 SELECT media_id, round(q[1], 6) AS p25, round(q[2], 6) AS median, round(q[3], 6) AS p75, round(q[4], 6) AS p80, round(q[5], 6) AS p90, round(q[6], 6) AS p95, round(q[3] - q[1], 6) AS iqr, round(greatest(q[3] + 1.5::DOUBLE * (q[3] - q[1]), 0.004::DOUBLE), 6) AS motion_threshold, round(0.9::DOUBLE * q[1], 6) AS pause_threshold FROM q""")
 def d17(s, d):
-    x = signals.robust_thresholds(b.live(s, d), "cents")
+    x = signals.robust_thresholds(b.live(s, d), "cents", wide=True)
     return r6(x, *[c for c in x.columns if c != M])
 
 
@@ -243,13 +243,13 @@ def d24(s, d):
 @query("e1_pct_rank", f"""WITH {WIN}, w AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY chat, win) - 1 AS i, count(*) OVER (PARTITION BY media_id) AS n, max(chat) OVER (PARTITION BY media_id) - min(chat) OVER (PARTITION BY media_id) AS r FROM chat)
 SELECT media_id, win, CASE WHEN r <= 1e-9 THEN 0.5::DOUBLE ELSE i / (n - 1) END AS rank FROM w""")
 def e1(s, d):
-    return windows.pct_rank(_chat(s, d), "chat").drop("chat")
+    return windows.pct_rank_wide(_chat(s, d), "chat").drop("chat")
 
 
 @query("e2_pct_rank_ties", f"""WITH {WIN}, w AS (SELECT *, rank() OVER (PARTITION BY media_id ORDER BY chat) - 1 + (count(*) OVER (PARTITION BY media_id, chat) - 1) / 2 AS i, count(*) OVER (PARTITION BY media_id) AS n, max(chat) OVER (PARTITION BY media_id) - min(chat) OVER (PARTITION BY media_id) AS r FROM chat)
 SELECT media_id, win, round(CASE WHEN r <= 1e-9 THEN 0.5::DOUBLE ELSE i / (n - 1) END, 9) AS rank FROM w""")
 def e2(s, d):
-    return windows.pct_rank(_chat(s, d), "chat", ties=True).withColumn("rank", F.round("rank", 9)).drop("chat")
+    return windows.pct_rank_wide(_chat(s, d), "chat", ties=True).withColumn("rank", F.round("rank", 9)).drop("chat")
 
 
 @query("e3_smooth", f"WITH {WIN} SELECT media_id, win, round(sum(chat) OVER (PARTITION BY media_id ORDER BY win ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4, 6) AS smooth FROM chat")
@@ -1410,6 +1410,18 @@ def k5(s, d):
     return chat.highlights_batch(n, horizon="20 days").select(M, F.unix_seconds("start").alias("start"), "chat")
 
 
+@query("k5_stream_highlights", f"""WITH n AS (SELECT user_id AS media_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS chat FROM events GROUP BY ALL HAVING max(time_bucket(INTERVAL 1 HOUR, ts)) + INTERVAL 1 HOUR <= {LATEST}), d AS (SELECT * FROM n QUALIFY start >= max(start) OVER (PARTITION BY media_id) - INTERVAL 20 DAY), q AS (SELECT media_id, quantile_cont(chat, 0.5) AS m, quantile_cont(chat, 0.95) AS h FROM d GROUP BY ALL),
+t AS (SELECT *, max(chat) OVER (PARTITION BY media_id ORDER BY start ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS top FROM d) SELECT media_id, CAST(epoch(start) AS BIGINT) AS start, chat FROM t JOIN q USING (media_id) WHERE h > m AND chat >= m + 0.4::DOUBLE * (h - m) AND chat >= top - 1e-9""")
+def k5_stream(s, d):
+    out = scratch_dir(s)
+    put = lambda found, number: found.write.mode("overwrite").parquet(f"{out}/found/batch={number}")
+    counts = chat.stream_chat_counts(_stream(s, d), "1 hour").select(M, "start", "chat")
+    chat.stream_highlights(counts, put, f"{out}/store", f"{out}/state", horizon="20 days").trigger(availableNow=True).start().awaitTermination()
+    found = s.read.schema(f"{M} long, start timestamp, chat long, floor double, batch long").parquet(f"{out}/found")
+    last = found.groupBy(M).agg(F.max("batch").alias("batch"))  # a medium's last batch has seen all that the ones before had
+    return found.hint("merge").join(last, [M, "batch"]).select(M, F.unix_seconds("start").alias("start"), "chat")
+
+
 @query("k4_stream_collapse")
 def k4(s, d):
     x = _stream(s, d).select(M, "ts", F.col("ts").alias("end_ts"), "text")

@@ -7,8 +7,10 @@ import time
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from chronoweave.functions.text import longest_common
-from chronoweave.operators import joins, similar
+from chronoweave.operators import joins, select, signals, similar, windows
 from chronoweave.operators import sequences as sq
 
 LETTERS = "abcdefgh 天地😀"
@@ -164,3 +166,54 @@ def test_i1_bands_equal_every_earlier_scene():
             want, back = best_before_brute(best, starts, ends, band, limit, cost)
             assert top.tolist() == want
             assert [g for g, t in zip(gap.tolist(), want, strict=True) if np.isfinite(t)] == [g for g, t in zip(back, want, strict=True) if np.isfinite(t)]
+
+
+# ---- timelines of any length: ranks, percentiles, picks
+
+
+def hot_rows(seed, n=3000):
+    rng = random.Random(seed)
+    return [(1 if rng.random() < 0.4 else rng.choice([2, 3, 4, None]), i, rng.choice([0.0, 0.0, 1.0, round(rng.random() * 20, 1)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_e1_wide_ranks_equal_windows(spark, ties):
+    rows = [*hot_rows(3), (9, 0, 5.0), (8, 0, 2.0), (8, 1, 2.0)]
+    df = spark.createDataFrame(rows, "media_id long, win int, x double").repartition(7)
+    one = {(r.media_id, r.win): r["rank"] for r in windows.pct_rank(df, "x", ties=ties).collect()}
+    two = {(r.media_id, r.win): r["rank"] for r in windows.pct_rank_wide(df, "x", ties=ties).collect()}
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-12 for k in one)
+    assert windows.pct_rank_wide(spark.createDataFrame([], df.schema), "x", ties=ties).count() == 0
+
+
+def test_ranges_split_a_hot_timeline(spark):
+    df = spark.createDataFrame(hot_rows(5), "media_id long, win int, x double")
+    d = df.repartitionByRange(8, "media_id", "x", "win").withColumn("p", F.spark_partition_id())
+    assert d.where("media_id = 1").select("p").distinct().count() > 2
+    got = windows.range_places(df, ["x", "win"]).collect()
+    for m in (1, 2, None):
+        own = sorted((r.x, r.win, r.place, r.n) for r in got if r.media_id == m)
+        assert [r[2] for r in own] == list(range(len(own))) and {r[3] for r in own} == {len(own)}
+
+
+def test_d17_wide_percentiles(spark):
+    df = spark.createDataFrame([*hot_rows(7), (5, 0, None), (6, 0, 2.5)], "media_id long, win int, x double")
+    one = {r.media_id: r for r in signals.robust_thresholds(df.where("x is not null"), "x").collect()}
+    two = {r.media_id: r for r in signals.robust_thresholds(df, "x", wide=True).collect()}
+    assert one.keys() == two.keys()
+    for k in one:
+        assert all(abs(one[k][c] - two[k][c]) < 1e-9 for c in one[k].asDict() if c != "media_id")
+
+
+def test_f14_streams_sorted_groups(spark):
+    rng = random.Random(12)
+    rows = [(1 if i % 3 else rng.randrange(2, 9), float(a := rng.randrange(60)), float(a + rng.randrange(12)), float(rng.randrange(6))) for i in range(600)]
+    got = select.top_k_non_overlapping(spark.createDataFrame(rows, "media_id long, start_s double, end_s double, score double"), 4)
+    want = []
+    for m in {r[0] for r in rows}:
+        kept = []
+        for _, a, b, s in sorted((r for r in rows if r[0] == m), key=lambda r: (-r[3], r[1], r[2])):
+            if len(kept) < 4 and not any((min(b, y) - max(a, x)) / max(b - a, 1e-9) > 0.5 for x, y, _ in kept):
+                kept.append((a, b, s))
+        want += [(m, k, *c) for k, c in enumerate(kept)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)

@@ -66,3 +66,35 @@ def test_collapse(spark, stream, tmp_path):
 def test_highlights_horizon(spark):
     counts = spark.createDataFrame([(1, START + dt.timedelta(seconds=2 * i), 20 if i == 30 else 1 + (i % 4 == 0)) for i in range(60)], "media_id long, start timestamp, chat long")
     assert START + dt.timedelta(seconds=60) in {r["start"] for r in chat.highlights_batch(counts).collect()}
+
+
+def test_a_replayed_batch_of_highlights_changes_nothing(spark, tmp_path):
+    """Two batches of counts; the second is run again, as after a lost driver."""
+    schema = "media_id long, start timestamp, chat long"
+    at = lambda i: START + dt.timedelta(seconds=2 * i)
+    rows = [(1, at(i), 20 if i in (30, 70) else 1 + (i % 4 == 0)) for i in range(100)]
+    each, found = None, []
+
+    class Counts:
+        """Takes the place of a stream and hands over what runs each batch."""
+
+        def __getattr__(self, name):
+            return self
+
+        def __call__(self, *args, **options):
+            return self
+
+        def foreachBatch(self, run):  # noqa: N802
+            nonlocal each
+            each = run
+            return self
+
+    chat.stream_highlights(Counts(), lambda df, n: found.append((n, sorted(map(tuple, df.collect())))), str(tmp_path / "store"), str(tmp_path / "state"))
+    first, second = (spark.createDataFrame(part, schema) for part in (rows[:60], rows[60:]))
+    each(first, 0)
+    each(second, 1)
+    each(second, 1)
+    assert found[1] == found[2]
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 100
+    whole = sorted(map(tuple, chat.highlights_batch(spark.createDataFrame(rows, schema)).collect()))
+    assert found[2][1] == whole and {r[1] for r in whole} >= {at(30), at(70)}
