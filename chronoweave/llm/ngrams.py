@@ -235,13 +235,16 @@ def with_own(lists: DataFrame) -> DataFrame:
     return lists.drop("cold").hint("merge").join(own, "node")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
-    """pairs(a, b) of nodes -> those whose whole sets, made anew from the texts, are linked. One text a node is fetched."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def some_of(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is in wanted(column): by broadcast, if those are FETCH at most, else by merge."""
+    wanted = F.broadcast(wanted) if wanted.count() <= FETCH else wanted.hint("merge")
+    return df.join(wanted, column, "left_semi")
+
+
+def fetched(nodes: DataFrame, docs: DataFrame, found: DataFrame, words: int) -> DataFrame:
+    """nodes(node) -> (node, data): one text of each, compressed."""
     ids = checkpointed(found.hint("merge").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    chosen = ids.where("doc_id is not null").select("doc_id").distinct()
-    chosen = F.broadcast(chosen) if ids.count() <= FETCH else chosen.hint("merge")
-    texts = docs.join(chosen, "doc_id", "left_semi")
+    texts = some_of(docs, "doc_id", ids.where("doc_id is not null").select("doc_id").distinct())
     if ids.where("doc_id is null").limit(1).count():
         texts = texts.unionByName(docs.where("doc_id is null"))
 
@@ -259,6 +262,13 @@ def verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, words: int, pe
                     data.append(press.compress(t))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(data, pa.binary())], ["node", "data"])
 
+    texts = some_of(texts.select("text").mapInArrow(packed, "node long, data binary"), "node", ids.select("node"))
+    return write_table(texts.groupBy("node").agg(F.min("data").alias("data")), "sets")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """pairs(a, b) of nodes -> those whose whole sets, made anew from the texts, are linked."""
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
         names, un, held = WordNames(), zstandard.ZstdDecompressor(), OrderedDict()
@@ -280,9 +290,7 @@ def verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, words: int, pe
                 ok.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays(list(batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_())).columns), ["a", "b"])
 
-    texts = texts.select("text").mapInArrow(packed, "node long, data binary")
-    texts = texts.hint("merge").join(nodes, "node", "left_semi")
-    texts = write_table(texts.groupBy("node").agg(F.min("data").alias("data")), "sets")
+    texts = some_of(texts, "node", checkpointed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
     both = pairs.hint("merge").join(texts.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
     both = both.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").select("a", "b", "x", "y")
     return both.mapInArrow(compared, "a long, b long")
@@ -324,21 +332,23 @@ def open_pairs(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
         new = np.ones(len(node), bool)
         new[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
         first = np.append(np.flatnonzero(new), len(node))
-        out = []
-        for s, e in zip(first[:-1], first[1:], strict=True):
-            if e - s < 2:
-                continue
-            i, j = np.triu_indices(e - s, 1)
-            i, j = i + s, j + s  # rows of a tile are in order of n
+        size, out = np.diff(first), []
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
             both = n[i] + n[j]
-            ok = (comp[i] != comp[j]) & (100 * n[i] >= percent * n[j]) & (~cross[i] | (side[i] != side[j]))
+            ok = (comp[i] != comp[j]) & (100 * n[i] >= percent * n[j]) & (~cross[i] | (side[i] != side[j]))  # rows of a tile are in order of n
             # what a set has listed of its own is not in one that is listed as far; beyond that it may be
             ok &= own[i] * (step[i] <= step[j]) + own[j] * (step[j] <= step[i]) <= both - 2 * -(-percent * both // (100 + percent))
-            if ok.any():
-                i, j = i[ok], j[ok]
-                swap = node[i] > node[j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                out.append(np.stack([node[i], node[j], n[i], n[j], pos[i], pos[j]]))
+            i, j = i[ok], j[ok]
+            swap = node[i] > node[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            out.append(np.stack([node[i], node[j], n[i], n[j], pos[i], pos[j]]))
+
+        for k in np.unique(size[size > 1]).tolist():  # lists of one size together, some at a time
+            i, j = np.triu_indices(k, 1)
+            starts = first[:-1][size == k]
+            for part in np.array_split(starts, len(starts) * len(i) // (1 << 20) + 1):
+                keep((part[:, None] + i).ravel(), (part[:, None] + j).ravel())
         if not out:
             return None
         a = np.concatenate(out, axis=1)
@@ -385,12 +395,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     lists = write_table(shared_lists(listed(docs, boundary, frequent, words, percent), percent), "lists")
     links = light_links(lists.where("pos < 0"))
     lists = write_table(with_own(lists.where("pos >= 0")), "own")
+    texts = fetched(lists.select("node").distinct(), docs, found, words)
     first = stars(lists.withColumn("component", F.col("node")), percent)
-    links = write_table(links.unionByName(verified(first, docs, found, words, percent)), "links")
+    links = write_table(links.unionByName(verified(first, texts, words, percent)), "links")
     second = stars(labelled(lists, components(links)), percent)
-    links = write_table(links.unionByName(verified(second, docs, found, words, percent)), "links")
+    links = write_table(links.unionByName(verified(second, texts, words, percent)), "links")
     rest = write_table(open_pairs(labelled(lists, components(links)), percent), "open")
-    more = verified(rest, docs, found, words, percent)
+    more = verified(rest, texts, words, percent)
     linked = components(links.unionByName(more))
     ids = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own")).hint("merge").join(linked, "node", "left")
     of = ids.withColumn("component", F.coalesce("component", "node"))
