@@ -1309,7 +1309,8 @@ def i22(s, d):
 @query("i23_quote_slots")
 def i23(s, d):
     c = b.cues(s, d)
-    lines = c.select(M, F.col("cue_no").alias("line_no"), F.concat(F.lit("她说：“"), F.substring("text", 1, 40), F.lit("”")).alias("text"), F.col("start_s").alias("near_s"))
+    said = c.select(M, "cue_no", F.col("start_s").alias("near_s"), F.posexplode(F.split("text", "[.!?\n]+")).alias("pos", "said")).where(F.length(F.trim("said")) >= 2)
+    lines = said.select(M, (F.col("cue_no") * 1000 + F.col("pos")).alias("line_no"), F.concat(F.lit("她说：“"), F.trim("said"), F.lit("”")).alias("text"), "near_s")
     return r6(sequences.quote_slots(lines, c), "ratio")
 
 
@@ -1319,19 +1320,55 @@ def p1(s, d):
     return x.select(M, "start_s", "end_s", F.round("score", 6).alias("score"), "peak_t", F.array_join("reasons", "; ").alias("reasons"), F.size("lines").alias("n_lines"))
 
 
+def _four_signals(s, d):
+    """All signals of users: events as chat, frames and loudness, stretches between events as speech."""
+    e = b.live(s, d)
+    loud = e.groupBy(M, signals.window_of("t_s", GRID).alias("win")).agg(F.sqrt(F.avg(F.pow(F.col("cents") / 32768.0, 2))).alias("audio"))
+    return {"audio": loud, "frames": b.frames(s, d), "cues": b.visits(s, d).withColumnRenamed("seg_no", "cue_no"), "events": e}
+
+
+@query("p1_highlights_of_four_signals")
+def p1_all(s, d):
+    x = pipelines.highlights(b.users(s, d), GRID, 3, **_four_signals(s, d))
+    return x.select(M, "start_s", "end_s", F.round("score", 6).alias("score"), "peak_t", F.array_join("reasons", "; ").alias("reasons"), F.size("lines").alias("n_lines"))
+
+
+@query("p2_points_of_four_signals")
+def p2_all(s, d):
+    x = pipelines.timeline_points(b.users(s, d), GRID, **_four_signals(s, d))
+    return x.select(M, "start_s", "end_s", "peak_t", "score", "pct", F.array_join("reasons", "; ").alias("reasons"), F.size("lines").alias("n_lines"))
+
+
 @query("p2_timeline_points")
 def p2(s, d):
     x = pipelines.timeline_points(b.users(s, d), GRID, events=b.live(s, d))
     return x.select(M, "start_s", "end_s", "peak_t", "score", "pct", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query("p3_align_corpus")
-def p3(s, d):
+def _aligned_corpus(s, d):
     c = b.cues(s, d)
     scripts = c.groupBy(M).agg(F.array_join(F.array_sort(F.collect_list(F.struct("cue_no", "text")))["text"], "\n").alias("text"))
     scenes = joins.overlap_join(c, b.segs(s, d), limit=WHOLE).select(M, F.col("seg_no").alias("scene_no"), "start_s", "end_s", "text")
-    x = pipelines.align_corpus(scripts, scenes, c)
-    return x["plan"].select(M, "kept", "removed", F.round("coverage", 6).alias("coverage")).join(x["coverage"].select(M, "aligned", "total"), M)
+    return pipelines.align_corpus(scripts, scenes, c)
+
+
+@query("p3_align_corpus")
+def p3(s, d):
+    x = _aligned_corpus(s, d)
+    return x["plan"].select(M, "kept", "removed", F.round("coverage", 6).alias("coverage")).hint("merge").join(x["coverage"].select(M, "aligned", "total"), M)
+
+
+@query("p3_captioned_segments")
+def p3_segments(s, d):
+    x = _aligned_corpus(s, d)
+    return r6(x["segments"].select(M, "line_no", "part", "start_s", "end_s", "importance", "caption"), "start_s", "end_s")
+
+
+@query("p3_quotes_and_caps")
+def p3_quotes(s, d):
+    x = _aligned_corpus(s, d)
+    n = x["quotes"].groupBy(M).agg(F.count("*").alias("quotes"))
+    return x["caps"].select(M, F.round("jump_cap", 6).alias("jump_cap")).hint("merge").join(n, M, "left").select(M, "jump_cap", F.coalesce("quotes", F.lit(0)).alias("quotes"))
 
 
 @query("p4_beat_cut_plan")
