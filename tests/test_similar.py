@@ -217,3 +217,23 @@ def test_f14_streams_sorted_groups(spark):
                 kept.append((a, b, s))
         want += [(m, k, *c) for k, c in enumerate(kept)]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_e21_leaders_carry_over_blocks(spark):
+    """One medium holds most frames; blocks are small, so keys pass over many of them."""
+    rng = np.random.default_rng(11)
+    for step in (0.02, 0.4):
+        rows, want = [], []
+        for media, n in ((1, 400), (2, 37), (3, 1)):
+            v, key = rng.normal(size=4), None
+            for no in np.sort(rng.choice(900, n, replace=False)).tolist():
+                v = v + step * rng.normal(size=4)
+                x = (v / np.linalg.norm(v)).tolist()
+                rows.append((media, no, x))
+                same = key is not None and float(np.dot(key[1], x)) >= 0.9
+                want.append((media, no, key[0] if same else None))
+                key = key if same else (no, x)
+        df = spark.createDataFrame(rows, "media_id long, frame_no long, vec array<double>").repartition(5)
+        for block in (10, 10_000):
+            assert sorted(tuple(r) for r in sq.repeat_leader(df, 0.9, block).collect()) == sorted(want)
+    assert sq.repeat_leader(spark.createDataFrame([], "media_id long, frame_no long, vec array<double>"), 0.9).count() == 0
