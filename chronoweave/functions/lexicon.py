@@ -44,10 +44,11 @@ QUOTE_MARK = "[「」『』“”‘’«»《》\"']"
 QUOTE_VERB = "说道|喊道|叫道|吼道|低语道|低语|喃喃(?:自语)?|回答说|回答道|答应道|警告道|提醒道|嚷道|喊叫|尖叫道|劝告道|劝诫"
 TRANSITION = "^(?:接下来|随后|接着|然后|那时|很快|骤然|话音刚落|镜头|画面|时间(?:到|回到|过|跳)|此刻|就在(?:这时|那时|此刻|瞬间)|就这样|就是这样|放眼望去|久而久之|不知不觉|几秒后|几分钟后|几天后|几年后|当天|当晚|次日|第二天|没过多久|过了很久|片刻后|片刻|不久|没多久|之后|后来|与此同时|突然|忽然|瞬间|正说着|回合结束|[一二三四五六七八九十百零\\d]+(?:天|年|周|个月|步)后|几家医院|转眼)"
 
-# Characters that a transcript may not hold; a word, and a CJK letter, said over and over.
+# Characters that a transcript may not hold; a word, and a CJK letter, said over and over; marks between repeated phrases.
 CONTROL = "[\\ufffd\\u200b-\\u200f\\u2028\\u2029\\u0000-\\u0008\\u000b\\u000c\\u000e-\\u001f]"
 WORD_AGAIN = r"\b(\w{1,12})\b(?:[\s,，、。.!?！？;；]*\1\b){3,}"
 LETTER_AGAIN = r"([\u4e00-\u9fa5])\1{3,}"
+BETWEEN = r"[，。、！？；：,.!?;:…\s\-—~～「」《》\"'（）()]"
 
 # Classes of error messages, tried in this order.
 ERRORS = [

@@ -68,7 +68,7 @@ def collapse_phrases(texts: pd.Series) -> pd.Series:
     """[H2] The phrase step, which has to look through punctuation."""
     import re
 
-    mark = r"[，。、！？；：,.!?;:…\s\-—~～「」《》\"'（）()]*"
+    mark = lx.BETWEEN + "*"
 
     def one(s: str | None) -> str | None:
         if s is None:

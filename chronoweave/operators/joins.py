@@ -114,7 +114,7 @@ def gram_df(texts: DataFrame, doc: str, by: list[str] = ()) -> DataFrame:
     """[D14] Document frequency of each gram and the number of documents. -> (by..., gram, df, n_docs)"""
     g = grams(texts, [*by, doc]).groupBy(*by, "gram").agg(F.countDistinct(doc).alias("df"))
     n = texts.groupBy(*by).agg(F.countDistinct(doc).alias("n_docs")) if by else texts.agg(F.countDistinct(doc).alias("n_docs"))
-    return g.join(n, list(by)) if by else g.crossJoin(F.broadcast(n))  # one row
+    return g.hint("merge").join(n, list(by)) if by else g.crossJoin(F.broadcast(n))  # one row
 
 
 def idf_score_join(lines: DataFrame, scenes: DataFrame, action_weight: float = 1.6) -> DataFrame:
@@ -236,7 +236,7 @@ def backfill_leader(frames: DataFrame, fields: list[str], by: str = MEDIA) -> Da
 
 def attach_line(segs: DataFrame, lines: DataFrame) -> DataFrame:
     """[C19] Importance and caption of each segment's line; a line that is missing is 'advance' without caption."""
-    d = segs.join(lines.select(MEDIA, "line_no", "importance", F.col("text").alias("caption")), [MEDIA, "line_no"], "left")
+    d = segs.hint("merge").join(lines.select(MEDIA, "line_no", "importance", F.col("text").alias("caption")), [MEDIA, "line_no"], "left")
     return d.withColumn("importance", F.coalesce("importance", F.lit("advance"))).withColumn("caption", F.coalesce("caption", F.lit("")))
 
 

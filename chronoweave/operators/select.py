@@ -97,7 +97,7 @@ def line_filter_min(lines: DataFrame, zh_ratio: float = 0.7, min_len: int = 10,
 def keep_default(segs: DataFrame, cues: DataFrame) -> DataFrame:
     """[B11] keep where a cue's middle lies in the segment, else cut_candidate with a reason."""
     said = midpoint_join(cues.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0), segs.select(MEDIA, "seg_no", "start_s", "end_s")).groupBy(MEDIA, F.col("seg_seg_no").alias("seg_no")).agg(F.count("*").alias("n_cues"))
-    d = segs.join(said, [MEDIA, "seg_no"], "left").withColumn("n_cues", F.coalesce("n_cues", F.lit(0)))
+    d = segs.hint("merge").join(said, [MEDIA, "seg_no"], "left").withColumn("n_cues", F.coalesce("n_cues", F.lit(0)))
     return d.withColumn("decision", F.when(F.col("n_cues") > 0, "keep").otherwise("cut_candidate")).withColumn("why", F.when(F.col("n_cues") > 0, "dialogue").otherwise("no dialogue"))
 
 

@@ -158,7 +158,7 @@ def range_sum(prefix: DataFrame, ranges: DataFrame, order: str = "win", total: s
     p = prefix.select(by, F.col(order).alias("_cw_w"), F.col(total).alias("_cw_t"))
     hi = p.select(by, (F.col("_cw_w") + 1).alias("hi"), F.col("_cw_t").alias("_cw_hi"))
     lo = p.select(by, (F.col("_cw_w") + 1).alias("lo"), F.col("_cw_t").alias("_cw_lo"))
-    d = ranges.join(hi, [by, "hi"], "left").join(lo, [by, "lo"], "left")
+    d = ranges.hint("merge").join(hi, [by, "hi"], "left").hint("merge").join(lo, [by, "lo"], "left")
     return d.withColumn(out, F.coalesce("_cw_hi", F.lit(0)) - F.coalesce("_cw_lo", F.lit(0))).drop("_cw_hi", "_cw_lo")
 
 

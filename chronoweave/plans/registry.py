@@ -674,12 +674,12 @@ def b14(s, d):
 
 @query("f1_select_clips")
 def f1(s, d):
-    return sequences.select_clips(_fused(s, d).join(b.users(s, d), M), GRID, 5, 20_000.0, 86_400.0, 100_000.0)
+    return sequences.select_clips(_fused(s, d).hint("merge").join(b.users(s, d), M), GRID, 5, 20_000.0, 86_400.0, 100_000.0)
 
 
 @query("f2_detect_points")
 def f2(s, d):
-    return sequences.detect_points(_fused(s, d).join(b.users(s, d), M), GRID, 20_000.0, 86_400.0, 43_200.0)
+    return sequences.detect_points(_fused(s, d).hint("merge").join(b.users(s, d), M), GRID, 20_000.0, 86_400.0, 43_200.0)
 
 
 @query("f3_thin_min_gap", f"""WITH {b.EV}, p AS (SELECT media_id, list_sort(list(DISTINCT t_s)) AS t FROM ev GROUP BY ALL) SELECT media_id, unnest(list_reduce(list_transform(t, lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[-1] >= 40000 THEN list_concat(a, x) ELSE a END)) AS t_s FROM p""")
@@ -1187,7 +1187,7 @@ def i2(s, d):
 @query("i3_sanitize_alignment")
 def i3(s, d):
     a = _alignment(s, d)
-    return sequences.sanitize_alignment(a.withColumn("scene_no", F.when(F.col("line_no") % 4 == 1, 0).otherwise(F.col("scene_no")).cast("int")).distinct(), a, _scenes(s, d), 12)
+    return sequences.sanitize_alignment(a.withColumn("scene_no", F.when(F.col("line_no") % 4 == 1, 0).otherwise(F.col("scene_no")).cast("int")).distinct(), a, _scenes(s, d), _lines(s, d).groupBy(M).agg(F.count("*").cast("int").alias("n_lines")))
 
 
 @query("i4_allocate_spans")
@@ -1211,7 +1211,7 @@ def i6(s, d):
 
 @query("i7_fit_spans")
 def i7(s, d):
-    x = b.segs(s, d).join(b.media(s, d), M).withColumn("line_no", F.floor(F.col("seg_no") / 2).cast("int")).withColumn("voice_s", F.lit(12.0) + F.col("line_no") * 9.0)
+    x = b.segs(s, d).hint("merge").join(b.media(s, d), M).withColumn("line_no", F.floor(F.col("seg_no") / 2).cast("int")).withColumn("voice_s", F.lit(12.0) + F.col("line_no") * 9.0)
     return sequences.fit_spans(x)
 
 

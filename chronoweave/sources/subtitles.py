@@ -85,7 +85,7 @@ def discover_sidecars(files: DataFrame, media: DataFrame, langs: list[str] = LAN
     order = F.array_position(F.array(*[F.lit(e) for e in EXTENSIONS]), F.col("ext"))
     exact = subs.select("dir", "stem", F.lit(0).alias("kind"), order.alias("place"), F.col("name").alias("sidecar"))
     tagged = subs.where(tag.isin(langs)).select("dir", F.regexp_replace("stem", r"[._][A-Za-z-]+$", "").alias("stem"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("place"), F.col("name").alias("sidecar"))
-    d = media.select("dir", "name", stem.alias("stem")).join(exact.unionByName(tagged), ["dir", "stem"])
+    d = media.select("dir", "name", stem.alias("stem")).hint("merge").join(exact.unionByName(tagged), ["dir", "stem"])
     best = F.row_number().over(W.partitionBy("dir", "name").orderBy("kind", "place", "sidecar"))
     return d.withColumn("r", best).where("r = 1").select("dir", "name", "sidecar")
 
