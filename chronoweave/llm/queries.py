@@ -22,6 +22,7 @@ QUERIES = {
 QUERIES = {name: bounded_batches(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_substring_dedup": substrings.SQL,
     "op11_vector_code_trie": codes.SQL,
     "op12_conversation_repair": conversations.SQL,
     "op13_ngram_jaccard_join": ngrams.SQL,

@@ -332,3 +332,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def query(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: Windows as texts; a word goes if one of them that covers it also starts in a document of smaller doc_id.
+SQL = """
+with words as (
+    select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), windows as (
+    select doc_id, i, array_to_string(w[i:i + 12], ' ') as t from words, unnest(range(1, len(w) - 11)) u(i)
+), first as (select t, min(doc_id) as low from windows group by t having min(doc_id) < max(doc_id)
+), gone as (
+    select distinct doc_id, k from windows join first using (t), unnest(range(i, i + 13)) u(k) where low < doc_id
+), cut as (select doc_id, list(k order by k) as ks from gone group by doc_id
+), kept as (
+    select doc_id, len(w) as n, coalesce(len(ks), 0) as m,
+        case when ks is null then w else list_filter(list_transform(list_zip(w, range(1, len(w) + 1)), lambda p: case when list_contains(ks, p[2]) then null else p[1] end), lambda x: x is not null) end as left_
+    from words left join cut using (doc_id)
+)
+select doc_id, cast(n as bigint) as n_words, cast(m as bigint) as n_removed, sha256(array_to_string(left_, ' ')) as kept_sha256 from kept
+"""
