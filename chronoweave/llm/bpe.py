@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections import ChainMap
 from collections.abc import Iterator
 from struct import pack
 
@@ -100,8 +99,8 @@ class Words:
         if not new:
             return self.ids
         table = self.ids
-        if len(table) > KNOWN:
-            table = ChainMap({}, self.ids)
+        if len(table) > KNOWN:  # a table of these words alone, as plain as the kept one
+            table = {w: self.ids[w] for w in words.difference(new)}
         rest = []
         for w in new:
             if len(w) > max(LEAF, LONG_WORD):  # long unsplit text
@@ -130,6 +129,8 @@ class Words:
 
     def word(self, w: str, table: dict[str, bytes]) -> bytes:
         """Ids of one stretch, straight from the model."""
+        if w not in table and w in self.ids:
+            return self.ids[w]
         if w not in table:
             own = w.lower() if self.style == "dropped" else w
             if own.isascii():  # printable, but for a space in front

@@ -150,6 +150,16 @@ def test_words_of_all_kinds_of_letters_and_added_tokens(name):
     assert w.encode(texts)[1] == [w.tok.decode(np.frombuffer(i, "<u4").tolist(), skip_special_tokens=False) for i in want]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_beyond_the_kept_table(monkeypatch, name):
+    monkeypatch.setattr(bpe, "KNOWN", 20)
+    w, rng = bpe.Words(public_tokenizers.path(name)), random.Random(2)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(("Word", "ab,", "x1", "!?", "\u0130")) + str(rng.randrange(50)) * rng.randrange(2) for _ in range(30)) for _ in range(4)]
+        want = [np.array(e.ids, "<u4").tobytes() for e in w.tok.encode_batch(texts, add_special_tokens=False)]
+        assert w.ids_only(texts) == want and w.encode(texts)[0] == want
+
+
 def test_encode_docs_long_and_odd_rows(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = bpe.encode_docs(docs[0], path, spread=500).collect()
