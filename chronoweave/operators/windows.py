@@ -125,9 +125,9 @@ def motion_cuts(frames: DataFrame, strength: str = "normal", gap: float = 0.6, c
 
 def visual_cuts(frames: DataFrame, strength: str = "normal", t: str = "t_s", by: str = MEDIA) -> DataFrame:
     """[E8] Frames whose histogram moved by more than max(0.8 P80, 0.05) or whose brightness jumped by more than
-    max(0.7 P90, 8), times strength, thinned to half a second."""
+    max(0.7 P90, 8), times strength, thinned to half a second. Frames of one time come in order of frame_no."""
     scale = {"soft": 1.3, "strong": 0.75}.get(strength, 1.0)
-    d = frames.withColumn("_cw_j", F.abs(F.col("bright") - F.lag("bright").over(_w(by, t)))).where(F.col("_cw_j").isNotNull())
+    d = frames.withColumn("_cw_j", F.abs(F.col("bright") - F.lag("bright").over(_w(by, [t, "frame_no"])))).where(F.col("_cw_j").isNotNull())
     q = d.groupBy(by).agg(F.percentile("hist", F.lit(0.8)).alias("h"), F.percentile("_cw_j", F.lit(0.9)).alias("b"))
     d = d.join(q, by).where((F.col("hist") > F.greatest(0.8 * F.col("h"), F.lit(0.05)) * scale) | (F.col("_cw_j") > F.greatest(0.7 * F.col("b"), F.lit(8.0)) * scale))
     return thin_min_gap(d.select(by, F.bround(t, 2).alias(t)).distinct(), 0.5, t, by)
