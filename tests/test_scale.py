@@ -33,3 +33,25 @@ def test_c9_few_queries_are_counted_in_blocks_with_the_same_pairs(spark, monkeyp
     assert "FlatMapCoGroupsInArrow" not in _plan(many)
     got = sorted(map(tuple, few.collect()))
     assert got == sorted(map(tuple, many.collect())) and len(got) > 30
+
+
+def test_c13_tiles_have_the_pairs_of_the_interval_join(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TILE", 3)
+    monkeypatch.setattr(joins, "SLAB", 2)
+    rng = np.random.default_rng(5)
+    at = lambda: float(rng.integers(0, 200))
+    some = lambda k: None if k % 11 == 0 else [None, 1.0, 2.0] if k % 7 == 0 else [float(x) for x in rng.normal(size=2 if k % 5 == 0 else 3)]
+    lines = [(m, k, (t := at()), t + 15, some(k)) for m in (1, 2) for k in range(40)] + [(None, 99, 0.0, 5.0, [1.0, 1.0, 1.0]), (3, 1, 0.0, 5.0, [1.0])]
+    scenes = [(m, (t := at()), t + 40, some(k)) for m in (1, 2) for k in range(40)] + [(2, 0.0, 500.0, [3.0, 0.0, 0.0])] * 20
+    a = spark.createDataFrame(lines, "media_id long, line_no long, start_s double, end_s double, vec array<double>")
+    b = spark.createDataFrame(scenes, "media_id long, start_s double, end_s double, vec array<double>")
+    want = {}
+    for m, no, s, e, v in lines:
+        best = 0.0
+        for m2, s2, e2, w in scenes:
+            if m == m2 and m is not None and e > s2 and s < e2 and v and w and len(v) == len(w) and None not in v and None not in w:
+                best = max(best, float(np.dot(v, w)))
+        want[m, no] = round(best, 9)
+    out = joins.cosine_join(a, b)
+    assert {(r.media_id, r.line_no): round(r.cosine, 9) for r in out.collect()} == want
+    assert "FlatMapCoGroupsInArrow" in _plan(out)
