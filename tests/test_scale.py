@@ -55,3 +55,16 @@ def test_c13_tiles_have_the_pairs_of_the_interval_join(spark, monkeypatch):
     out = joins.cosine_join(a, b)
     assert {(r.media_id, r.line_no): round(r.cosine, 9) for r in out.collect()} == want
     assert "FlatMapCoGroupsInArrow" in _plan(out)
+
+
+def test_h14_counts_by_bytes(spark):
+    rows = [("枪枪",), ("枪 and 枪",), ("plain text, no letter wider",), ("",), (None,), ("é枪é",), ("死死枪枪枪",), ("真相秘密 then 死",)]
+    df = spark.createDataFrame(rows, "text string")
+    out = df.select("text", tx.emotion_of("text").alias("e"), tx.clause_emotion("text").alias("c"))
+    assert {r.text: (r.e, r.c) for r in out.collect()} == {
+        "枪枪": ("紧张", "解说"), "枪 and 枪": ("紧张", "解说"), "plain text, no letter wider": ("解说", "解说"), "": ("解说", "解说"), None: ("解说", "解说"),
+        "é枪é": ("解说", "解说"), "死死枪枪枪": ("紧张", "解说"), "真相秘密 then 死": ("严肃", "严肃"),
+    }
+    ascii_ = df.select("text", tx.emotion_of("text", {"x": ["枪"], "y": ["text", "wider"]}).alias("e"))
+    assert {r.text: r.e for r in ascii_.collect()}["plain text, no letter wider"] == "y"
+    assert _plan(out).count("length(") < 2 * 60 + 120 and "octet_length" in _plan(out)
