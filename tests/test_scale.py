@@ -87,3 +87,14 @@ def test_a4_broken_log_gives_none_and_spares_its_neighbours(spark):
     logs = [(1, '<i><d p="1.5,1">one</d></i>'), (2, '<i><d p="1,1">broken</i>'), (3, '<i><d p="-4,1"> b </d><d p="soon">x</d></i>'), (4, "<i></i>"), (5, None)]
     got = subtitles.parse_live_events(spark.createDataFrame(logs, "media_id long, text string"))
     assert sorted(map(tuple, got.collect())) == [(1, 1.5, "one"), (3, 0.0, "b")]
+
+
+def test_a14_sorts_once_in_a_given_number_of_parts(spark):
+    names = ["clip_1.mp4", "final_1.mp4", "a.txt", "a.txt", "b.txt", "x.json", "noise"]
+    rows = [(run, n, 2_000_000 if k == 2 else 10) for run in range(3) for k, n in enumerate(names)] + [(9, "b.mkv", 1)]
+    out = tables.artefact_inventory(spark.createDataFrame(rows, "run_id long, name string, size long"))
+    assert _plan(out).count("Sort [") == 1 and "REPARTITION_BY_NUM" in _plan(out)
+    got = out.where("run_id = 1").orderBy("pos").select("name", "size", "kind", "best_video", "first_text", "pos").collect()
+    assert [(r.name, r.best_video) for r in got if r.kind == "video"] == [("clip_1.mp4", False), ("final_1.mp4", True)]
+    assert [(r.name, r.size) for r in got if r.first_text] == [("a.txt", 10)] and [r.pos for r in got] == list(range(7))
+    assert out.where("run_id = 9 and best_video").count() == 1
