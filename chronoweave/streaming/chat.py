@@ -17,6 +17,8 @@ from ..functions.lexicon import HIGHLIGHT_WORDS
 from ..operators.signals import keyword_hits
 
 LATE = "30 seconds"
+#: Files of a day of a batch of counts.
+FILES = 8
 
 
 def stream_chat_counts(events: DataFrame, window: str = "2 seconds", late: str = LATE) -> DataFrame:
@@ -80,20 +82,23 @@ def highlights_batch(counts: DataFrame, half: int = 2, horizon: str = "1 hour")
 
 
 def stream_highlights(counts: DataFrame, sink: Callable[[DataFrame, int], None], store: str, checkpoint: str, half: int = 2, horizon: str = "1 hour"):
-    """[K5] counts of K1 kept in ``store`` by batch and hour; each batch hands the highlights of the retained horizon of its media to
-    ``sink``. A batch that is run again replaces its own folder, and only folders of hours within the horizon are read."""
+    """[K5] counts of K1 kept in ``store`` by batch and day; each batch hands the highlights of the retained horizon of its media to
+    ``sink``. A batch that is run again replaces its own folder, and only folders of days within the horizon are read. A day of a batch is ``FILES`` files at most, however many tasks counted it, and what
+    follows reads them, so that a batch is counted once."""
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        hour = F.date_format(F.date_trunc("hour", "start"), "yyyyMMddHH").cast("long").alias("hour")
-        batch.select("*", hour).write.mode("overwrite").partitionBy("hour").parquet(f"{store}/batch={number}")
-        since = F.date_trunc("hour", F.min("start") - F.expr(f"interval {horizon}"))
-        since = batch.agg(F.date_format(since, "yyyyMMddHH").cast("long")).first()[0]
+        day = F.date_format("start", "yyyyMMdd").cast("long").alias("day")
+        rows = batch.select("*", day).repartition(F.col("day"), F.pmod(F.xxhash64("media_id"), F.lit(FILES)))
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{store}/batch={number}")
+        stored = spark.read.schema(f"{batch._jdf.schema().toDDL()}, batch long, day long").parquet(store)
+        own = stored.where(F.col("batch") == number)
+        since = F.min("start") - F.expr(f"interval {horizon}")
+        since = own.agg(F.date_format(since, "yyyyMMdd").cast("long")).first()[0]
         if since is None:
             return
-        kept = spark.read.schema(f"{batch._jdf.schema().toDDL()}, batch long, hour long").parquet(store)
-        kept = kept.where((F.col("hour") >= since) & (F.col("batch") <= number)).drop("batch", "hour")
-        kept = kept.hint("merge").join(batch.select("media_id").distinct(), "media_id", "left_semi")
+        kept = stored.where((F.col("day") >= since) & (F.col("batch") <= number)).drop("batch", "day")
+        kept = kept.hint("merge").join(own.select("media_id").distinct(), "media_id", "left_semi")
         sink(highlights_batch(kept.dropDuplicates(["media_id", "start"]), half, horizon), number)
 
     return counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each)

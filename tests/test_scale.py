@@ -35,6 +35,30 @@ def test_c9_few_queries_are_counted_in_blocks_with_the_same_pairs(spark, monkeyp
     assert got == sorted(map(tuple, many.collect())) and len(got) > 30
 
 
+def test_h14_counts_by_bytes(spark):
+    rows = [("枪枪",), ("枪 and 枪",), ("plain text, no letter wider",), ("",), (None,), ("é枪é",), ("死死枪枪枪",), ("真相秘密 then 死",)]
+    df = spark.createDataFrame(rows, "text string")
+    out = df.select("text", tx.emotion_of("text").alias("e"), tx.clause_emotion("text").alias("c"))
+    assert {r.text: (r.e, r.c) for r in out.collect()} == {
+        "枪枪": ("紧张", "解说"), "枪 and 枪": ("紧张", "解说"), "plain text, no letter wider": ("解说", "解说"), "": ("解说", "解说"), None: ("解说", "解说"),
+        "é枪é": ("解说", "解说"), "死死枪枪枪": ("紧张", "解说"), "真相秘密 then 死": ("严肃", "严肃"),
+    }
+    ascii_ = df.select("text", tx.emotion_of("text", {"x": ["枪"], "y": ["text", "wider"]}).alias("e"))
+    assert {r.text: r.e for r in ascii_.collect()}["plain text, no letter wider"] == "y"
+    assert _plan(out).count("length(") < 2 * 60 + 120 and "octet_length" in _plan(out)
+
+
+def test_a14_sorts_once_in_a_given_number_of_parts(spark):
+    names = ["clip_1.mp4", "final_1.mp4", "a.txt", "a.txt", "b.txt", "x.json", "noise"]
+    rows = [(run, n, 2_000_000 if k == 2 else 10) for run in range(3) for k, n in enumerate(names)] + [(9, "b.mkv", 1)]
+    out = tables.artefact_inventory(spark.createDataFrame(rows, "run_id long, name string, size long"))
+    assert _plan(out).count("Sort [") == 1 and "REPARTITION_BY_NUM" in _plan(out)
+    got = out.where("run_id = 1").orderBy("pos").select("name", "size", "kind", "best_video", "first_text", "pos").collect()
+    assert [(r.name, r.best_video) for r in got if r.kind == "video"] == [("clip_1.mp4", False), ("final_1.mp4", True)]
+    assert [(r.name, r.size) for r in got if r.first_text] == [("a.txt", 10)] and [r.pos for r in got] == list(range(7))
+    assert out.where("run_id = 9 and best_video").count() == 1
+
+
 def test_c13_tiles_have_the_pairs_of_the_interval_join(spark, monkeypatch):
     monkeypatch.setattr(joins, "TILE", 3)
     monkeypatch.setattr(joins, "SLAB", 2)
@@ -57,19 +81,6 @@ def test_c13_tiles_have_the_pairs_of_the_interval_join(spark, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in _plan(out)
 
 
-def test_h14_counts_by_bytes(spark):
-    rows = [("枪枪",), ("枪 and 枪",), ("plain text, no letter wider",), ("",), (None,), ("é枪é",), ("死死枪枪枪",), ("真相秘密 then 死",)]
-    df = spark.createDataFrame(rows, "text string")
-    out = df.select("text", tx.emotion_of("text").alias("e"), tx.clause_emotion("text").alias("c"))
-    assert {r.text: (r.e, r.c) for r in out.collect()} == {
-        "枪枪": ("紧张", "解说"), "枪 and 枪": ("紧张", "解说"), "plain text, no letter wider": ("解说", "解说"), "": ("解说", "解说"), None: ("解说", "解说"),
-        "é枪é": ("解说", "解说"), "死死枪枪枪": ("紧张", "解说"), "真相秘密 then 死": ("严肃", "严肃"),
-    }
-    ascii_ = df.select("text", tx.emotion_of("text", {"x": ["枪"], "y": ["text", "wider"]}).alias("e"))
-    assert {r.text: r.e for r in ascii_.collect()}["plain text, no letter wider"] == "y"
-    assert _plan(out).count("length(") < 2 * 60 + 120 and "octet_length" in _plan(out)
-
-
 def test_a4_logs_share_files(spark, tmp_path, monkeypatch):
     (tmp_path / "in").mkdir()
     rows = [(m, 0, "user", f"a < b & c > d\n{m}") for m in range(60)] + [(7, 1, "user", "“quoted” \"too\""), (8, 1, "user", "  ")]
@@ -89,12 +100,24 @@ def test_a4_broken_log_gives_none_and_spares_its_neighbours(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 1.5, "one"), (3, 0.0, "b")]
 
 
-def test_a14_sorts_once_in_a_given_number_of_parts(spark):
-    names = ["clip_1.mp4", "final_1.mp4", "a.txt", "a.txt", "b.txt", "x.json", "noise"]
-    rows = [(run, n, 2_000_000 if k == 2 else 10) for run in range(3) for k, n in enumerate(names)] + [(9, "b.mkv", 1)]
-    out = tables.artefact_inventory(spark.createDataFrame(rows, "run_id long, name string, size long"))
-    assert _plan(out).count("Sort [") == 1 and "REPARTITION_BY_NUM" in _plan(out)
-    got = out.where("run_id = 1").orderBy("pos").select("name", "size", "kind", "best_video", "first_text", "pos").collect()
-    assert [(r.name, r.best_video) for r in got if r.kind == "video"] == [("clip_1.mp4", False), ("final_1.mp4", True)]
-    assert [(r.name, r.size) for r in got if r.first_text] == [("a.txt", 10)] and [r.pos for r in got] == list(range(7))
-    assert out.where("run_id = 9 and best_video").count() == 1
+def test_k5_a_day_of_a_batch_is_a_few_files(spark, tmp_path):
+    each, found = None, []
+
+    class Counts:
+        def __getattr__(self, name):
+            return self
+
+        def __call__(self, *args, **options):
+            return self
+
+        def foreachBatch(self, run):  # noqa: N802
+            nonlocal each
+            each = run
+            return self
+
+    rows = [(m, datetime(2024, 1, 1) + timedelta(hours=h), 1 + (m * h) % 5) for m in range(40) for h in range(12)]
+    counts = spark.createDataFrame(rows, "media_id long, start timestamp, chat long").repartition(16)
+    chat.stream_highlights(Counts(), lambda df, n: found.append(df.count()), str(tmp_path / "store"), str(tmp_path / "state"), horizon="20 days")
+    each(counts, 0)
+    assert found and spark.read.parquet(str(tmp_path / "store")).count() == 480
+    assert len(_files(tmp_path / "store")) <= chat.FILES
