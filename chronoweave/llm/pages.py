@@ -19,19 +19,23 @@ shows at several places (copies, variants) and come back, until enough is left.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, make_room, word_bounds, word_hashes, write_table
+from .common import buffers, gram_hashes, make_room, word_bounds, word_hashes, write_table
 
 RUN, DEPTH, OFTEN, SOME, FEW, MANY, WHOLE, REST = 6, 32, 0.5, 0.1, 3, 12, 0.9, 0.25
-#: Tokens of a host that are sorted together, bytes of a host that one task gets, hosts larger than that which are broadcast.
-TOKENS, HOST_BYTES, BIG_HOSTS = 1 << 20, 64 << 20, 100_000
+#: Tokens of a large host that are sorted together, bytes of a host that one task gets whole, hosts larger than that which are broadcast.
+TOKENS, HOST_BYTES, BIG_HOSTS = 1 << 20, 8 << 20, 100_000
+#: Bytes of text of one part that a task packs together, and of all parts that it holds for that; runs that a broadcast may bring.
+PACK, HELD, FETCH = 1 << 18, 32 << 20, 1_000_000
 # Element and attribute names of HTML.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -188,21 +192,51 @@ def _covered(starts: np.ndarray, left: np.ndarray, run: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def judge(pages: list[list[tuple[str, str]]], run: int = RUN) -> list[tuple[str, int, int]]:
-    """Blocks of the pages of one host -> for each page its text, the words that the repeats cut, and those of structure alone."""
-    texts = [t for page in pages for _, t in page]
-    if not texts:
-        return [("", 0, 0) for _ in pages]
-    data, offsets = buffers(pa.array(texts, pa.large_string()))
+def _words(pages: list[list[tuple[str, str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all blocks: their hashes, the words from each to the end of its block, the page of each; words before each block."""
+    data, offsets = buffers(pa.array([t for page in pages for _, t in page], pa.large_string()))
     starts, ends, before = word_bounds(data, offsets)
-    size = np.diff(before)
-    block_of = np.repeat(np.arange(len(texts)), size)
+    block_of = np.repeat(np.arange(len(before) - 1), np.diff(before))
     left = before[1:][block_of] - np.arange(len(starts))
-    names: dict[str, int] = {}
-    body = np.array([names.setdefault("\n".join(t for k, t in page if k != "drop"), len(names)) for page in pages])
     page_of = np.repeat(np.arange(len(pages)), [len(page) for page in pages])
-    count = repeats(word_hashes(data, starts, ends).view(np.int64), left, body[page_of[block_of]], run)
-    often, some = max(2, OFTEN * len(names)), max(FEW, SOME * len(names))
+    return word_hashes(data, starts, ends), left, page_of[block_of], before
+
+
+def _body(page: list[tuple[str, str]]) -> str:
+    return "\n".join(t for k, t in page if k != "drop")
+
+
+def _runs(h: np.ndarray, left: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a run begins, and the runs' names."""
+    at = np.flatnonzero(left >= run)
+    return at, gram_hashes(h, run)[at].view(np.int64)
+
+
+def _look_up(names: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which names are among the known (sorted), and where."""
+    if not len(known):
+        return np.zeros(len(names), bool), np.zeros(len(names), np.int64)
+    at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+    return known[at] == names, at
+
+
+def judge(pages: list[list[tuple[str, str]]], run: int = RUN, host: tuple[np.ndarray, np.ndarray, int] | None = None) -> list[tuple[str, int, int]]:
+    """Blocks of the pages of one host -> for each page its text, the words that the repeats cut, and those of structure alone.
+    host: its common runs (sorted names), the bodies that have each, and the number of its bodies; none: pages are the whole host."""
+    if not any(pages):
+        return [("", 0, 0) for _ in pages]
+    h, left, page_of, before = _words(pages)
+    size = np.diff(before)
+    if host is None:
+        names: dict[str, int] = {}
+        body = np.array([names.setdefault(_body(page), len(names)) for page in pages])
+        count, bodies = repeats(h.view(np.int64), left, body[page_of], run), len(names)
+    else:
+        count, bodies = np.zeros(len(h), np.int64), host[2]
+        at, grams = _runs(h, left, run)
+        among, where = _look_up(grams, host[0])
+        count[at[among]] = host[1][where[among]]
+    often, some = max(2, OFTEN * bodies), max(FEW, SOME * bodies)
     covered = {k: _covered(np.flatnonzero(count >= n), left, run) for k, n in (("often", often), ("some", min(often, some)), ("main", max(often, MANY)))}
     total = {k: np.diff(np.append(0, np.cumsum(c))[before]) for k, c in covered.items()}
     out, at = [], 0
@@ -236,52 +270,234 @@ def judge(pages: list[list[tuple[str, str]]], run: int = RUN) -> list[tuple[str,
     return out
 
 
+OUT = "page_id long, url string, text string, by_repeats long, by_structure long"
+
+
+def _judged(held: list[tuple], run: int, host: tuple[np.ndarray, np.ndarray, int] | None = None) -> pa.RecordBatch:
+    """held: (page_id, url, blocks) of each page."""
+    found = judge([b for _, _, b in held], run, host)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.string()), *(pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64())))],
+        ["page_id", "url", "text", "by_repeats", "by_structure"],
+    )
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for s in range(0, batch.num_rows, 256):
+            yield from zip(*(c.to_pylist() for c in batch.slice(s, 256).columns), strict=True)
+
+
+def _whole_hosts(rows: DataFrame, run: int) -> DataFrame:
+    """rows(page_id, url, html, host), a host in one task."""
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
+        held: list[tuple] = []
+        key = None
+        for page_id, url, page, host in _rows(batches):
+            if held and host != key:
+                yield _judged(held, run)
+                held = []
+            key = host
+            held.append((page_id, url, blocks(page)))
+        if held:
+            yield _judged(held, run)
+
+    return rows.repartition("host").sortWithinPartitions("host").mapInArrow(run_, OUT)
+
+
+KINDS = {"k": "keep", "w": "weak", "d": "drop"}
+PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("kinds", pa.string()), ("texts", pa.string()), ("body", pa.int64())])
+ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+
+
+PACKS = "host string, parts int, part int, again boolean, data binary"
+
+
+def _pack(rows: list[tuple]) -> bytes:
+    """Pages of one part, compressed together."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, PAGE, options=ZSTD) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(PAGE)], schema=PAGE))
+    return sink.getvalue().to_pybytes()
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """rows(page_id, url, html, host, parts) -> packs of pages of one part: blocks as one letter and one line each, and the body's
+    name, which decides the part. A page whose blocks the task has met before on its host counts no more (``again``) and may lie in any part."""
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
+        seen: set[tuple] = set()
+        held: dict[tuple, list] = {}
+        size: dict[tuple, int] = {}
+
+        def packed(keys: list[tuple]) -> pa.RecordBatch:
+            data = [_pack(held.pop(k)) for k in keys]
+            for k in keys:
+                del size[k]
+            types = (pa.string(), pa.int32(), pa.int32(), pa.bool_())
+            return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], t) for i, t in enumerate(types)), pa.array(data, pa.binary())], ["host", "parts", "part", "again", "data"])
+
+        total = 0
+        for page_id, url, page, host, parts in _rows(batches):
+            found = blocks(page)
+            texts = "\n".join(t for _, t in found)
+            body = xxhash.xxh3_64_intdigest(_body(found))
+            name = (host, body, xxhash.xxh3_64_intdigest(texts))
+            again = name in seen
+            if len(seen) < TOKENS:
+                seen.add(name)
+            key = (host, parts, (xxhash.xxh3_64_intdigest(f"{page_id} {url}") if again else body) % parts, again)
+            held.setdefault(key, []).append((page_id, url, "".join(k[0] for k, _ in found), texts, int(np.uint64(body).view(np.int64))))
+            size[key] = size.get(key, 0) + len(texts)
+            total += len(texts)
+            if size[key] > PACK:
+                total -= size[key]
+                yield packed([key])
+            elif total > HELD:
+                total = 0
+                yield packed(list(held))
+        if held:
+            yield packed(list(held))
+
+    return rows.mapInArrow(run_, PACKS)
+
+
+def _unpack(data: bytes) -> list[tuple]:
+    """(body, page_id, url, blocks, row of the pack) of each page."""
+    rows = _rows(pa.ipc.open_stream(data))
+    return [(r[4], r[0], r[1], list(zip((KINDS[x] for x in r[2]), r[3].split("\n"), strict=True)) if r[2] else [], r) for r in rows]
+
+
+SORTED = "host string, whole boolean, again boolean, data binary, run long, k long, slack long"
+
+
+def _sorted(packs: DataFrame, run: int, tokens: int) -> DataFrame:
+    """Pages of large hosts by (host, part), and what their suffixes say. A row with data is a chunk of a part, about ``tokens``
+    words of it; whole: the part has no other. Without data: a run on SOME of a chunk's bodies or more, k being how many more than
+    the slack that any run may have unreported; or, without a run, a chunk's bodies and its slack."""
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
+        met: set[int] = set()  # bodies of the part
+
+        def row_batch(rows: list[tuple]) -> pa.RecordBatch:
+            types = (pa.string(), pa.bool_(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            names = ["host", "whole", "again", "data", "run", "k", "slack"]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+        def chunk(host: str, whole: bool, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            known = len(met)
+            met.update(r[0] for r in held)
+            fresh = len(met) - known
+            slack = max(0, math.ceil(round(SOME * fresh, 9)) - 1)
+            yield row_batch([(host, whole, False, _pack([r[4] for r in held]), None, None, None), (host, None, None, None, None, fresh, slack)])
+            h, left, page_of, _ = _words([r[3] for r in held])
+            body = np.unique(np.array([r[0] for r in held], np.int64), return_inverse=True)[1]
+            count = repeats(h.view(np.int64), left, body[page_of], run)
+            at, grams = _runs(h, left, run)
+            often = count[at] > slack
+            names, first = np.unique(grams[often], return_index=True)
+            k = (count[at][often][first] - slack).tolist()
+            yield row_batch([(host, None, None, None, name, n, None) for name, n in zip(names.tolist(), k, strict=True)])
+
+        key, held, size, on = None, [], 0, False
+        for host, part, again, data in _rows(batches):
+            if (host, part) != key:
+                if held:
+                    yield from chunk(key[0], not on, held)
+                met.clear()
+                key, held, size, on = (host, part), [], 0, False
+            if again:
+                yield row_batch([(host, None, True, data, None, None, None)])
+                continue
+            for r in _unpack(data):
+                if size > tokens:
+                    yield from chunk(host, False, held)
+                    held, size, on = [], 0, True
+                held.append(r)
+                size += r[4][3].count(" ") + len(r[3])
+        if held:
+            yield from chunk(key[0], not on, held)
+
+    return packs.repartition("host", "part").sortWithinPartitions("host", "part", "again").select("host", "part", "again", "data").mapInArrow(run_, SORTED)
+
+
+def _counted(chunks: DataFrame, run: int) -> DataFrame:
+    """chunks(data, whole, facts) with facts an array of (run, k) -> rows (host, run, body, k): of a whole part the number of bodies that have each run, else one
+    row for each body, as it may go on in another chunk."""
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
+        for host, whole, data, facts in _rows(batches):
+            held, runs = _unpack(data), np.array(sorted(f["run"] for f in facts), np.int64)
+            if not len(runs):
+                continue
+            bodies, body = np.unique(np.array([r[0] for r in held], np.int64), return_inverse=True)
+            h, left, page_of, _ = _words([r[3] for r in held])
+            at, grams = _runs(h, left, run)
+            among, where = _look_up(grams, runs)
+            both = np.unique(body[page_of[at[among]]] * len(runs) + where[among])
+            if whole:
+                k = np.bincount(both % len(runs), minlength=len(runs))
+                names, of, k = runs[k > 0], [None] * int((k > 0).sum()), k[k > 0]
+            else:
+                names, of, k = runs[both % len(runs)], bodies[both // len(runs)], np.ones(len(both), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([host] * len(names), pa.string()), pa.array(names), pa.array(of, pa.int64()), pa.array(k, pa.int64())], ["host", "run", "body", "k"])
+
+    return chunks.select("host", "whole", "data", "facts").mapInArrow(run_, "host string, run long, body long, k long")
+
+
+def _large_hosts(rows: DataFrame, hint: str, run: int, tokens: int) -> DataFrame:
+    """rows(page_id, url, html, host, parts). Texts are shuffled once. Equal bodies meet in one part, so bodies of parts add up."""
+    sorted_ = write_table(_sorted(_parsed(rows), run, tokens), "sorted", **{"parquet.block.size": str(16 << 20)})
+    chunks, reported = sorted_.where("data is not null"), sorted_.where("data is null")
+    hosts = reported.where("run is null").groupBy("host").agg(F.sum("k").alias("bodies"), F.sum("slack").alias("slack"))
+    hosts = write_table(hosts.withColumn("least", F.least(F.greatest(F.lit(2), OFTEN * F.col("bodies")), F.greatest(F.lit(FEW), SOME * F.col("bodies")))), "shares")
+
+    def with_facts(chunks: DataFrame, facts: DataFrame) -> DataFrame:
+        """facts(host, run, k) of a host as an array beside each of its chunks."""
+        facts = write_table(facts, "facts")
+        lists = facts.groupBy("host").agg(F.collect_list(F.struct("run", "k")).alias("facts"))
+        both = chunks.join(lists.hint("broadcast" if facts.count() <= FETCH else "merge"), "host", "left").join(hosts.hint(hint), "host")
+        return both.withColumn("facts", F.coalesce("facts", F.array().cast("array<struct<run:bigint,k:bigint>>")))
+
+    maybe = reported.where("run is not null").groupBy("host", "run").agg(F.sum("k").alias("k")).hint("merge").join(hosts, "host").where("k + slack >= least")
+    counted = _counted(with_facts(chunks.where("not again"), maybe.select("host", "run", "k")), run)
+    counted = counted.groupBy("host", "run", "body").agg(F.sum("k").alias("k")).withColumn("k", F.when(F.col("body").isNull(), F.col("k")).otherwise(1))
+    common = counted.groupBy("host", "run").agg(F.sum("k").alias("k")).hint("merge").join(hosts, "host").where("k >= least")
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
+        for data, facts, bodies in _rows(batches):
+            facts = sorted((f["run"], f["k"]) for f in facts)
+            host = (np.array([r for r, _ in facts], np.int64), np.array([k for _, k in facts], np.int64), bodies)
+            yield _judged([r[1:4] for r in _unpack(data)], run, host)
+
+    return with_facts(chunks, common.select("host", "run", "k")).select("data", "facts", "bodies").mapInArrow(run_, OUT)
+
+
 def extract(pages: DataFrame, run: int = RUN, host_bytes: int = HOST_BYTES, tokens: int = TOKENS, big_hosts: int = BIG_HOSTS) -> DataFrame:
     """pages(page_id, url, html) -> (page_id, url, text, by_repeats, by_structure): kept blocks in page order, joined by one
     line feed; the numbers of words that the suffix array cut (which would else stay) and that structure cut.
 
     Null and empty pages have an empty text; unclosed elements end with the page; texts of any length are whole. A page's host
     is the part of its url between // and the next /, ? or #; pages without one form a host of their own. Repeated rows are
-    extracted each, and pages of equal text never count as two; null page_ids stay. Of a host of over ``host_bytes`` the pages
-    are dealt by a hash to several tasks, and ``tokens`` of them at a time are sorted together, whichever page comes next, so no
-    group is ever held whole; each such part has its own shares. An empty table gives none."""
+    extracted each, and pages of equal text never count as two; null page_ids stay. A host of over ``host_bytes`` is dealt to several
+    tasks and ``tokens`` of it at a time are sorted together, so no group is ever held whole; shares are always those of the whole
+    host, so neither number changes a result. Pages of one host with one body and many frames
+    stream through one task. An empty table gives none."""
     url_host = F.coalesce(F.nullif(F.regexp_extract("url", r"//([^/?#]*)", 1), F.lit("")), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), url_host.alias("host"))
     total = rows.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes")).where(F.col("bytes") > host_bytes)
     big = write_table(total.select("host", F.ceil(F.col("bytes") / host_bytes).cast("int").alias("parts")), "hosts")
-    big = big.hint("broadcast" if big.count() <= big_hosts else "merge")
-    shuffled = F.xxhash64("page_id", "url", "html")
-    rows = rows.join(big, "host", "left").withColumn("order", shuffled)
-    order = ["host", "part", "order"]
-    rows = rows.withColumn("part", F.pmod("order", F.coalesce("parts", F.lit(1)))).select("page_id", "url", "html", *order)
-    rows = rows.repartition("host", "part").sortWithinPartitions(*order)
-
-    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make_room()
-        held: list[tuple] = []
-        key, size = None, 0
-
-        def flush() -> pa.RecordBatch:
-            found = judge([b for _, _, b in held], run)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.string()), *(pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64())))],
-                ["page_id", "url", "text", "by_repeats", "by_structure"],
-            )
-
-        for batch in batches:
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
-                for page_id, url, page, *own in zip(*(part.column(c).to_pylist() for c in range(5)), strict=True):
-                    if held and (own != key or size > tokens):
-                        yield flush()
-                        held, size = [], 0
-                    key = own
-                    held.append((page_id, url, blocks(page)))
-                    size += sum(t.count(" ") + 1 for _, t in held[-1][2])
-        if held:
-            yield flush()
-
-    return rows.mapInArrow(run_, "page_id long, url string, text string, by_repeats long, by_structure long")
+    if not (large := big.count()):
+        return _whole_hosts(rows, run)
+    hint = "broadcast" if large <= big_hosts else "merge"
+    big = big.hint(hint)
+    return _whole_hosts(rows.join(big, "host", "left_anti").select("page_id", "url", "html", "host"), run).unionByName(_large_hosts(rows.join(big, "host").select("page_id", "url", "html", "host", "parts"), hint, run, tokens))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

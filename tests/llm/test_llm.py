@@ -331,6 +331,28 @@ def test_pages_of_large_hosts_and_hot_rows(spark):
         assert sum(r["text"] == "equal rows" for r in got) == 100
 
 
+@pytest.mark.parametrize("letters", [4, 14])
+def test_pages_of_large_hosts_have_shares_of_the_whole_host(spark, letters):
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(letters)]
+    lines = [" ".join(rng.choice(vocab) for _ in range(8)) for _ in range(6)]
+    rows = []
+    for i in range(90):
+        words = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 30))) for _ in range(2)]
+        said = [x for k, x in enumerate(lines) if rng.random() < (0.04, 0.09, 0.12, 0.45, 0.55, 0.9)[k]]
+        main = f"<article><p>{words[0]}</p>{''.join(f'<p>{x}</p>' for x in said)}</article>" if i % 3 == 0 else f"<div>{words[0]}</div>{''.join(f'<div>{x}</div>' for x in said)}<div>{words[1]}</div>"
+        rows.append((i, f"http://h{i % 2}.example/", f"<nav>{lines[0]} {i}</nav>{main}"))
+    rows += [(100 + i, "http://h0.example/", f"<footer>{lines[1]} {i}</footer>" if i % 2 else rows[0][2]) for i in range(12)] + [(200, "http://h1.example/", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {}
+    for host in ("http://h0.example/", "http://h1.example/"):
+        own = [r for r in rows if r[1] == host]
+        want |= dict(zip([r[0] for r in own], judge_brute([pages.blocks(r[2]) for r in own]), strict=True))
+    for host_bytes, tokens in ((1 << 20, 1 << 20), (1500, 60), (4000, 400), (100, 1)):
+        got = {r["page_id"]: r["text"] for r in pages.extract(df, host_bytes=host_bytes, tokens=tokens).collect()}
+        assert got == want, (host_bytes, tokens)
+
+
 def test_pages_keep_prose_that_recurs_now_and_then(spark):
     rng = random.Random(9)
     prose = {i: [f"v{rng.randrange(10**6)}" for _ in range(120)] for i in range(12)}
