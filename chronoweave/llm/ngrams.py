@@ -7,7 +7,8 @@ two is where the rows of both sides together cost least, from the counts of set
 
 Elements that many sets hold come last in the global order, so that lists stay short and a set's listed elements hold what no other
 set has. Those of its own tell two sets apart whatever else they share: where both together have more than the threshold
-allows to differ, the pair goes, before it is ever made. For that sets are listed up to steps of the order, so that most end at one. What is left in one list is linked in two rounds. In the first, every set is
+allows to differ, or one has more than a set of the other's size leaves it, the pair goes, before it is ever made; and it is made only in
+lists whose element is among the first of both that must hold one in common. For that sets are listed up to steps of the order, so that most end at one. What is left in one list is linked in two rounds. In the first, every set is
 compared with one other, that of fewest own elements in most of its lists (of a group of near copies, the text they stem from); then,
 once more, one set of each component with one of another. A group of near copies becomes one component that way, at the cost
 of a comparison a copy. In the second, sets of one list that are still in different components are counted over all lists they
@@ -111,7 +112,7 @@ def light_links(lists: DataFrame) -> DataFrame:
 
 
 def surveyed(docs: DataFrame, words: int) -> DataFrame:
-    """A row for each document (doc_id, node, n), and rows (elem, n) of elements that SEEN sets of a batch or more have."""
+    """A row for each document (doc_id, node, n, key), and rows (elem, n) of elements that SEEN sets of a batch or more have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
@@ -125,13 +126,13 @@ def surveyed(docs: DataFrame, words: int) -> DataFrame:
                 sizes.append(len(e))
                 if len(e):
                     found[nodes[-1]] = e
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(nodes), pa.int64())], ["doc_id", "node", "n", "elem"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(nodes), pa.int64()), batch.column(2)], ["doc_id", "node", "n", "elem", "key"])
             if found:
                 e, count = np.unique(np.concatenate(list(found.values())), return_counts=True)
                 e, count = e[count >= SEEN], count[count >= SEEN]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(e), pa.int64()), pa.nulls(len(e), pa.int64()), pa.array(count, pa.int64()), pa.array(e.view(np.int64))], ["doc_id", "node", "n", "elem"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(e), pa.int64()), pa.nulls(len(e), pa.int64()), pa.array(count, pa.int64()), pa.array(e.view(np.int64)), pa.nulls(len(e), pa.int64())], ["doc_id", "node", "n", "elem", "key"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, elem long")
+    return keyed(docs).mapInArrow(run, "doc_id long, node long, n long, elem long, key long")
 
 
 ROWS = "elem long, node long, n int, pos int, step int, cold int"
@@ -223,10 +224,14 @@ def shared_lists(postings: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, ROWS)
 
 
+def _shared(a: str, b: str, percent: int) -> Column:
+    """How many elements linked sets of sizes a and b share at least; neither has more than the rest of its own."""
+    return F.ceil(percent * (F.col(a) + F.col(b)) / (100 + percent))
+
+
 def _allowed(a: str, b: str, percent: int) -> Column:
     """By how many elements linked sets of sizes a and b may differ."""
-    both = F.col(a) + F.col(b)
-    return both - 2 * F.ceil(percent * both / (100 + percent))
+    return F.col(a) + F.col(b) - 2 * _shared(a, b, percent)
 
 
 def with_own(lists: DataFrame) -> DataFrame:
@@ -241,28 +246,29 @@ def some_of(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return df.join(wanted, column, "left_semi")
 
 
-def fetched(nodes: DataFrame, docs: DataFrame, found: DataFrame, words: int) -> DataFrame:
-    """nodes(node) -> (node, data): one text of each, compressed."""
-    ids = checkpointed(found.hint("merge").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    texts = some_of(docs, "doc_id", ids.where("doc_id is not null").select("doc_id").distinct())
-    if ids.where("doc_id is null").limit(1).count():
-        texts = texts.unionByName(docs.where("doc_id is null"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with a 64-bit name of the row."""
+    return docs.withColumn("key", F.xxhash64("doc_id", "text"))
+
+
+def fetched(nodes: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """nodes(node) -> (node, data): one text of each, compressed. Rows are found by their names, so no set is made for it."""
+    ids = checkpointed(found.hint("merge").join(nodes, "node").groupBy("node").agg(F.min("key").alias("key")))
+    texts = keyed(docs).join(ids.hint("broadcast" if ids.count() <= FETCH else "merge"), "key").select("node", "text")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
-        names, press, seen = WordNames(), zstandard.ZstdCompressor(level=1), set()
+        press, seen = zstandard.ZstdCompressor(level=1), set()
         for batch in batches:
             nodes, data = [], []
-            for text in batch.column(0):
-                t = text.as_py() or b""
-                node = set_name(element_set(t, names, words))
-                if node is not None and node not in seen:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if node not in seen:
                     seen.add(node)
                     nodes.append(node)
-                    data.append(press.compress(t))
+                    data.append(press.compress(text.as_py() or b""))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(data, pa.binary())], ["node", "data"])
 
-    texts = some_of(texts.select("text").mapInArrow(packed, "node long, data binary"), "node", ids.select("node"))
+    texts = texts.mapInArrow(packed, "node long, data binary")
     return write_table(texts.groupBy("node").agg(F.min("data").alias("data")), "sets")
 
 
@@ -305,19 +311,22 @@ def labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
 def stars(rows: DataFrame, percent: int) -> DataFrame:
     """rows: labelled lists -> a pair (a, b) for each component that meets another in a list and may be linked with it: a set of its own
     and the set of fewest own elements of the list, from most of its lists."""
-    least = F.min(F.struct("own", "n", "node", "step"))
+    least = F.min(F.struct("own", "n", "node", "step", "pos"))
     of = rows.groupBy("elem", "component").agg(least.alias("x"))
-    first = rows.groupBy("elem").agg(F.min(F.struct("own", "n", "node", "step", "component")).alias("f"))
+    first = rows.groupBy("elem").agg(F.min(F.struct("own", "n", "node", "step", "pos", "component")).alias("f"))
     met = of.hint("merge").join(first, "elem").where("component <> f.component")
-    apart = F.when(F.col("x.step") <= F.col("f.step"), F.col("x.own")).otherwise(0) + F.when(F.col("f.step") <= F.col("x.step"), F.col("f.own")).otherwise(0)
-    met = met.where((apart <= _allowed("x.n", "f.n", percent)) & (100 * F.least("x.n", "f.n") >= percent * F.greatest("x.n", "f.n")))
+    own = [F.when(F.col(f"{a}.step") <= F.col(f"{b}.step"), F.col(f"{a}.own")).otherwise(0) for a, b in (("x", "f"), ("f", "x"))]
+    met = met.where((own[0] + own[1] <= _allowed("x.n", "f.n", percent)) & (100 * F.least("x.n", "f.n") >= percent * F.greatest("x.n", "f.n")))
+    for k, side in enumerate("xf"):
+        most = F.col(f"{side}.n") - _shared("x.n", "f.n", percent)
+        met = met.where((own[k] <= most) & (F.col(f"{side}.pos") <= most))
     counted = met.groupBy("component", F.col("x.node").alias("a"), F.col("f.node").alias("b")).agg(F.count("*").alias("k"))
     best = counted.groupBy("component").agg(F.max_by(F.struct("a", "b"), F.struct("k", "a", "b")).alias("p"))
     return write_table(best.select("p.a", "p.b"), "stars")
 
 
-def open_pairs(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """Pairs of sets of one labelled list that lie in different components and whose common places in all lists allow the threshold."""
+def met_pairs(rows: DataFrame, percent: int, tile: int) -> DataFrame:
+    """Pairs of sets of one labelled list that lie in different components, once for each list in which they may be linked."""
     mixed = rows.groupBy("elem").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("elem", "size")
     rows = rows.hint("merge").join(mixed, "elem").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
@@ -338,7 +347,10 @@ def open_pairs(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
             both = n[i] + n[j]
             ok = (comp[i] != comp[j]) & (100 * n[i] >= percent * n[j]) & (~cross[i] | (side[i] != side[j]))  # rows of a tile are in order of n
             # what a set has listed of its own is not in one that is listed as far; beyond that it may be
-            ok &= own[i] * (step[i] <= step[j]) + own[j] * (step[j] <= step[i]) <= both - 2 * -(-percent * both // (100 + percent))
+            a, b = own[i] * (step[i] <= step[j]), own[j] * (step[j] <= step[i])
+            shared = -(-percent * both // (100 + percent))
+            ok &= (a + b <= both - 2 * shared) & (a <= n[i] - shared) & (b <= n[j] - shared)
+            ok &= (pos[i] <= n[i] - shared) & (pos[j] <= n[j] - shared)  # the first element that linked sets share is among these of both
             i, j = i[ok], j[ok]
             swap = node[i] > node[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -371,8 +383,12 @@ def open_pairs(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
             yield out
 
     order = ["elem", "tile_a", "tile_b"]
-    pairs = rows.repartition(*order).sortWithinPartitions(*order, "n", "node").mapInArrow(run, "a long, b long, na long, nb long, pa long, pb long")
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    return rows.repartition(*order).sortWithinPartitions(*order, "n", "node").mapInArrow(run, "a long, b long, na long, nb long, pa long, pb long")
+
+
+def open_pairs(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
+    """Pairs of sets of one labelled list that lie in different components and whose common places in all lists allow the threshold."""
+    pairs = met_pairs(rows, percent, tile).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     apart = F.col("pa") + F.col("pb") + 2 - 2 * F.col("k")  # up to the last element that both have listed
     return pairs.where(apart <= _allowed("na", "nb", percent)).select("a", "b")
 
@@ -386,7 +402,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     smallest id (null, if it has none); an empty table gives none; other columns are ignored. ``boundary`` overrides the chosen one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     survey = write_table(surveyed(docs, words), "surveyed")
-    found = survey.where("elem is null").select("doc_id", "node", "n")
+    found = survey.where("elem is null").select("doc_id", "node", "n", "key")
     if boundary is None:
         sizes = found.where("node is not null").groupBy(F.least("n", F.lit(LIGHT)).alias("n")).agg(F.approx_count_distinct("node").alias("k"))
         boundary = choose_boundary({r["n"]: r["k"] for r in sizes.collect()}, percent)  # LIGHT rows at most
@@ -395,7 +411,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     lists = write_table(shared_lists(listed(docs, boundary, frequent, words, percent), percent), "lists")
     links = light_links(lists.where("pos < 0"))
     lists = write_table(with_own(lists.where("pos >= 0")), "own")
-    texts = fetched(lists.select("node").distinct(), docs, found, words)
+    texts = fetched(lists.select("node").distinct(), docs, found)
     first = stars(lists.withColumn("component", F.col("node")), percent)
     links = write_table(links.unionByName(verified(first, texts, words, percent)), "links")
     second = stars(labelled(lists, components(links)), percent)

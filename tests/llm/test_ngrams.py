@@ -77,6 +77,22 @@ def test_one_key_of_a_third_of_all_rows(spark):
     assert all(got[i] == i for i in range(1000, 1800))
 
 
+def test_copies_that_are_alike_below_the_threshold_make_few_pairs(spark):
+    """Twins that differ from all others by more than the threshold allows, not by words of their own: others were paired with them."""
+    rng = random.Random(4)
+    base, rows = [f"b{i}" for i in range(200)], []
+    for d in range(60):
+        w = list(base)
+        for k in range(4, 170, 30):
+            w[k + rng.randrange(20)] = f"own{d}x{k}"
+        rows += [(2 * d, " ".join(w)), (2 * d + 1, " ".join([*w, "end"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "cast(text as binary) as text")
+    lists = ngrams.shared_lists(ngrams.listed(docs, 1, ngrams.np.zeros(0, ngrams.np.uint64), 5, 80), 80)
+    lists = ngrams.with_own(lists.where("pos >= 0")).selectExpr("*", "node as component")
+    met = ngrams.met_pairs(lists, 80, 512)
+    assert met.select("a", "b").distinct().count() == 60 and met.count() < 60 * 40  # each with its twin
+
+
 def test_sizes_and_boundary():
     for a in range(1, 60):
         assert a - ngrams.needed(a, a) < ngrams.prefix(a)
