@@ -85,9 +85,9 @@ def test_copies_that_are_alike_below_the_threshold_make_few_pairs(spark):
         w = list(base)
         for k in range(4, 170, 30):
             w[k + rng.randrange(20)] = f"own{d}x{k}"
-        rows += [(2 * d, " ".join(w)), (2 * d + 1, " ".join([*w, "end"]))]
+        rows += [(2 * d, " ".join(w)), (2 * d + 1, " ".join([*w, f"end{d}"]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "cast(text as binary) as text")
-    lists = ngrams.shared_lists(ngrams.listed(docs, 1, ngrams.np.zeros(0, ngrams.np.uint64), 5, 80), 80)
+    lists = ngrams.shared_lists(ngrams.listed(docs, 1, ngrams.element_set(" ".join(base).encode(), ngrams.WordNames()), 5, 80), 80)
     lists = ngrams.with_own(lists.where("pos >= 0")).selectExpr("*", "node as component")
     met = ngrams.met_pairs(lists, 80, 512)
     assert met.select("a", "b").distinct().count() == 60 and met.count() < 60 * 40  # each with its twin
