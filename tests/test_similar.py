@@ -237,3 +237,35 @@ def test_e21_leaders_carry_over_blocks(spark):
         for block in (10, 10_000):
             assert sorted(tuple(r) for r in sq.repeat_leader(df, 0.9, block).collect()) == sorted(want)
     assert sq.repeat_leader(spark.createDataFrame([], "media_id long, frame_no long, vec array<double>"), 0.9).count() == 0
+
+
+def test_i17_bands_of_unlike_lines_are_not_stored(spark, monkeypatch):
+    # lines of few letters: many meet another one in a band by chance, few are alike
+    rng, stored, write = random.Random(8), [], similar.written
+    rows = [(k % 7, k, "".join(rng.choice("abcdefgh") for _ in range(60))) for k in range(600)]
+
+    def counted(df):
+        out = write(df)
+        stored.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(similar, "written", counted)
+    got = similar.near_lines(spark.createDataFrame(rows, "media_id long, line_no int, text string"))
+    assert got.count() == len(rows)
+    assert max(n for columns, n in stored if "bucket" in columns) < 2 * len(rows)
+
+
+def test_i17_rows_of_large_buckets_meet_all_that_are_near(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    n = np.sort(rng.integers(5, 60, 900))
+    base = rng.integers(0, 2**63, (30, 4), dtype=np.uint64)
+    sketch = base[rng.integers(0, 30, 900)] ^ (np.uint64(1) << rng.integers(0, 64, (900, 4), dtype=np.uint64))
+    limit = similar._limit(0.8)
+    near = np.triu(np.bitwise_count(sketch[:, None] ^ sketch).sum(axis=-1) <= limit, 1) & (n[:, None] >= 0.8 * n - 1e-9)
+    x, y, more = similar._starred(n, sketch, 0.8, limit)
+    starred = set(zip(y.tolist(), x.tolist(), strict=True))
+    pairs = set(zip(*(k.tolist() for k in np.nonzero(near)), strict=True))
+    assert starred <= pairs
+    assert all(more[i] and more[k] for i, k in pairs - starred)
